@@ -48,13 +48,14 @@ def r6_all(*names: str, prefix: str = "") -> str:
 def with_steps(body: str) -> str:
     """Prefix ``body`` with the steps it needs, in dependency order."""
     needed: list[str] = []
+    seen: set[str] = set()
 
     def visit(sql: str) -> None:
         for name in re.findall(r"\b\w+_t\b", sql):
-            if name in STEPS and name not in needed:
+            if name in STEPS and name not in seen:  # a recursive step names itself
+                seen.add(name)
                 visit(STEPS[name])
-                if name not in needed:
-                    needed.append(name)
+                needed.append(name)
 
     visit(body)
     if not needed:
@@ -256,7 +257,10 @@ oracle(
 
 # --- calendar --------------------------------------------------------------------
 
-oracle("calendar", "SELECT * FROM calendar_t")
+oracle(
+    "calendar",
+    "SELECT * REPLACE (CAST(CAST(school_term AS INTEGER) AS DOUBLE) AS school_term) FROM calendar_t",
+)
 STEPS["near_holiday_t"] = """
     SELECT *, EXISTS (SELECT 1 FROM holiday_t h WHERE h.date = c.date + 1
                       AND h.date <= (SELECT max(date) FROM day_t)) AS day_before_holiday,
@@ -490,14 +494,15 @@ def _features(target: str, weather: str) -> str:
         f"AND l{i}.date = t.date - {i}"
         for i in (*LAGS, 364)
     )
-    mean = f"(SELECT avg(x) FROM (VALUES {', '.join(f'(l{i}.count)' for i in LAGS)}) v(x))"
     return f"""
     SELECT t.sensor_id, t.date, t.hour, t.count, CAST(dayofweek(t.date) AS INTEGER) AS dow,
            CAST(month(t.date) AS INTEGER) AS month, CAST(dayofyear(t.date) AS INTEGER) AS doy,
-           {', '.join(f'c.{f}' for f in _FLAGS)}, {', '.join(f'w.{v}' for v in VIEW)},
+           {', '.join(f'CAST(CAST(c.{f} AS INTEGER) AS DOUBLE) AS {f}' for f in _FLAGS)},
+           {', '.join(f'w.{v}' for v in VIEW)},
            list_avg(list_filter([{', '.join(f'l{i}.count' for i in LAGS)}], lambda x: x IS NOT NULL))
                AS baseline,
-           l35.count AS lag_35, l42.count AS lag_42, l364.count AS lag_364,
+           CAST(l35.count AS DOUBLE) AS lag_35, CAST(l42.count AS DOUBLE) AS lag_42,
+           CAST(l364.count AS DOUBLE) AS lag_364,
            s.season, s.season_change
     FROM {target} t {lag}
     LEFT JOIN near_holiday_t c ON c.date = t.date
@@ -521,7 +526,10 @@ STEPS["coming_feature_t"] = _features("coming_t", "coming_weather_t")
 _FEATURE_ROW = f"""sensor_id, date, hour, count, dow, month, doy, {', '.join(_FLAGS)},
     {r6_all(*VIEW, 'baseline', 'season', 'season_change')}, lag_35, lag_42, lag_364"""
 oracle("feature_dataset", f"SELECT {_FEATURE_ROW} FROM feature_t")
-oracle("future_dataset", f"SELECT {_FEATURE_ROW} FROM coming_feature_t")
+oracle(
+    "future_dataset",
+    f"SELECT * REPLACE (CAST(count AS DOUBLE) AS count) FROM (SELECT {_FEATURE_ROW} FROM coming_feature_t)",
+)
 
 _SCORE = f"""{r6('avg(abs(baseline - count))', 'mae')},
     {r6('sum(abs(baseline - count)) / sum(count)', 'wape')}, count(*) AS hours"""
@@ -562,8 +570,8 @@ _SLICE = f"""
     count(*) AS hours"""
 _SLICES = {
     "All hours": "true",
-    "Normal days": "NOT is_holiday",
-    "Public holidays": "is_holiday",
+    "Normal days": "is_holiday = 0",
+    "Public holidays": "is_holiday = 1",
     "Hot days (35°C+)": """date IN (SELECT date FROM compared_t WHERE temperature >= 35)""",
     "Rainy hours (1 mm+)": "precipitation_mm >= 1",
 }
@@ -691,3 +699,199 @@ oracle(
                   + count(DISTINCT dow) * (count(DISTINCT period) - 1) AS columns
        FROM obs_t GROUP BY fit""",
 )
+oracle(
+    "weekday_recovery_saturated",
+    f"""SELECT dow, {r6("exp(avg(ln(daily)) FILTER (WHERE period = 'recent') - avg(ln(daily)) FILTER (WHERE period = '1996'))", 'ratio')},
+               count(*) AS sensor_days
+        FROM sensor_day_t WHERE daily > 0 GROUP BY dow""",
+)
+
+# The full regression: eliminate the 24 x 24 system step by step, then sum the
+# weekly scores of each contrast.
+STEPS["study_t"] = """
+    SELECT d.*, coalesce(k.type, 'retail/leisure') AS type,
+           coalesce(p.note LIKE '%Pushbox%', false) AS upgraded
+    FROM sensor_day_t d LEFT JOIN kind_t k USING (sensor_id) LEFT JOIN place_t p USING (sensor_id)"""
+DAY_GROUPS = {
+    "Mon + Fri": {"Mon": "1/2", "Fri": "1/2"},
+    "Tue–Thu": {"Tue": "1/3", "Wed": "1/3", "Thu": "1/3"},
+    "Weekend": {"Sat": "1/2", "Sun": "1/2"},
+}
+GAP = {"gap": {"Mon": "1/2", "Fri": "1/2", "Tue": "-1/3", "Wed": "-1/3", "Thu": "-1/3"}}
+DAYS = {d: {d: "1"} for d in ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")}
+
+
+def _weights(contrasts: dict[str, dict[str, str]]) -> str:
+    rows = []
+    for name, days in contrasts.items():
+        rows.append(f"('{name}', 17, CAST({' + '.join(f'({w}.0)' for w in days.values())} AS DOUBLE))")
+        rows += [
+            f"('{name}', {18 + OTHER_DAYS.index(d)}, CAST({w}.0 AS DOUBLE))"
+            for d, w in days.items()
+            if d != "Wed"
+        ]
+    return f"SELECT * FROM (VALUES {', '.join(rows)}) v(contrast, i, w)"
+
+
+def _recovery_steps(tag: str, obs: str, contrasts: dict[str, dict[str, str]]) -> str:
+    """Steps ending in a table (fit, contrast, estimate, se, z, sensors)."""
+    STEPS[f"{tag}_obs_t"] = obs
+    _regression_steps(f"{tag}_", f"{tag}_obs_t")
+    STEPS[f"{tag}_cell_t"] = f"""
+        SELECT f.fit, r.i, c.j,
+               CASE WHEN c.j > 24 AND c.j < 49 THEN CASE WHEN c.j - 25 = r.i THEN 1.0 ELSE 0.0 END
+                    ELSE coalesce(g.x, 0.0) END::DOUBLE AS x
+        FROM (SELECT DISTINCT fit FROM {tag}_gram_t) f,
+             (SELECT unnest(range(24)) AS i) r, (SELECT unnest(range(50)) AS j) c
+        LEFT JOIN {tag}_gram_t g ON g.fit = f.fit AND g.i = CASE WHEN c.j = 49 THEN r.i ELSE least(r.i, c.j) END
+            AND g.j = CASE WHEN c.j = 49 THEN 24 ELSE greatest(r.i, c.j) END
+        WHERE c.j <> 24"""
+    STEPS[f"{tag}_matrix_t"] = f"""
+        SELECT fit, list(line ORDER BY i) AS m
+        FROM (SELECT fit, i, list(x ORDER BY j) AS line FROM {tag}_cell_t GROUP BY fit, i)
+        GROUP BY fit"""
+    STEPS[f"{tag}_solve_t"] = f"""
+        SELECT fit, 1 AS k, m FROM {tag}_matrix_t
+        UNION ALL
+        SELECT fit, k + 1, list_transform(range(1, 25), lambda r:
+                   CASE WHEN r = k THEN list_transform(m[r], lambda v: v / m[k][k])
+                        ELSE list_transform(range(1, 50), lambda c:
+                            m[r][c] - m[r][k] * m[k][c] / m[k][k]) END)
+        FROM {tag}_solve_t WHERE k <= 24"""
+    STEPS[f"{tag}_beta_t"] = f"""
+        SELECT fit, i, m[i + 1][49] AS beta, m[i + 1][25:48] AS inverse
+        FROM {tag}_solve_t, (SELECT unnest(range(24)) AS i) WHERE k = 25"""
+    STEPS[f"{tag}_shift_t"] = f"""
+        SELECT s.fit, s.sensor_id, sum(s.sz * b.beta) / any_value(m.n) AS shift
+        FROM {tag}_sz_t s JOIN {tag}_beta_t b ON b.fit = s.fit AND b.i = s.i
+        JOIN {tag}_mean_t m ON m.fit = s.fit AND m.sensor_id = s.sensor_id
+        GROUP BY s.fit, s.sensor_id"""
+    STEPS[f"{tag}_resid_t"] = f"""
+        SELECT o.fit, o.sensor_id, o.date, o.week,
+               o.y - any_value(m.sy / m.n) + coalesce(any_value(h.shift), 0)
+                   - coalesce(sum(b.beta), 0) AS u
+        FROM {tag}_obs_t o
+        JOIN {tag}_mean_t m ON m.fit = o.fit AND m.sensor_id = o.sensor_id
+        LEFT JOIN {tag}_shift_t h ON h.fit = o.fit AND h.sensor_id = o.sensor_id
+        LEFT JOIN {tag}_term_t t ON t.fit = o.fit AND t.sensor_id = o.sensor_id AND t.date = o.date
+        LEFT JOIN {tag}_beta_t b ON b.fit = t.fit AND b.i = t.i
+        GROUP BY o.fit, o.sensor_id, o.date, o.week, o.y"""
+    STEPS[f"{tag}_score_t"] = f"""
+        SELECT fit, week, i, sum(x) AS x FROM (
+            SELECT t.fit, t.week, t.i, r.u AS x
+            FROM {tag}_term_t t JOIN {tag}_resid_t r
+              ON r.fit = t.fit AND r.sensor_id = t.sensor_id AND r.date = t.date
+            UNION ALL
+            SELECT r.fit, r.week, s.i, -r.u * s.sz / m.n
+            FROM {tag}_resid_t r
+            JOIN {tag}_sz_t s ON s.fit = r.fit AND s.sensor_id = r.sensor_id
+            JOIN {tag}_mean_t m ON m.fit = r.fit AND m.sensor_id = r.sensor_id)
+        GROUP BY fit, week, i"""
+    STEPS[f"{tag}_weight_t"] = _weights(contrasts)
+    STEPS[f"{tag}_lever_t"] = f"""
+        SELECT b.fit, w.contrast, b.i, sum(b.inverse[w.i + 1] * w.w) AS a
+        FROM {tag}_beta_t b, {tag}_weight_t w GROUP BY ALL"""
+    STEPS[f"{tag}_spread_t"] = f"""
+        SELECT fit, contrast, sum(t * t) AS variance
+        FROM (SELECT s.fit, l.contrast, s.week, sum(l.a * s.x) AS t
+              FROM {tag}_score_t s JOIN {tag}_lever_t l ON l.fit = s.fit AND l.i = s.i
+              GROUP BY ALL)
+        GROUP BY fit, contrast"""
+    STEPS[f"{tag}_size_t"] = f"""
+        SELECT fit, count(*) AS n, count(DISTINCT sensor_id) AS sensors, count(DISTINCT week) AS g,
+               count(DISTINCT sensor_id) + 11 + 6 + 7 AS p
+        FROM {tag}_obs_t GROUP BY fit"""
+    STEPS[f"{tag}_contrast_t"] = f"""
+        SELECT e.fit, e.contrast, e.estimate, z.sensors,
+               sqrt(s.variance * z.g / (z.g - 1) * (z.n - 1) / (z.n - z.p)) AS se
+        FROM (SELECT b.fit, w.contrast, sum(b.beta * w.w) AS estimate
+              FROM {tag}_beta_t b JOIN {tag}_weight_t w ON w.i = b.i GROUP BY ALL) e
+        JOIN {tag}_spread_t s ON s.fit = e.fit AND s.contrast = e.contrast
+        JOIN {tag}_size_t z ON z.fit = e.fit"""
+    return f"{tag}_contrast_t"
+
+
+def _observed(fits: dict[str, tuple[str, str]]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS fit, *, ln({window}) AS y FROM study_t WHERE {window} > 0 AND {rule}"
+        for name, (window, rule) in fits.items()
+    )
+
+
+_RATIOS = f"""{r6('exp(estimate)', 'ratio')}, {r6('exp(estimate - 1.96 * se)', 'low')},
+    {r6('exp(estimate + 1.96 * se)', 'high')}, sensors"""
+# two-sided normal tail by Simpson's rule on [0, |z|]
+_TAIL = """1 - 2 * (SELECT sum(exp(-0.5 * (h * estimate / se) * (h * estimate / se)) * weight)
+                     * abs(estimate / se) / 6000 / sqrt(2 * pi())
+                FROM (SELECT k / 2000.0::DOUBLE AS h,
+                             CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END AS weight
+                      FROM range(2001) g(k)))"""
+_GAP = f"""{r6('exp(estimate) - 1', 'gap')}, {r6('exp(estimate - 1.96 * se) - 1', 'low')},
+    {r6('exp(estimate + 1.96 * se) - 1', 'high')}, {r6(_TAIL, 'p')}"""
+_KINDS = {"Office district": "office", "Retail / leisure": "retail/leisure"}
+_KIND_FITS = lambda windows: {
+    f"{name}|{w}": (w, f"type = '{kind}'") for name, kind in _KINDS.items() for w in windows
+}
+
+_all = _recovery_steps("every", _observed({"All": ("daily", "true")}), DAYS)
+oracle("weekday_recovery", f"SELECT contrast AS day, {_RATIOS} FROM {_all}")
+_types = _recovery_steps(
+    "kinds", _observed({n: ("daily", f"type = '{k}'") for n, k in _KINDS.items()}), DAYS
+)
+oracle(
+    "weekday_recovery_by_type",
+    f'SELECT fit AS "group", contrast AS day, {_RATIOS} FROM {_types}',
+)
+_NAMES = """split_part(fit, '|', 1) AS "group", split_part(fit, '|', 2) AS "window" """
+_hours = _recovery_steps(
+    "hours", _observed(_KIND_FITS(("am_peak", "lunch", "pm_peak", "evening"))), DAY_GROUPS
+)
+oracle("recovery_by_window", f"SELECT {_NAMES}, contrast AS days, {_RATIOS} FROM {_hours}")
+_gaps = _recovery_steps("gaps", _observed(_KIND_FITS(("daily", "am_peak", "evening"))), GAP)
+oracle("gap_by_window", f"SELECT {_NAMES}, {_GAP}, sensors FROM {_gaps}")
+_SAMPLES = {
+    "All office sensors": "true",
+    "Only upgraded sensors": "upgraded",
+    "Only sensors not upgraded": "NOT upgraded",
+    "First recent year": "(period = '1996' OR date < DATE '2000-01-01')",
+    "Second recent year": "(period = '1996' OR date >= DATE '2000-01-01')",
+}
+_checks = _recovery_steps(
+    "checks",
+    _observed(
+        {
+            f"{name}|{w}": (w, f"type = 'office' AND {rule}")
+            for name, rule in _SAMPLES.items()
+            for w in ("daily", "am_peak")
+        }
+    ),
+    {**DAY_GROUPS, **GAP},
+)
+
+
+def _picked(window: str, contrast: str, expr: str, name: str) -> str:
+    rule = f"split_part(fit, '|', 2) = '{window}' AND contrast = '{contrast}'"
+    return r6(f"max({expr}) FILTER (WHERE {rule})", name)
+
+
+oracle(
+    "robustness",
+    f"""SELECT split_part(fit, '|', 1) AS sample,
+               {_picked('daily', 'Mon + Fri', 'exp(estimate)', 'mon_fri_vs_base')},
+               {_picked('daily', 'Tue–Thu', 'exp(estimate)', 'tue_thu_vs_base')},
+               {_picked('daily', 'Weekend', 'exp(estimate)', 'weekend_vs_base')},
+               {_picked('am_peak', 'gap', 'exp(estimate) - 1', 'morning_gap')},
+               max(sensors) FILTER (WHERE split_part(fit, '|', 2) = 'daily') AS sensors
+        FROM {_checks} GROUP BY 1""",
+)
+_single = _recovery_steps(
+    "single",
+    "SELECT CAST(sensor_id AS VARCHAR) AS fit, *, ln(am_peak) AS y FROM study_t WHERE am_peak > 0",
+    GAP,
+)
+oracle(
+    "per_sensor_gap",
+    f"""SELECT CAST(fit AS INTEGER) AS sensor_id, {_GAP}, type
+        FROM {_single} JOIN (SELECT DISTINCT CAST(sensor_id AS VARCHAR) AS fit, type FROM study_t)
+        USING (fit)""",
+)

@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallygrid import fixed
 from tallygrid.operators import calendar as cal
-from tallygrid.operators import clean, coverage, features, incremental, profiles, recovery
+from tallygrid.operators import clean, coverage, features, incremental, model, profiles, recovery
 from tallygrid.operators import scoring, season, sensor_days as sd, series, weather
+from tallygrid.operators.model import TreeSettings
+from tallygrid.plans import analysis, forecast
 from tallygrid.plans import tables as t
 from tallygrid.sources.count_files import typed_counts
 
@@ -169,7 +171,10 @@ def weather_choice(spark, d):
 
 @query
 def calendar(spark, d):
-    return t.calendar(spark, d)
+    # the three-valued term as 1, 0 or NULL
+    return t.calendar(spark, d).withColumn(
+        "school_term", F.col("school_term").cast("int").cast("double")
+    )
 
 
 @query
@@ -349,7 +354,7 @@ def future_dataset(spark, d):
             *FUTURE_SPAN,
             t.SHIP,
             future=t.sensors(spark, d).withColumnRenamed("location_id", "sensor_id"),
-        )
+        ).withColumn("count", F.col("count").cast("double"))
     )
 
 
@@ -465,3 +470,96 @@ def recovery_sizes(spark, d):
     cells = recovery.cells(obs)
     sizes = recovery.fit_sizes(cells, recovery.sensor_sums(cells, t.SHIP), obs)
     return sizes.select("fit", F.col("rows").cast("bigint"), "sensors", "weeks", "columns")
+
+
+@query
+def weekday_recovery_saturated(spark, d):
+    return rounded(recovery.saturated_recovery(day_rows(spark, d), "daily", t.SHIP))
+
+
+def study_days(spark, d):
+    return analysis.study_days(
+        t.ship_counts(spark, d), t.calendar(spark, d), t.sensors(spark, d), t.SHIP
+    )
+
+
+@query
+def weekday_recovery(spark, d):
+    return rounded(analysis.weekday_recovery(study_days(spark, d), t.SHIP))
+
+
+@query
+def weekday_recovery_by_type(spark, d):
+    return rounded(analysis.weekday_recovery_by_type(study_days(spark, d), t.SHIP))
+
+
+@query
+def recovery_by_window(spark, d):
+    return rounded(analysis.recovery_by_window(study_days(spark, d), t.SHIP))
+
+
+@query
+def gap_by_window(spark, d):
+    return rounded(analysis.gap_by_window(study_days(spark, d), t.SHIP))
+
+
+@query
+def robustness(spark, d):
+    return rounded(analysis.robustness(study_days(spark, d), t.SHIP))
+
+
+@query
+def per_sensor_gap(spark, d):
+    return rounded(analysis.per_sensor_gap(study_days(spark, d), t.SHIP))
+
+
+# --- model -----------------------------------------------------------------------
+
+SMALL_TREES = TreeSettings(trees=5, step=0.3, depth=4)
+TEST_SPAN = (date(2000, 11, 1), date(2000, 12, 31))
+TRAIN_START = date(2000, 1, 1)
+
+
+@query
+def backtest(spark, d):
+    return forecast.backtest(
+        t.ship_counts(spark, d),
+        t.calendar(spark, d),
+        t.ship_weather_view(spark, d),
+        *TEST_SPAN,
+        TRAIN_START,
+        t.SHIP,
+        settings=SMALL_TREES,
+    )
+
+
+def small_model(spark, d):
+    return forecast.train_model(
+        t.ship_counts(spark, d),
+        t.calendar(spark, d),
+        t.ship_weather_view(spark, d),
+        TRAIN_START,
+        TEST_SPAN[1],
+        t.SHIP,
+        settings=SMALL_TREES,
+    )
+
+
+@query
+def feature_importance(spark, d):
+    return model.feature_importance(small_model(spark, d))
+
+
+@query
+def day_ahead(spark, d):
+    view = t.ship_weather_view(spark, d)
+    days = cal.day_spine(spark, *FUTURE_SPAN)
+    _, daily = forecast.forecast_days(
+        small_model(spark, d),
+        t.ship_counts(spark, d),
+        t.calendar(spark, d),
+        weather.typical_weather(view, days),
+        t.sensors(spark, d).withColumnRenamed("location_id", "sensor_id"),
+        *FUTURE_SPAN,
+    )
+    return daily

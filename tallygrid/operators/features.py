@@ -19,7 +19,6 @@ from .season import with_season
 from .weather import VIEW_COLUMNS
 
 TIME_FEATURES = ("hour", "dow", "month", "doy")
-COUNT_FEATURES = ("baseline", "lag_35", "lag_42", "lag_364")
 SEASON_FEATURES = ("season", "season_change")
 
 
@@ -149,11 +148,16 @@ def build_dataset(
         F.month("date").alias("month"),
         F.dayofyear("date").alias("doy"),
         baseline.alias("baseline"),
-        *[f"lag_{lag}" for lag in (*params.single_lags, params.year_lag)],
+        *[
+            F.col(f"lag_{lag}").cast("double").alias(f"lag_{lag}")
+            for lag in (*params.single_lags, params.year_lag)
+        ],
     )
     days = days_between(start, end)
     flags = with_holiday_neighbours(calendar).where(in_range).select(
-        "date", *calendar_features(params)
+        "date",
+        # yes, no or unknown as 1, 0 or NULL
+        *[F.col(c).cast("int").cast("double").alias(c) for c in calendar_features(params)],
     )
     hours = weather.where(in_range).select("date", "hour", *VIEW_COLUMNS)
     # both are unique per day (and hour) of the range: their size is known here

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..fixed import DAY_GROUPS, NORMAL_95, REFERENCE_WEEKDAY, WEEKDAYS
 from ..params import Params
+from ..session import ship_package
 
 MONTHS = tuple(range(2, 13))
 OTHER_DAYS = tuple(d for d in WEEKDAYS if d != REFERENCE_WEEKDAY)
@@ -148,6 +149,7 @@ def normal_equations(cell_rows: DataFrame, sums: DataFrame, params: Params) -> D
 
 def coefficients(equations: DataFrame) -> DataFrame:
     """Solve each fit: its coefficients and the inverse Gram matrix (flattened)."""
+    ship_package(equations.sparkSession)
     packed = equations.groupBy("fit").agg(
         F.collect_list(F.struct("i", "j", "x")).alias("entries")  # at most 324 entries
     )
@@ -295,6 +297,24 @@ def _contrast_vector(weights: Mapping[str, float]) -> np.ndarray:
     return vector
 
 
+def saturated_recovery(days: DataFrame, window: str, params: Params) -> DataFrame:
+    """Recovery per weekday without sensor and month terms.
+
+    With only weekday x period the model is saturated, so each ratio is the
+    quotient of two geometric means.
+    """
+    is_base = F.col("period") == params.base_label
+    log = F.ln(window)
+    return (
+        days.where(F.col(window) > 0)
+        .groupBy("dow")
+        .agg(
+            F.exp(F.avg(F.when(~is_base, log)) - F.avg(F.when(is_base, log))).alias("ratio"),
+            F.count("*").alias("sensor_days"),
+        )
+    )
+
+
 def recovery_ratios(contrast_rows: DataFrame) -> DataFrame:
     """Recent level as a share of the base year, with a 95 % interval."""
     reach = NORMAL_95 * F.col("se")

@@ -68,7 +68,7 @@ def score_slices(results: DataFrame) -> DataFrame:
     compared = results.where(F.col("baseline").isNotNull())
     hottest = compared.groupBy("date").agg(F.max("temperature").alias("day_max_temp"))
     labelled = compared.join(hottest, "date", "left")
-    holiday = F.col("is_holiday")
+    holiday = F.col("is_holiday").cast("boolean")
     slices = F.array_compact(
         F.array(
             F.lit("All hours"),

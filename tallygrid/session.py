@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folders: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def session(app: str = "tallygrid", master: str | None = None, **conf) -> SparkSession:
@@ -44,6 +47,25 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_folders[app]
 
 
+def checkpoint_ready(spark: SparkSession) -> None:
+    """Let iterative fits cut their lineage in the shared folder."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(spark))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = Path(__file__).resolve().parent
+        base = Path(tempfile.mkdtemp(prefix="tallygrid-py-")) / package.name
+        spark.sparkContext.addPyFile(
+            shutil.make_archive(str(base), "zip", package.parent, package.name)
+        )
+        _shipped.add(app)
+
+
 def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
