@@ -6,7 +6,7 @@ import csv
 from collections import defaultdict
 from collections.abc import Iterable
 from functools import reduce
-from urllib.parse import unquote
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -77,7 +77,7 @@ def _files_by_header(spark: SparkSession, paths: list[str]) -> dict[tuple[str, .
         .option("pathGlobFilter", CSV_NAMES)
         .text(paths)
     )
-    files = lines.inputFiles()
+    files = [_plain(uri) for uri in lines.inputFiles()]
     if not files:
         raise RuntimeError(f"No CSV files found in {', '.join(paths)}")
     squeezed = F.regexp_replace(F.lower("value"), "[^a-z0-9]+", "_")
@@ -87,15 +87,20 @@ def _files_by_header(spark: SparkSession, paths: list[str]) -> dict[tuple[str, .
     )
     headers = (
         lines.where(is_header)
-        .groupBy(F.col("_metadata.file_path").alias("file"))
-        .agg(F.min_by("value", F.monotonically_increasing_id()).alias("header"))
+        .select(
+            F.col("_metadata.file_path").alias("file"),
+            "value",
+            F.monotonically_increasing_id().alias("position"),
+        )
+        .groupBy("file")
+        .agg(F.min_by("value", "position").alias("header"))
         .collect()
     )
     by_header = defaultdict(list)
     for row in headers:
-        by_header[tuple(next(csv.reader([row.header.lstrip("﻿")])))].append(unquote(row.file))
+        by_header[tuple(next(csv.reader([row.header.lstrip("﻿")])))].append(_plain(row.file))
     known = {file for group in by_header.values() for file in group}
-    unknown = sorted(unquote(f) for f in files if unquote(f) not in known)
+    unknown = sorted(set(files) - known)
     if unknown:
         first = spark.read.text(unknown[0]).head(1)
         names = next(csv.reader([first[0].value])) if first else []
@@ -103,6 +108,12 @@ def _files_by_header(spark: SparkSession, paths: list[str]) -> dict[tuple[str, .
     return {header: sorted(group) for header, group in by_header.items()}
 
 
+def _plain(uri: str) -> str:
+    """One spelling for a file's URI: 'file:/a%20b' and 'file:///a b' are the same."""
+    parts = urlsplit(uri)
+    return unquote(f"{parts.scheme}://{parts.netloc}{parts.path}")
+
+
 def _iso_date(text: Column) -> Column:
     # a bare year or year-month would otherwise be read as its first day
     return F.when(text.rlike(r"^\s*\d{4}-\d{1,2}-\d{1,2}"), text.try_cast("date"))

@@ -1,0 +1,49 @@
+"""Load newly landed live files, each exactly once.
+
+The service only ever publishes files, so "fetch what is new" is a file stream
+run until the folder is drained. Every micro-batch goes through the same gate
+and cleaning as a batch load and replaces live data from its first day on.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
+
+from ..fixed import LIVE_SOURCE, PORTAL_COLUMNS
+from ..plans.update import load_counts
+from ..session import shared_dir
+from ..sources.count_files import CSV_NAMES, typed_counts
+
+
+def load_landed(
+    spark: SparkSession,
+    folder: str,
+    root: str,
+    columns: tuple[str, ...] = PORTAL_COLUMNS,
+    progress: str | None = None,
+) -> StreamingQuery:
+    """Start loading all files of ``folder`` that were not loaded before.
+
+    ``columns`` is the files' header order, as a stream cannot look it up. The
+    stream's progress lives in the shared folder unless ``progress`` names one.
+    """
+    rows = (
+        spark.readStream.schema(", ".join(f"`{c}` string" for c in columns))
+        .option("header", True)
+        .option("enforceSchema", False)  # a file with another header is an error
+        .option("escape", '"')
+        .option("pathGlobFilter", CSV_NAMES)
+        .csv(folder)
+    )
+
+    def load(batch: DataFrame, _: int) -> None:
+        load_counts(batch.sparkSession, root, batch, LIVE_SOURCE)
+
+    return (
+        typed_counts(rows)
+        .writeStream.foreachBatch(load)
+        .option("checkpointLocation", progress or f"{shared_dir(spark)}/live-landing")
+        .trigger(availableNow=True)
+        .start()
+    )
