@@ -167,6 +167,7 @@ STEPS["calendar_t"] = (
 
 # --- ingest and cleaning ---------------------------------------------------------
 
+oracle("build_counts", "SELECT * FROM ship_t")
 oracle(
     "clean_counts",
     """SELECT sensor_id, date, hour, any_value(count) AS count

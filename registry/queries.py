@@ -12,12 +12,14 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallygrid import fixed
+from tallygrid.functions.dates import in_scope
 from tallygrid.operators import calendar as cal
 from tallygrid.operators import clean, coverage, features, incremental, model, profiles, recovery
 from tallygrid.operators import scoring, season, sensor_days as sd, series, weather
 from tallygrid.operators.model import TreeSettings
 from tallygrid.plans import analysis, forecast
 from tallygrid.plans import tables as t
+from tallygrid.session import written
 from tallygrid.sources.count_files import typed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +53,15 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 # --- ingest and cleaning ---------------------------------------------------------
 
 
+def plain_counts(spark, d):
+    return t.stored_counts(spark, d).drop("month")
+
+
+@query
+def build_counts(spark, d):
+    return t.ship_counts(spark, d)
+
+
 def raw(spark, d):
     return typed_counts(t.raw_counts(spark, d))
 
@@ -77,7 +88,7 @@ def quality_gate_counts(spark, d):
 
 @query
 def replace_window(spark, d):
-    counts = t.ship_counts(spark, d)
+    counts = plain_counts(spark, d)
     batch = (
         counts.where((F.col("source") == fixed.LIVE_SOURCE) & (F.col("date") >= F.lit(BATCH_START)))
         .withColumn("count", F.col("count") + 1)
@@ -88,7 +99,7 @@ def replace_window(spark, d):
 
 @query
 def reconcile_sources(spark, d):
-    counts = t.ship_counts(spark, d)
+    counts = plain_counts(spark, d)
     archive = counts.withColumn("source", F.lit(fixed.ARCHIVE_SOURCE))
     live = counts.where(F.col("source") == fixed.LIVE_SOURCE)
     return incremental.reconcile_sources(archive.unionByName(live))
@@ -96,22 +107,22 @@ def reconcile_sources(spark, d):
 
 @query
 def dataset_summary(spark, d):
-    return incremental.dataset_summary(t.ship_counts(spark, d))
+    return incremental.dataset_summary(plain_counts(spark, d))
 
 
 @query
 def weather_span(spark, d):
-    return incremental.weather_span(t.ship_weather(spark, d))
+    return incremental.weather_span(t.stored(spark, d, t.ship_weather))
 
 
 @query
 def refresh_plan(spark, d):
-    return incremental.refresh_windows(t.ship_counts(spark, d), t.ship_weather(spark, d), TODAY)
+    return incremental.refresh_windows(plain_counts(spark, d), t.stored(spark, d, t.ship_weather), TODAY)
 
 
 @query
 def live_since(spark, d):
-    return incremental.rows_since(t.ship_counts(spark, d), BATCH_START)
+    return incremental.rows_since(plain_counts(spark, d), BATCH_START)
 
 
 # --- weather ---------------------------------------------------------------------
@@ -140,7 +151,7 @@ def hourly_joined(spark, d):
 
 @query
 def weather_upsert(spark, d):
-    base = t.ship_weather(spark, d)
+    base = t.stored(spark, d, t.ship_weather)
     batch = (
         base.where(F.col("ts_utc") >= F.lit("2000-01-01 00:00:00").cast("timestamp_ntz"))
         .withColumn("temperature_2m", F.col("temperature_2m") + 1)
@@ -152,13 +163,13 @@ def weather_upsert(spark, d):
 @query
 def typical_weather(spark, d):
     return rounded(
-        weather.typical_weather(t.ship_weather_view(spark, d), t.holidays(spark, d))
+        weather.typical_weather(t.stored_weather(spark, d), t.holidays(spark, d))
     )
 
 
 @query
 def weather_choice(spark, d):
-    view = t.ship_weather_view(spark, d)
+    view = t.stored_weather(spark, d)
     days = t.holidays(spark, d).select("date")
     supplied = view.join(days, "date", "left_semi")
     return rounded(
@@ -179,21 +190,21 @@ def calendar(spark, d):
 
 @query
 def holiday_neighbours(spark, d):
-    return cal.with_holiday_neighbours(t.calendar(spark, d)).select(
+    return cal.with_holiday_neighbours(t.stored_calendar(spark, d)).select(
         "date", "is_holiday", "day_before_holiday", "day_after_holiday"
     )
 
 
 @query
 def holiday_lookup(spark, d):
-    return cal.holiday_on(t.calendar(spark, d), date(2000, 12, 25))
+    return cal.holiday_on(t.stored_calendar(spark, d), date(2000, 12, 25))
 
 
 # --- coverage --------------------------------------------------------------------
 
 
 def coverage_rows(spark, d):
-    return coverage.sensor_coverage(t.ship_counts(spark, d), t.sensors(spark, d), t.SHIP)
+    return coverage.sensor_coverage(t.stored_counts(spark, d), t.sensors(spark, d), t.SHIP)
 
 
 @query
@@ -208,23 +219,23 @@ def sensor_selection(spark, d):
 
 @query
 def monthly_completeness(spark, d):
-    return rounded(coverage.monthly_completeness(t.ship_counts(spark, d), t.SHIP))
+    return rounded(coverage.monthly_completeness(t.stored_counts(spark, d), t.SHIP))
 
 
 @query
 def completeness_grid(spark, d):
-    monthly = coverage.monthly_completeness(t.ship_counts(spark, d), t.SHIP)
+    monthly = coverage.monthly_completeness(t.stored_counts(spark, d), t.SHIP)
     return rounded(coverage.completeness_grid(monthly, *GRID_SPAN))
 
 
 @query
 def fault_days(spark, d):
-    return coverage.fault_days(t.ship_counts(spark, d), t.SHIP)
+    return coverage.fault_days(t.stored_counts(spark, d), t.SHIP)
 
 
 @query
 def suspicious_days(spark, d):
-    return coverage.suspicious_days(t.ship_counts(spark, d), t.SHIP)
+    return coverage.suspicious_days(t.stored_counts(spark, d), t.SHIP)
 
 
 @query
@@ -242,7 +253,7 @@ def sensor_picker(spark, d):
 
 
 def index_rows(spark, d):
-    return series.indexed_series(t.ship_counts(spark, d), t.SHIP)
+    return series.indexed_series(t.stored_counts(spark, d), t.SHIP)
 
 
 @query
@@ -262,26 +273,28 @@ def yearly_index(spark, d):
 
 @query
 def monthly_steps(spark, d):
-    return rounded(series.monthly_steps(t.ship_counts(spark, d), t.SHIP, sensors=None))
+    return rounded(series.monthly_steps(t.stored_counts(spark, d), t.SHIP, sensors=None))
 
 
 @query
 def weekly_history(spark, d):
-    return rounded(series.weekly_history(t.ship_counts(spark, d), t.SHIP))
+    return rounded(series.weekly_history(t.stored_counts(spark, d), t.SHIP))
 
 
 @query
 def hourly_profile(spark, d):
-    return rounded(profiles.hourly_profile(t.ship_counts(spark, d), t.SHIP))
+    return rounded(profiles.hourly_profile(t.stored_counts(spark, d), t.SHIP))
 
 
 @query
 def weekday_level(spark, d):
-    return rounded(profiles.weekday_level(t.ship_counts(spark, d), t.SHIP))
+    return rounded(profiles.weekday_level(t.stored_counts(spark, d), t.SHIP))
 
 
 def relative_rows(spark, d):
-    hourly = weather.hourly_view(t.ship_counts(spark, d), t.ship_weather_view(spark, d))
+    # scoped before the join, while the counts still carry their month
+    scoped = in_scope(t.stored_counts(spark, d), t.SHIP)
+    hourly = weather.hourly_view(scoped, t.stored_weather(spark, d))
     return profiles.relative_to_median(hourly, t.SHIP)
 
 
@@ -304,7 +317,7 @@ def temperature_effect(spark, d):
 
 
 def baseline_rows(spark, d):
-    return features.seasonal_baseline(t.ship_counts(spark, d), *BASELINE_SPAN, t.SHIP)
+    return features.seasonal_baseline(t.stored_counts(spark, d), *BASELINE_SPAN, t.SHIP)
 
 
 @query
@@ -314,21 +327,21 @@ def seasonal_baseline(spark, d):
 
 @query
 def season_index(spark, d):
-    return rounded(season.season_index(t.ship_counts(spark, d), t.SHIP))
+    return rounded(season.season_index(t.stored_counts(spark, d), t.SHIP))
 
 
 @query
 def season_features(spark, d):
-    index = season.season_index(t.ship_counts(spark, d), t.SHIP)
+    index = season.season_index(t.stored_counts(spark, d), t.SHIP)
     return rounded(season.season_table(index, t.SHIP))
 
 
 def dataset_rows(spark, d):
-    counts = t.ship_counts(spark, d)
+    counts = t.stored_counts(spark, d)
     return features.build_dataset(
         counts,
-        t.calendar(spark, d),
-        t.ship_weather_view(spark, d),
+        t.stored_calendar(spark, d),
+        t.stored_weather(spark, d),
         season.season_index(counts, t.SHIP),
         *DATASET_SPAN,
         t.SHIP,
@@ -342,13 +355,13 @@ def feature_dataset(spark, d):
 
 @query
 def future_dataset(spark, d):
-    counts = t.ship_counts(spark, d)
-    view = t.ship_weather_view(spark, d)
+    counts = t.stored_counts(spark, d)
+    view = t.stored_weather(spark, d)
     days = cal.day_spine(spark, *FUTURE_SPAN)
     return rounded(
         features.build_dataset(
             counts,
-            t.calendar(spark, d),
+            t.stored_calendar(spark, d),
             weather.typical_weather(view, days),
             season.season_index(counts, t.SHIP),
             *FUTURE_SPAN,
@@ -376,7 +389,7 @@ def score_by_month(spark, d):
 
 @query
 def score_by_holiday(spark, d):
-    days = t.calendar(spark, d).select("date", "is_holiday")
+    days = t.stored_calendar(spark, d).select("date", "is_holiday")
     rows = baseline_rows(spark, d).join(days, "date", "left")
     return rounded(scoring.score(rows, "baseline", "is_holiday"))
 
@@ -402,14 +415,15 @@ def model_comparison_by_sensor(spark, d):
 
 @query
 def score_slices(spark, d):
-    return rounded(scoring.score_slices(compared_rows(spark, d)))
+    # used twice by the report, as a stored back-test would be
+    return rounded(scoring.score_slices(written(compared_rows(spark, d), "compared")))
 
 
 @query
 def worst_baseline_days(spark, d):
     return rounded(
         scoring.worst_baseline_days(
-            baseline_rows(spark, d), t.ship_weather_view(spark, d), t.calendar(spark, d)
+            baseline_rows(spark, d), t.stored_weather(spark, d), t.stored_calendar(spark, d)
         )
     )
 
@@ -417,7 +431,7 @@ def worst_baseline_days(spark, d):
 @query
 def worst_model_days(spark, d):
     return rounded(
-        scoring.worst_model_days(compared_rows(spark, d), t.calendar(spark, d), min_total=300)
+        scoring.worst_model_days(compared_rows(spark, d), t.stored_calendar(spark, d), min_total=300)
     )
 
 
@@ -431,7 +445,7 @@ def sensor_week(spark, d):
 
 
 def day_rows(spark, d):
-    return sd.sensor_days(t.ship_counts(spark, d), t.calendar(spark, d), t.SHIP)
+    return sd.sensor_days(t.stored_counts(spark, d), t.stored_calendar(spark, d), t.SHIP)
 
 
 @query
@@ -458,17 +472,14 @@ def window_observations(spark, d):
 
 @query
 def normal_equations(spark, d):
-    obs = window_observations(spark, d)
-    cells = recovery.cells(obs)
+    cells = recovery.cells(recovery.weekly_cells(window_observations(spark, d)))
     equations = recovery.normal_equations(cells, recovery.sensor_sums(cells, t.SHIP), t.SHIP)
     return rounded(equations.where(F.abs("x") > 1e-7))
 
 
 @query
 def recovery_sizes(spark, d):
-    obs = window_observations(spark, d)
-    cells = recovery.cells(obs)
-    sizes = recovery.fit_sizes(cells, recovery.sensor_sums(cells, t.SHIP), obs)
+    sizes = recovery.fit_sizes(recovery.weekly_cells(window_observations(spark, d)))
     return sizes.select("fit", F.col("rows").cast("bigint"), "sensors", "weeks", "columns")
 
 
@@ -477,12 +488,16 @@ def weekday_recovery_saturated(spark, d):
     return rounded(recovery.saturated_recovery(day_rows(spark, d), "daily", t.SHIP))
 
 
-def study_days(spark, d):
+def sensor_day_table(spark, d):
     return analysis.study_days(
-        t.ship_counts(spark, d), t.calendar(spark, d), t.sensors(spark, d), t.SHIP
+        t.stored_counts(spark, d), t.stored_calendar(spark, d), t.sensors(spark, d), t.SHIP
     )
 
 
+def study_days(spark, d):
+    return t.stored(spark, d, sensor_day_table)
+
+
 @query
 def weekday_recovery(spark, d):
     return rounded(analysis.weekday_recovery(study_days(spark, d), t.SHIP))
@@ -523,9 +538,9 @@ TRAIN_START = date(2000, 1, 1)
 @query
 def backtest(spark, d):
     return forecast.backtest(
-        t.ship_counts(spark, d),
-        t.calendar(spark, d),
-        t.ship_weather_view(spark, d),
+        t.stored_counts(spark, d),
+        t.stored_calendar(spark, d),
+        t.stored_weather(spark, d),
         *TEST_SPAN,
         TRAIN_START,
         t.SHIP,
@@ -535,9 +550,9 @@ def backtest(spark, d):
 
 def small_model(spark, d):
     return forecast.train_model(
-        t.ship_counts(spark, d),
-        t.calendar(spark, d),
-        t.ship_weather_view(spark, d),
+        t.stored_counts(spark, d),
+        t.stored_calendar(spark, d),
+        t.stored_weather(spark, d),
         TRAIN_START,
         TEST_SPAN[1],
         t.SHIP,
@@ -552,12 +567,12 @@ def feature_importance(spark, d):
 
 @query
 def day_ahead(spark, d):
-    view = t.ship_weather_view(spark, d)
+    view = t.stored_weather(spark, d)
     days = cal.day_spine(spark, *FUTURE_SPAN)
     _, daily = forecast.forecast_days(
         small_model(spark, d),
-        t.ship_counts(spark, d),
-        t.calendar(spark, d),
+        t.stored_counts(spark, d),
+        t.stored_calendar(spark, d),
         weather.typical_weather(view, days),
         t.sensors(spark, d).withColumnRenamed("location_id", "sensor_id"),
         *FUTURE_SPAN,

@@ -49,35 +49,35 @@ def build_calendar(
     not "on holidays". ``event_names`` fixes the flag columns, so no job is
     needed to learn them.
     """
-    in_term = days_inside(terms).select("date", F.lit(True).alias("in_term"))
-    listed = terms.select("year").distinct().withColumn("listed", F.lit(True))
-    named = holidays.groupBy("date").agg(F.min("holiday_name").alias("holiday_name"))
-    flags = (
-        days_inside(events, "event")
-        .groupBy("date")
-        .agg(
-            *[
-                F.bool_or(F.col("event") == name).alias(event_column(name))
-                for name in event_names
-            ]
-        )
+    year = F.array(F.make_date("year", F.lit(1), F.lit(1)), F.make_date("year", F.lit(12), F.lit(31)))
+    listed = terms.select("year").distinct().select(
+        F.explode(F.sequence(year[0], year[1], F.expr("interval 1 day"))).alias("date")
     )
-    return (
-        days.join(named, "date", "left")
-        .join(in_term, "date", "left")
-        .withColumn("year", F.year("date"))
-        .join(listed, "year", "left")
-        .join(flags, "date", "left")
-        .select(
-            "date",
-            "holiday_name",
-            F.col("holiday_name").isNotNull().alias("is_holiday"),
-            F.when(F.col("listed"), F.coalesce("in_term", F.lit(False))).alias("school_term"),
-            *[
-                F.coalesce(event_column(name), F.lit(False)).alias(event_column(name))
-                for name in event_names
-            ],
-        )
+    facts = {
+        "is_day": days.select("date"),
+        "in_term": days_inside(terms).select("date"),
+        "listed": listed,
+    }
+    # every source says something about days: one union, one grouping, no joins
+    rows = holidays.select("date", "holiday_name").unionByName(
+        days_inside(events, "event").select("date", "event"), allowMissingColumns=True
+    )
+    for flag, marked in facts.items():
+        rows = rows.unionByName(marked.withColumn(flag, F.lit(True)), allowMissingColumns=True)
+    by_day = rows.groupBy("date").agg(
+        F.min("holiday_name").alias("holiday_name"),
+        *[F.bool_or(flag).alias(flag) for flag in facts],
+        *[
+            F.coalesce(F.bool_or(F.col("event") == name), F.lit(False)).alias(event_column(name))
+            for name in event_names
+        ],
+    )
+    return by_day.where("is_day").select(
+        "date",
+        "holiday_name",
+        F.col("holiday_name").isNotNull().alias("is_holiday"),
+        F.when(F.col("listed"), F.coalesce("in_term", F.lit(False))).alias("school_term"),
+        *[event_column(name) for name in event_names],
     )
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..fixed import DAY_GROUPS, NORMAL_95, REFERENCE_WEEKDAY, WEEKDAYS
 from ..params import Params
-from ..session import ship_package
+from ..session import ship_package, written
 
 MONTHS = tuple(range(2, 13))
 OTHER_DAYS = tuple(d for d in WEEKDAYS if d != REFERENCE_WEEKDAY)
@@ -90,9 +90,19 @@ def per_sensor_observations(days: DataFrame, window: str) -> DataFrame:
     )
 
 
-def cells(obs: DataFrame) -> DataFrame:
-    """Rows and sum of logs per fit, sensor, month, weekday and period."""
-    return obs.groupBy(*CELL).agg(F.count("*").cast("double").alias("n"), F.sum("y").alias("sy"))
+def weekly_cells(obs: DataFrame) -> DataFrame:
+    """Rows and sum of logs per fit, sensor, month, weekday, period and week.
+
+    All later sums start from these.
+    """
+    return obs.groupBy(*CELL, "week").agg(
+        F.count("*").cast("double").alias("n"), F.sum("y").alias("sy")
+    )
+
+
+def cells(weekly: DataFrame) -> DataFrame:
+    """The same without the week."""
+    return weekly.groupBy(*CELL).agg(F.sum("n").alias("n"), F.sum("sy").alias("sy"))
 
 
 def sensor_sums(cell_rows: DataFrame, params: Params) -> DataFrame:
@@ -176,7 +186,9 @@ def _matrix(entries) -> tuple[np.ndarray, np.ndarray]:
     return square, right
 
 
-def cluster_scores(obs: DataFrame, sums: DataFrame, betas: DataFrame, params: Params) -> DataFrame:
+def cluster_scores(
+    weekly: DataFrame, sums: DataFrame, betas: DataFrame, params: Params
+) -> DataFrame:
     """Per fit and week, the sum of (indicator - sensor mean) x residual.
 
     Rows meet their sensor's means and their fit's coefficients in one equi
@@ -193,9 +205,6 @@ def cluster_scores(obs: DataFrame, sums: DataFrame, betas: DataFrame, params: Pa
     fitted = F.aggregate(
         F.zip_with("deviation", "beta", lambda d, b: d * b), F.lit(0.0), lambda a, x: a + x
     )
-    weekly = obs.groupBy(*CELL, "week").agg(
-        F.count("*").cast("double").alias("n"), F.sum("y").alias("sy")
-    )
     return (
         weekly.join(means, ["fit", "sensor_id"])
         .withColumn("deviation", deviation)
@@ -209,16 +218,8 @@ def cluster_scores(obs: DataFrame, sums: DataFrame, betas: DataFrame, params: Pa
     )
 
 
-def fit_sizes(cell_rows: DataFrame, sums: DataFrame, obs: DataFrame) -> DataFrame:
+def fit_sizes(weekly: DataFrame) -> DataFrame:
     """Rows, clusters and model columns per fit, and the levels it has seen."""
-    levels = cell_rows.groupBy("fit").agg(
-        F.sum("n").alias("rows"),
-        F.collect_set("month").alias("months"),
-        F.collect_set("dow").alias("dows"),
-        F.collect_set("period").alias("periods"),
-    )
-    sensors = sums.groupBy("fit").agg(F.count("*").alias("sensors"))
-    weeks = obs.select("fit", "week").distinct().groupBy("fit").agg(F.count("*").alias("weeks"))
     columns = (
         F.col("sensors")
         + (F.size("months") - 1)
@@ -226,8 +227,15 @@ def fit_sizes(cell_rows: DataFrame, sums: DataFrame, obs: DataFrame) -> DataFram
         + F.size("dows") * (F.size("periods") - 1)
     )
     return (
-        levels.join(sensors, "fit")
-        .join(weeks, "fit")
+        weekly.groupBy("fit")
+        .agg(
+            F.sum("n").alias("rows"),
+            F.countDistinct("sensor_id").alias("sensors"),
+            F.countDistinct("week").alias("weeks"),
+            F.collect_set("month").alias("months"),
+            F.collect_set("dow").alias("dows"),
+            F.collect_set("period").alias("periods"),
+        )
         .select("fit", "rows", "sensors", "weeks", "dows", "periods", columns.alias("columns"))
     )
 
@@ -236,18 +244,23 @@ def fit_recovery(obs: DataFrame, params: Params) -> DataFrame:
     """One row per fit: coefficients, clustered covariance, sizes.
 
     The covariance carries the usual finite-sample factor
-    G / (G - 1) * (n - 1) / (n - k) with G clusters and k model columns.
+    G / (G - 1) * (n - 1) / (n - k) with G clusters and k model columns. Cells
+    and coefficients are written, as several of the sums start from them.
     """
-    cell_rows = cells(obs)
+    weekly = written(weekly_cells(obs), "regression-cells")
+    cell_rows = cells(weekly)
     sums = sensor_sums(cell_rows, params)
-    betas = coefficients(normal_equations(cell_rows, sums, params))
-    scores = cluster_scores(obs, sums, betas, params)
+    betas = written(
+        coefficients(normal_equations(cell_rows, sums, params)), "regression-coefficients"
+    )
     meat = (
-        _sum_of_products(scores, "score", F.lit(0.0), F.lit(1.0))
+        _sum_of_products(
+            cluster_scores(weekly, sums, betas, params), "score", F.lit(0.0), F.lit(1.0)
+        )
         .groupBy("fit")
         .agg(F.collect_list(F.struct("i", "j", "x")).alias("entries"))
     )
-    return betas.join(meat, "fit").join(fit_sizes(cell_rows, sums, obs), "fit")
+    return betas.join(meat, "fit").join(fit_sizes(weekly), "fit")
 
 
 def contrasts(fitted: DataFrame, weights: Mapping[str, Mapping[str, float]]) -> DataFrame:

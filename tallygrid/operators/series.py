@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.dates import between_days, month_start, of_sensors, week_end
 from ..functions.numbers import ratio
 from ..params import Params
-from .calendar import days_spanned
 
 
 def indexed_series(counts: DataFrame, params: Params) -> DataFrame:
@@ -35,28 +34,58 @@ def indexed_series(counts: DataFrame, params: Params) -> DataFrame:
     )
 
 
+def with_gaps(rows: DataFrame, axis: str, step: str, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Rows for every step between a series' first and last, ``value`` NULL where absent.
+
+    Each row lists the steps up to the next one, so the series is read once and
+    needs no join to a generated axis. The window sees one row per step and
+    series: days, weeks or months of the whole history, never single counts.
+    """
+    following = F.lead(axis).over(Window.partitionBy(*keys).orderBy(axis))
+    interval = F.expr(f"interval {step}")
+    steps = F.filter(
+        F.sequence(F.col(axis), F.coalesce("_next", axis), interval),
+        lambda at: (at == F.col(axis)) | (at < F.col("_next")),
+    )
+    return (
+        rows.withColumn("_next", following)
+        .withColumn("_at", F.explode(steps))
+        .select(
+            *keys,
+            F.col("_at").alias(axis),
+            F.when(F.col("_at") == F.col(axis), F.col(value)).alias(value),
+        )
+    )
+
+
 def smoothed_series(series: DataFrame, params: Params) -> DataFrame:
     """Trailing mean over the last days of a daily index; NULL where too few exist.
 
-    Every value is handed to the days it counts for, so the mean is one
-    grouping: no single ordered partition, and absent days stay absent.
+    Every day is handed to the days it counts for, so the mean is one grouping.
     """
-    spread = series.select(
-        F.explode(
+    days = with_gaps(series.select("date", "index"), "date", "1 day", "index")
+    spread = days.select(
+        F.posexplode(
             F.sequence(
                 F.col("date"),
                 F.date_add("date", params.smooth_days - 1),
                 F.expr("interval 1 day"),
             )
-        ).alias("date"),
+        ).alias("age", "date"),
         "index",
     )
-    means = spread.groupBy("date").agg(
-        F.avg("index").alias("mean"), F.count("index").alias("days")
-    )
-    return days_spanned(series).join(means, "date", "left").select(
-        "date",
-        F.when(F.col("days") >= params.smooth_min_days, F.col("mean")).alias("smooth"),
+    return (
+        spread.groupBy("date")
+        .agg(
+            F.avg("index").alias("mean"),
+            F.count("index").alias("days"),
+            F.min("age").alias("youngest"),
+        )
+        .where(F.col("youngest") == 0)  # not past the last day
+        .select(
+            "date",
+            F.when(F.col("days") >= params.smooth_min_days, F.col("mean")).alias("smooth"),
+        )
     )
 
 
@@ -78,15 +107,7 @@ def monthly_steps(counts: DataFrame, params: Params, sensors: tuple[int, ...] |
         .groupBy("sensor_id", month_start("date").alias("month"))
         .agg(F.avg("count").alias("mean_count"))
     )
-    axis = (
-        monthly.groupBy("sensor_id")
-        .agg(F.min("month").alias("first"), F.max("month").alias("last"))
-        .select(
-            "sensor_id",
-            F.explode(F.sequence("first", "last", F.expr("interval 1 month"))).alias("month"),
-        )
-    )
-    return axis.join(monthly, ["sensor_id", "month"], "left")
+    return with_gaps(monthly, "month", "1 month", "mean_count", ("sensor_id",))
 
 
 def whole_day_totals(counts: DataFrame, params: Params) -> DataFrame:
@@ -110,12 +131,4 @@ def weekly_history(counts: DataFrame, params: Params) -> DataFrame:
         .groupBy("sensor_id", week_end("date").alias("week"))
         .agg(F.avg("people").alias("people"))
     )
-    axis = (
-        weekly.groupBy("sensor_id")
-        .agg(F.min("week").alias("first"), F.max("week").alias("last"))
-        .select(
-            "sensor_id",
-            F.explode(F.sequence("first", "last", F.expr("interval 7 day"))).alias("week"),
-        )
-    )
-    return axis.join(weekly, ["sensor_id", "week"], "left")
+    return with_gaps(weekly, "week", "7 day", "people", ("sensor_id",))

@@ -8,6 +8,8 @@ table, and the number of sites grows with it.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -16,6 +18,7 @@ from .. import fixed
 from ..operators.calendar import build_calendar, days_spanned
 from ..operators.weather import MEASURES, local_hours, weather_view
 from ..params import Params
+from ..session import shared_dir
 
 SUPPLIERS_PER_SITE = 20
 USERS_PER_SITE = 50
@@ -268,3 +271,44 @@ def calendar(spark: SparkSession, folder: str) -> DataFrame:
         events(spark, folder),
         EVENT_NAMES,
     )
+
+
+_stored: dict[tuple[str, str, str], tuple[str, object]] = {}
+
+
+def stored(
+    spark: SparkSession,
+    folder: str,
+    make: Callable[[SparkSession, str], DataFrame],
+    by_month: bool = False,
+) -> DataFrame:
+    """A derived table, written to the shared folder at its first use.
+
+    As in production, queries read stored tables rather than raw files: one
+    build per application and folder, then any number of queries.
+    """
+    key = (spark.sparkContext.applicationId, folder, make.__name__)
+    if key not in _stored:
+        rows, parts = make(spark, folder), ()
+        if by_month:
+            month = F.trunc("date", "MM").alias("month")
+            rows, parts = rows.select("*", month).hint("rebalance", F.col("month")), ("month",)
+        path = f"{shared_dir(spark)}/{make.__name__}-{uuid.uuid4().hex}"
+        rows.write.partitionBy(*parts).parquet(path)
+        _stored[key] = (path, rows.schema)
+    path, schema = _stored[key]
+    return spark.read.schema(schema).parquet(path)
+
+
+def stored_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """``ship_counts`` with its ``month`` partition column."""
+    return stored(spark, folder, ship_counts, by_month=True)
+
+
+def stored_weather(spark: SparkSession, folder: str) -> DataFrame:
+    """The hourly weather view over stored weather."""
+    return weather_view(stored(spark, folder, ship_weather))
+
+
+def stored_calendar(spark: SparkSession, folder: str) -> DataFrame:
+    return stored(spark, folder, calendar)

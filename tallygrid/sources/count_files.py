@@ -55,13 +55,18 @@ def typed_counts(text: DataFrame) -> DataFrame:
         )
     if set(ARCHIVE_COLUMNS) <= columns.keys():
         sensor, moment, count = (F.col(columns[name]) for name in ARCHIVE_COLUMNS)
-        stamp = archive_timestamp(moment)
-        return text.select(
+        # two steps, so that the text is parsed once for both date and hour
+        stamped = text.select(
             lenient_int(sensor).alias("sensor_id"),
-            F.to_date(stamp).alias("date"),
-            F.hour(stamp).cast("tinyint").alias("hour"),
+            archive_timestamp(moment).alias("stamp"),
             lenient_int(count).alias("count"),
         )
+        return stamped.select(
+            "sensor_id",
+            F.to_date("stamp").alias("date"),
+            F.hour("stamp").cast("tinyint").alias("hour"),
+            "count",
+        )
     raise _unrecognised(columns, text.inputFiles())
 
 
