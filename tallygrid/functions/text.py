@@ -18,16 +18,28 @@ def normal_name(name: str) -> str:
 def lenient_int(text: Column | str, kind: str = "int") -> Column:
     """Whole number from text; '950.0' and '1e3' count, anything else is NULL.
 
-    A plain ``try_cast`` to an integer would turn '950.0' into NULL.
+    A plain ``try_cast`` to an integer would turn '950.0' into NULL; it is only
+    the fast path for the plain digits that nearly all values are.
     """
-    number = F.trim(F.col(text) if isinstance(text, str) else text).try_cast("double")
-    return F.round(number).try_cast(kind)
+    raw = F.col(text) if isinstance(text, str) else text
+    by_number = F.round(F.trim(raw).try_cast("double")).try_cast(kind)
+    return F.when(raw.rlike("^[0-9]{1,9}$"), raw.try_cast(kind)).otherwise(by_number)
 
 
 def archive_timestamp(text: Column | str) -> Column:
-    """Timestamp from any of the archive's text layouts, NULL if none fits."""
+    """Timestamp from any of the archive's text layouts, NULL if none fits.
+
+    The first characters tell the layouts apart: trying one that does not fit
+    costs an exception per row.
+    """
     raw = F.col(text) if isinstance(text, str) else text
-    return F.coalesce(*[F.try_to_timestamp(raw, F.lit(f)) for f in ARCHIVE_TIME_FORMATS])
+    named, iso, spaced, slashed = (F.try_to_timestamp(raw, F.lit(f)) for f in ARCHIVE_TIME_FORMATS)
+    return (
+        F.when(raw.rlike("^[A-Za-z]"), named)
+        .when(raw.rlike("^[0-9]{4}-[^T]*T"), iso)
+        .when(raw.rlike("^[0-9]{4}-"), spaced)
+        .when(raw.contains("/"), slashed)
+    )
 
 
 def signed_percent(share: Column) -> Column:

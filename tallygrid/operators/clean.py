@@ -43,11 +43,13 @@ def one_per_key(staged: DataFrame) -> DataFrame:
 
     Equal repeats collapse; a key with differing counts is dropped whole. With
     only min and max to keep, repeats of a hot key are merged before the shuffle.
+    Invalid rows enter the grouping without a count instead of being filtered:
+    a filter would move below the casts and parse every text twice.
     """
+    usable = F.when(is_valid(), F.col("count"))
     return (
-        staged.where(is_valid())
-        .groupBy(*COUNT_KEYS)
-        .agg(F.min("count").alias("count"), F.max("count").alias("highest"))
+        staged.groupBy(*COUNT_KEYS)
+        .agg(F.min(usable).alias("count"), F.max(usable).alias("highest"))
         .where(F.col("count") == F.col("highest"))
         .drop("highest")
     )
@@ -59,8 +61,7 @@ def conflict_report(staged: DataFrame) -> DataFrame:
     Looks at every row with a count, valid or not.
     """
     return (
-        staged.where(F.col("count").isNotNull())
-        .groupBy(*COUNT_KEYS)
+        staged.groupBy(*COUNT_KEYS)  # min and max skip missing counts
         .agg(F.min("count").alias("lowest"), F.max("count").alias("highest"))
         .where(F.col("lowest") != F.col("highest"))
         .agg(

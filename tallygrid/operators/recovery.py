@@ -36,17 +36,22 @@ WIDTH = len(TERMS)
 CELL = ["fit", "sensor_id", "month", "dow", "period"]
 
 
-def design_columns(params: Params) -> list[Column]:
-    """The 24 indicator columns as 0.0 / 1.0, in the order of ``TERMS``."""
-    recent = F.col("period") != params.base_label
-    day = {d: F.col("dow") == d for d in OTHER_DAYS}
-    flags = [
-        *[F.col("month") == m for m in MONTHS],
-        *day.values(),
+def design_flags(params: Params) -> list[str]:
+    """SQL conditions of the 24 indicator columns, in the order of ``TERMS``."""
+    recent = f"period <> '{params.base_label}'"
+    day = [f"dow = '{d}'" for d in OTHER_DAYS]
+    return [
+        *[f"month = {m}" for m in MONTHS],
+        *day,
         recent,
-        *[recent & is_day for is_day in day.values()],
+        *[f"({recent} AND {is_day})" for is_day in day],
     ]
-    return [flag.cast("double") for flag in flags]
+
+
+def design_vector(params: Params) -> Column:
+    """The indicators as an array of 0.0 / 1.0."""
+    flags = [f"CAST({flag} AS DOUBLE)" for flag in design_flags(params)]
+    return F.expr(f"array({', '.join(flags)})")
 
 
 def observations(days: DataFrame, fits: Mapping[str, tuple[str, Column]]) -> DataFrame:
@@ -110,7 +115,11 @@ def sensor_sums(cell_rows: DataFrame, params: Params) -> DataFrame:
     return cell_rows.groupBy("fit", "sensor_id").agg(
         F.sum("n").alias("n"),
         F.sum("sy").alias("sy"),
-        F.array(*[F.sum(F.col("n") * z) for z in design_columns(params)]).alias("sz"),
+        F.expr(
+            "array("
+            + ", ".join(f"sum(IF({flag}, n, 0D))" for flag in design_flags(params))
+            + ")"
+        ).alias("sz"),
     )
 
 
@@ -146,7 +155,7 @@ def normal_equations(cell_rows: DataFrame, sums: DataFrame, params: Params) -> D
     the right-hand side. Sum over cells minus the sensors' own means.
     """
     raw = _sum_of_products(
-        cell_rows.withColumn("z", F.array(*design_columns(params))),
+        cell_rows.withColumn("z", design_vector(params)),
         "z",
         F.col("sy") / F.col("n"),
         F.col("n"),
@@ -201,7 +210,7 @@ def cluster_scores(
         F.transform("sz", lambda s: s / F.col("n")).alias("mean_z"),
         (F.col("sy") / F.col("n")).alias("mean_y"),
     )
-    deviation = F.zip_with(F.array(*design_columns(params)), "mean_z", lambda z, m: z - m)
+    deviation = F.zip_with(design_vector(params), "mean_z", lambda z, m: z - m)
     fitted = F.aggregate(
         F.zip_with("deviation", "beta", lambda d, b: d * b), F.lit(0.0), lambda a, x: a + x
     )
@@ -211,8 +220,8 @@ def cluster_scores(
         .withColumn("residual", F.col("sy") - F.col("n") * (F.col("mean_y") + fitted))
         .groupBy("fit", "week")
         .agg(
-            F.array(
-                *[F.sum(F.get("deviation", F.lit(i)) * F.col("residual")) for i in range(WIDTH)]
+            F.expr(
+                f"array({', '.join(f'sum(deviation[{i}] * residual)' for i in range(WIDTH))})"
             ).alias("score")
         )
     )
