@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallygrid import fixed
 from tallygrid.functions.dates import in_scope
+from tallygrid.functions.joins import measured
 from tallygrid.operators import calendar as cal
 from tallygrid.operators import clean, coverage, features, incremental, model, profiles, recovery
 from tallygrid.operators import scoring, season, sensor_days as sd, series, weather
@@ -145,7 +146,7 @@ def weather_by_local_hour(spark, d):
 
 @query
 def hourly_joined(spark, d):
-    view = weather.weather_view(t.web_weather(spark, d))
+    view = weather.weather_view(t.stored(spark, d, t.web_weather))
     return rounded(weather.hourly_view(t.event_counts(spark, d), view))
 
 
@@ -389,7 +390,7 @@ def score_by_month(spark, d):
 
 @query
 def score_by_holiday(spark, d):
-    days = t.stored_calendar(spark, d).select("date", "is_holiday")
+    days = measured(t.stored_calendar(spark, d).select("date", "is_holiday"), "holidays")
     rows = baseline_rows(spark, d).join(days, "date", "left")
     return rounded(scoring.score(rows, "baseline", "is_holiday"))
 
@@ -408,7 +409,9 @@ def model_comparison(spark, d):
 
 @query
 def model_comparison_by_sensor(spark, d):
-    names = t.sensors(spark, d).select(F.col("location_id").alias("sensor_id"), F.col("sensor_description").alias("name"))
+    names = t.sensors(spark, d).select(
+        F.col("location_id").alias("sensor_id"), F.col("sensor_description").alias("name")
+    )
     scores = scoring.compare_models(compared_rows(spark, d), ["sensor_id"])
     return rounded(scores.join(names, "sensor_id", "left"))
 

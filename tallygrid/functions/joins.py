@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import written
+
 # rows of a calendar, weather or season table that every executor may hold
 BROADCAST_ROWS = 1_000_000
 
@@ -17,5 +19,15 @@ def broadcast_up_to(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> Da
     return F.broadcast(df) if rows <= limit else df
 
 
+def measured(df: DataFrame, name: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Write a side that should be small, count it, and broadcast it only if it is.
+
+    A larger one joins by shuffle. Planning alone would guess the size of an
+    aggregate, and a wrong guess shuffles all counts.
+    """
+    stored = written(df, name)
+    return broadcast_up_to(stored, stored.count(), limit)
+
+
 def days_between(start, end) -> int:
     return (end - start).days + 1

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import fixed
 from ..functions.dates import days_in_month, in_base, in_recent, month_start, of_sensors
+from ..functions.joins import measured
 from ..functions.numbers import ratio
 from ..functions.text import mentions
 from ..params import Params
-from ..session import written
 
 
 def sensor_coverage(counts: DataFrame, sensors: DataFrame, params: Params) -> DataFrame:
@@ -106,10 +106,10 @@ def fault_days(counts: DataFrame, params: Params) -> DataFrame:
 def without_faults(counts: DataFrame, params: Params) -> DataFrame:
     """Counts of sensor-days that do not look like faults.
 
-    The list of faults is written first: Spark then knows its size, broadcasts
-    it while it is small and the counts need no shuffle to lose a few days.
+    The list of faults is measured first: while it is small, the counts need no
+    shuffle to lose a few days.
     """
-    faults = written(fault_days(counts, params), "fault-days")
+    faults = measured(fault_days(counts, params), "fault-days")
     return counts.join(faults, ["sensor_id", "date"], "left_anti")
 
 

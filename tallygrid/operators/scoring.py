@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed
 from ..functions.dates import weekday_name
+from ..functions.joins import measured
 from ..functions.numbers import ratio
 from ..functions.text import signed_percent
 
@@ -67,7 +68,7 @@ def score_slices(results: DataFrame) -> DataFrame:
     """
     compared = results.where(F.col("baseline").isNotNull())
     hottest = compared.groupBy("date").agg(F.max("temperature").alias("day_max_temp"))
-    labelled = compared.join(hottest, "date", "left")
+    labelled = compared.join(measured(hottest, "hottest"), "date", "left")
     holiday = F.col("is_holiday").cast("boolean")
     slices = F.array_compact(
         F.array(

@@ -95,25 +95,17 @@ def season_table(season: DataFrame, params: Params) -> DataFrame:
     missing; days of the year wrap within 365.
     """
     lags = params.baseline_lags
-    past = season.select(
-        F.col("doy").alias("past_doy"), F.col("season").alias("past_level")
+    # 366 levels fit one map, which every row of the table then looks into
+    levels = season.agg(
+        F.map_from_entries(F.collect_list(F.struct("doy", "season"))).alias("levels")
     )
-    pasts = season.select(
-        "doy",
-        F.explode(
-            F.array(*[F.pmod(F.col("doy") - lag - 1, F.lit(365)) + 1 for lag in lags])
-        ).alias("past_doy"),
-    )
-    mean_past = (
-        pasts.join(past, "past_doy", "left")
-        .groupBy("doy")
-        .agg(F.sum("past_level").alias("total"), F.count("past_level").alias("known"))
-        .select(
-            "doy", F.when(F.col("known") == len(lags), F.col("total") / len(lags)).alias("past")
-        )
+    rows = levels.select("levels", F.explode("levels").alias("doy", "season"))
+    total = sum(
+        (F.element_at("levels", F.pmod(F.col("doy") - lag - 1, F.lit(365)) + 1) for lag in lags),
+        F.lit(0.0),
     )
-    return season.join(mean_past, "doy").select(
-        "doy", "season", ratio(F.col("season"), F.col("past")).alias("season_change")
+    return rows.select(
+        "doy", "season", ratio(F.col("season"), total / len(lags)).alias("season_change")
     )
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .. import fixed
-from ..functions.dates import in_scope, iso_week, period, weekday_name
+from ..functions.dates import in_base, in_recent, in_scope, iso_week, period, weekday_name
+from ..functions.joins import broadcast_up_to, days_between
 from ..functions.numbers import ratio
 from ..params import Params
 
@@ -19,7 +20,12 @@ def sensor_days(counts: DataFrame, calendar: DataFrame, params: Params) -> DataF
     low, high = params.daytime_hours
     daytime = F.col("hour").between(low, high)
     is_fault = (F.col("_daytime_rows") >= params.fault_min_rows) & (F.col("_daytime_max") == 0)
-    working = calendar.where(~F.col("is_holiday")).select("date")
+    in_periods = in_base(params) | in_recent(params)
+    working = calendar.where(in_periods & ~F.col("is_holiday")).select("date")
+    # one row per day of the two periods: their length bounds the broadcast
+    days = days_between(params.base_start, params.base_end) + days_between(
+        params.recent_start, params.recent_end
+    )
     return (
         in_scope(counts, params)
         .groupBy("sensor_id", "date")
@@ -33,7 +39,7 @@ def sensor_days(counts: DataFrame, calendar: DataFrame, params: Params) -> DataF
             F.max(F.when(daytime, F.col("count"))).alias("_daytime_max"),
         )
         .where((F.col("_rows") == params.slots_per_day) & ~F.coalesce(is_fault, F.lit(False)))
-        .join(working, "date")
+        .join(broadcast_up_to(working, days), "date")
         .select(
             "sensor_id",
             "date",

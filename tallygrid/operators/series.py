@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.dates import between_days, month_start, of_sensors, week_end
+from ..functions.joins import measured
 from ..functions.numbers import ratio
 from ..params import Params
 
@@ -27,7 +28,7 @@ def indexed_series(counts: DataFrame, params: Params) -> DataFrame:
         .where(F.col("rows") == params.slots_per_day)
     )
     return (
-        days.join(base, "sensor_id")
+        days.join(measured(base, "base-means"), "sensor_id")
         .withColumn("own_index", ratio(100 * F.col("day_mean"), F.col("base_mean")))
         .groupBy("date")
         .agg(F.avg("own_index").alias("index"), F.count("*").alias("sensors"))

@@ -11,6 +11,7 @@ from ..fixed import (
     TYPICAL_WEATHER_DAYS,
     WEATHER_VIEW_COLUMNS,
 )
+from ..functions.joins import measured
 
 MEASURES = tuple(WEATHER_VIEW_COLUMNS)
 VIEW_COLUMNS = tuple(WEATHER_VIEW_COLUMNS.values())
@@ -60,11 +61,15 @@ def weather_view(weather_hourly: DataFrame) -> DataFrame:
 def hourly_view(counts: DataFrame, weather: DataFrame) -> DataFrame:
     """Counts with the weather of their hour, NULL where none is stored.
 
-    No hint: Spark measures the weather side and broadcasts it if it is small.
+    Weather has one row per hour whatever the number of sensors; measured and
+    broadcast, it leaves the counts where they are.
     """
-    return counts.select("sensor_id", "date", "hour", "count").join(
-        weather, ["date", "hour"], "left"
-    ).select("sensor_id", "date", "hour", "count", *VIEW_COLUMNS)
+    hours = measured(weather.select("date", "hour", *VIEW_COLUMNS), "weather")
+    return (
+        counts.select("sensor_id", "date", "hour", "count")
+        .join(hours, ["date", "hour"], "left")
+        .select("sensor_id", "date", "hour", "count", *VIEW_COLUMNS)
+    )
 
 
 def typical_weather(
