@@ -565,6 +565,35 @@ oracle(
         FROM compared_t LEFT JOIN place_t USING (sensor_id)
         WHERE model IS NOT NULL GROUP BY sensor_id""",
 )
+oracle(
+    "model_comparison_by_month",
+    f"""SELECT strftime(date, '%Y-%m') AS month, {_COMPARE} FROM compared_t
+        WHERE model IS NOT NULL GROUP BY 1""",
+)
+oracle(
+    "model_comparison_by_holiday",
+    f"SELECT is_holiday, {_COMPARE} FROM compared_t WHERE model IS NOT NULL GROUP BY is_holiday",
+)
+oracle(
+    "day_ahead_summary",
+    f"""SELECT f.sensor_id, f.date, {r6('sum(f.lag_35)', 'forecast')},
+               {r6('sum(f.baseline)', 'typical')}, {r6('max(f.temperature)', 'max_temp')},
+               {r6('sum(f.precipitation_mm)', 'rain_mm')},
+               {r6('CASE WHEN sum(f.baseline) > 0 THEN sum(f.lag_35) / sum(f.baseline) - 1 END', 'change')},
+               any_value(c.holiday_name) AS holiday_name
+        FROM coming_feature_t f LEFT JOIN calendar_t c ON c.date = f.date
+        GROUP BY f.sensor_id, f.date""",
+)
+oracle(
+    "backtest_folds",
+    f"""WITH rows_2000 AS (SELECT * FROM feature_t WHERE date BETWEEN DATE '2000-01-01' AND DATE '2000-12-31')
+        SELECT strftime(date, '%Y-%m') AS month, count(*) AS rows,
+               (SELECT count(*) FROM rows_2000 e WHERE e.date < date_trunc('month', any_value(r.date)))
+                   AS train_rows,
+               CAST(sum(count) AS BIGINT) AS people, {r6('sum(baseline)', 'baseline')},
+               CAST(0 AS BIGINT) AS bad_predictions
+        FROM rows_2000 r WHERE month(date) >= 11 GROUP BY 1""",
+)
 _SLICE = f"""
     {r6('sum(abs(baseline - count)) / sum(count)', 'baseline_wape')},
     {r6('sum(abs(model - count)) / sum(count) FILTER (WHERE model IS NOT NULL)', 'model_wape')},
@@ -896,3 +925,7 @@ oracle(
         FROM {_single} JOIN (SELECT DISTINCT CAST(sensor_id AS VARCHAR) AS fit, type FROM study_t)
         USING (fit)""",
 )
+oracle(
+    "gap_share",
+    f"SELECT count(*) FILTER (WHERE estimate < 0) AS with_gap, count(*) AS sensors FROM {_single}",
+)

@@ -354,24 +354,33 @@ def feature_dataset(spark, d):
     return rounded(dataset_rows(spark, d))
 
 
-@query
-def future_dataset(spark, d):
+def future_rows(spark, d):
     counts = t.stored_counts(spark, d)
     view = t.stored_weather(spark, d)
     days = cal.day_spine(spark, *FUTURE_SPAN)
-    return rounded(
-        features.build_dataset(
-            counts,
-            t.stored_calendar(spark, d),
-            weather.typical_weather(view, days),
-            season.season_index(counts, t.SHIP),
-            *FUTURE_SPAN,
-            t.SHIP,
-            future=t.sensors(spark, d).withColumnRenamed("location_id", "sensor_id"),
-        ).withColumn("count", F.col("count").cast("double"))
+    return features.build_dataset(
+        counts,
+        t.stored_calendar(spark, d),
+        weather.typical_weather(view, days),
+        season.season_index(counts, t.SHIP),
+        *FUTURE_SPAN,
+        t.SHIP,
+        future=t.sensors(spark, d).withColumnRenamed("location_id", "sensor_id"),
     )
 
 
+@query
+def future_dataset(spark, d):
+    return rounded(future_rows(spark, d).withColumn("count", F.col("count").cast("double")))
+
+
+@query
+def day_ahead_summary(spark, d):
+    """The whole-day summary with the count of five weeks ago as the forecast."""
+    predicted = future_rows(spark, d).withColumn("model", F.col("lag_35"))
+    return rounded(model.day_ahead(predicted, t.stored_calendar(spark, d)))
+
+
 @query
 def score_overall(spark, d):
     return rounded(scoring.score(baseline_rows(spark, d), "baseline"))
@@ -416,6 +425,17 @@ def model_comparison_by_sensor(spark, d):
     return rounded(scores.join(names, "sensor_id", "left"))
 
 
+@query
+def model_comparison_by_month(spark, d):
+    month = F.date_format("date", "yyyy-MM").alias("month")
+    return rounded(scoring.compare_models(compared_rows(spark, d), [month]))
+
+
+@query
+def model_comparison_by_holiday(spark, d):
+    return rounded(scoring.compare_models(compared_rows(spark, d), ["is_holiday"]))
+
+
 @query
 def score_slices(spark, d):
     # used twice by the report, as a stored back-test would be
@@ -475,8 +495,8 @@ def window_observations(spark, d):
 
 @query
 def normal_equations(spark, d):
-    cells = recovery.cells(recovery.weekly_cells(window_observations(spark, d)))
-    equations = recovery.normal_equations(cells, recovery.sensor_sums(cells, t.SHIP), t.SHIP)
+    weekly = recovery.weekly_cells(window_observations(spark, d))
+    equations = recovery.normal_equations(weekly, recovery.sensor_sums(weekly, t.SHIP), t.SHIP)
     return rounded(equations.where(F.abs("x") > 1e-7))
 
 
@@ -531,6 +551,11 @@ def per_sensor_gap(spark, d):
     return rounded(analysis.per_sensor_gap(study_days(spark, d), t.SHIP))
 
 
+@query
+def gap_share(spark, d):
+    return analysis.gap_share(analysis.per_sensor_gap(study_days(spark, d), t.SHIP))
+
+
 # --- model -----------------------------------------------------------------------
 
 SMALL_TREES = TreeSettings(trees=5, step=0.3, depth=4)
@@ -538,8 +563,7 @@ TEST_SPAN = (date(2000, 11, 1), date(2000, 12, 31))
 TRAIN_START = date(2000, 1, 1)
 
 
-@query
-def backtest(spark, d):
+def backtest_rows(spark, d):
     return forecast.backtest(
         t.stored_counts(spark, d),
         t.stored_calendar(spark, d),
@@ -551,6 +575,25 @@ def backtest(spark, d):
     )
 
 
+@query
+def backtest(spark, d):
+    return t.stored(spark, d, backtest_rows)
+
+
+@query
+def backtest_folds(spark, d):
+    results = t.stored(spark, d, backtest_rows)
+    return rounded(
+        results.groupBy(F.date_format("date", "yyyy-MM").alias("month")).agg(
+            F.count("*").alias("rows"),
+            F.max("train_rows").alias("train_rows"),
+            F.sum("count").alias("people"),
+            F.sum("baseline").alias("baseline"),
+            F.count_if(F.col("model").isNull() | (F.col("model") < 0)).alias("bad_predictions"),
+        )
+    )
+
+
 def small_model(spark, d):
     return forecast.train_model(
         t.stored_counts(spark, d),

@@ -105,14 +105,9 @@ def weekly_cells(obs: DataFrame) -> DataFrame:
     )
 
 
-def cells(weekly: DataFrame) -> DataFrame:
-    """The same without the week."""
-    return weekly.groupBy(*CELL).agg(F.sum("n").alias("n"), F.sum("sy").alias("sy"))
-
-
-def sensor_sums(cell_rows: DataFrame, params: Params) -> DataFrame:
+def sensor_sums(weekly: DataFrame, params: Params) -> DataFrame:
     """Per fit and sensor: rows, sum of logs and the sums of the 24 indicators."""
-    return cell_rows.groupBy("fit", "sensor_id").agg(
+    return weekly.groupBy("fit", "sensor_id").agg(
         F.sum("n").alias("n"),
         F.sum("sy").alias("sy"),
         F.expr(
@@ -123,11 +118,11 @@ def sensor_sums(cell_rows: DataFrame, params: Params) -> DataFrame:
     )
 
 
-def _sum_of_products(rows: DataFrame, vector: str, value: Column, weight: Column) -> DataFrame:
-    """Per fit, the weighted sums of v_i * v_j (i <= j) and of v_i * value.
+def _products(rows: DataFrame, vector: str, value: Column, weight: Column) -> DataFrame:
+    """Per row, weight * v_i * v_j for i <= j, and weight * v_i * value as j = ``WIDTH``.
 
-    ``j = WIDTH`` holds the product with the value. Zeros are skipped, and the
-    sums of one task merge before the shuffle to one row per fit and pair.
+    Only non-zero entries appear: at most four per cell, at most 24 per sensor
+    or week.
     """
     entries = F.filter(
         F.transform(vector, lambda v, i: F.struct(i.alias("i"), v.alias("v"))),
@@ -143,27 +138,25 @@ def _sum_of_products(rows: DataFrame, vector: str, value: Column, weight: Column
         rows.select("fit", weight.alias("w"), value.alias("value"), entries.alias("entries"))
         .select("*", F.inline("entries").alias("i", "v"))
         .select("fit", "i", F.inline(F.concat(pairs, right)).alias("j", "x"))
-        .groupBy("fit", "i", "j")
-        .agg(F.sum("x").alias("x"))
     )
 
 
-def normal_equations(cell_rows: DataFrame, sums: DataFrame, params: Params) -> DataFrame:
+def _summed(products: DataFrame) -> DataFrame:
+    """One row per fit and pair; the sums of a task merge before the shuffle."""
+    return products.groupBy("fit", "i", "j").agg(F.sum("x").alias("x"))
+
+
+def normal_equations(weekly: DataFrame, sums: DataFrame, params: Params) -> DataFrame:
     """Long form of the within-sensor Gram matrix and right-hand side per fit.
 
     Rows (fit, i, j, x): ``j < 24`` are entries of the upper triangle, ``j = 24``
     the right-hand side. Sum over cells minus the sensors' own means.
     """
-    raw = _sum_of_products(
-        cell_rows.withColumn("z", design_vector(params)),
-        "z",
-        F.col("sy") / F.col("n"),
-        F.col("n"),
-    )
-    means = _sum_of_products(sums, "sz", F.col("sy"), -1 / F.col("n"))
-    return (
-        raw.unionByName(means).groupBy("fit", "i", "j").agg(F.sum("x").alias("x"))
+    raw = _products(
+        weekly.withColumn("z", design_vector(params)), "z", F.col("sy") / F.col("n"), F.col("n")
     )
+    means = _products(sums, "sz", F.col("sy"), -1 / F.col("n"))
+    return _summed(raw.unionByName(means))
 
 
 def coefficients(equations: DataFrame) -> DataFrame:
@@ -257,15 +250,13 @@ def fit_recovery(obs: DataFrame, params: Params) -> DataFrame:
     and coefficients are written, as several of the sums start from them.
     """
     weekly = written(weekly_cells(obs), "regression-cells")
-    cell_rows = cells(weekly)
-    sums = sensor_sums(cell_rows, params)
+    sums = sensor_sums(weekly, params)
     betas = written(
-        coefficients(normal_equations(cell_rows, sums, params)), "regression-coefficients"
+        coefficients(normal_equations(weekly, sums, params)), "regression-coefficients"
     )
+    scores = cluster_scores(weekly, sums, betas, params)
     meat = (
-        _sum_of_products(
-            cluster_scores(weekly, sums, betas, params), "score", F.lit(0.0), F.lit(1.0)
-        )
+        _summed(_products(scores, "score", F.lit(0.0), F.lit(1.0)))
         .groupBy("fit")
         .agg(F.collect_list(F.struct("i", "j", "x")).alias("entries"))
     )

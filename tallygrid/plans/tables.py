@@ -8,7 +8,6 @@ table, and the number of sites grows with it.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -18,7 +17,7 @@ from .. import fixed
 from ..operators.calendar import build_calendar, days_spanned
 from ..operators.weather import MEASURES, local_hours, weather_view
 from ..params import Params
-from ..session import shared_dir
+from ..session import written
 
 SUPPLIERS_PER_SITE = 20
 USERS_PER_SITE = 50
@@ -273,7 +272,7 @@ def calendar(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-_stored: dict[tuple[str, str, str], tuple[str, object]] = {}
+_stored: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def stored(
@@ -288,16 +287,13 @@ def stored(
     build per application and folder, then any number of queries.
     """
     key = (spark.sparkContext.applicationId, folder, make.__name__)
-    if key not in _stored:
+    if key not in _stored or _stored[key].sparkSession is not spark:
         rows, parts = make(spark, folder), ()
         if by_month:
             month = F.trunc("date", "MM").alias("month")
             rows, parts = rows.select("*", month).hint("rebalance", F.col("month")), ("month",)
-        path = f"{shared_dir(spark)}/{make.__name__}-{uuid.uuid4().hex}"
-        rows.write.partitionBy(*parts).parquet(path)
-        _stored[key] = (path, rows.schema)
-    path, schema = _stored[key]
-    return spark.read.schema(schema).parquet(path)
+        _stored[key] = written(rows, make.__name__, parts)
+    return _stored[key]
 
 
 def stored_counts(spark: SparkSession, folder: str) -> DataFrame:
