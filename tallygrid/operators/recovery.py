@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..fixed import DAY_GROUPS, NORMAL_95, REFERENCE_WEEKDAY, WEEKDAYS
+from ..functions.joins import broadcast_up_to
 from ..params import Params
 from ..session import ship_package, written
 
@@ -193,10 +194,12 @@ def cluster_scores(
 ) -> DataFrame:
     """Per fit and week, the sum of (indicator - sensor mean) x residual.
 
-    Rows meet their sensor's means and their fit's coefficients in one equi
-    join; adaptive execution splits a sensor that holds much of the data.
+    ``betas`` is a stored table of one row per fit: counted and broadcast while
+    fits are few, so that a fit over all sensors is no hot key; as many fits as
+    sensors join by shuffle without one.
     """
-    means = sums.join(betas.select("fit", "beta"), "fit").select(
+    solved = broadcast_up_to(betas.select("fit", "beta"), betas.count())
+    means = sums.join(solved, "fit").select(
         "fit",
         "sensor_id",
         "beta",

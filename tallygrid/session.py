@@ -14,7 +14,13 @@ _shipped: set[str] = set()
 
 
 def session(app: str = "tallygrid", master: str | None = None, **conf) -> SparkSession:
-    """A session with the settings the results rely on (UTC, adaptive execution)."""
+    """A session with the settings the results rely on (UTC, adaptive execution).
+
+    On a cluster, name a shared folder in ``spark.checkpoint.dir`` and start
+    shuffles wide (``spark.sql.adaptive.coalescePartitions.initialPartitionNum``
+    of some ten thousand for 100 TB): adaptive execution merges what is small,
+    but cannot split a plain aggregation that started too narrow.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
