@@ -495,7 +495,7 @@ def window_observations(spark, d):
 
 @query
 def normal_equations(spark, d):
-    weekly = recovery.weekly_cells(window_observations(spark, d))
+    weekly = written(recovery.weekly_cells(window_observations(spark, d)), "cells")
     equations = recovery.normal_equations(weekly, recovery.sensor_sums(weekly, t.SHIP), t.SHIP)
     return rounded(equations.where(F.abs("x") > 1e-7))
 

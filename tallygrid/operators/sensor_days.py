@@ -76,6 +76,7 @@ def classify_sensors(days: DataFrame, params: Params) -> DataFrame:
                 F.col("weekday_vs_weekend") >= params.office_ratio, fixed.OFFICE_CLASS
             ).otherwise(fixed.RETAIL_CLASS),
         )
+        .orderBy("weekday_vs_weekend", "sensor_id")
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date
@@ -17,6 +18,8 @@ from ..session import written
 from ..sources import reference_files, store
 from ..sources.count_files import read_count_files
 
+log = logging.getLogger(__name__)
+
 
 @dataclass(frozen=True)
 class Landing:
@@ -83,9 +86,19 @@ def load_counts(spark: SparkSession, root: str, rows: DataFrame, source: str) ->
     written copy.
     """
     staged = written(rows, "staged-counts")
-    if not clean.check_quality(staged, source):
+    total = clean.check_quality(staged, source)
+    if not total:
+        log.info("no new %s rows", source)
         return 0
-    return store.append_counts(spark, root, clean.one_per_key(staged), source)
+    conflicts = clean.conflict_report(staged).first()
+    if conflicts["keys"]:
+        log.info(
+            "dropped %s sensor-hours of %s with conflicting counts (%s to %s)",
+            conflicts["keys"], source, conflicts.first_date, conflicts.last_date,
+        )
+    kept = store.append_counts(spark, root, clean.one_per_key(staged), source)
+    log.info("kept %s of %s %s rows", kept, total, source)
+    return kept
 
 
 def create_views(spark: SparkSession, root: str) -> None:

@@ -5,7 +5,7 @@ one row in the log then makes them visible. Which rows of earlier loads they
 replace is decided when reading: a row counts until a later load of its source
 starts on or before its date. Adding two weeks of live data therefore writes
 two weeks, however large the table, and a run that dies half-way leaves only an
-unlisted folder behind, which the next run overwrites.
+unlisted folder behind, which the next run overwrites. One run writes at a time.
 """
 
 from __future__ import annotations
@@ -76,14 +76,18 @@ def visible_loads(log: DataFrame, reconcile: bool = True) -> DataFrame:
         "visible_until", F.min("first_date").over(later)
     )
     if reconcile:
-        live_start = loads.where(F.col("source") == LIVE_SOURCE).agg(F.min("first_date")).scalar()
+        # the log is a few rows per run, so its windows may be single tasks
+        live_first = F.when(F.col("source") == LIVE_SOURCE, F.col("first_date"))
+        loads = loads.withColumn("live_start", F.min(live_first).over(Window.partitionBy()))
         loads = loads.withColumn(
             "visible_until",
             F.when(
-                F.col("source") == ARCHIVE_SOURCE, F.least("visible_until", live_start)
+                F.col("source") == ARCHIVE_SOURCE, F.least("visible_until", "live_start")
             ).otherwise(F.col("visible_until")),
         )
-    return loads.select("source", "load", "visible_until")
+    # a load replaced from its first day on has nothing left to read
+    kept = F.col("visible_until").isNull() | (F.col("first_date") < F.col("visible_until"))
+    return loads.where(kept).select("source", "load", "visible_until")
 
 
 def compact_counts(spark: SparkSession, root: str, source: str) -> int:
