@@ -20,11 +20,6 @@ def weekday_name(day: Column | str) -> Column:
     return F.date_format(day, "EEE")
 
 
-def monday_first(day: Column | str) -> Column:
-    """1 = Monday ... 7 = Sunday, for ordering a week."""
-    return F.weekday(day) + 1
-
-
 def iso_week(day: Column | str) -> Column:
     """ISO year and week such as '2020-53'."""
     day = F.col(day) if isinstance(day, str) else day

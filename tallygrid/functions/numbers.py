@@ -22,8 +22,3 @@ def right_closed(value: Column | str, edges: Sequence[float], labels: Sequence[s
     for low, high, label in reversed(list(zip(edges, edges[1:], labels))):
         expr = F.when((value > F.lit(low)) & (value <= F.lit(high)), label).otherwise(expr)
     return expr
-
-
-def ordinal(label: Column | str, labels: Sequence[str]) -> Column:
-    """Position of a label in its natural order, for sorting reports."""
-    return F.array_position(F.array(*map(F.lit, labels)), label)
