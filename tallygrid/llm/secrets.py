@@ -26,7 +26,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import ship_package
-from .spans import SPANS
+from .spans import ARROW_SPANS, SPANS, outside
 from .text import id_and_text, map_batches
 
 KINDS = ("assign", "access", "hex")
@@ -137,8 +137,13 @@ class Novelty:
         return (len(self.compress(before + own)) - len(self.compress(before))) / max(len(own), 1)
 
 
-def scan(docs: DataFrame, dictionary: bytes, id_col: str = "doc_id", text_col: str = "text",
-         novelty: float = NOVELTY) -> DataFrame:
+def scan(
+    docs: DataFrame,
+    dictionary: bytes,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    novelty: float = NOVELTY,
+) -> DataFrame:
     """``id`` and ``spans`` by start and kind; ``score`` is the novelty of the span's value."""
     shared = docs.sparkSession.sparkContext.broadcast(dictionary)
 
@@ -148,9 +153,9 @@ def scan(docs: DataFrame, dictionary: bytes, id_col: str = "doc_id", text_col: s
         def spans(text: str) -> list[dict]:
             base = base_spans(text)
             out = [(s, e, kind, True, novel.of(text, s, e)) for s, e, kind in base]
-            taken = [(s, e) for s, e, _ in base]
-            for s, e in candidates(text):
-                if all(e <= a or b <= s for a, b in taken) and (x := novel.of(text, s, e)) >= novelty:
+            free = outside(candidates(text), [(s, e) for s, e, _ in base])
+            for s, e in free:
+                if (x := novel.of(text, s, e)) >= novelty:
                     out.append((s, e, NOVEL, False, x))
             order = (*KINDS, NOVEL)
             out.sort(key=lambda x: (x[0], order.index(x[2])))
@@ -158,15 +163,8 @@ def scan(docs: DataFrame, dictionary: bytes, id_col: str = "doc_id", text_col: s
                 {"kind": k, "start": s, "end": e, "base": b, "score": x} for s, e, k, b, x in out
             ]
 
-        kind = pa.list_(
-            pa.struct(
-                [("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()),
-                 ("base", pa.bool_()), ("score", pa.float64())]
-            )
-        )
-
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = pa.array([spans(x) for x in batch.column(1).to_pylist()], kind)
+            found = pa.array([spans(x) for x in batch.column(1).to_pylist()], ARROW_SPANS)
             return pa.RecordBatch.from_arrays([batch.column(0), found], ["id", "spans"])
 
         return each
