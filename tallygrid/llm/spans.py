@@ -48,14 +48,15 @@ def joined(spans: Column) -> Column:
     )
 
 
+def base_of(kind: str):
+    return lambda s: s["base"] & (s["kind"] == F.lit(kind))
+
+
 def digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     """Counts of the base spans by kind, their hash, and all spans written out."""
     base = F.filter("spans", lambda s: s["base"])
     counts = [
-        F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k)))
-        .cast("long")
-        .alias(f"n_{k}")
-        for k in kinds
+        F.size(F.filter("spans", base_of(kind))).cast("long").alias(f"n_{kind}") for kind in kinds
     ]
     return found.select(
         F.col("id").alias("doc_id"),

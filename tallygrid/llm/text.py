@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import ship_package
@@ -37,12 +38,34 @@ def words_column(text: Column | str) -> Column:
     return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))
 
 
+# text that a task holds as Python objects at once
+SLICE_BYTES = 1 << 20
+
+
+def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about ``limit`` bytes; a longer row comes alone."""
+    ends = np.cumsum(
+        sum(
+            pc.binary_length(c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for c in batch.columns
+            if pa.types.is_string(c.type)
+        )
+        + np.full(batch.num_rows, 64)
+    )
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        upto = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
 def map_batches(
     df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str
 ) -> DataFrame:
     """Arrow batches through a function that each task builds once.
 
-    Python holds one batch at a time. ``make`` runs in the task, so what it
+    Python holds one slice of a batch at a time. ``make`` runs in the task, so what it
     builds (compressors, caches) never travels.
     """
     ship_package(df.sparkSession)
@@ -50,8 +73,7 @@ def map_batches(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
         for batch in batches:
-            if batch.num_rows:
-                yield each(batch)
+            yield from map(each, slices(batch))
 
     return df.mapInArrow(run, schema)
 
