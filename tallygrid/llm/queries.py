@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, html, pii, secrets, spans
+from . import bpe, html, pii, secrets, spans, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -20,6 +20,11 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def fold_of(id_col: str) -> Column:
+    """The fold of a row: CRC-32 of its id as text, modulo five."""
+    return F.crc32(F.col(id_col).cast("string")) % 5
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -44,6 +49,20 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(docs, TOKENIZER), TOKENIZER))
 
 
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every text; the labels of fold 0 are held out."""
+    docs, labels = (table(spark, sf_dir, name) for name in ("documents", "labels"))
+    model = toxicity.fit(docs, labels.where(fold_of("doc_id") != 0))
+    scored = toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
+    return scored.select(
+        "doc_id",
+        F.coalesce(fold_of("doc_id") == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every text, against the identifiers of all of them."""
