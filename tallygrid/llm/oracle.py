@@ -2,4 +2,30 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+# words and distinct shingles of any table with an id and a text
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = f"regexp_extract_all({LOWER}, '[^ \\t\\n\\x0B\\f\\r]+')"
+
+
+def shingles(table: str, id_col: str) -> str:
+    return f'''
+    SELECT id, row, unnest(CASE
+        WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3),
+                              lambda i: array_to_string(w[i:i + 4], ' ')))
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')]
+        ELSE [] END) AS s
+    FROM (SELECT {id_col} AS id, row_number() OVER () AS row, {WORDS} AS w FROM {table})'''
+
+
+ORACLES: dict[str, str] = {
+    "op1_decontamination": f'''
+WITH item AS ({shingles('benchmark', 'item_id')}),
+     doc AS ({shingles('documents', 'doc_id')}),
+     size AS (SELECT row, count(*) AS n FROM item GROUP BY row)
+SELECT doc.id AS doc_id, item.id AS item_id, any_value(size.n)::INTEGER AS n_item,
+       count(*)::INTEGER AS n_shared
+FROM doc JOIN item USING (s) JOIN size ON size.row = item.row
+GROUP BY doc.id, doc.row, item.id, item.row
+HAVING 100 * count(*) >= 75 * any_value(size.n)
+''',
+}

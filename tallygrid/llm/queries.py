@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, html, pii, secrets, spans, toxicity
+from . import bpe, decontaminate, html, pii, secrets, spans, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,6 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with each benchmark item that it contains."""
+    docs, items = (table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    found = decontaminate.contaminated_pairs(docs, items)
+    return found.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
+
+
 @query
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""

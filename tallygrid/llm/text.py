@@ -38,6 +38,31 @@ def words_column(text: Column | str) -> Column:
     return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))
 
 
+def _five(words: Column, i: Column) -> list[Column]:
+    return [F.get(words, i + n) for n in range(SHINGLE)]
+
+
+def _shingles(words: Column, whole: Column, each) -> Column:
+    size = F.size(words)
+    return (
+        F.when(size >= SHINGLE, F.transform(F.sequence(F.lit(0), size - SHINGLE), each))
+        .when(size > 0, F.array(whole))
+        .otherwise(F.slice(F.array(whole), 1, 0))
+    )
+
+
+def shingle_strings(words: str) -> Column:
+    """Runs of five words as text; fewer words make one run, none make none."""
+    w = F.col(words)
+    return _shingles(w, F.array_join(w, " "), lambda i: F.concat_ws(" ", *_five(w, i)))
+
+
+def shingle_hashes(words: str) -> Column:
+    """64-bit hashes of the same runs, in order and with repetitions."""
+    w = F.col(words)
+    return _shingles(w, F.xxhash64(F.array_join(w, " ")), lambda i: F.xxhash64(*_five(w, i)))
+
+
 # text that a task holds as Python objects at once
 SLICE_BYTES = 1 << 20
 
