@@ -107,8 +107,11 @@ def find(
         "text_key", shingle_hashes("words").alias("hashes")
     )
     size = F.size("hashes")
+    bound = F.col("bound")
+    # used twice, so that Spark computes it once for a text and not for every hash
+    below = F.when(bound.isNotNull(), F.filter("hashes", lambda h: h <= bound))
     probes = hashed.select("text_key", "hashes", lookup_bound(size, bounds).alias("bound")).select(
-        "text_key", F.explode(F.filter("hashes", lambda h: h <= F.col("bound"))).alias("hash")
+        "text_key", F.explode(below).alias("hash")
     )
     candidates = broadcast_if_small(
         probes.join(sketches, "hash", "left_semi").select("text_key").distinct(),
