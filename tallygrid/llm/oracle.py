@@ -27,5 +27,19 @@ SELECT doc.id AS doc_id, item.id AS item_id, any_value(size.n)::INTEGER AS n_ite
 FROM doc JOIN item USING (s) JOIN size ON size.row = item.row
 GROUP BY doc.id, doc.row, item.id, item.row
 HAVING 100 * count(*) >= 75 * any_value(size.n)
+''',
+    "op7_substrings": f'''
+WITH doc AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+') AS w FROM documents),
+     win AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS s, w FROM doc WHERE len(w) >= 20),
+     named AS (SELECT doc_id, s, array_to_string(w[s:s + 19], ' ') AS win FROM win),
+     later AS (SELECT doc_id, s FROM (SELECT doc_id, s,
+                   row_number() OVER (PARTITION BY win ORDER BY doc_id, s) AS place FROM named)
+               WHERE place > 1),
+     gone AS (SELECT doc_id, list(DISTINCT p) AS ps
+              FROM (SELECT doc_id, unnest(range(s, s + 20)) AS p FROM later) GROUP BY doc_id)
+SELECT doc.doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string(CASE WHEN ps IS NULL THEN w ELSE
+           list_filter(w, lambda x, i: NOT list_contains(ps, i)) END, ' '), '')) AS kept_sha256
+FROM doc LEFT JOIN gone USING (doc_id)
 ''',
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, fingerprint, html, pii, secrets, spans, toxicity
+from . import bpe, decontaminate, fingerprint, html, pii, secrets, spans, substring, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -72,6 +72,15 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(docs, TOKENIZER), TOKENIZER))
 
 
+@query
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without word windows that stand earlier."""
+    left = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select(
+        F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 @query
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every text; the labels of fold 0 are held out."""

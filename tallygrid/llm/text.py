@@ -86,7 +86,10 @@ def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.Recor
 
 
 def map_batches(
-    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str
+    df: DataFrame,
+    make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],
+    schema: str,
+    limit: int = SLICE_BYTES,
 ) -> DataFrame:
     """Arrow batches through a function that each task builds once.
 
@@ -98,7 +101,7 @@ def map_batches(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
         for batch in batches:
-            yield from map(each, slices(batch))
+            yield from map(each, slices(batch, limit))
 
     return df.mapInArrow(run, schema)
 
