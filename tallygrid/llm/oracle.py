@@ -41,5 +41,20 @@ SELECT doc.doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_
        sha256(coalesce(array_to_string(CASE WHEN ps IS NULL THEN w ELSE
            list_filter(w, lambda x, i: NOT list_contains(ps, i)) END, ' '), '')) AS kept_sha256
 FROM doc LEFT JOIN gone USING (doc_id)
+''',
+    "op8_jaccard": f'''
+WITH RECURSIVE sh AS MATERIALIZED ({shingles('documents', 'doc_id')}),
+     n AS MATERIALIZED (SELECT id, count(*) AS n FROM sh GROUP BY id),
+     link AS MATERIALIZED (
+         SELECT a.id AS a, b.id AS b
+         FROM sh a JOIN sh b ON a.s = b.s AND a.id <> b.id
+         JOIN n na ON na.id = a.id JOIN n nb ON nb.id = b.id
+         GROUP BY a.id, b.id
+         HAVING 100 * count(*) >= 75 * (any_value(na.n) + any_value(nb.n) - count(*))),
+     reach AS (SELECT doc_id AS id, doc_id AS other FROM documents
+               UNION SELECT reach.id, link.b FROM reach JOIN link ON link.a = reach.other)
+SELECT reach.id AS doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles,
+       min(reach.other)::BIGINT AS component_id
+FROM reach LEFT JOIN n ON n.id = reach.id GROUP BY reach.id
 ''',
 }

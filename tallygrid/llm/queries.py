@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, fingerprint, html, pii, secrets, spans, substring, toxicity
+from . import bpe, decontaminate, fingerprint, html, jaccard, pii, secrets, spans, substring, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,6 +81,13 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near-duplicate documents of every row."""
+    found = jaccard.near_classes(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 @query
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every text; the labels of fold 0 are held out."""

@@ -27,16 +27,15 @@ row of the input has its row in the result. Very long texts are one row.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import shared_dir, ship_package
-from .text import WordHashes, id_and_text, map_batches, mixed, slices, window_hashes
+from ..session import ship_package
+from .copies import distinct_texts
+from .text import WordHashes, map_batches, mixed, slices, window_hashes
 
 WIDTH = 20
 
@@ -76,60 +75,6 @@ def holders(starts: np.ndarray, half: int, n: int) -> np.ndarray:
     return out[out <= n - 2 * half]
 
 
-def _distinct_in_batch(docs: DataFrame, width: int) -> DataFrame:
-    """``h, id, text, n_words``: later copies inside a batch keep no text.
-
-    Copies are dealt out by a hash of their own, texts by the hash of the text.
-    """
-
-    def make():
-        import xxhash
-
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = batch.column(0)
-            order = pc.sort_indices(ids, null_placement="at_end").to_numpy()
-            texts = batch.column(1).to_pylist()
-            h, kept, words = (np.zeros(len(texts), t) for t in (np.uint64, object, np.int64))
-            first: dict[str, int] = {}
-            for row in order:
-                text = texts[row]
-                words[row] = len(text.encode("utf-8", "replace").split())
-                # texts without a window lose nothing and are no copies
-                known = words[row] >= width and text in first
-                kept[row] = None if known else text
-                if known:
-                    h[row] = xxhash.xxh3_64_intdigest(f"{row} {h[first[text]]}")
-                else:
-                    short = words[row] < width
-                    h[row] = xxhash.xxh3_64_intdigest(f"{row} {ids[row]} {text}" if short else text)
-                    first[text] = row
-            return pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), ids, pa.array(kept, pa.string()), pa.array(words)],
-                ["h", "id", "text", "n_words"],
-            )
-
-        return each
-
-    schema = "h long, id long, text string, n_words long"
-    return map_batches(docs, make, schema, limit=32 << 20)
-
-
-def distinct_texts(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """A written table of all rows, bucketed by ``h``; only first copies keep their text."""
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = _distinct_in_batch(id_and_text(docs, id_col, text_col), width).repartition(buckets, "h")
-    same = Window.partitionBy("h", F.md5("text")).orderBy(F.asc_nulls_last("id"))
-    first = (F.row_number().over(same) == 1) | (F.col("n_words") < width)
-    rows = rows.withColumn("first", first).select(
-        "h", "id", F.when(F.col("first"), F.col("text")).alias("text"), "n_words"
-    )
-    name = f"distinct_texts_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/{name}"
-    rows.write.bucketBy(buckets, "h").sortBy("h").option("path", path).saveAsTable(name)
-    return spark.table(name)
-
-
 def _settled(
     hashes: list[np.ndarray], docs: list[tuple[int, int | None]], starts: list[np.ndarray]
 ) -> pa.RecordBatch:
