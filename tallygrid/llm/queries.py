@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, fingerprint, html, jaccard, pii, secrets, spans, substring, toxicity
+from . import bpe, decontaminate, fingerprint, html, jaccard, lm, pii, secrets, spans, substring, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,6 +37,22 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
 
 
+@query
+def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document; those of fold 1 are not learned from."""
+    docs = table(spark, sf_dir, "documents")
+    model = lm.fit(docs.where(fold_of("doc_id") != 1))
+    return lm.score(docs, model).select(
+        F.col("id").alias("doc_id"),
+        F.coalesce(fold_of("id") == 1, F.lit(False)).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.words.total).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 @query
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document, and its likeness to an edited text and the next one."""
