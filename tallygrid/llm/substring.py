@@ -14,11 +14,11 @@ inside the full window whatever its place; at the full width every window that
 holds a survivor is taken.
 
 Equal windows of one batch of rows meet before the shuffle: all but the first
-are known to repeat and travel under keys of their own, so a passage that
-stands in a third of all documents reaches no task more than once a batch. The
-same holds for equal texts: copies of an earlier text lose all their windows.
-Distinct texts are written once, bucketed by a hash, and joined with their
-surviving positions without being shuffled again.
+are known to repeat and travel, as runs, under keys of their own, so a passage
+that stands in a third of all documents reaches no task more than once a batch.
+Copies of a text inside a batch lose all their windows at once. Texts are
+written once, bucketed by their place in the order of documents, and joined
+with their surviving positions without being shuffled again.
 
 Cases: null and empty texts have no words; fewer words than a window lose none.
 Rows of one id are ordered by a hash of their text, null ids come last; every
@@ -27,15 +27,15 @@ row of the input has its row in the result. Very long texts are one row.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import ship_package
-from .copies import distinct_texts
-from .text import WordHashes, map_batches, mixed, slices, window_hashes
+from ..session import shared_dir, ship_package
+from .text import WordHashes, id_and_text, map_batches, mixed, slices, window_hashes
 
 WIDTH = 20
 
@@ -75,42 +75,109 @@ def holders(starts: np.ndarray, half: int, n: int) -> np.ndarray:
     return out[out <= n - 2 * half]
 
 
+def _placed_in_batch(docs: DataFrame, width: int) -> DataFrame:
+    """``o, h, id, text, n_words``; later copies of a text inside a batch keep no text.
+
+    ``o`` orders the documents: their id, and for null ids numbers behind all
+    others. Texts without a window are no copies: they lose nothing.
+    """
+
+    def make():
+        import xxhash
+
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ids = batch.column(0)
+            texts, own = batch.column(1).to_pylist(), ids.to_pylist()
+            h = np.fromiter((xxhash.xxh3_64_intdigest(t) for t in texts), np.uint64, len(texts))
+            behind = ((1 << 63) - 1 - (h >> np.uint64(20)).astype(np.int64)).tolist()
+            o = [behind[n] if i is None else i for n, i in enumerate(own)]
+            words = np.fromiter(
+                (len(t.encode("utf-8", "replace").split()) for t in texts), np.int64, len(texts)
+            )
+            seen: set[str] = set()
+            kept: list[str | None] = list(texts)
+            for row in np.argsort(np.array(o, np.int64), kind="stable").tolist():
+                if words[row] >= width and texts[row] in seen:
+                    kept[row] = None
+                seen.add(texts[row])
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(o, pa.int64()),
+                    pa.array(h.view(np.int64)),
+                    ids,
+                    pa.array(kept, pa.string()),
+                    pa.array(words),
+                ],
+                ["o", "h", "id", "text", "n_words"],
+            )
+
+        return each
+
+    schema = "o long, h long, id long, text string, n_words long"
+    return map_batches(docs, make, schema, limit=32 << 20)
+
+
+def documents_table(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """All rows, written once and bucketed by ``o``; ``tie`` tells rows of one ``o`` apart."""
+    spark = docs.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = _placed_in_batch(id_and_text(docs, id_col, text_col), width).repartition(buckets, "o")
+    tie = F.row_number().over(Window.partitionBy("o").orderBy("h")) - 1
+    rows = rows.withColumn("tie", tie.cast("long")).drop("h")
+    name = f"substring_texts_{uuid.uuid4().hex}"
+    writer = rows.write.bucketBy(buckets, "o").sortBy("o").option("compression", "zstd")
+    writer.option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def _settled(
-    hashes: list[np.ndarray], docs: list[tuple[int, int | None]], starts: list[np.ndarray]
+    hashes: list[np.ndarray], docs: list[tuple[int, int]], starts: list[np.ndarray]
 ) -> pa.RecordBatch:
-    """One row for every window of a batch; ``docs`` come in the order of documents.
+    """Rows ``key, mark, o, at`` for the windows of a batch; ``docs`` come in their order.
 
-    The first of equal windows keeps their hash as ``key`` and says whether
-    there were others; the others are known to repeat and get keys of their own.
+    ``at`` is the tie in the upper and the start in the lower half. The first of
+    equal windows keeps their hash as ``key``; ``mark`` is 1 if there were
+    others and 0 if not. The others are known to repeat: runs of them one word
+    apart are one row with a key of its own and 1 plus the run's length as mark.
     """
     sizes = np.fromiter(map(len, hashes), np.int64, len(hashes))
     key = np.concatenate([np.empty(0, np.uint64), *hashes])
-    h = np.repeat(np.array([d[0] for d in docs], np.int64), sizes)
-    ids = pa.array([d[1] for d in docs], pa.int64()).take(pa.array(np.repeat(np.arange(len(docs)), sizes)))
-    start = np.concatenate([np.empty(0, np.int64), *starts])
+    o = np.repeat(np.array([d[0] for d in docs], np.int64), sizes)
+    tie = np.repeat(np.array([d[1] for d in docs], np.int64), sizes)
+    at = (tie << 32) + np.concatenate([np.empty(0, np.int64), *starts])
     order = np.argsort(key, kind="stable")
     ordered = key[order]
     head = np.r_[True, ordered[1:] != ordered[:-1]] if len(key) else np.empty(0, bool)
     known = np.zeros(len(key), bool)
     known[order] = ~head
     counts = np.diff(np.r_[np.flatnonzero(head), len(key)])
-    several = np.zeros(len(key), bool)
-    several[order] = np.repeat(counts > 1, counts)
-    own = mixed(key ^ mixed(h.view(np.uint64) + start.astype(np.uint64) + np.uint64(1)))
+    mark = np.zeros(len(key), np.int32)
+    mark[order] = np.repeat(counts > 1, counts)
+    goes_on = np.zeros(len(key), bool)
+    goes_on[1:] = known[1:] & known[:-1] & (o[1:] == o[:-1]) & (at[1:] == at[:-1] + 1)
+    begins = np.flatnonzero(~goes_on)
+    runs = np.diff(np.r_[begins, len(key)])
+    key, known, mark, o, at = (x[begins] for x in (key, known, mark, o, at))
+    mark = np.where(known, 1 + runs, mark).astype(np.int32)
+    own = mixed(key ^ mixed(o.view(np.uint64) + at.astype(np.uint64) + np.uint64(1)))
     key = np.where(known, own, key)
     return pa.RecordBatch.from_arrays(
-        [
-            pa.array(key.view(np.int64)),
-            pa.array(known),
-            pa.array(several),
-            pa.array(h),
-            ids,
-            pa.array(start.astype(np.int32)),
-        ],
-        ["key", "known", "several", "h", "id", "start"],
+        [pa.array(key.view(np.int64)), pa.array(mark), pa.array(o), pa.array(at)],
+        ["key", "mark", "o", "at"],
     )
 
 
+def own_starts(found: pa.ListScalar, tie: int) -> np.ndarray:
+    """Sorted starts of one text from the ``at`` and ``run`` of its document."""
+    items = found.values
+    at, run = (items.field(k).to_numpy().astype(np.int64) for k in range(2))
+    mine = at >> 32 == tie
+    at, run = at[mine] & 0xFFFFFFFF, run[mine]
+    ends = np.cumsum(run)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.unique(np.repeat(at - (ends - run), run) + np.arange(total))
+
+
 def windows(
     texts: DataFrame,
     pick: Callable[[np.ndarray, np.ndarray | None], tuple[np.ndarray, np.ndarray]],
@@ -118,9 +185,9 @@ def windows(
     """Rows of ``_settled`` for the windows that ``pick`` takes of each text.
 
     ``pick`` gets the hashes of a text's words and its surviving starts, and
-    returns window hashes and their starts.
+    returns window hashes and their starts, in order.
     """
-    has_starts = "starts" in texts.columns
+    has_found = "found" in texts.columns
     ship_package(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,42 +195,40 @@ def windows(
         for batch in batches:
             rows = []
             for part in slices(batch):
-                starts = part.column("starts") if has_starts else None
-                for n, (h, i, text) in enumerate(
-                    zip(*(part.column(c).to_pylist() for c in ("h", "id", "text")), strict=True)
+                found = part.column("found") if has_found else None
+                for n, (o, tie, text) in enumerate(
+                    zip(*(part.column(c).to_pylist() for c in ("o", "tie", "text")), strict=True)
                 ):
-                    survivors = None
-                    if starts is not None:
-                        survivors = np.unique(starts[n].values.to_numpy().astype(np.int64))
+                    survivors = None if found is None else own_starts(found[n], tie)
                     words = of(text.encode("utf-8", "replace").split())
-                    rows.append(((h, i), *pick(words, survivors)))
-            rows.sort(key=lambda r: (r[0][1] is None, r[0][1] or 0, r[0][0]))
+                    rows.append(((o, tie), *pick(words, survivors)))
+            rows.sort(key=lambda r: r[0])
             yield _settled([r[1] for r in rows], [r[0] for r in rows], [r[2] for r in rows])
 
-    own = texts.select("h", "id", "text", *(["starts"] if has_starts else []))
-    return own.mapInArrow(
-        run, "key long, known boolean, several boolean, h long, id long, start int"
-    )
+    own = texts.select("o", "tie", "text", *(["found"] if has_found else []))
+    return own.mapInArrow(run, "key long, mark int, o long, at long")
+
+
+def by_document(rows: DataFrame) -> DataFrame:
+    """``o, found``: the windows of each document."""
+    run = F.greatest(F.col("mark") - 1, F.lit(1)).alias("run")
+    return rows.groupBy("o").agg(F.collect_list(F.struct("at", run)).alias("found"))
 
 
 def repeated(rows: DataFrame) -> DataFrame:
-    """``h, starts``: the windows that stand more than once, by text."""
-    same = Window.partitionBy("key", "known")
-    found = rows.select("key", "known", "several", "h", "start").withColumn(
-        "times", F.count("*").over(same)
+    """``o, found``: the windows that stand more than once."""
+    same = Window.partitionBy("key")
+    counted = rows.withColumn("times", F.count("*").over(same)).withColumn(
+        "any", F.max("mark").over(same)
     )
-    found = found.withColumn("any", F.max("several").over(same))
-    kept = found.where(F.col("known") | F.col("any") | (F.col("times") > 1))
-    return kept.groupBy("h").agg(F.collect_list("start").alias("starts"))
+    return by_document(counted.where((F.col("any") > 0) | (F.col("times") > 1)))
 
 
 def not_first(rows: DataFrame) -> DataFrame:
-    """``h, id, starts``: the windows that also start earlier, by text."""
-    same = Window.partitionBy("key", "known").orderBy(F.asc_nulls_last("id"), "h", "start")
-    later = rows.withColumn("place", F.row_number().over(same)).where(
-        F.col("known") | (F.col("place") > 1)
-    )
-    return later.groupBy("h", "id").agg(F.collect_list("start").alias("starts"))
+    """``o, found``: the windows that also start earlier."""
+    same = Window.partitionBy("key").orderBy("o", "at")
+    later = rows.withColumn("place", F.row_number().over(same))
+    return by_document(later.where((F.col("mark") > 1) | (F.col("place") > 1)))
 
 
 def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
@@ -181,7 +246,7 @@ def remove_repeats(
     if width % 4:
         raise ValueError("the width must be a multiple of four")
     quarter, half = width // 4, width // 2
-    table = distinct_texts(docs, id_col, text_col, width)
+    table = documents_table(docs, id_col, text_col, width)
     texts = table.where(F.col("text").isNotNull() & (F.col("n_words") >= width))
 
     def first_level(words, _):
@@ -198,26 +263,24 @@ def remove_repeats(
         return window_hashes(words, width)[at], at
 
     found = repeated(windows(texts, first_level))
-    found = repeated(windows(texts.join(found, "h"), half_level))
-    last = not_first(windows(texts.join(found, "h"), full_level))
-    last = last.withColumnsRenamed({"h": "of", "id": "of_id"})
-    marked = table.join(
-        last, (table["h"] == last["of"]) & table["id"].eqNullSafe(last["of_id"]), "left"
-    ).select("id", "text", "n_words", "starts")
+    found = repeated(windows(texts.join(found, "o"), half_level))
+    last = not_first(windows(texts.join(found, "o"), full_level))
+    marked = table.join(last, "o", "left").select("id", "text", "n_words", "tie", "found")
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             removed, kept = [], []
             texts, sizes = (batch.column(c).to_pylist() for c in (1, 2))
-            for text, n, starts in zip(texts, sizes, batch.column(3), strict=True):
+            ties, found = batch.column(3).to_pylist(), batch.column(4)
+            for text, n, tie, own in zip(texts, sizes, ties, found, strict=True):
                 if text is None:
                     # a copy of an earlier text: each of its windows starts there already
                     removed.append(n)
                     kept.append("")
                     continue
                 words = text.encode("utf-8", "replace").split()
-                if starts.is_valid:
-                    gone = covered(starts.values.to_numpy().astype(np.int64), width, n)
+                if own.is_valid and n >= width:
+                    gone = covered(own_starts(own, tie), width, n)
                     removed.append(int(gone.sum()))
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 else:
