@@ -7,7 +7,7 @@ very many links is summed map-side and its links stay rows: none is collected.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..session import written
 
@@ -30,20 +30,24 @@ def small_star(links: DataFrame) -> DataFrame:
     return moved.union(own).where("u != v").distinct()
 
 
+def _held(links: DataFrame) -> tuple[DataFrame, tuple]:
+    """The links, written, and a count and checksum taken while writing."""
+    seen = Observation()
+    checked = links.observe(
+        seen,
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.shiftright(F.xxhash64("u", "v"), 24)).alias("s"),
+    )
+    return written(checked, "links"), (seen.get["n"], seen.get["s"])
+
+
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """``node, label`` of every node that has a link; ``label`` is the smallest node reachable."""
-    held = written(
-        links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(),
-        "links",
-    )
-    state = None
-    while True:
-        sums = held.agg(
-            F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")
-        ).first()
-        if (sums.n, sums.s) == state or not sums.n:
-            break
-        state = (sums.n, sums.s)
-        held = written(small_star(large_star(held)), "links")
+    pairs = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    held, state = _held(pairs.where("u != v").distinct())
+    before = None
+    while state[0] and state != before:
+        before = state
+        held, state = _held(small_star(large_star(held)))
     stars = held.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return stars.union(stars.select("label", "label").distinct())

@@ -7,22 +7,29 @@ that the links form.
 1. *Outer regions.* The outermost pivots are single shingles. A document lies
    at the same, least distance from each of its shingles and at distance 1 from
    all others; ties go by a global order, rare shingles first. Two documents
-   within the radius differ in at most a quarter of either set, so a document
-   is replicated to the regions of its first ``n - ceil(0.75 n) + 1`` shingles:
-   a linked pair meets in at least one. Most shingles stand in one document
-   only, and their regions close at once. Regions with the same members are
-   one region.
-2. *Pivots.* In every region a document is the pivot and the distance of all
-   members to it is computed from the full sets. Members within the radius
-   link to it and form its cell; they need no comparison with each other, as
-   they are in one class.
-3. *Windows.* By the triangle inequality a document of the cell can only link
-   to one outside at distance d from the pivot if its own distance is at least
-   ``d - RADIUS``. The documents outside and that boundary form the region of
-   the next round, which chooses its pivots among those outside. A region
-   closes when all its documents are in one class. Few documents left are
-   compared directly inside their windows; more than ``DIRECT`` choose
-   ``PIVOTS`` pivots at once. So a round never emits all pairs of a large group.
+   within the radius differ in at most a quarter of either set, so of a first
+   quarter and ``l`` shingles more, ``l`` at least are common. A document is
+   replicated to the regions of that many, with ``l`` about ``SPARE`` per cent
+   of its set: a linked pair meets in at least as many. Most shingles stand in
+   one document only, and their regions close at once. The others are divided
+   by bands of set sizes, two for each document, as sizes of linked documents
+   differ by a third at most. Documents left in fewer regions than any partner
+   would need leave the others too, again and again. Regions with the same
+   members are one region.
+2. *Cells.* Outer regions that share documents are one cell, so that a group of
+   copies is compared once and not in each of its regions; where such a chain
+   holds more than ``CHAIN`` documents, every region stays a cell of its own. A
+   cell of more than ``BLOCK`` documents is dealt into blocks, and every two
+   blocks meet in one group of rows: no group is larger than two blocks.
+3. *Voronoi regions.* Inside a group, pivots are chosen far from each other and
+   the distances of all documents to them are computed. Each document belongs
+   to the region of its nearest pivot. By the triangle inequality a document y
+   can only link to one of another pivot's region if its distance to that pivot
+   is at most its own least distance plus twice the radius, and at most the
+   region's largest distance plus the radius: inside these windows it is
+   replicated. Regions are joined again in the same way, until they are small
+   or overlap so much that joining them in turn would save less than half, and
+   then compared directly. Documents of one class need no comparison any more.
 
 Equal texts are collapsed first, and every text is shuffled once, into a table
 bucketed by a hash with which pairs are joined. Counts of shared shingles are
@@ -44,78 +51,65 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import ship_package, written
 from .components import components
 from .copies import distinct_texts
-from .text import WordHashes, shingle_set, slices
+from .shared import broadcast_if_small
+from .text import ShingleSets, slices
 
 # per cent of the union that two sets must share; the radius is what is left
 SHARED = 75
 RADIUS = (100 - SHARED) / 100
-# documents of a region that are compared directly, and pivots of a larger one
-DIRECT = 24
-PIVOTS = 16
-# documents of one batch of rows from which a shingle counts as frequent, and
-# the most frequent shingles that tasks know of; both only decide the order
-FREQUENT = 4
+# per cent of a set by which a document is replicated beyond what it may miss
+SPARE = 6
+# the most frequent shingles that tasks know of; they only decide the order
 KNOWN_FREQUENT = 1 << 18
-SALTS = 256
-
-
-class Sets:
-    """Shingle sets of texts."""
-
-    def __init__(self) -> None:
-        self.hashes = WordHashes()
-
-    def of(self, text: str) -> np.ndarray:
-        return shingle_set(self.hashes.of(text.encode("utf-8", "replace").lower().split()))
-
-
-def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles, sorted, and their counts: at most ``KNOWN_FREQUENT``."""
-    ship_package(texts.sparkSession)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = Sets()
-        for batch in batches:
-            own = [sets.of(t) for part in slices(batch) for t in part.column(0).to_pylist()]
-            values, n = np.unique(np.concatenate([np.empty(0, np.uint64), *own]), return_counts=True)
-            much = n >= FREQUENT
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(values[much].view(np.int64)), pa.array(n[much].astype(np.int64))],
-                ["shingle", "n"],
-            )
-
-    counts = texts.select("text").mapInArrow(count, "shingle long, n long")
+# documents of a chain of regions that may form one cell, and of one block of it
+CHAIN = 1 << 14
+BLOCK = 512
+# documents that are compared directly, and pivots of a larger region
+DIRECT = 48
+PIVOTS = 6
+
+
+def frequent_shingles(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles of batches, sorted, and their counts: at most ``KNOWN_FREQUENT``."""
+    pairs = table.where(F.col("often").isNotNull()).select(
+        F.explode(F.arrays_zip("often", "often_n")).alias("s")
+    )
     top = (
-        counts.groupBy("shingle")
-        .agg(F.sum("n").alias("n"))
+        pairs.groupBy(F.col("s.often").alias("shingle"))
+        .agg(F.sum("s.often_n").alias("n"))
         .orderBy(F.desc("n"), "shingle")
         .limit(KNOWN_FREQUENT)
-        .toPandas()
+        .toArrow()
     )
-    values = top["shingle"].to_numpy(np.int64).view(np.uint64)
+    values = top.column("shingle").to_numpy().view(np.uint64)
     order = np.argsort(values)
-    return values[order], top["n"].to_numpy(np.int64)[order]
+    return values[order], top.column("n").to_numpy()[order]
+
+
+def texts_of(table: DataFrame) -> DataFrame:
+    """The distinct texts that have shingles."""
+    return table.where(F.col("text").isNotNull())
 
 
-def outer_regions(texts: DataFrame) -> DataFrame:
+def outer_regions(table: DataFrame) -> DataFrame:
     """``pivot, h, n``: the single-shingle regions that a document is replicated to."""
-    shared = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts))
+    ship_package(table.sparkSession)
+    shared = table.sparkSession.sparkContext.broadcast(frequent_shingles(table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = Sets()
+        sets = ShingleSets()
         known, counts = shared.value
         for batch in batches:
             for part in slices(batch):
                 pivots, sizes = [], []
-                for text in part.column(1).to_pylist():
-                    own = sets.of(text)
+                for own in sets.of(part.column(1).to_pylist()):
                     n = len(own)
                     if len(known) and n:
                         at = np.minimum(np.searchsorted(known, own), len(known) - 1)
                         often = np.where(known[at] == own, counts[at], 0)
                         own = own[np.argsort(often, kind="stable")]
-                    first = n - -(-SHARED * n // 100) + 1 if n else 0
-                    pivots.append(own[:first])
+                    # what may be missing, and the spare ones
+                    pivots.append(own[: n - -(-SHARED * n // 100) + -(-SPARE * n // 100)])
                     sizes.append(n)
                 each = np.fromiter(map(len, pivots), np.int64, len(pivots))
                 flat = np.concatenate([np.empty(0, np.uint64), *pivots]).view(np.int64)
@@ -129,183 +123,222 @@ def outer_regions(texts: DataFrame) -> DataFrame:
                     ["pivot", "h", "n"],
                 )
 
-    return texts.select("h", "text").mapInArrow(run, "pivot long, h long, n int")
+    return texts_of(table).select("h", "text").mapInArrow(run, "pivot long, h long, n int")
 
 
-def first_regions(texts: DataFrame) -> DataFrame:
-    """``rid, h, n``: outer regions of two or more documents, equal ones once."""
-    same = Window.partitionBy("pivot")
-    rows = (
-        outer_regions(texts)
-        .withColumn("size", F.count("*").over(same))
-        .withColumn("members", F.sum(F.shiftright(F.xxhash64("h"), 16)).over(same))
-    )
-    rows = rows.where(F.col("size") > 1)
-    return rows.select(F.xxhash64("size", "members").alias("rid"), "h", "n").distinct()
-
-
-def compatible(a: Column, b: Column) -> Column:
-    """Sizes that leave a pair within the radius possible."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * SHARED
+def common_at_least(n: Column) -> Column:
+    """Fewest outer regions that a document of ``n`` shingles shares with a linked one."""
+    smaller = F.ceil(n * SHARED / 100)
+    return F.ceil(smaller * SPARE / 100)
 
 
-def distances(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``h, p, d, linked`` of distinct pairs, from the full sets."""
-    ship_package(texts.sparkSession)
-    # a pivot's pairs are gathered in parts, so that its text meets few rows of a hot pivot
-    salt = F.pmod(F.xxhash64("h"), F.lit(SALTS)).alias("salt")
-    packs = pairs.groupBy("p", salt).agg(F.collect_list("h").alias("hs"))
-    pivots = texts.select(F.col("h").alias("p"), F.col("text").alias("p_text"))
-    sent = packs.join(pivots, "p").select("p", "p_text", F.explode("hs").alias("h"))
-    both = sent.join(texts.select("h", "text"), "h").select("h", "p", "text", "p_text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = Sets()
-        for batch in batches:
-            for part in slices(batch):
-                held: dict[int, np.ndarray] = {}
-                h, p, text, p_text = (c.to_pylist() for c in part.columns)
-                shared, union = (np.empty(len(h), np.int64) for _ in range(2))
-                for n in range(len(h)):
-                    a, b = held.get(h[n]), held.get(p[n])
-                    if a is None:
-                        a = held[h[n]] = sets.of(text[n])
-                    if b is None:
-                        b = held[p[n]] = sets.of(p_text[n])
-                    small, large = (a, b) if len(a) < len(b) else (b, a)
-                    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                    shared[n] = np.count_nonzero(large[at] == small)
-                    union[n] = len(a) + len(b) - shared[n]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        part.column(1),
-                        pa.array(1 - shared / union),
-                        pa.array(100 * shared >= SHARED * union),
-                    ],
-                    ["h", "p", "d", "linked"],
-                )
+def not_alone(rows: DataFrame, *region: str) -> DataFrame:
+    """The rows of the regions that hold two documents or more."""
+    size = F.count("*").over(Window.partitionBy(*region))
+    return rows.withColumn("size", size).where(F.col("size") > 1).drop("size")
 
-    return both.mapInArrow(run, "h long, p long, d double, linked boolean")
 
+def banded(rows: DataFrame) -> DataFrame:
+    """Each row in its band of set sizes and as a guest in the next larger one.
 
-def cells(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """``rid, h, n, p, d, linked``: every member's distance to its region's pivot."""
-    pick = F.struct(F.xxhash64("h", F.lit(3)).alias("by"), F.col("h").alias("p"))
-    pivots = members.groupBy("rid").agg(F.min(pick)["p"].alias("p"))
-    placed = written(members.join(pivots, "rid"), "cells")
-    pairs = placed.where("h != p").select("h", "p").distinct()
-    found = written(distances(pairs, texts), "distances")
-    rows = placed.join(found, ["h", "p"], "left")
-    own = F.col("h") == F.col("p")
-    return rows.select(
-        "rid",
-        "h",
-        "n",
-        "p",
-        F.when(own, 0.0).otherwise(F.col("d")).alias("d"),
-        (own | F.col("linked")).alias("linked"),
+    Documents that can link are of one band or of neighbouring ones. Guests meet
+    each other in their own band, so a region of guests alone is dropped.
+    """
+    # a little wider than the ratio of sizes that a link allows
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(101 / SHARED))).cast("int")
+    places = F.array(
+        F.struct(band.alias("band"), F.lit(False).alias("guest")),
+        F.struct((band + 1).alias("band"), F.lit(True).alias("guest")),
     )
+    return rows.withColumn("place", F.explode(places)).select(*rows.columns, "place.*")
 
 
-def open_regions(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """``rid, h, n, d, c, out``: what is left to compare, with classes; ``out``: not the pivot's.
-
-    ``members`` has ``rid, h, n, p, d``. Documents of the pivot's class stay
-    only inside the window of one outside.
-    """
-    label = classes.select(F.col("node").alias("h"), F.col("label").alias("c"))
-    of_pivot = classes.select(F.col("node").alias("p"), F.col("label").alias("pc"))
-    rows = members.join(label, "h", "left").join(of_pivot, "p", "left")
-    rows = rows.select(
-        "rid", "h", "n", "p", "d", F.coalesce("c", "h").alias("c"), F.coalesce("pc", "p").alias("pc")
-    ).withColumn("out", F.col("c") != F.col("pc"))
-    nearest = (
-        rows.where("out").groupBy("rid").agg(F.min("d").alias("nearest"))
-    )
-    return rows.join(nearest, "rid").where(
-        F.col("out") | (F.col("d") >= F.col("nearest") - RADIUS - 1e-9)
-    ).select("rid", "h", "n", "p", "d", "c", "out")
+def with_hosts(rows: DataFrame) -> DataFrame:
+    """The rows of the banded regions in which two documents meet that are not both guests."""
+    region = Window.partitionBy("pivot", "band")
+    met = rows.withColumn("hosted", F.min("guest").over(region))
+    return not_alone(met.where(~F.col("hosted")).drop("hosted"), "pivot", "band")
 
 
-def next_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs to compare in this round, and the documents that are compared with all by it.
+def first_regions(table: DataFrame) -> DataFrame:
+    """``rid, m, h``: outer regions of two or more documents, equal ones once.
 
-    Small regions compare every pair of different classes inside the windows;
-    large ones a few pivots from outside with all members.
+    ``m`` is a document in one of its bands.
     """
-    sizes = rows.groupBy("rid").agg(F.count("*").alias("size"))
-    few = rows.join(sizes.where(F.col("size") <= DIRECT), "rid", "left_semi")
-    many = rows.join(sizes.where(F.col("size") > DIRECT), "rid", "left_semi")
-    pick = F.struct(F.xxhash64("h", F.lit(5)).alias("by"), "h")
-    pivots = (
-        many.where("out")
-        .groupBy("rid", F.pmod(F.xxhash64("h", F.lit(7)), F.lit(PIVOTS)).alias("part"))
-        .agg(F.min(pick)["h"].alias("h"))
-        .select("rid", "h")
+    rows = written(not_alone(outer_regions(table), "pivot"), "outer-regions")
+    rows = written(with_hosts(banded(rows)), "banded-regions")
+    before = rows.count()
+    while before:
+        enough = rows.groupBy("h", "band", "n").agg(F.count("*").alias("k"))
+        enough = enough.where(F.col("k") >= common_at_least(F.col("n"))).select("h", "band")
+        kept = rows.join(enough, ["h", "band"], "left_semi").select(*rows.columns)
+        rows = written(with_hosts(kept), "banded-regions")
+        after = rows.count()
+        if after > 0.9 * before:
+            break
+        before = after
+    same = Window.partitionBy("pivot", "band")
+    size, members = F.count("*").over(same), F.sum(F.shiftright(F.xxhash64("h"), 16)).over(same)
+    rid = F.xxhash64(size, members, F.col("band")).alias("rid")
+    return rows.select(rid, F.xxhash64("h", "band").alias("m"), "h").distinct()
+
+
+def blocks(regions: DataFrame) -> DataFrame:
+    """``cell, a, b, h``: the groups of rows in which documents meet."""
+    least = regions.groupBy("rid").agg(F.min("m").alias("lead"))
+    ties = regions.join(least, "rid").where("m != lead").select("m", "lead").distinct()
+    chains = written(components(ties, "m", "lead"), "chains")
+    sizes = chains.groupBy("label").agg(F.count("*").alias("size"))
+    short = chains.join(sizes.where(F.col("size") <= CHAIN), "label").withColumnRenamed("node", "m")
+    documents = regions.select("m", "h").distinct()
+    by_chain = short.join(documents, "m").select(F.col("label").alias("cell"), "h", "size")
+    rest = regions.join(short.select("m"), "m", "left_anti")
+    own = rest.groupBy("rid").agg(F.count("*").alias("size"))
+    by_region = rest.join(own, "rid").select(F.col("rid").alias("cell"), "h", "size")
+    placed = by_chain.unionByName(by_region)
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("h"), parts).cast("int"))
+    met = placed.select("cell", "h", "own", F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    return met.select(
+        "cell", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "h"
     )
-    chosen = few.where("out").select("rid", "h", "n", "d", "c").unionByName(
-        many.join(pivots, ["rid", "h"], "left_semi").select("rid", "h", "n", "d", "c")
-    )
-    a, b = chosen.alias("a"), rows.alias("b")
-    met = a.join(
-        b,
-        (F.col("a.rid") == F.col("b.rid"))
-        & (F.col("a.c") != F.col("b.c"))
-        & (F.abs(F.col("a.d") - F.col("b.d")) <= RADIUS + 1e-9)
-        & compatible(F.col("a.n"), F.col("b.n")),
-    )
-    pairs = met.select(F.greatest("a.h", "b.h").alias("h"), F.least("a.h", "b.h").alias("p"))
-    return pairs.distinct(), chosen.select("rid", "h")
-
-
-def links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links that span every class, and ``node, label`` of their components."""
-    members = written(cells(written(first_regions(texts), "regions"), texts), "members")
-    found = members.where("linked and h != p").select("h", "p").distinct()
-    found = written(found, "jaccard-links")
-    classes = written(components(found, "h", "p"), "classes")
-    while True:
-        rows = written(open_regions(members, classes), "open-regions")
-        if rows.isEmpty():
-            return found, classes
-        pairs, compared = next_pairs(rows)
-        new = written(distances(pairs, texts), "distances").where("linked").select("h", "p")
-        # a document compared with all of its region leaves it
-        members = written(
-            rows.join(compared, ["rid", "h"], "left_anti").select("rid", "h", "n", "p", "d"), "members"
-        )
-        found = written(found.unionByName(new), "jaccard-links")
-        classes = written(components(found, "h", "p"), "classes")
 
 
-def shingle_counts(texts: DataFrame) -> DataFrame:
-    """``of, n_shingles, least``: set size and smallest id of every distinct text."""
-    ship_package(texts.sparkSession)
+class MetricJoin:
+    """Links among the sets of one group, by recursive Voronoi regions."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets = sets
+        self.sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        # the inverted index: for each shingle the documents that hold it
+        flat = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(flat, kind="stable")
+        self.owner = owner[order]
+        values, self.begin, counts = np.unique(flat[order], return_index=True, return_counts=True)
+        self.end = self.begin + counts
+        at = np.empty(len(flat), np.int64)
+        at[order] = np.repeat(np.arange(len(values)), counts)
+        self.at = np.split(at, np.cumsum(self.sizes)[:-1])
+        self.parent = list(range(len(sets)))
+        self.links: list[tuple[int, int]] = []
+
+    def root(self, n: int) -> int:
+        while self.parent[n] != n:
+            self.parent[n] = self.parent[self.parent[n]]
+            n = self.parent[n]
+        return n
+
+    def shared(self, pivot: int) -> np.ndarray:
+        """Shingles that every document has in common with one."""
+        begin, end = self.begin[self.at[pivot]], self.end[self.at[pivot]]
+        each = end - begin
+        upto = np.cumsum(each)
+        rows = np.arange(int(upto[-1])) + np.repeat(begin - (upto - each), each)
+        return np.bincount(self.owner[rows], minlength=len(self.sets))
+
+    def distances(self, pivot: int, members: np.ndarray) -> np.ndarray:
+        """Distances of the members to a pivot; those within the radius are linked to it."""
+        shared = self.shared(pivot)[members]
+        union = self.sizes[members] + self.sizes[pivot] - shared
+        for n in members[(100 * shared >= SHARED * union) & (members != pivot)].tolist():
+            a, b = self.root(n), self.root(pivot)
+            if a != b:
+                self.parent[max(a, b)] = min(a, b)
+                self.links.append((n, pivot))
+        return 1 - shared / union
+
+    def one_class(self, members: np.ndarray) -> bool:
+        first = self.root(int(members[0]))
+        return all(self.root(n) == first for n in members.tolist())
+
+    def join(self, members: np.ndarray) -> None:
+        if len(members) < 2 or self.one_class(members):
+            return
+        if len(members) <= DIRECT:
+            self.compare(members)
+            return
+        # each pivot is the document farthest from those before it
+        pivot = int(members[np.argmax(self.sizes[members])])
+        pivots, to = [pivot], self.distances(pivot, members)[:, None]
+        while len(pivots) < PIVOTS and to.min(1).max() > 0:
+            pivots.append(int(members[np.argmax(to.min(1))]))
+            to = np.c_[to, self.distances(pivots[-1], members)]
+        nearest, least = to.argmin(1), to.min(1)
+        regions = []
+        for k in range(len(pivots)):
+            reach = least[nearest == k].max(initial=0.0)
+            window = np.minimum(least + 2 * RADIUS, reach + RADIUS) + 1e-9
+            # the pivots have met all others
+            inside = ((nearest == k) | (to[:, k] <= window)) & ~np.isin(members, pivots)
+            regions.append(members[inside])
+        # joining regions in turn must save at least half of all comparisons
+        if 2 * sum(len(r) ** 2 for r in regions) <= len(members) ** 2:
+            for region in regions:
+                self.join(region)
+        else:
+            self.compare(members)
+
+    def compare(self, members: np.ndarray) -> None:
+        """Every member with those before it, until all are of one class."""
+        for n in range(1, len(members)):
+            self.distances(int(members[n]), members[:n])
+            if n % DIRECT == 0 and self.one_class(members):
+                return
+
+
+def links(table: DataFrame) -> DataFrame:
+    """``h, p``: links that span every class."""
+    groups = blocks(written(first_regions(table), "regions"))
+    texts = texts_of(table).select("h", "text")
+    rows = groups.join(texts, "h").select("cell", "a", "b", "h", "text")
+    partitions = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(partitions, "cell", "a", "b").sortWithinPartitions("cell", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = Sets()
+        sets = ShingleSets()
+
+        def joined(h: list[int], own: list[np.ndarray]) -> tuple[list[int], list[int]]:
+            if len(h) < 2:
+                return [], []
+            group = MetricJoin(own)
+            group.join(np.arange(len(h)))
+            return [h[a] for a, _ in group.links], [h[b] for _, b in group.links]
+
+        key, h, own = None, [], []
         for batch in batches:
             for part in slices(batch):
-                n = [len(sets.of(t)) for t in part.column(2).to_pylist()]
+                left, right = [], []
+                cell, a, b, ids = (part.column(n).to_pylist() for n in range(4))
+                found = sets.of(part.column(4).to_pylist())
+                for n, here in enumerate(zip(cell, a, b, strict=True)):
+                    if here != key:
+                        more = joined(h, own)
+                        left, right = left + more[0], right + more[1]
+                        key, h, own = here, [], []
+                    h.append(ids[n])
+                    own.append(found[n])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(n, pa.int64())],
-                    ["of", "least", "n_shingles"],
+                    [pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["h", "p"]
                 )
+        left, right = joined(h, own)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["h", "p"]
+        )
 
-    own = texts.select(F.col("h").alias("of"), F.col("id").alias("least"), "text")
-    return own.mapInArrow(run, "of long, least long, n_shingles long")
+    return rows.mapInArrow(run, "h long, p long")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, of, n_shingles, component_id`` for every row of ``docs``.
+    """``id, key, n_shingles, component_id, first`` for every row of ``docs``.
 
-    ``of`` is a hash that equal texts share.
+    ``key`` is the MD5 of the text. ``first`` marks the row or rows that stand
+    for their class: those of its smallest id, and of one text where a class
+    has null ids alone. Rows without words stand for themselves.
     """
-    table = distinct_texts(docs, id_col, text_col, 1)
-    texts = table.where(F.col("text").isNotNull() & (F.col("n_words") > 0))
-    _, classes = links(texts)
-    own = written(shingle_counts(texts), "shingle-counts")
+    table = distinct_texts(docs, id_col, text_col)
+    classes = written(components(written(links(table), "jaccard-links"), "h", "p"), "classes")
+    own = texts_of(table).select("of", "n_shingles", F.col("id").alias("least"))
     label = classes.select(F.col("node").alias("of"), "label")
     labelled = written(own.join(label, "of", "left"), "labelled")
     # only classes of several texts have a label
@@ -313,12 +346,34 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.min("least").alias("component")
     )
     by_text = labelled.join(least, "label", "left").select(
-        "of", "n_shingles", F.coalesce("component", "least").alias("component_id")
+        "of",
+        F.when(F.col("label").isNull(), F.col("least")).otherwise(F.col("component")).alias("c"),
+        (F.col("label").isNull() | (F.col("of") == F.col("label"))).alias("leads"),
     )
-    rows = table.select("of", "id")
-    return rows.join(by_text, "of", "left").select(
+    rows = table.select("of", "id", "key", "n_shingles").join(by_text, "of", "left")
+    alone, leading = F.col("n_shingles") == 0, F.col("id").eqNullSafe(F.col("c"))
+    return rows.select(
         "id",
-        "of",
-        F.coalesce("n_shingles", F.lit(0).cast("long")).alias("n_shingles"),
-        F.when(F.col("n_shingles").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
+        "key",
+        "n_shingles",
+        F.when(alone, F.col("id")).otherwise(F.col("c")).alias("component_id"),
+        (alone | F.when(F.col("c").isNull(), F.col("leads")).otherwise(leading)).alias("first"),
+    )
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stand for their class, with all their columns.
+
+    Repeated rows of one id and text stay once; rows without words all stay.
+    """
+    classes = written(near_classes(docs, id_col, text_col), "near-classes")
+    rows = classes.where("n_shingles > 0").groupBy("id", "key").agg(
+        F.count("*").alias("n"), F.max("first").alias("first")
+    )
+    gone = broadcast_if_small(
+        rows.where("n > 1 or not first").select("id", "key", "first"), "near-gone", 128
     )
+    key = F.md5(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    same = docs[id_col].cast("long").eqNullSafe(gone["id"]) & (key == gone["key"])
+    repeats = docs.join(gone.where("first"), same, "left_semi")
+    return docs.join(gone, same, "left_anti").unionByName(repeats.dropDuplicates([id_col, text_col]))
