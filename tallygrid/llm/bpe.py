@@ -78,13 +78,14 @@ class Tables:
 def read_tables(path: str | Path) -> Tables:
     """Tables of a BPE file with NFC, lower case and word ends; others are refused."""
     spec = json.loads(Path(path).read_text(encoding="utf-8"))
-    model = spec["model"]
-    steps = [s["type"] for s in spec["normalizer"]["normalizers"]]
-    splitter, to_bytes = spec["pre_tokenizer"]["pretokenizers"]
-    if (model["type"], steps, to_bytes["type"], spec["decoder"]) != (
+    model, before = spec["model"], spec["normalizer"] or {}
+    steps = [s["type"] for s in before.get("normalizers", [])]
+    splits = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    kinds = [s["type"] for s in splits]
+    if (model["type"], steps, kinds, spec["decoder"]) != (
         "BPE",
         ["NFC", "Replace", "Lowercase"],
-        "ByteLevel",
+        ["Split", "ByteLevel"],
         None,
     ):
         raise ValueError(f"{path}: another kind of tokenizer")
@@ -99,7 +100,7 @@ def read_tables(path: str | Path) -> Tables:
     return Tables(
         tokens=tokens,
         specials=specials,
-        pieces=piece_patterns(splitter["pattern"]["Regex"]),
+        pieces=piece_patterns(splits[0]["pattern"]["Regex"]),
         first=np.array([vocab[s] for s in symbols], np.int64),
         last=np.array([vocab[s + end] for s in symbols], np.int64),
         keys=keys[order],
@@ -260,10 +261,11 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return map_batches(encoded.select("id", "ids"), make, "id long, ids array<int>, text string")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """Counts and hashes of ids and decoded texts."""
+def digests(decoded: DataFrame, *others: str) -> DataFrame:
+    """Counts and hashes of ids and decoded texts, and the other columns named."""
     return decoded.select(
         F.col("id").alias("doc_id"),
+        *others,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
         F.sha2("text", 256).alias("decoded_sha256"),

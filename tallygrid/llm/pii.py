@@ -223,15 +223,20 @@ def expectation_maximisation(
 ) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of "personal" by pattern, and each labeler's P(vote | class).
 
-    Starts from the majority of the votes, which fixes which class is which.
-    Add-one smoothing keeps labelers that always agree from certainty.
+    Starts from the majority of the votes. No labeler counts as worse than
+    chance: where a "yes" came out likelier for what is not personal (or a "no"
+    for what is), both classes get the pooled probability. So the classes cannot
+    change places. Add-one smoothing keeps labelers that always agree from certainty.
     """
     post = np.clip(0.5 + opinions.sum(1) / (2 * opinions.shape[1]), 0.05, 0.95)
     for _ in range(rounds):
         by_class = np.stack([1 - post, post]) * n
         prior = (by_class.sum(1) + 1) / (n.sum() + 2)
         says = np.stack([(by_class @ (opinions == v)) + 1 for v in (-1, 0, 1)])
+        pooled = says.sum(1) / says.sum((0, 1))
         says /= says.sum(0)
+        for v, wrong in ((2, says[2, 1] < says[2, 0]), (0, says[0, 1] > says[0, 0])):
+            says[v][:, wrong] = pooled[v, wrong]
         logs = np.log(prior)[:, None] + sum(
             np.log(says[v + 1]) @ (opinions == v).T for v in (-1, 0, 1)
         )
@@ -242,7 +247,7 @@ def expectation_maximisation(
     return post, says
 
 
-def logistic(x: np.ndarray, target: np.ndarray, n: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+def logistic(x: np.ndarray, target: np.ndarray, n: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     """Weights by Newton's method; ``target`` holds soft labels, ``n`` how often they occur."""
     w, n = np.zeros(x.shape[1]), n / n.mean()
     for _ in range(30):

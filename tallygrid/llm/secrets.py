@@ -52,7 +52,9 @@ REACH = 48
 CONTEXT = 256
 NOVELTY = 0.55
 DICTIONARY_WORDS = 4096
-IDENTIFIER = re.compile(rb"[A-Za-z_][A-Za-z0-9_]{2,}")
+# letters alone, as random keys are mixed with digits; and fewest occurrences
+IDENTIFIER = re.compile(rb"[A-Za-z_]{3,}")
+LEAST_OCCURRENCES = 5
 # distinct identifiers a task holds before it hands its counts on
 HELD = 300_000
 
@@ -95,6 +97,7 @@ def identifier_dictionary(docs: DataFrame, text_col: str = "text") -> bytes:
     """Raw dictionary content: code words, then identifiers, the most frequent last."""
     top = (
         identifier_counts(docs, text_col)
+        .where(F.col("n") >= LEAST_OCCURRENCES)
         .orderBy(F.desc("n"), "word")
         .limit(DICTIONARY_WORDS)
         .collect()
