@@ -11,8 +11,10 @@ over a text's margins (largest, top three, mean, shares above steps) is its scor
 class in the order of a hash of their ids; smaller classes are taken whole.
 Segments are chosen like a covering dictionary, best contrast first, skipping
 what a chosen segment already holds; contrasts as weak as the best reverse one
-are noise and stay out. The curve is calibrated on texts whose dictionary was
-trained on the other half of the sample, weighted to the true class shares.
+are noise and stay out. Each half of the sample trains a pair of dictionaries,
+whose curve is calibrated on the other half, weighted to the true class shares;
+a text's score is the mean of both. So the curve always belongs to margins of
+unseen texts under the very dictionaries that it is used with.
 
 Cases: a null or empty text has no windows and gets the score of zero margins;
 labels that are null are ignored, repeated labels of an id count once (toxic if
@@ -134,7 +136,9 @@ class Margins:
 
 
 @dataclass(frozen=True)
-class ToxicityModel:
+class Calibrated:
+    """A pair of dictionaries and the curve that was fitted to their margins."""
+
     dictionaries: Dictionaries
     centre: np.ndarray
     scale: np.ndarray
@@ -145,6 +149,21 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+@dataclass(frozen=True)
+class ToxicityModel:
+    parts: tuple[Calibrated, ...]
+
+
+class Scorer:
+    """Mean score of a model's parts; built in the task, as compressors do not travel."""
+
+    def __init__(self, model: ToxicityModel):
+        self.parts = [(Margins(p.dictionaries), p) for p in model.parts]
+
+    def of(self, texts: list[str]) -> np.ndarray:
+        return np.mean([p.scores(margins.of(texts)) for margins, p in self.parts], axis=0)
+
+
 def curve(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 0.01):
     """Centre, scale and weights of a logistic curve by Newton's method; ``n`` are weights."""
     n = n / n.sum()
@@ -235,17 +254,12 @@ def covering(rows: list[tuple[float, bytes]], size: int, floor: float) -> list[b
     return out
 
 
-def dictionaries(
-    counts: DataFrame, sizes: dict[str, int], folds: tuple[int, ...], prose: bytes
-) -> Dictionaries:
-    """Both dictionaries from the counts of the given folds."""
-    def total(group: str) -> Column:
-        return sum((F.col(f"{group}{f}") for f in folds[1:]), F.col(f"{group}{folds[0]}"))
-
-    size = {g: sum(sizes.get(f"{g}{f}", 0) for f in folds) for g in "to"}
+def dictionaries(counts: DataFrame, sizes: dict[str, int], fold: int, prose: bytes) -> Dictionaries:
+    """Both dictionaries from the counts of one fold."""
     best = {}
     for a, b in ("to", "ot"):
-        score = contrast(total(a), size[a], total(b), size[b])
+        own, other = f"{a}{fold}", f"{b}{fold}"
+        score = contrast(F.col(own), sizes[own], F.col(other), sizes[other])
         rows = counts.select(score.alias("score"), "segment").where(F.col("score") > 0)
         top = rows.orderBy(F.desc("score"), "segment").limit(SEGMENT_BYTES).collect()
         best[a] = [(r.score, bytes(r.segment)) for r in top]
@@ -288,14 +302,9 @@ def fit(
     sizes = {f"{'ot'[r.toxic]}{r.fold}": r["count"] for r in groups}
     share = totals.get(1, 0) / max(sum(totals.values()), 1)
     odds = np.log(max(share, 1e-9) / max(1 - share, 1e-9))
-    nothing = ToxicityModel(
-        Dictionaries(b" " * 8, b" " * 8),
-        np.zeros(FEATURES),
-        np.ones(FEATURES),
-        np.r_[odds, np.zeros(FEATURES)],
-    )
-    if not all(any(f"{g}{f}" in sizes for f in (0, 1)) for g in "to"):
-        return nothing
+    if not all(f"{g}{f}" in sizes for f in (0, 1) for g in "to"):
+        level = (np.zeros(FEATURES), np.ones(FEATURES), np.r_[odds, np.zeros(FEATURES)])
+        return ToxicityModel((Calibrated(Dictionaries(b" " * 8, b" " * 8), *level),))
     counts = written(segment_counts(sample), "toxicity-segments")
     pieces = (
         sample.where("toxic = 0")
@@ -306,16 +315,14 @@ def fit(
     )
     each = PROSE_BYTES // max(len(pieces), 1)
     prose = b" ".join(p.text.encode()[:each] for p in pieces)
-    folds = (0, 1)
-    x, y = [], []
-    for fold in folds:
-        pair = dictionaries(counts, sizes, (1 - fold,), prose)
+    parts = []
+    for fold in (0, 1):
+        pair = dictionaries(counts, sizes, 1 - fold, prose)
         rows = features(sample.where(F.col("fold") == fold).select("text", "toxic"), pair).collect()
-        x += [r.features for r in rows]
-        y += [r.toxic for r in rows]
-    x, y = np.array(x), np.array(y, float)
-    weight = np.where(y == 1, totals[1] / max(y.sum(), 1), totals[0] / max((1 - y).sum(), 1))
-    return ToxicityModel(dictionaries(counts, sizes, folds, prose), *curve(x, y, weight))
+        x, y = np.array([r.features for r in rows]), np.array([r.toxic for r in rows], float)
+        weight = np.where(y == 1, totals[1] / y.sum(), totals[0] / (1 - y).sum())
+        parts.append(Calibrated(pair, *curve(x, y, weight)))
+    return ToxicityModel(tuple(parts))
 
 
 def score(
@@ -324,10 +331,10 @@ def score(
     """``id`` and ``score`` (0 to 1) for every row of ``docs``."""
 
     def make():
-        margins = Margins(model.dictionaries)
+        scorer = Scorer(model)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = model.scores(margins.of(batch.column(1).to_pylist()))
+            found = scorer.of(batch.column(1).to_pylist())
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["id", "score"])
 
         return each
@@ -342,11 +349,11 @@ def without_toxic(
     ship_package(docs.sparkSession)
 
     def run(batches):
-        margins = Margins(model.dictionaries)
+        scorer = Scorer(model)
         for batch in batches:
             for part in slices(batch):
                 texts = part.column(part.schema.get_field_index(text_col)).to_pylist()
-                keep = model.scores(margins.of([t or "" for t in texts])) < threshold
+                keep = scorer.of([t or "" for t in texts]) < threshold
                 yield part.filter(pa.array(keep))
 
     kept = docs.withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
