@@ -65,6 +65,12 @@ def initial(shape: Shape, frequency: np.ndarray, seed: int = 7) -> np.ndarray:
     return flat
 
 
+# largest logarithm before normalisation: its exponential still fits a float
+MOST = np.float32(60)
+# rows of the output layer that are computed at once
+ROWS = 1 << 16
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     np.negative(x, out=x)
     np.exp(x, out=x)
@@ -80,6 +86,14 @@ def lanes(lengths: np.ndarray, most: int) -> Iterator[np.ndarray]:
         yield order[at : at + most]
 
 
+def pieces(begins: np.ndarray, lengths: np.ndarray, most: int):
+    """Texts cut into runs of at most ``most`` symbols: begins, lengths, and which open a text."""
+    counts = -(-lengths // most)
+    place = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    left = np.repeat(lengths, counts) - place * most
+    return np.repeat(begins, counts) + place * most, np.minimum(left, most), place == 0
+
+
 def grid(flat: np.ndarray, begins: np.ndarray, lengths: np.ndarray, start: int, steps: int):
     """Symbols of the lanes in steps ``start`` and after, by step, and how many lanes go on."""
     steps = min(steps, int(lengths[0]) - start)
@@ -125,10 +139,10 @@ class Network:
         rows = np.arange(len(symbols))
         logits = states @ w["class_out"]
         logits += w["class_bias"]
-        logits -= logits.max(1, keepdims=True)
+        np.minimum(logits, MOST, out=logits)
         own = logits[rows, classes]
         np.exp(logits, out=logits)
-        total = logits.sum(1)
+        total = logits @ np.ones(shape.classes, np.float32)
         out = own - np.log(total)
         if grad is not None:
             g = shape.split(grad)
@@ -146,11 +160,11 @@ class Network:
             h, m = states[mine], members[mine]
             inner = h @ w["member_out"][c]
             inner += w["member_bias"][c]
-            inner -= inner.max(1, keepdims=True)
+            np.minimum(inner, MOST, out=inner)
             at = np.arange(len(mine))
             chosen = inner[at, m]
             np.exp(inner, out=inner)
-            total = inner.sum(1)
+            total = inner @ np.ones(shape.members, np.float32)
             out[mine] += chosen - np.log(total)
             if grad is not None:
                 inner /= -total[:, None]
@@ -160,18 +174,30 @@ class Network:
                 back[mine] += inner @ w["member_out"][c].T
         return (out, back) if grad is not None else out
 
-    def score(self, flat: np.ndarray, begins: np.ndarray, lengths: np.ndarray, most=2048, steps=32):
-        """Natural log-probability of every text, state carried through all of it."""
+    def score(self, flat: np.ndarray, begins: np.ndarray, lengths: np.ndarray, most=2048, cells=65536):
+        """Natural log-probability of every text, state carried through all of it.
+
+        The fewer lanes go on, the more steps a window has.
+        """
         out = np.zeros(len(lengths))
         for group in lanes(lengths, most):
             size, first = lengths[group], begins[group]
             state = np.zeros((len(group), self.shape.state), np.float32)
             before = np.full(len(group), self.shape.symbols)
-            for start in range(0, int(size[0]), steps):
+            start = 0
+            while start < size[0]:
+                steps = max(cells // np.searchsorted(-size, -start, side="left"), 1)
                 symbols, active = grid(flat, first, size, start, steps)
+                start += len(active)
                 seen, _, before, state = self.steps(symbols, active, before, state, False)
                 flat_symbols = np.concatenate([symbols[t, :k] for t, k in enumerate(active)])
-                values = self.loglik(np.concatenate(seen), flat_symbols)
+                states = np.concatenate(seen)
+                values = np.concatenate(
+                    [
+                        self.loglik(states[n : n + ROWS], flat_symbols[n : n + ROWS])
+                        for n in range(0, len(states), ROWS)
+                    ]
+                )
                 lane = np.concatenate([np.arange(k) for k in active])
                 out[group] += np.bincount(lane, values, len(group))
         return out
@@ -183,7 +209,12 @@ class Network:
         grad = np.zeros_like(self.flat)
         g = shape.split(grad)
         flat_symbols = np.concatenate([symbols[t, :k] for t, k in enumerate(active)])
-        values, back = self.loglik(np.concatenate(seen), flat_symbols, grad)
+        states = np.concatenate(seen)
+        parts = [
+            self.loglik(states[n : n + ROWS], flat_symbols[n : n + ROWS], grad)
+            for n in range(0, len(states), ROWS)
+        ]
+        values, back = (np.concatenate(p) for p in zip(*parts, strict=True))
         ends = np.cumsum(active)
         later = np.zeros((0, n), np.float32)
         d_inputs, at_inputs = [], []
@@ -211,7 +242,8 @@ class Trainer:
     """Adam over the windows of batches of texts; one for each task and round."""
 
     LANES = 512
-    STEPS = 16
+    STEPS = 32
+    PIECE = 512
 
     def __init__(self, network: Network, rate: float = 0.01):
         self.network, self.rate = network, rate
@@ -219,12 +251,17 @@ class Trainer:
         self.updates = self.symbols = 0
 
     def learn(self, flat: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> None:
-        """One pass over the texts, gradients cut at the end of each window."""
+        """One pass over the texts, gradients cut at the end of each window.
+
+        Long texts are learned from in pieces side by side, so that lanes stay
+        full; a piece begins with the symbol before it and an empty state.
+        """
         net, enough = self.network, self.LANES * self.STEPS // 4
+        begins, lengths, opening = pieces(begins, lengths, self.PIECE)
         for group in lanes(lengths, self.LANES):
             size, begin = lengths[group], begins[group]
             state = np.zeros((len(group), net.shape.state), np.float32)
-            before = np.full(len(group), net.shape.symbols)
+            before = np.where(opening[group], net.shape.symbols, flat[begin - 1])
             for start in range(0, int(size[0]), self.STEPS):
                 symbols, active = grid(flat, begin, size, start, self.STEPS)
                 grad, values, before, state = net.gradient(symbols, active, before, state)

@@ -33,20 +33,22 @@ from ..session import ship_package, written
 from .gru import Network, Shape, Trainer, initial
 from .text import id_and_text, slices, words_of
 
-SHAPE = Shape()
+SHAPE = Shape(state=16)
 # symbols that are words or the end; the rest are groups of words
 HEAD = SHAPE.symbols // 2
 GROUPS = SHAPE.symbols - HEAD
 ENDING = 3
 # words whose counts every task may hold
-KNOWN = 1 << 21
+KNOWN = 1 << 20
 ROUNDS = 3
 # a task with few texts repeats them until it made so many updates in a round
-LEAST_UPDATES = 150
+LEAST_UPDATES = 40
 # words a task remembers before it begins anew
-REMEMBERED = 600_000
+REMEMBERED = 250_000
+# words held as objects at once
+AT_ONCE = 100_000
 # text that runs in lanes together
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 16 << 20
 END = b" "
 
 
@@ -133,14 +135,16 @@ def word_model(counts: DataFrame) -> WordModel:
             least = n + 1
             break
     known = counts.where(F.col("n") >= least).select("word", "n").toArrow()
-    words, n = (known.column(c).to_numpy() for c in ("word", "n"))
-    by = np.argsort(words)
+    # the head is always known
+    words = np.r_[known.column("word").to_numpy(), np.array([r.word for r in [*ends, *top]], np.int64)]
+    n = np.r_[known.column("n").to_numpy(), np.array([r.n for r in [*ends, *top]], np.int64)]
+    words, by = np.unique(words, return_index=True)
     return WordModel(
         total=int(sums.n or 0),
         distinct=int(sums.v),
         head=head,
         place=place,
-        words=words[by],
+        words=words,
         counts=n[by],
         group_total=np.log10(mass[HEAD:] + 0.5 * (types[HEAD:] + 1)),
         frequency=mass[order],
@@ -148,6 +152,18 @@ def word_model(counts: DataFrame) -> WordModel:
     )
 
 
+class Rows(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __init__(self) -> None:
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        row = self[word] = len(self)
+        self.fresh.append(word)
+        return row
+
+
 class Reader:
     """Turns texts into symbols; remembers words between batches."""
 
@@ -158,7 +174,7 @@ class Reader:
         self._forget()
 
     def _forget(self) -> None:
-        self.rows: dict[bytes, int] = {}
+        self.rows = Rows()
         self.hash, self.group, self.place, self.count = (np.empty(0, np.int64) for _ in range(4))
         self.in_head = np.empty(0, bool)
 
@@ -172,8 +188,6 @@ class Reader:
         if len(m.words):
             at = np.minimum(np.searchsorted(m.words, h), len(m.words) - 1)
             count = np.where(m.words[at] == h, m.counts[at], -1)
-        base = len(self.rows)
-        self.rows.update((w, base + n) for n, w in enumerate(words))
         self.hash, self.group = np.r_[self.hash, h], np.r_[self.group, group]
         self.place, self.count = np.r_[self.place, m.place[symbol]], np.r_[self.count, count]
         self.in_head = np.r_[self.in_head, in_head]
@@ -182,17 +196,25 @@ class Reader:
         """Rows of the remembered words for all tokens, and the number of tokens by text."""
         if len(self.rows) > REMEMBERED:
             self._forget()
-        words, lengths = [], np.empty(len(texts), np.int64)
+        found, words = [], []
+        lengths = np.empty(len(texts), np.int64)
         for n, text in enumerate(texts):
             own = words_of(text)
             own.append(END)
             words += own
             lengths[n] = len(own)
-        fresh = [w for w in dict.fromkeys(words) if w not in self.rows]
-        if fresh:
-            self._learn(fresh)
-        look = self.rows.__getitem__
-        return np.fromiter(map(look, words), np.int64, len(words)), lengths
+            if len(words) > AT_ONCE:
+                found.append(self._rows_of(words))
+                words = []
+        found.append(self._rows_of(words))
+        return np.concatenate(found), lengths
+
+    def _rows_of(self, words: list[bytes]) -> np.ndarray:
+        found = np.fromiter(map(self.rows.__getitem__, words), np.int32, len(words))
+        if self.rows.fresh:
+            self._learn(self.rows.fresh)
+            self.rows.fresh = []
+        return found
 
 
 def begins_of(lengths: np.ndarray) -> np.ndarray:
@@ -289,7 +311,8 @@ def score(
                 left = np.flatnonzero(~known)
                 text = np.repeat(np.arange(len(lengths)), lengths)
                 pairs, times = np.unique(
-                    text[left] * len(reader.hash) + rows[left], return_counts=True
+                    text[left] * len(reader.hash) + rows[left].astype(np.int64),
+                    return_counts=True,
                 )
                 row, of = pairs % len(reader.hash), pairs // len(reader.hash)
                 offsets = np.searchsorted(of, np.arange(len(lengths) + 1)).astype(np.int32)
