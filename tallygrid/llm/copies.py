@@ -83,7 +83,7 @@ def _distinct_in_batch(docs: DataFrame) -> DataFrame:
         "h long, of long, id long, key string, text string, n_shingles long, "
         "often array<long>, often_n array<long>"
     )
-    return map_batches(docs, make, schema, limit=32 << 20)
+    return map_batches(docs, make, schema, limit=12 << 20)
 
 
 def distinct_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
