@@ -179,6 +179,16 @@ oracle(
     """SELECT sensor_id, date, hour, any_value(count) AS count
        FROM (SELECT DISTINCT * FROM archive_t) GROUP BY sensor_id, date, hour HAVING count(*) = 1""",
 )
+for _name, _from in {
+    "csv_portal_counts": "raw_t WHERE count IS NOT NULL",
+    "csv_mixed_order": "raw_t WHERE count IS NOT NULL",
+    "csv_archive_counts": "archive_t",
+}.items():
+    oracle(
+        _name,
+        f"""SELECT sensor_id, date, hour, min(count) AS count FROM {_from}
+            GROUP BY sensor_id, date, hour HAVING min(count) = max(count)""",
+    )
 oracle(
     "conflict_report",
     """SELECT count(*) AS keys, min(date) AS first_date, max(date) AS last_date
@@ -262,6 +272,22 @@ oracle(
     "calendar",
     "SELECT * REPLACE (CAST(CAST(school_term AS INTEGER) AS DOUBLE) AS school_term) FROM calendar_t",
 )
+oracle(
+    "odd_calendar",
+    """WITH d AS (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date
+                  FROM line_t),
+            h AS (SELECT DISTINCT date FROM line_t WHERE strftime(date, '%m-%d') = '01-26'),
+            e AS (SELECT l_returnflag AS flag, min(date) AS s FROM line_t GROUP BY l_returnflag, year(date))
+       SELECT d.date, CASE WHEN h.date IS NOT NULL THEN 'Australia Day; Survival Day' END AS holiday_name,
+              h.date IS NOT NULL AS is_holiday,
+              CAST(CASE WHEN EXISTS (SELECT 1 FROM term_t WHERE y = year(d.date))
+                   THEN EXISTS (SELECT 1 FROM term_t WHERE d.date BETWEEN first_day AND last_day)
+              END AS INTEGER)::DOUBLE AS school_term,
+              EXISTS (SELECT 1 FROM e WHERE flag = 'A' AND d.date BETWEEN s AND s + 2) AS event_flag_a,
+              EXISTS (SELECT 1 FROM e WHERE flag = 'N' AND d.date BETWEEN s AND s + 2) AS event_flag_n,
+              false AS event_flag_r
+       FROM d LEFT JOIN h USING (date)""",
+)
 STEPS["near_holiday_t"] = """
     SELECT *, EXISTS (SELECT 1 FROM holiday_t h WHERE h.date = c.date + 1
                       AND h.date <= (SELECT max(date) FROM day_t)) AS day_before_holiday,
@@ -431,7 +457,6 @@ STEPS["baseline_t"] = """
            count(p.count) AS baseline_weeks
     FROM ship_t t LEFT JOIN ship_t p
       ON p.sensor_id = t.sensor_id AND p.hour = t.hour AND t.date - p.date IN (35, 42, 49, 56)
-    WHERE t.date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'
     GROUP BY t.sensor_id, t.date, t.hour, t.count"""
 oracle(
     "seasonal_baseline",
@@ -511,13 +536,13 @@ def _features(target: str, weather: str) -> str:
     LEFT JOIN season_change_t s ON s.doy = dayofyear(t.date)"""
 
 
-STEPS["target_t"] = """
-    SELECT * FROM sound_t WHERE date BETWEEN DATE '1997-01-01' AND DATE '2001-06-30'"""
+STEPS["target_t"] = "SELECT * FROM sound_t"
 STEPS["feature_t"] = _features("target_t", "order_view_t")
 STEPS["coming_t"] = """
     SELECT sensor_id, CAST(d AS DATE) AS date, CAST(h AS TINYINT) AS hour, CAST(NULL AS INTEGER) AS count
-    FROM place_t, unnest(generate_series(DATE '2001-11-05', DATE '2001-11-18', INTERVAL 1 DAY)) x(d),
-         unnest(range(4)) y(h)"""
+    FROM place_t, unnest((SELECT generate_series(max(date) + 1, max(date) + 14, INTERVAL 1 DAY)
+                          FROM ship_t)) x(d),
+         unnest([0, 6, 12, 18]) y(h)"""
 STEPS["coming_weather_t"] = f"""
     SELECT f.date, w.hour, {', '.join(f'avg(w.{v}) AS {v}' for v in VIEW)}
     FROM (SELECT DISTINCT date FROM coming_t) f
@@ -579,11 +604,27 @@ oracle(
     f"""SELECT f.sensor_id, f.date, {r6('sum(f.lag_35)', 'forecast')},
                {r6('sum(f.baseline)', 'typical')}, {r6('max(f.temperature)', 'max_temp')},
                {r6('sum(f.precipitation_mm)', 'rain_mm')},
-               {r6('CASE WHEN sum(f.baseline) > 0 THEN sum(f.lag_35) / sum(f.baseline) - 1 END', 'change')},
+               {r6('CASE WHEN sum(f.baseline) > 0 THEN sum(f.lag_35) FILTER (f.baseline IS NOT NULL) / sum(f.baseline) - 1 END', 'change')},
                any_value(c.holiday_name) AS holiday_name
         FROM coming_feature_t f LEFT JOIN calendar_t c ON c.date = f.date
         GROUP BY f.sensor_id, f.date""",
 )
+oracle(
+    "backtest",
+    f"""WITH rows_2000 AS (SELECT * FROM feature_t WHERE date BETWEEN DATE '2000-01-01' AND DATE '2000-12-31')
+        SELECT sensor_id, date, hour, CAST(count AS DOUBLE) AS count, {r6('baseline')},
+               (SELECT count(*) FROM rows_2000 e WHERE e.date < date_trunc('month', r.date)) AS train_rows,
+               true AS has_forecast
+        FROM rows_2000 r WHERE month(date) >= 11""",
+)
+oracle(
+    "day_ahead",
+    f"""SELECT f.sensor_id, f.date, {r6('sum(f.baseline)', 'typical')},
+               {r6('max(f.temperature)', 'max_temp')}, {r6('sum(f.precipitation_mm)', 'rain_mm')},
+               any_value(c.holiday_name) AS holiday_name, true AS has_forecast
+        FROM coming_feature_t f LEFT JOIN calendar_t c ON c.date = f.date
+        GROUP BY f.sensor_id, f.date""",
+)
 oracle(
     "backtest_folds",
     f"""WITH rows_2000 AS (SELECT * FROM feature_t WHERE date BETWEEN DATE '2000-01-01' AND DATE '2000-12-31')
@@ -625,7 +666,7 @@ oracle(
                    FROM baseline_t WHERE baseline IS NOT NULL GROUP BY date),
              w AS (SELECT date, max(temperature) AS max_temp, sum(precipitation_mm) AS rain_mm
                    FROM order_view_t GROUP BY date)
-        SELECT date, strftime(date, '%a') AS weekday, {r6('change')},
+        SELECT date, strftime(date, '%A') AS weekday, {r6('change')},
                {_signed('change')} AS actual_vs_baseline, {r6_all('wape', 'max_temp', 'rain_mm')},
                holiday_name
         FROM d JOIN w USING (date) JOIN calendar_t c USING (date)
@@ -743,20 +784,20 @@ STEPS["study_t"] = """
            coalesce(p.note LIKE '%Pushbox%', false) AS upgraded
     FROM sensor_day_t d LEFT JOIN kind_t k USING (sensor_id) LEFT JOIN place_t p USING (sensor_id)"""
 DAY_GROUPS = {
-    "Mon + Fri": {"Mon": "1/2", "Fri": "1/2"},
-    "Tue–Thu": {"Tue": "1/3", "Wed": "1/3", "Thu": "1/3"},
-    "Weekend": {"Sat": "1/2", "Sun": "1/2"},
+    "Mon + Fri": {"Mon": "0.5", "Fri": "0.5"},
+    "Tue–Thu": {"Tue": "1 / 3.0", "Wed": "1 / 3.0", "Thu": "1 / 3.0"},
+    "Weekend": {"Sat": "0.5", "Sun": "0.5"},
 }
-GAP = {"gap": {"Mon": "1/2", "Fri": "1/2", "Tue": "-1/3", "Wed": "-1/3", "Thu": "-1/3"}}
+GAP = {"gap": {"Mon": "0.5", "Fri": "0.5", "Tue": "-1 / 3.0", "Wed": "-1 / 3.0", "Thu": "-1 / 3.0"}}
 DAYS = {d: {d: "1"} for d in ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")}
 
 
 def _weights(contrasts: dict[str, dict[str, str]]) -> str:
     rows = []
     for name, days in contrasts.items():
-        rows.append(f"('{name}', 17, CAST({' + '.join(f'({w}.0)' for w in days.values())} AS DOUBLE))")
+        rows.append(f"('{name}', 17, CAST({' + '.join(f'({w})' for w in days.values())} AS DOUBLE))")
         rows += [
-            f"('{name}', {18 + OTHER_DAYS.index(d)}, CAST({w}.0 AS DOUBLE))"
+            f"('{name}', {18 + OTHER_DAYS.index(d)}, CAST({w} AS DOUBLE))"
             for d, w in days.items()
             if d != "Wed"
         ]

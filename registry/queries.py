@@ -6,8 +6,10 @@ delivered; the operators themselves never round.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from datetime import date
+from datetime import date, timedelta
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -20,15 +22,12 @@ from tallygrid.operators import scoring, season, sensor_days as sd, series, weat
 from tallygrid.operators.model import TreeSettings
 from tallygrid.plans import analysis, forecast
 from tallygrid.plans import tables as t
-from tallygrid.session import written
-from tallygrid.sources.count_files import typed_counts
+from tallygrid.session import shared_dir, written
+from tallygrid.sources.count_files import read_count_files, typed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-BASELINE_SPAN = (date(1996, 1, 1), date(2000, 12, 31))
-DATASET_SPAN = (date(1997, 1, 1), date(2001, 6, 30))
-FUTURE_SPAN = (date(2001, 11, 5), date(2001, 11, 18))
 GRID_SPAN = (date(1995, 1, 1), date(2001, 11, 1))
 BATCH_START = date(2000, 6, 1)
 TODAY = date(2002, 1, 10)
@@ -54,6 +53,18 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 # --- ingest and cleaning ---------------------------------------------------------
 
 
+@cache
+def span(spark, d):
+    """First and last date of the stored counts."""
+    return tuple(t.stored_counts(spark, d).agg(F.min("date"), F.max("date")).first())
+
+
+def coming_days(spark, d):
+    """The two weeks behind the newest count."""
+    newest = span(spark, d)[1]
+    return newest + timedelta(1), newest + timedelta(14)
+
+
 def plain_counts(spark, d):
     return t.stored_counts(spark, d).drop("month")
 
@@ -77,6 +88,43 @@ def clean_archive_counts(spark, d):
     return clean.one_per_key(typed_counts(t.archive_text(spark, d)))
 
 
+def as_files(spark, rows, name):
+    """The rows as CSV files in the shared folder, the way the service publishes them."""
+    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    rows.write.option("header", True).option("escape", '"').csv(folder)
+    return folder
+
+
+@query
+def csv_portal_counts(spark, d):
+    """Text files of the portal layout, written, found, read and cleaned."""
+    files = as_files(spark, t.raw_counts(spark, d), "portal-files")
+    return clean.one_per_key(read_count_files(spark, files))
+
+
+@query
+def csv_archive_counts(spark, d):
+    """Text files of the archive layout."""
+    files = as_files(spark, t.archive_text(spark, d), "archive-files")
+    return clean.one_per_key(read_count_files(spark, files))
+
+
+@query
+def csv_mixed_order(spark, d):
+    """Files whose columns stand in different orders, and dates and numbers with blanks or slashes."""
+    rows = t.raw_counts(spark, d)
+    odd = F.col("location_id").cast("int") % 2 == 1
+    turned = rows.where(odd).select(
+        F.lit("x").alias("Note"),
+        F.col("pedestriancount").alias("PedestrianCount"),
+        F.concat(F.lit(" "), "hourday", F.lit(" ")).alias("HourDay"),
+        F.concat(F.lit(" "), F.translate("sensing_date", "-", "/")).alias("Sensing Date"),
+        F.col("location_id").alias("Location ID"),
+    )
+    folders = [as_files(spark, rows.where(~odd), "even-files"), as_files(spark, turned, "odd-files")]
+    return clean.one_per_key(read_count_files(spark, folders))
+
+
 @query
 def conflict_report(spark, d):
     return clean.conflict_report(raw(spark, d))
@@ -189,6 +237,13 @@ def calendar(spark, d):
     )
 
 
+@query
+def odd_calendar(spark, d):
+    """Events that no list names, two holidays on a day, an interval that ends before it starts."""
+    days = t.stored(spark, d, t.odd_calendar)
+    return days.withColumn("school_term", F.col("school_term").cast("double"))
+
+
 @query
 def holiday_neighbours(spark, d):
     return cal.with_holiday_neighbours(t.stored_calendar(spark, d)).select(
@@ -318,7 +373,7 @@ def temperature_effect(spark, d):
 
 
 def baseline_rows(spark, d):
-    return features.seasonal_baseline(t.stored_counts(spark, d), *BASELINE_SPAN, t.SHIP)
+    return features.seasonal_baseline(t.stored_counts(spark, d), *span(spark, d), t.SHIP)
 
 
 @query
@@ -344,7 +399,7 @@ def dataset_rows(spark, d):
         t.stored_calendar(spark, d),
         t.stored_weather(spark, d),
         season.season_index(counts, t.SHIP),
-        *DATASET_SPAN,
+        *span(spark, d),
         t.SHIP,
     )
 
@@ -357,13 +412,13 @@ def feature_dataset(spark, d):
 def future_rows(spark, d):
     counts = t.stored_counts(spark, d)
     view = t.stored_weather(spark, d)
-    days = cal.day_spine(spark, *FUTURE_SPAN)
+    days = cal.day_spine(spark, *coming_days(spark, d))
     return features.build_dataset(
         counts,
         t.stored_calendar(spark, d),
         weather.typical_weather(view, days),
         season.season_index(counts, t.SHIP),
-        *FUTURE_SPAN,
+        *coming_days(spark, d),
         t.SHIP,
         future=t.sensors(spark, d).withColumnRenamed("location_id", "sensor_id"),
     )
@@ -577,7 +632,15 @@ def backtest_rows(spark, d):
 
 @query
 def backtest(spark, d):
-    return t.stored(spark, d, backtest_rows)
+    """Targets, folds and whether the prediction is one; its value depends on the trees."""
+    results = t.stored(spark, d, backtest_rows)
+    fine = F.col("model").isNotNull() & (F.col("model") >= 0)
+    return rounded(
+        results.select(
+            "sensor_id", "date", "hour", F.col("count").cast("double"), "baseline", "train_rows",
+            fine.alias("has_forecast"),
+        )
+    )
 
 
 @query
@@ -595,12 +658,13 @@ def backtest_folds(spark, d):
 
 
 def small_model(spark, d):
+    """A small model trained to the newest count."""
     return forecast.train_model(
         t.stored_counts(spark, d),
         t.stored_calendar(spark, d),
         t.stored_weather(spark, d),
         TRAIN_START,
-        TEST_SPAN[1],
+        span(spark, d)[1],
         t.SHIP,
         settings=SMALL_TREES,
     )
@@ -614,13 +678,14 @@ def feature_importance(spark, d):
 @query
 def day_ahead(spark, d):
     view = t.stored_weather(spark, d)
-    days = cal.day_spine(spark, *FUTURE_SPAN)
+    days = cal.day_spine(spark, *coming_days(spark, d))
     _, daily = forecast.forecast_days(
         small_model(spark, d),
         t.stored_counts(spark, d),
         t.stored_calendar(spark, d),
         weather.typical_weather(view, days),
         t.sensors(spark, d).withColumnRenamed("location_id", "sensor_id"),
-        *FUTURE_SPAN,
+        *coming_days(spark, d),
     )
-    return daily
+    fine = F.col("forecast").isNotNull() & (F.col("forecast") >= 0)
+    return rounded(daily.withColumn("has_forecast", fine).drop("forecast", "change"))

@@ -46,7 +46,6 @@ CALENDAR_DAYS_AHEAD = 90
 # --- fixed values: sensors and periods of the study ------------------------------
 STUDY_SENSORS = (2, 3, 4, 5, 17, 18, 19, 20, 21, 23, 24, 30, 36, 40, 52, 53, 56, 58)
 MOVED_SENSORS = (6, 47)
-STEP_EXAMPLE_SENSORS = (4, 6)
 STUDY_LATITUDES = (-37.8200, -37.8090)
 STUDY_LONGITUDES = (144.9520, 144.9745)
 MIN_COVERAGE = 0.9
@@ -118,9 +117,9 @@ HOUR_WINDOWS = {
     "evening": (19, 23),
 }
 DAY_GROUPS = {
-    "Mon + Fri": {"Mon": 1 / 2, "Fri": 1 / 2},
+    "Mon + Fri": {"Mon": 0.5, "Fri": 0.5},
     "Tue–Thu": {"Tue": 1 / 3, "Wed": 1 / 3, "Thu": 1 / 3},
-    "Weekend": {"Sat": 1 / 2, "Sun": 1 / 2},
+    "Weekend": {"Sat": 0.5, "Sun": 0.5},
 }
 OFFICE_RATIO = 1.3
 OFFICE_CLASS = "office"

@@ -32,7 +32,7 @@ def archive_timestamp(text: Column | str) -> Column:
     The first characters tell the layouts apart: trying one that does not fit
     costs an exception per row.
     """
-    raw = F.col(text) if isinstance(text, str) else text
+    raw = F.trim(F.col(text) if isinstance(text, str) else text)
     named, iso, spaced, slashed = (F.try_to_timestamp(raw, F.lit(f)) for f in ARCHIVE_TIME_FORMATS)
     return (
         F.when(raw.rlike("^[A-Za-z]"), named)

@@ -11,9 +11,10 @@ from ..functions.text import normal_name
 
 
 def day_spine(spark: SparkSession, start: date, end: date) -> DataFrame:
-    """Every day from ``start`` to ``end``, both included."""
-    return spark.range(1).select(
-        F.explode(F.sequence(F.lit(start), F.lit(end), F.expr("interval 1 day"))).alias("date")
+    """Every day from ``start`` to ``end``, both included; none if the end comes first."""
+    last = max(start, end)
+    return spark.range(int(start <= end)).select(
+        F.explode(F.sequence(F.lit(start), F.lit(last), F.expr("interval 1 day"))).alias("date")
     )
 
 
@@ -28,9 +29,10 @@ def days_spanned(rows: DataFrame, day: str = "date", ahead: int = 0) -> DataFram
 def days_inside(intervals: DataFrame, *keep: str) -> DataFrame:
     """The distinct days covered by [start, end] intervals.
 
-    Turns "day between start and end" into an equi join on the day.
+    Turns "day between start and end" into an equi join on the day. An interval
+    that ends before it starts covers no day.
     """
-    return intervals.select(
+    return intervals.where("start <= end").select(
         *keep,
         F.explode(F.sequence("start", "end", F.expr("interval 1 day"))).alias("date"),
     ).distinct()
@@ -41,14 +43,17 @@ def build_calendar(
     holidays: DataFrame,
     terms: DataFrame,
     events: DataFrame,
-    event_names: Sequence[str],
+    event_names: Sequence[str] = (),
 ) -> DataFrame:
     """Days with holiday name and flag, school term, one flag per event.
 
     ``school_term`` is NULL for years the term table does not list: unknown,
-    not "on holidays". ``event_names`` fixes the flag columns, so no job is
-    needed to learn them.
+    not "on holidays". Several holidays of a day are named in order, joined by
+    "; ". The flag columns are those of ``event_names`` and then of any other
+    event in the table, which one look at its few names decides.
     """
+    found = [r.event for r in events.select("event").distinct().orderBy("event").collect() if r.event]
+    event_names = tuple(dict.fromkeys([*event_names, *found]))
     year = F.array(F.make_date("year", F.lit(1), F.lit(1)), F.make_date("year", F.lit(12), F.lit(31)))
     listed = terms.select("year").distinct().select(
         F.explode(F.sequence(year[0], year[1], F.expr("interval 1 day"))).alias("date")
@@ -65,17 +70,18 @@ def build_calendar(
     for flag, marked in facts.items():
         rows = rows.unionByName(marked.withColumn(flag, F.lit(True)), allowMissingColumns=True)
     by_day = rows.groupBy("date").agg(
-        F.min("holiday_name").alias("holiday_name"),
+        F.array_join(F.array_sort(F.collect_set("holiday_name")), "; ").alias("holiday_name"),
         *[F.bool_or(flag).alias(flag) for flag in facts],
         *[
             F.coalesce(F.bool_or(F.col("event") == name), F.lit(False)).alias(event_column(name))
             for name in event_names
         ],
     )
+    name = F.when(F.col("holiday_name") != "", F.col("holiday_name"))
     return by_day.where("is_day").select(
         "date",
-        "holiday_name",
-        F.col("holiday_name").isNotNull().alias("is_holiday"),
+        name.alias("holiday_name"),
+        name.isNotNull().alias("is_holiday"),
         F.when(F.col("listed"), F.coalesce("in_term", F.lit(False))).alias("school_term"),
         *[event_column(name) for name in event_names],
     )

@@ -90,7 +90,7 @@ def future_rows(sensors: DataFrame, start: date, end: date, params: Params) -> D
     ``sensors`` has one row per sensor; days and hours come from exploded
     sequences, so there is no cross join.
     """
-    hours = F.array(*[F.lit(h).cast("tinyint") for h in range(params.slots_per_day)])
+    hours = F.array(*[F.lit(h).cast("tinyint") for h in params.day_hours])
     return (
         sensors.select(F.col("sensor_id").cast("int"))
         .distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import fixed
-from ..functions.dates import day_type, in_base, in_recent, in_scope, of_sensors, period, weekday
+from ..functions.dates import day_type, in_base, in_recent, in_scope, period, weekday
 from ..functions.numbers import ratio, right_closed
 from ..params import Params
 
@@ -26,7 +26,7 @@ def weekday_level(counts: DataFrame, params: Params) -> DataFrame:
     """
     number = weekday("date")
     return (
-        of_sensors(counts, params)
+        in_scope(counts, params)
         .groupBy(number.alias("dow"))
         .agg(
             F.avg(F.when(in_base(params), F.col("count"))).alias("mean_base"),

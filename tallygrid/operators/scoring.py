@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed
-from ..functions.dates import weekday_name
 from ..functions.joins import measured
 from ..functions.numbers import ratio
 from ..functions.text import signed_percent
@@ -123,7 +122,7 @@ def worst_baseline_days(
         .join(calendar.select("date", "holiday_name"), "date")
         .select(
             "date",
-            weekday_name("date").alias("weekday"),
+            F.date_format("date", "EEEE").alias("weekday"),
             change.alias("change"),
             signed_percent(change).alias("actual_vs_baseline"),
             "wape",

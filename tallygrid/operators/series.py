@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.dates import between_days, month_start, of_sensors, week_end
-from ..functions.joins import measured
+from ..functions.dates import in_base, month_start, of_sensors, week_end
 from ..functions.numbers import ratio
 from ..params import Params
 
@@ -13,22 +12,21 @@ from ..params import Params
 def indexed_series(counts: DataFrame, params: Params) -> DataFrame:
     """Mean index per day, each sensor first set to its own base-year mean = 100.
 
-    Only whole days count. Counts shrink to one row per sensor-day before they
-    meet the base means.
+    Only whole days count. Counts shrink to one row per sensor-day, from which
+    the base means are summed too, so the counts are read once.
     """
-    own = of_sensors(counts, params)
+    days = of_sensors(counts, params).groupBy("sensor_id", "date").agg(
+        F.sum("count").alias("total"), F.count("count").alias("known"), F.count("*").alias("rows")
+    )
     base = (
-        between_days(own, params.base_start, params.base_end)
+        days.where(in_base(params))
         .groupBy("sensor_id")
-        .agg(F.avg("count").alias("base_mean"))
-    )
-    days = (
-        own.groupBy("sensor_id", "date")
-        .agg(F.avg("count").alias("day_mean"), F.count("*").alias("rows"))
-        .where(F.col("rows") == params.slots_per_day)
+        .agg(ratio(F.sum("total"), F.sum("known")).alias("base_mean"))
     )
+    whole = days.where(F.col("rows") == params.slots_per_day)
     return (
-        days.join(measured(base, "base-means"), "sensor_id")
+        whole.withColumn("day_mean", ratio(F.col("total"), F.col("known")))
+        .join(base, "sensor_id")
         .withColumn("own_index", ratio(100 * F.col("day_mean"), F.col("base_mean")))
         .groupBy("date")
         .agg(F.avg("own_index").alias("index"), F.count("*").alias("sensors"))

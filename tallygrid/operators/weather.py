@@ -58,13 +58,16 @@ def weather_view(weather_hourly: DataFrame) -> DataFrame:
     )
 
 
-def hourly_view(counts: DataFrame, weather: DataFrame) -> DataFrame:
+def hourly_view(counts: DataFrame, weather: DataFrame, measure: bool = True) -> DataFrame:
     """Counts with the weather of their hour, NULL where none is stored.
 
-    Weather has one row per hour whatever the number of sensors; measured and
-    broadcast, it leaves the counts where they are.
+    Weather has one row per hour whatever the number of sensors. ``measure``
+    writes it and broadcasts it if it is small, which leaves the counts where
+    they are; without it nothing is written, so the view follows its tables.
     """
-    hours = measured(weather.select("date", "hour", *VIEW_COLUMNS), "weather")
+    hours = weather.select("date", "hour", *VIEW_COLUMNS)
+    if measure:
+        hours = measured(hours, "weather")
     return (
         counts.select("sensor_id", "date", "hour", "count")
         .join(hours, ["date", "hour"], "left")

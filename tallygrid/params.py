@@ -30,6 +30,8 @@ class Params:
     recent_hours: int = fixed.RECENT_HOURS
 
     slots_per_day: int = fixed.SLOTS_PER_DAY
+    # the hours of a whole day; None: 0 up to slots_per_day
+    hours: tuple[int, ...] | None = None
     daytime_hours: tuple[int, int] = fixed.DAYTIME_HOURS
     fault_min_rows: int = fixed.FAULT_MIN_ROWS
     smooth_days: int = fixed.SMOOTH_DAYS
@@ -55,6 +57,8 @@ class Params:
             raise ValueError(
                 f"lags {too_fresh} would use counts newer than {self.min_lag} days"
             )
+        if len(self.day_hours) != self.slots_per_day:
+            raise ValueError(f"{self.slots_per_day} slots a day, but hours {self.day_hours}")
         if self.recent_end < self.recent_start:
             raise ValueError("the recent period ends before it starts")
 
@@ -70,6 +74,10 @@ class Params:
     def base_end(self) -> date:
         return date(self.base_year, 12, 31)
 
+    @property
+    def day_hours(self) -> tuple[int, ...]:
+        return tuple(range(self.slots_per_day)) if self.hours is None else self.hours
+
     @property
     def all_lags(self) -> tuple[int, ...]:
         return tuple(sorted({*self.baseline_lags, *self.single_lags, self.year_lag}))

@@ -34,6 +34,7 @@ SHIP = Params(
     recent_hours=731 * 4,
     min_coverage=0.5,
     slots_per_day=4,
+    hours=(0, 6, 12, 18),
     fault_min_rows=2,
     season_years=(1996, 1998),
     event_names=EVENT_NAMES,
@@ -47,21 +48,6 @@ SHIP = Params(
     office_ratio=1.0,
 )
 
-# January 2024 only: its first two weeks are the base, the rest is recent
-WEB = Params(
-    sensors=None,
-    base_year=2023,
-    recent_start=date(2024, 1, 1),
-    recent_end=date(2024, 1, 31),
-    min_lag=7,
-    baseline_lags=(7, 14, 21),
-    single_lags=(7, 14),
-    year_lag=28,
-    season_years=(2024, 2024),
-    event_names=EVENT_NAMES,
-)
-
-
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -272,6 +258,33 @@ def calendar(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def odd_calendar(spark: SparkSession, folder: str) -> DataFrame:
+    """A calendar of shipments with what the other one lacks.
+
+    Its events are named by the data alone, one of them ends before it starts,
+    and every 26 January has two holidays.
+    """
+    lines = read(spark, folder, "lineitem").select(F.to_date("l_shipdate").alias("date"), "l_returnflag")
+    length = F.when(F.col("l_returnflag") == "R", -1).otherwise(2)
+    happenings = (
+        lines.groupBy(
+            F.concat(F.lit("Flag "), F.lower("l_returnflag")).alias("event"),
+            F.year("date").alias("year"),
+            length.alias("length"),
+        )
+        .agg(F.min("date").alias("start"))
+        .select("event", "start", F.expr("date_add(start, length)").alias("end"))
+    )
+    twice = lines.select("date").distinct().where("date_format(date, 'MM-dd') = '01-26'")
+    names = F.explode(F.array(F.lit("Survival Day"), F.lit("Australia Day")))
+    return build_calendar(
+        days_spanned(lines),
+        twice.select("date", names.alias("holiday_name")),
+        terms(spark, folder),
+        happenings,
+    )
+
+
 _stored: dict[tuple[str, str, str], DataFrame] = {}
 
 

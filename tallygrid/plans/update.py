@@ -17,6 +17,7 @@ from ..params import Params
 from ..session import written
 from ..sources import reference_files, store
 from ..sources.count_files import read_count_files
+from ..sources.schemas import HOLIDAYS
 
 log = logging.getLogger(__name__)
 
@@ -37,7 +38,7 @@ class Landing:
 def update(
     spark: SparkSession, root: str, landing: Landing, today: date, params: Params = Params()
 ) -> DataFrame:
-    """Load what is new, rebuild the small tables, return the summary by source.
+    """Load what is new, rebuild the small tables and views, return the summary by source.
 
     The archive is loaded once; live data and weather only for the windows that
     ``refresh_windows`` asks for.
@@ -72,10 +73,8 @@ def update(
         store.replace_table(
             spark, root, "weather_hourly", incremental.upsert_weather(base, rows)
         )
-    if landing.holidays:
-        store.replace_table(
-            spark, root, "calendar", _calendar(spark, landing, plan, params)
-        )
+    store.replace_table(spark, root, "calendar", _calendar(spark, landing, plan, params))
+    create_views(spark, root)
     return incremental.dataset_summary(store.read_counts(spark, root))
 
 
@@ -110,7 +109,7 @@ def create_views(spark: SparkSession, root: str) -> None:
         "counts": counts.drop("month"),
         "weather_hourly": weather_hourly,
         "weather": weather,
-        "hourly": hourly_view(counts, weather),
+        "hourly": hourly_view(counts, weather, measure=False),
     }
     for name in ("sensors", "calendar"):
         if store.has_table(spark, root, name):
@@ -130,9 +129,14 @@ def _calendar(spark: SparkSession, landing: Landing, plan, params: Params) -> Da
         if landing.events
         else reference_files.known_events(spark)
     )
+    holidays = (
+        reference_files.read_holidays(spark, landing.holidays)
+        if landing.holidays
+        else spark.createDataFrame([], HOLIDAYS)
+    )
     return build_calendar(
         day_spine(spark, plan.calendar_start, plan.calendar_end),
-        reference_files.read_holidays(spark, landing.holidays),
+        holidays,
         terms,
         events,
         params.event_names,

@@ -121,7 +121,8 @@ def _plain(uri: str) -> str:
 
 def _iso_date(text: Column) -> Column:
     # a bare year or year-month would otherwise be read as its first day
-    return F.when(text.rlike(r"^\s*\d{4}-\d{1,2}-\d{1,2}"), text.try_cast("date"))
+    day = F.replace(F.trim(text), F.lit("/"), F.lit("-"))
+    return F.when(day.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), day.try_cast("date"))
 
 
 def _unique(names: Iterable[str]) -> list[str]:

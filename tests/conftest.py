@@ -36,11 +36,20 @@ def make_counts(spark):
     return make
 
 
-@pytest.fixture
-def numbered(make_counts):
-    """One sensor, one hour; the count of each day is its number."""
+def level(day: date) -> int:
+    """A made-up count for a day: distinct for a year, neither linear nor ordered."""
+    return (day.toordinal() * 37) % 1009 + 20
+
 
-    def make(days, start=date(2025, 1, 1)):
-        return make_counts([(4, start + timedelta(d), 9, d) for d in range(days)]), start
+@pytest.fixture
+def leveled(make_counts):
+    """One sensor at two hours with ``level`` as its count, the later hour half of it."""
+
+    def make(days, start=date(2033, 2, 7), sensor=71):
+        rows = []
+        for n in range(days):
+            day = start + timedelta(n)
+            rows += [(sensor, day, 6, level(day)), (sensor, day, 18, level(day) // 2)]
+        return make_counts(rows), start
 
     return make

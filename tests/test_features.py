@@ -12,7 +12,10 @@ from tallygrid.operators import features, season
 from tallygrid.operators.weather import VIEW_COLUMNS
 from tallygrid.params import Params
 
+from conftest import level
+
 ONE = Params(sensors=(4,))
+SITE = Params(sensors=(71,))
 
 
 @pytest.fixture
@@ -59,18 +62,20 @@ def test_too_fresh_lags_are_refused():
         Params(baseline_lags=(28, 35))
 
 
-def test_features_look_back_35_days_or_more(spark, numbered, plain_calendar):
-    counts, start = numbered(120)
-    day = start + timedelta(100)
+def test_lags_reach_back_whole_weeks_and_no_fresher(spark, leveled, plain_calendar):
+    counts, start = leveled(90)
+    day = start + timedelta(70)
     rows = features.build_dataset(
-        counts, plain_calendar(start, start + timedelta(120)), no_weather(spark), flat_season(spark), day, day, ONE
+        counts, plain_calendar(start, start + timedelta(90)), no_weather(spark), flat_season(spark), day, day, SITE
     )
-    row = rows.first()
-    assert rows.count() == 1 and row["count"] == 100
-    assert (row.lag_35, row.lag_42, row.lag_364) == (65.0, 58.0, None)
-    assert row.baseline == (65 + 58 + 51 + 44) / 4
-    assert row.dow == 5 and row.doy == 101  # Friday 11 April 2025, Sunday = 0
-    assert row.school_term == 0.0 and row.is_holiday == 0.0 and row.temperature is None
+    got = {r.hour: r for r in rows.collect()}
+    past = {lag: level(day - timedelta(lag)) for lag in (0, 35, 42, 49, 56)}
+    assert sorted(got) == [6, 18] and got[6]["count"] == past[0]
+    assert (got[6].lag_35, got[6].lag_42, got[6].lag_364) == (past[35], past[42], None)
+    assert got[18].lag_42 == past[42] // 2
+    assert got[6].baseline == pytest.approx(sum(past[lag] for lag in (35, 42, 49, 56)) / 4)
+    assert got[6].dow == day.isoweekday() % 7 and got[6].doy == day.timetuple().tm_yday
+    assert got[6].school_term is None and got[6].temperature is None
 
 
 def test_baseline_matches_a_brute_force_over_gaps(spark, make_counts):
@@ -105,20 +110,27 @@ def test_fault_days_are_neither_target_nor_history(spark, make_counts, plain_cal
     assert last.lag_42 is None and last.lag_35 == 10.0  # 42 days before was dead
 
 
-def test_future_rows_have_features_but_no_count(spark, numbered, plain_calendar):
-    counts, start = numbered(120)
-    day = start + timedelta(130)
-    values = [(day, h, *[1.0] * 7) for h in range(24)]
+def test_coming_hours_are_those_of_the_day(spark, leveled, plain_calendar):
+    counts, start = leveled(60)
+    first, last = start + timedelta(63), start + timedelta(64)
+    params = SITE.with_(slots_per_day=2, hours=(6, 18))
     names = ["date date", "hour tinyint", *[f"{c} double" for c in VIEW_COLUMNS]]
-    supplied = spark.createDataFrame(values, ", ".join(names))
+    supplied = spark.createDataFrame([(first, 18, *[3.5] * 7)], ", ".join(names))
     rows = features.build_dataset(
-        counts, plain_calendar(start, day, holidays=[day]), supplied, flat_season(spark), day, day, ONE,
-        future=spark.createDataFrame([(4,)], "sensor_id int"),
+        counts, plain_calendar(start, last, holidays=[last]), supplied, flat_season(spark), first, last, params,
+        future=spark.createDataFrame([(71,)], "sensor_id int"),
     )
-    got = {r.hour: r for r in rows.collect()}
-    assert sorted(got) == list(range(24)) and all(r["count"] is None for r in got.values())
-    assert got[9].lag_35 == 95.0 and got[9].temperature == 1.0 and got[9].is_holiday == 1.0
-    assert got[10].lag_35 is None
+    got = {(r.date, r.hour): r for r in rows.collect()}
+    assert sorted(got) == [(d, h) for d in (first, last) for h in (6, 18)]
+    assert all(r["count"] is None and r.baseline is not None for r in got.values())
+    assert got[first, 6].lag_35 == level(first - timedelta(35))
+    assert got[first, 18].temperature == 3.5 and got[first, 6].temperature is None
+    assert (got[first, 6].is_holiday, got[last, 6].is_holiday) == (0.0, 1.0)
+
+
+def test_hours_and_slots_must_agree():
+    with pytest.raises(ValueError, match="slots"):
+        Params(slots_per_day=4, hours=(0, 12))
 
 
 def pandas_season(days: pd.DataFrame) -> pd.Series:

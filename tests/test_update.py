@@ -1,13 +1,13 @@
-"""The update run from landed files to views, and the landing stream."""
+"""The update run from landed files to views."""
 
 import json
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import functions as F
 
-from tallygrid.plans.update import Landing, create_views, update
+from tallygrid.plans.update import Landing, update
 from tallygrid.sources import store
-from tallygrid.streaming.landing import load_landed
 
 HEADER = "location_id,sensing_date,hourday,pedestriancount\n"
 
@@ -55,9 +55,10 @@ def test_update_builds_and_then_only_adds(spark, tmp_path):
     assert by_day[29] == 7 and 30 not in by_day and by_day[31] == 7
     assert store.read_counts(spark, root).where(F.col("source") == "historic").count() == 15
 
-    create_views(spark, root)
+    # the views were renewed by the second run
     row = spark.sql("SELECT * FROM hourly WHERE date = '2025-10-16' AND hour = 8").first()
     assert row["count"] == 500 and row.temperature == 11.0
+    assert spark.sql("SELECT * FROM counts WHERE date = '2025-10-31'").count() == 2
     assert spark.catalog.tableExists("calendar") and spark.catalog.tableExists("weather")
 
 
@@ -73,16 +74,10 @@ def test_month_pruning_reaches_the_scan(spark, tmp_path, make_counts):
     assert "PartitionFilters" in plan and "month" in plan.split("PartitionFilters")[1][:300]
 
 
-def test_stream_loads_each_file_once(spark, tmp_path):
-    folder, root = tmp_path / "drop", str(tmp_path / "lake")
-    folder.mkdir()
-    progress = str(tmp_path / "progress")
-    (folder / "a.csv").write_text(portal(["2025-10-01", "2025-10-02"], 3))
-    load_landed(spark, str(folder), root, progress=progress).awaitTermination()
-    assert store.read_counts(spark, root).count() == 4
-    (folder / "b.csv").write_text(portal(["2025-10-02", "2025-10-03"], 4))
-    load_landed(spark, str(folder), root, progress=progress).awaitTermination()
-    load_landed(spark, str(folder), root, progress=progress).awaitTermination()
-    got = {(r.date.day, r["count"]) for r in store.read_counts(spark, root).collect()}
-    assert got == {(1, 3), (2, 4), (3, 4)}
-    assert store.read_log(spark, root).count() == 2
+def test_calendar_is_built_without_a_holiday_file(spark, tmp_path):
+    root, landing = str(tmp_path / "lake"), landing_zone(tmp_path)
+    (tmp_path / "events.csv").write_text("event,start,end,note\nwhite_night,2025-03-01,2025-03-02,x\n")
+    update(spark, root, replace(landing, holidays=None, events=str(tmp_path / "events.csv")), date(2025, 11, 1))
+    days = {r.date: r for r in store.read_table(spark, root, "calendar").collect()}
+    assert days[date(2025, 3, 2)].event_white_night and not days[date(2025, 3, 3)].event_white_night
+    assert not any(r.is_holiday for r in days.values())
