@@ -36,13 +36,14 @@ def make_counts(spark):
     return make
 
 
-def level(day: date) -> int:
+@pytest.fixture
+def level():
     """A made-up count for a day: distinct for a year, neither linear nor ordered."""
-    return (day.toordinal() * 37) % 1009 + 20
+    return lambda day: (day.toordinal() * 37) % 1009 + 20
 
 
 @pytest.fixture
-def leveled(make_counts):
+def leveled(make_counts, level):
     """One sensor at two hours with ``level`` as its count, the later hour half of it."""
 
     def make(days, start=date(2033, 2, 7), sensor=71):

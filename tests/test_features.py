@@ -12,8 +12,6 @@ from tallygrid.operators import features, season
 from tallygrid.operators.weather import VIEW_COLUMNS
 from tallygrid.params import Params
 
-from conftest import level
-
 ONE = Params(sensors=(4,))
 SITE = Params(sensors=(71,))
 
@@ -62,7 +60,7 @@ def test_too_fresh_lags_are_refused():
         Params(baseline_lags=(28, 35))
 
 
-def test_lags_reach_back_whole_weeks_and_no_fresher(spark, leveled, plain_calendar):
+def test_lags_reach_back_whole_weeks_and_no_fresher(spark, leveled, level, plain_calendar):
     counts, start = leveled(90)
     day = start + timedelta(70)
     rows = features.build_dataset(
@@ -110,7 +108,7 @@ def test_fault_days_are_neither_target_nor_history(spark, make_counts, plain_cal
     assert last.lag_42 is None and last.lag_35 == 10.0  # 42 days before was dead
 
 
-def test_coming_hours_are_those_of_the_day(spark, leveled, plain_calendar):
+def test_coming_hours_are_those_of_the_day(spark, leveled, level, plain_calendar):
     counts, start = leveled(60)
     first, last = start + timedelta(63), start + timedelta(64)
     params = SITE.with_(slots_per_day=2, hours=(6, 18))
