@@ -25,6 +25,3 @@ def tables(spark):
         pytest.skip("no test tables")
     return str(folder)
 
-
-def by_id(df, key="doc_id"):
-    return {r[key]: r for r in df.collect()}
