@@ -10,11 +10,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import shared_dir
+from .shared import arrow_rows
 from .text import ShingleSets, id_and_text, map_batches, parted
 
 
 # documents of one batch of rows from which a shingle counts as frequent
 FREQUENT = 4
+BATCH_ROWS = 2000
 
 
 def _distinct_in_batch(docs: DataFrame) -> DataFrame:
@@ -97,5 +99,7 @@ def distinct_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = rows.withColumn("text", F.when(F.col("place") == 1, F.col("text"))).drop("place")
     name = f"distinct_texts_{uuid.uuid4().hex}"
     writer = rows.write.bucketBy(buckets, "h").sortBy("h").option("compression", "zstd")
-    writer.option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    # whole texts go to Python and back, so few rows at a time keep buffers small
+    with arrow_rows(spark, BATCH_ROWS):
+        writer.option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     return spark.table(name)

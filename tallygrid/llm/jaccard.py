@@ -50,8 +50,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import ship_package, written
 from .components import components
-from .copies import distinct_texts
-from .shared import broadcast_if_small
+from .copies import BATCH_ROWS, distinct_texts
+from .shared import arrow_rows, broadcast_if_small
 from .text import ShingleSets, slices
 
 # per cent of the union that two sets must share; the radius is what is left
@@ -165,7 +165,8 @@ def first_regions(table: DataFrame) -> DataFrame:
 
     ``m`` is a document in one of its bands.
     """
-    rows = written(not_alone(outer_regions(table), "pivot"), "outer-regions")
+    with arrow_rows(table.sparkSession, BATCH_ROWS):
+        rows = written(not_alone(outer_regions(table), "pivot"), "outer-regions")
     rows = written(with_hosts(banded(rows)), "banded-regions")
     before = rows.count()
     while before:
@@ -188,8 +189,10 @@ def blocks(regions: DataFrame) -> DataFrame:
     least = regions.groupBy("rid").agg(F.min("m").alias("lead"))
     ties = regions.join(least, "rid").where("m != lead").select("m", "lead").distinct()
     chains = written(components(ties, "m", "lead"), "chains")
-    sizes = chains.groupBy("label").agg(F.count("*").alias("size"))
-    short = chains.join(sizes.where(F.col("size") <= CHAIN), "label").withColumnRenamed("node", "m")
+    sizes = chains.groupBy("label").agg(F.count("*").alias("size")).where(F.col("size") <= CHAIN)
+    # a chain's documents stay where they are, however many it has
+    sizes = broadcast_if_small(sizes, "chain-sizes", 32)
+    short = chains.join(sizes, "label").withColumnRenamed("node", "m")
     documents = regions.select("m", "h").distinct()
     by_chain = short.join(documents, "m").select(F.col("label").alias("cell"), "h", "size")
     rest = regions.join(short.select("m"), "m", "left_anti")
@@ -337,7 +340,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     has null ids alone. Rows without words stand for themselves.
     """
     table = distinct_texts(docs, id_col, text_col)
-    classes = written(components(written(links(table), "jaccard-links"), "h", "p"), "classes")
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        found = written(links(table), "jaccard-links")
+    classes = written(components(found, "h", "p"), "classes")
     own = texts_of(table).select("of", "n_shingles", F.col("id").alias("least"))
     label = classes.select(F.col("node").alias("of"), "label")
     labelled = written(own.join(label, "of", "left"), "labelled")
@@ -345,6 +350,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     least = labelled.where(F.col("label").isNotNull()).groupBy("label").agg(
         F.min("least").alias("component")
     )
+    least = broadcast_if_small(least, "class-ids", 32)
     by_text = labelled.join(least, "label", "left").select(
         "of",
         F.when(F.col("label").isNull(), F.col("least")).otherwise(F.col("component")).alias("c"),

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import written
 
@@ -17,3 +20,15 @@ def broadcast_if_small(df: DataFrame, name: str, row_bytes: int) -> DataFrame:
     """
     stored = written(df, name)
     return F.broadcast(stored) if stored.count() * row_bytes <= BROADCAST_BYTES else stored
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Smaller Arrow batches for what is written inside; the session keeps its setting."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
