@@ -109,7 +109,7 @@ def map_batches(
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound and then begun anew."""
 
-    LIMIT = 400_000
+    LIMIT = 120_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -203,139 +203,3 @@ class ShingleSets:
                 out.append(short_windows(flat[begin:end], end - begin) if end > begin else flat[:0])
             begin = end
         return out
-
-
-def _five(words: Column, i: Column) -> list[Column]:
-    return [F.get(words, i + n) for n in range(SHINGLE)]
-
-
-def _shingles(words: Column, whole: Column, each) -> Column:
-    size = F.size(words)
-    return (
-        F.when(size >= SHINGLE, F.transform(F.sequence(F.lit(0), size - SHINGLE), each))
-        .when(size > 0, F.array(whole))
-        .otherwise(F.slice(F.array(whole), 1, 0))
-    )
-
-
-def shingle_strings(words: str) -> Column:
-    """Runs of five words as text; fewer words make one run, none make none."""
-    w = F.col(words)
-    return _shingles(w, F.array_join(w, " "), lambda i: F.concat_ws(" ", *_five(w, i)))
-
-
-def shingle_hashes(words: str) -> Column:
-    """64-bit hashes of the same runs, in order and with repetitions."""
-    w = F.col(words)
-    return _shingles(w, F.xxhash64(F.array_join(w, " ")), lambda i: F.xxhash64(*_five(w, i)))
-
-
-# text that a task holds as Python objects at once
-SLICE_BYTES = 1 << 20
-
-
-def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows of about ``limit`` bytes; a longer row comes alone."""
-    ends = np.cumsum(
-        sum(
-            pc.binary_length(c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for c in batch.columns
-            if pa.types.is_string(c.type)
-        )
-        + np.full(batch.num_rows, 64)
-    )
-    at = 0
-    while at < batch.num_rows:
-        before = ends[at - 1] if at else 0
-        upto = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
-        yield batch.slice(at, upto - at)
-        at = upto
-
-
-def map_batches(
-    df: DataFrame,
-    make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],
-    schema: str,
-    limit: int = SLICE_BYTES,
-) -> DataFrame:
-    """Arrow batches through a function that each task builds once.
-
-    Python holds one slice of a batch at a time. ``make`` runs in the task, so what it
-    builds (compressors, caches) never travels.
-    """
-    ship_package(df.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        each = make()
-        for batch in batches:
-            yield from map(each, slices(batch, limit))
-
-    return df.mapInArrow(run, schema)
-
-
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound and then begun anew."""
-
-    LIMIT = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    """Spread the bits of 64-bit values (finaliser of splitmix64)."""
-    h = h ^ (h >> np.uint64(30))
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
-    h = h ^ (h >> np.uint64(27))
-    h = h * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
-# one odd multiplier for each place of a short window
-PLACES = mixed(np.arange(1, 9, dtype=np.uint64) * ODD) | np.uint64(1)
-
-
-def short_windows(hashes: np.ndarray, width: int) -> np.ndarray:
-    """One hash for every run of up to eight words: a weighted sum, then mixed."""
-    size = len(hashes) - width + 1
-    if size <= 0:
-        return np.empty(0, np.uint64)
-    out = hashes[:size] * PLACES[0]
-    for n in range(1, width):
-        out += hashes[n : n + size] * PLACES[n]
-    return mixed(out + np.uint64(width))
-
-
-def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
-    """One hash for every run of ``width`` words, order of the words included.
-
-    Long runs are built by doubling: a run of 2k words from two runs of k words.
-    """
-    if width <= len(PLACES):
-        return short_windows(hashes, width)
-    if len(hashes) < width:
-        return np.empty(0, np.uint64)
-    half = window_hashes(hashes, width // 2)
-    step = width // 2
-    size = len(hashes) - width + 1
-    out = mixed(half[:size] * ODD + half[step : step + size])
-    # the last word of an odd width
-    return mixed(out * ODD + hashes[width - 1 :]) if width % 2 else out
-
-
-def shingle_set(hashes: np.ndarray, width: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct shingle hashes; fewer words make one shingle, none make none."""
-    if 0 < len(hashes) < width:
-        return window_hashes(hashes, len(hashes))
-    return np.unique(window_hashes(hashes, width))
