@@ -243,7 +243,6 @@ class Trainer:
 
     LANES = 512
     STEPS = 32
-    PIECE = 512
 
     def __init__(self, network: Network, rate: float = 0.01):
         self.network, self.rate = network, rate
@@ -251,17 +250,12 @@ class Trainer:
         self.updates = self.symbols = 0
 
     def learn(self, flat: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> None:
-        """One pass over the texts, gradients cut at the end of each window.
-
-        Long texts are learned from in pieces side by side, so that lanes stay
-        full; a piece begins with the symbol before it and an empty state.
-        """
+        """One pass over whole texts, the state carried and gradients cut at the end of each window."""
         net, enough = self.network, self.LANES * self.STEPS // 4
-        begins, lengths, opening = pieces(begins, lengths, self.PIECE)
         for group in lanes(lengths, self.LANES):
             size, begin = lengths[group], begins[group]
             state = np.zeros((len(group), net.shape.state), np.float32)
-            before = np.where(opening[group], net.shape.symbols, flat[begin - 1])
+            before = np.full(len(group), net.shape.symbols)
             for start in range(0, int(size[0]), self.STEPS):
                 symbols, active = grid(flat, begin, size, start, self.STEPS)
                 grad, values, before, state = net.gradient(symbols, active, before, state)

@@ -1,10 +1,11 @@
 """Language-model scores of whole documents with a gated recurrent network.
 
-Tokens are lower-cased words and one end for each text. The network works on a
-fixed number of symbols: the end, the most frequent words, and groups of all
-other words by their last letters. A word of a group has the group's
-probability times its share of the group's training count, so every word has a
-probability, unseen ones too, and the network does not grow with the corpus.
+Tokens are lower-cased words and one end for each text. The symbols of the
+network are the end, the most frequent words, and groups of all other words by
+their last letters; their number grows with the root of the number of distinct
+training words (``shape_for``). A word of a group has the group's probability
+times its share of the group's training count, so every word has a probability,
+unseen ones too.
 
 ``fit`` counts all training words (tasks count their own, a shuffle sums), then
 trains on all training texts in ``ROUNDS`` parts: every task begins with the
@@ -33,16 +34,14 @@ from ..session import ship_package, written
 from .gru import Network, Shape, Trainer, initial
 from .text import id_and_text, slices, words_of
 
-SHAPE = Shape(state=16)
-# symbols that are words or the end; the rest are groups of words
-HEAD = SHAPE.symbols // 2
-GROUPS = SHAPE.symbols - HEAD
+# the least shape
+SHAPE = Shape()
 ENDING = 3
 # words whose counts every task may hold
 KNOWN = 1 << 20
 ROUNDS = 3
 # a task with few texts repeats them until it made so many updates in a round
-LEAST_UPDATES = 40
+LEAST_UPDATES = 150
 # words a task remembers before it begins anew
 REMEMBERED = 250_000
 # words held as objects at once
@@ -52,19 +51,26 @@ BATCH_BYTES = 16 << 20
 END = b" "
 
 
+def shape_for(distinct: int) -> Shape:
+    """Shape for so many distinct training words; classes and their members grow alike.
+
+    The least shape holds up to 65,536 words; 16 times as many words double its classes.
+    """
+    side = int(np.ceil(2 * max(distinct, 0) ** 0.25))
+    return Shape(max(SHAPE.classes, side), max(SHAPE.members, side), SHAPE.state)
+
+
 def named(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash and group of each word."""
+    """64-bit hash of each word, and 32-bit hash of its ending."""
     import xxhash
 
     h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
-    group = np.fromiter(
-        (xxhash.xxh32_intdigest(w[-ENDING:]) % GROUPS for w in words), np.int32, len(words)
-    )
-    return h.view(np.int64), group
+    ending = np.fromiter((xxhash.xxh32_intdigest(w[-ENDING:]) for w in words), np.int64, len(words))
+    return h.view(np.int64), ending
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """``word`` (hash), ``grp`` and ``n`` over all texts, the end included."""
+    """``word`` and ``ending`` (hashes) and ``n`` over all texts, the end included."""
     ship_package(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,20 +86,21 @@ def word_counts(docs: DataFrame) -> DataFrame:
         yield packed(held)
 
     def packed(held: Counter) -> pa.RecordBatch:
-        h, group = named(list(held))
+        h, ending = named(list(held))
         n = np.fromiter(held.values(), np.int64, len(held))
         return pa.RecordBatch.from_arrays(
-            [pa.array(h), pa.array(group), pa.array(n)], ["word", "grp", "n"]
+            [pa.array(h), pa.array(ending), pa.array(n)], ["word", "ending", "n"]
         )
 
-    rows = docs.select("text").mapInArrow(count, "word long, grp int, n long")
-    return rows.groupBy("word", "grp").agg(F.sum("n").alias("n"))
+    rows = docs.select("text").mapInArrow(count, "word long, ending long, n long")
+    return rows.groupBy("word", "ending").agg(F.sum("n").alias("n"))
 
 
 @dataclass
 class WordModel:
     """What a task knows of words: symbols, counts, and how groups share their probability."""
 
+    shape: Shape
     total: int  # N: training tokens
     distinct: int  # V: distinct ones
     head: dict[int, int]  # hash to symbol
@@ -104,6 +111,11 @@ class WordModel:
     frequency: np.ndarray  # training tokens by place
     least: int  # fewest occurrences of a known word
 
+    @property
+    def groups(self) -> int:
+        """Symbols that are groups of words; the others are words or the end."""
+        return self.shape.symbols - self.shape.symbols // 2
+
     @property
     def base_total(self) -> float:
         return float(np.log10(self.total + 0.5 * (self.distinct + 1)))
@@ -112,20 +124,23 @@ class WordModel:
 def word_model(counts: DataFrame) -> WordModel:
     """Symbols and the broadcast part of the counts; ``counts`` is a written table."""
     sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
+    shape = shape_for(int(sums.v))
+    most = shape.symbols // 2
+    counts = counts.withColumn("grp", F.col("ending") % (shape.symbols - most))
     end = int(named([END])[0][0])
-    top = counts.where(F.col("word") != end).orderBy(F.desc("n"), "word").limit(HEAD - 1).collect()
+    top = counts.where(F.col("word") != end).orderBy(F.desc("n"), "word").limit(most - 1).collect()
     ends = counts.where(F.col("word") == end).collect()
     head = {end: 0} | {r.word: n + 1 for n, r in enumerate(top)}
-    mass, types = (np.zeros(SHAPE.symbols) for _ in range(2))
+    mass, types = (np.zeros(shape.symbols) for _ in range(2))
     for r in counts.groupBy("grp").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
-        mass[HEAD + r.grp], types[HEAD + r.grp] = r.n, r.v
+        mass[most + r.grp], types[most + r.grp] = r.n, r.v
     for r in [*ends, *top]:
         mass[head[r.word]] = r.n
-        mass[HEAD + r.grp] -= r.n
-        types[HEAD + r.grp] -= 1
+        mass[most + r.grp] -= r.n
+        types[most + r.grp] -= 1
     order = np.argsort(-mass, kind="stable")
-    place = np.empty(SHAPE.symbols, np.int64)
-    place[order] = np.arange(SHAPE.symbols)
+    place = np.empty(shape.symbols, np.int64)
+    place[order] = np.arange(shape.symbols)
     # the smallest count from which on the words fit the broadcast
     bins = counts.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().collect()
     held, least = 0, 1
@@ -140,13 +155,14 @@ def word_model(counts: DataFrame) -> WordModel:
     n = np.r_[known.column("n").to_numpy(), np.array([r.n for r in [*ends, *top]], np.int64)]
     words, by = np.unique(words, return_index=True)
     return WordModel(
+        shape=shape,
         total=int(sums.n or 0),
         distinct=int(sums.v),
         head=head,
         place=place,
         words=words,
         counts=n[by],
-        group_total=np.log10(mass[HEAD:] + 0.5 * (types[HEAD:] + 1)),
+        group_total=np.log10(mass[most:] + 0.5 * (types[most:] + 1)),
         frequency=mass[order],
         least=least,
     )
@@ -180,10 +196,11 @@ class Reader:
 
     def _learn(self, words: list[bytes]) -> None:
         m = self.m
-        h, group = named(words)
+        h, ending = named(words)
+        group = ending % m.groups
         at = np.minimum(np.searchsorted(self.heads, h), len(self.heads) - 1)
         in_head = self.heads[at] == h
-        symbol = np.where(in_head, self.head_symbol[at], HEAD + group)
+        symbol = np.where(in_head, self.head_symbol[at], m.shape.symbols - m.groups + group)
         count = np.full(len(h), -1)
         if len(m.words):
             at = np.minimum(np.searchsorted(m.words, h), len(m.words) - 1)
@@ -225,18 +242,18 @@ def train(docs: DataFrame, words: WordModel, rounds: int = ROUNDS) -> np.ndarray
     """Weights of the network after one pass over all texts, in ``rounds`` parts."""
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(words)
-    flat = initial(SHAPE, words.frequency)
+    flat = initial(words.shape, words.frequency)
     part = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(rounds))
     for n in range(rounds):
         begun = context.broadcast(flat)
 
         def learn(batches: Iterator[pa.RecordBatch], begun=begun) -> Iterator[pa.RecordBatch]:
-            trainer = Trainer(Network(SHAPE, begun.value))
+            trainer = Trainer(Network(shared.value.shape, begun.value))
             reader, first = Reader(shared.value), None
             for batch in batches:
                 for piece in slices(batch, BATCH_BYTES):
                     rows, lengths = reader.read(piece.column(0).to_pylist())
-                    held = (reader.place[rows].astype(np.int16), begins_of(lengths), lengths)
+                    held = (reader.place[rows].astype(np.int32), begins_of(lengths), lengths)
                     trainer.learn(*held)
                     first = first or held
             symbols = trainer.symbols
@@ -257,7 +274,7 @@ def train(docs: DataFrame, words: WordModel, rounds: int = ROUNDS) -> np.ndarray
         # as many rows as the network has weights
         mean = rows.groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).toArrow()
         if mean.num_rows:
-            flat = np.empty(SHAPE.size, np.float32)
+            flat = np.empty(words.shape.size, np.float32)
             flat[mean.column("i").to_numpy()] = mean.column("v").to_numpy()
     return flat
 
@@ -287,19 +304,19 @@ def score(
     context = docs.sparkSession.sparkContext
     shared, weights = context.broadcast(model.words), context.broadcast(model.weights)
     ship_package(docs.sparkSession)
-    rare = "array<struct<word:bigint,grp:int,times:int>>"
+    rare = "array<struct<word:bigint,total:double,times:int>>"
     rare_type = pa.list_(
-        pa.struct([("word", pa.int64()), ("grp", pa.int32()), ("times", pa.int32())])
+        pa.struct([("word", pa.int64()), ("total", pa.float64()), ("times", pa.int32())])
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
-        network, reader = Network(SHAPE, weights.value), Reader(words)
+        network, reader = Network(words.shape, weights.value), Reader(words)
         for batch in batches:
             for piece in slices(batch, BATCH_BYTES):
                 rows, lengths = reader.read(piece.column(1).to_pylist())
                 begins = begins_of(lengths)
-                places = reader.place[rows].astype(np.int16)
+                places = reader.place[rows].astype(np.int32)
                 logs = network.score(places, begins, lengths) / np.log(10)
                 count = reader.count[rows]
                 # the end is no rare word: it is known or was never seen
@@ -319,10 +336,10 @@ def score(
                 items = pa.StructArray.from_arrays(
                     [
                         pa.array(reader.hash[row]),
-                        pa.array(reader.group[row].astype(np.int32)),
+                        pa.array(words.group_total[reader.group[row]]),
                         pa.array(times.astype(np.int32)),
                     ],
-                    ["word", "grp", "times"],
+                    ["word", "total", "times"],
                 )
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -341,13 +358,12 @@ def score(
     parts = written(parts.withColumn("row", F.monotonically_increasing_id()), "scores")
     words = model.words
     few = model.counts.where(F.col("n") < words.least).select("word", "n")
-    totals = F.lit(words.group_total.tolist())
     met = parts.select("row", F.explode("rare").alias("r")).select("row", "r.*").join(few, "word", "left")
     own = F.log10(F.coalesce("n", F.lit(0)) + 0.5)
     added = met.groupBy("row").agg(
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"),
         F.sum(F.col("times") * (own - words.base_total)).alias("more_base"),
-        F.sum(F.col("times") * (own - F.get(totals, F.col("grp")))).alias("more_score"),
+        F.sum(F.col("times") * (own - F.col("total"))).alias("more_score"),
     )
     none = F.lit(0)
     return parts.join(added, "row", "left").select(

@@ -91,6 +91,33 @@ def test_it_learns_what_follows(spark):
     assert np.mean([r.base_score / r.n_tokens for r in found]) < -0.95
 
 
+def test_the_network_is_whole_and_grows_with_the_words():
+    assert lm.SHAPE.state == gru.Shape().state == 24 and lm.LEAST_UPDATES == 150
+    assert [lm.shape_for(n).symbols for n in (0, 1 << 16, 1 << 20, 1 << 24)] == [1024, 1024, 4096, 16384]
+
+
+def test_symbols_follow_the_shape(docs_of, monkeypatch):
+    docs = docs_of([f"one two three w{n} w{n % 7}" for n in range(60)])
+    monkeypatch.setattr(lm, "SHAPE", gru.Shape(classes=2, members=2, state=5))
+    model = lm.fit(docs)
+    assert model.words.shape.classes == model.words.shape.members == 6
+    assert len(model.words.head) == 18 and len(model.words.group_total) == 18
+    assert all(np.isfinite(r.score) for r in lm.score(docs, model).collect())
+
+
+def test_training_carries_the_state_through_a_whole_text(monkeypatch):
+    net, seen = network(), []
+    gradient = net.gradient
+
+    def watched(symbols, active, before, state):
+        seen.append((len(state), bool(state.any())))
+        return gradient(symbols, active, before, state)
+
+    monkeypatch.setattr(net, "gradient", watched)
+    gru.Trainer(net).learn(*packed([np.arange(1300) % SMALL.symbols]))
+    assert seen == [(1, n > 0) for n in range(-(-1300 // gru.Trainer.STEPS))]
+
+
 def base_of(rows, learned):
     counts = Counter()
     for i, text in rows:
