@@ -92,7 +92,7 @@ def find(
     item_col: str = "item_id",
     item_text_col: str = "text",
 ) -> DataFrame:
-    """``text_key, item, n_item, n_shared``: texts (by MD5) and the items they contain."""
+    """``text_key, item, n_item, n_shared``: texts (by MD5) and the item rows they contain."""
     own = written(prepared(items, item_col, item_text_col), "benchmark-items")
     bounds = size_bounds(own)
     texts = id_and_text(docs, id_col, text_col).select(F.md5("text").alias("text_key"), "text")
@@ -123,18 +123,20 @@ def find(
     shingles = kept.select("text_key", words_column("text").alias("words")).select(
         "text_key", F.explode(F.array_distinct(shingle_strings("words"))).alias("shingle")
     )
+    # equal items are verified once, whatever their ids and however often they are repeated
     wanted = broadcast_if_small(
-        own.select("item", "key", "n_item", F.explode("shingles").alias("shingle")),
+        own.dropDuplicates(["key"]).select("key", "n_item", F.explode("shingles").alias("shingle")),
         "benchmark-shingles",
         SHINGLE_ROW_BYTES,
     )
-    return (
+    held = (
         shingles.join(wanted, "shingle")
-        .groupBy("text_key", "item", "key", "n_item")
+        .groupBy("text_key", "key", "n_item")
         .agg(F.count("*").cast("int").alias("n_shared"))
         .where(F.col("n_shared") >= needed(F.col("n_item")))
-        .drop("key")
     )
+    rows = broadcast_if_small(own.select("item", "key"), "benchmark-rows", ROW_BYTES)
+    return held.join(rows, "key").select("text_key", "item", "n_item", "n_shared")
 
 
 def contaminated_pairs(

@@ -60,6 +60,19 @@ def test_pairs_and_filter_against_brute_force(spark, docs_of):
     assert sorted(r.doc_id for r in left.collect()) == [i for i, _ in texts if i not in bad]
 
 
+def test_repeated_items_keep_their_rows_and_do_not_add_up(spark, docs_of):
+    words = [f"i{n}" for n in range(24)]
+    item = " ".join(words)
+    texts = ["a b c " + item, "a b c " + " ".join(words[:14]) + " d e f", "none of it at all"]
+    bench = spark.createDataFrame([(1, item), (1, item), (2, item)], "item_id long, text string")
+    found = decontaminate.contaminated_pairs(docs_of(texts), bench).collect()
+    assert sorted((r.id, r.item, r.n_item, r.n_shared) for r in found) == [
+        (0, 1, 20, 20), (0, 1, 20, 20), (0, 2, 20, 20)
+    ]
+    left = decontaminate.without_contaminated(docs_of(texts), bench)
+    assert sorted(r.doc_id for r in left.collect()) == [1, 2]
+
+
 def test_the_same_without_broadcasts(spark, docs_of, monkeypatch):
     monkeypatch.setattr(shared, "BROADCAST_BYTES", 0)
     docs, texts, bench, items = tables(spark, docs_of, 2)
