@@ -1,12 +1,14 @@
 """Main text of web pages by block rules in two passes.
 
 A page is cut into blocks at block-level tags. Blocks inside menus, headers,
-footers, sidebars, notices, adverts, forms and comment sections (by tag, role,
-class or id) are boilerplate at once. The first pass classifies the others by
-length, link density and the share of stop words (several languages); short
-ones and those between the bounds stay undecided. The second pass gives each
-undecided block the label of its nearest decided neighbour in the same section;
-without one, blocks of an article or main element are text.
+footers, sidebars, forms and the like by tag or role, and inside comment
+sections, are boilerplate at once. Below other elements whose class or id names
+such a place, only long blocks with few links are looked at, as if they stood
+outside an article. The first pass classifies blocks by length, link density
+and the share of stop words (several languages); inside an article or main
+element long ones need no stop words. Short ones stay undecided. The second
+pass gives each of them the label of its nearest decided neighbour in the same
+section; without one, blocks of an article or main element are text.
 
 Cases: null or empty html, or a page without text, gives the empty string; cut
 off tags at the end are dropped and open elements end with the page; character
@@ -49,9 +51,15 @@ DROPPED_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion "
     "banner cookie cookies consent gdpr notice notices notification alert popup modal overlay "
     "sidebar sidebars aside rail menu menus nav navbar navigation breadcrumb breadcrumbs pagination "
-    "pager toolbar footer footnav copyright comment comments commentlist disqus respond replies "
-    "reply related recommended share sharing social newsletter subscribe subscription signup login "
-    "search widget widgets skip".split()
+    "pager toolbar footer footnav copyright related recommended share sharing social newsletter "
+    "subscribe subscription signup login search widget widgets skip".split()
+)
+COMMENT_NAMES = frozenset("comment comments commentlist disqus respond replies reply".split())
+# words that may stand beside a listed one in a class or id
+PLAIN_NAMES = frozenset(
+    "site page main primary secondary global top bottom left right post entry article box bar "
+    "container wrapper wrap inner outer area block section list item items group content link links "
+    "button buttons form media text sticky fixed icon icons".split()
 )
 HEADER_NAMES = frozenset({"header", "masthead", "topbar", "head"})
 STOP_WORDS = frozenset(
@@ -95,6 +103,7 @@ STOP_HIGH = 0.22
 STOP_LOW = 0.10
 
 GOOD, BAD, UNDECIDED = 1, -1, 0
+KEEP, LISTED, DROP = 0, 1, 2
 
 
 @dataclass
@@ -117,6 +126,8 @@ class Cutter:
     begun: int = 0
     dropping: str = ""  # name of the boilerplate element that is open
     depth: int = 0
+    listed: str = ""  # name of the open element whose class or id is that of boilerplate
+    listed_depth: int = 0
     breaks: int = 0
 
     def text(self, raw: str) -> None:
@@ -132,8 +143,10 @@ class Cutter:
     def end_block(self) -> None:
         if self.parts:
             text = BLANKS.sub(" ", "".join(self.parts)).strip()
-            if text:
+            if text and not self.listed:
                 self.blocks.append(Block(text, self.links, self.sections[-1] if self.sections else 0))
+            elif len(text) >= LONG and self.links <= LINKS_SOME * len(text):
+                self.blocks.append(Block(text, self.links, 0))
             self.parts, self.links = [], 0
         self.breaks = 0
 
@@ -155,31 +168,52 @@ class Cutter:
             return
         if name in BLOCK_TAGS:
             self.end_block()
+        if name in ARTICLE_TAGS or name == "body":
+            self.end_listed()
         if name == "a":
             self.in_link = True
         elif name in ARTICLE_TAGS:
             self.begun += 1
             self.sections.append(self.begun)
-        if name not in VOID_TAGS and not closed and self.boilerplate(name, attributes):
+        if name in VOID_TAGS or closed:
+            return
+        kind = self.boilerplate(name, attributes)
+        if kind == DROP:
             self.end_block()
             self.dropping, self.depth = name, 1
+        elif self.listed:
+            self.listed_depth += name == self.listed
+        elif kind == LISTED:
+            self.end_block()
+            self.listed, self.listed_depth = name, 1
 
-    def boilerplate(self, name: str, attributes: str) -> bool:
+    def end_listed(self) -> None:
+        self.end_block()
+        self.listed = ""
+
+    def boilerplate(self, name: str, attributes: str) -> int:
         if name in DROPPED_TAGS or name == "header" and not self.sections:
-            return True
+            return DROP
         if not attributes or name in ("html", "body") or name in ARTICLE_TAGS:
-            return False
+            return KEEP
         if HIDDEN.search(attributes):
-            return True
+            return DROP
+        kind = KEEP
         for key, *values in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), "".join(values).lower()
             if key == "role" and value in ROLES:
-                return True
+                return DROP
             if key in ("class", "id"):
-                names = set(NAME.findall(value))
-                if names & DROPPED_NAMES or not self.sections and names & HEADER_NAMES:
-                    return True
-        return False
+                kind = max(kind, *(self.named(token) for token in value.split()), KEEP)
+        return kind
+
+    def named(self, token: str) -> int:
+        """What a class or id says as a whole: each of its words is listed or a plain one."""
+        names = set(NAME.findall(token))
+        listed = DROPPED_NAMES if self.sections else DROPPED_NAMES | HEADER_NAMES
+        if not names <= listed | COMMENT_NAMES | PLAIN_NAMES:
+            return KEEP
+        return DROP if names & COMMENT_NAMES else LISTED if names & listed else KEEP
 
     def close(self, name: str) -> None:
         if self.dropping:
@@ -190,6 +224,10 @@ class Cutter:
             return
         if name in BLOCK_TAGS:
             self.end_block()
+        if name == self.listed:
+            self.listed_depth -= 1
+            if not self.listed_depth:
+                self.end_listed()
         if name == "a":
             self.in_link = False
         elif name in ARTICLE_TAGS and self.sections:
@@ -223,10 +261,12 @@ def first_label(block: Block) -> int:
         return BAD if links > LINKS_SOME or not block.section and LEGAL.search(block.text) else UNDECIDED
     words = LETTERS.findall(block.text.lower())
     stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-    if stops >= STOP_HIGH and links <= LINKS_SOME:
-        return GOOD if size >= LONG or block.section else UNDECIDED
-    # prose of another language has few of these words, but an article says it is prose
-    return UNDECIDED if stops >= STOP_LOW or block.section else BAD
+    if block.section:
+        # prose of another language has few of these words, but an article says it is prose
+        return GOOD if links <= LINKS_SOME or size >= LONG or stops >= STOP_LOW else BAD
+    if size < LONG and LEGAL.search(block.text):
+        return UNDECIDED
+    return GOOD if stops >= (STOP_LOW if links <= LINKS_SOME else STOP_HIGH) else BAD
 
 
 def label(blocks: list[Block]) -> None:

@@ -34,6 +34,46 @@ def test_undecided_blocks_follow_their_nearest_neighbour():
     assert [b.label for b in blocks] == [html.GOOD] * 3
 
 
+POLISH = (
+    "Rzeka była szeroka i pełna kamieni, więc mieszkańcy miasta przeprawiali się na drugi brzeg łodzią. "
+    "Robili tak przez wiele lat, dopóki nie zbudowano mostu, który stoi tam jeszcze dziś, choć drewniany. "
+)
+
+
+def test_articles_of_other_languages_are_not_lost_to_a_link_list():
+    links = "".join(f"<a href=/{n}>strona numer {n}</a> " for n in range(20))
+    page = f"<article><p>{POLISH}</p><p>{POLISH}</p><div>{links}</div><p>{POLISH}</p></article>"
+    assert html.main_text(page) == "\n\n".join([POLISH.strip()] * 3)
+    river = "这条河很宽，里面有很多石头，所以镇上的人们坐船到对岸去，而不是步行。" * 3
+    assert html.main_text(f"<article><p>{river}</p><div>{links}</div></article>") == river
+
+
+def test_only_short_blocks_follow_a_neighbour():
+    blocks = [html.Block(POLISH, 0, 1), html.Block("Krótko.", 0, 1), html.Block("x" * 90, 90, 1)]
+    html.label(blocks)
+    assert [b.label for b in blocks] == [html.GOOD, html.GOOD, html.BAD]
+
+
+@pytest.mark.parametrize(
+    "wrapper",
+    ["class='layout has-sidebar'", "id='search-results'", "id=search", "class='page sidebar'", "class=header"],
+)
+def test_wrappers_do_not_take_long_text_along(wrapper):
+    text = (PROSE * 2).strip()
+    page = f"<div {wrapper}><div><p>{text}</p></div><div>x</div><p>{text}</p></div><div><a href=x>Home</a></div>"
+    assert html.main_text(page).split("\n\n")[0] == text and html.main_text(page).count(text) == 2
+
+
+def test_named_places_still_lose_short_and_linked_text():
+    links = "".join(f"<a href=/{n}>the page of the number {n} and more</a> " for n in range(20))
+    text = (PROSE * 2).strip()
+    page = (
+        f"<div class=sidebar><div>{links}</div><p>Short.</p></div><article><p>{text}</p>"
+        f"<div class='ad-box'>Buy <div>now</div> here</div><p>End.</p><div id=comments><p>{text}</p></div></article>"
+    )
+    assert html.main_text(page) == f"{text}\n\nEnd."
+
+
 @pytest.mark.parametrize(
     "page", ["", None, "<", "<p", "<p class='", "<article", "</p></div>", "<script>", "<!--", "&"]
 )
