@@ -19,6 +19,7 @@ table gives an empty result, with a dictionary of the code words alone.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
@@ -45,7 +46,8 @@ SENSITIVE = re.compile(
     r"credential|bearer|authorization|signature|client[ _-]?id|connection[ _-]?string",
     re.ASCII | re.IGNORECASE,
 )
-TOKEN = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
+SHORTEST = 16
+TOKEN = re.compile(rf"[A-Za-z0-9+/_=.~-]{{{SHORTEST},}}")
 # how far behind the sensitive word a candidate may begin
 REACH = 48
 # text before a candidate that primes the compressor
@@ -114,13 +116,21 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Long tokens that begin within reach of a sensitive word's end."""
+    """Long tokens that begin within reach of a sensitive word's end, read to their own ends."""
     found: dict[int, int] = {}
+    runs = begins = None
     for word in SENSITIVE.finditer(text):
-        for token in TOKEN.finditer(text, word.end(), word.end() + REACH):
-            # the token may run on behind the reach
-            whole = TOKEN.match(text, token.start()) if token.end() == word.end() + REACH else token
-            found[whole.start()] = whole.end()
+        if runs is None:
+            # once for the text: searching on from every word would take square time
+            runs = [m.span() for m in TOKEN.finditer(text)]
+            begins = [start for start, _ in runs]
+        at = bisect_left(begins, word.end())
+        # a token may be what is left of the run in which the word stands
+        if at and runs[at - 1][1] - word.end() >= SHORTEST:
+            found[word.end()] = runs[at - 1][1]
+        while at < len(runs) and begins[at] <= word.end() + REACH:
+            found[begins[at]] = runs[at][1]
+            at += 1
     return sorted(found.items())
 
 

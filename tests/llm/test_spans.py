@@ -154,6 +154,36 @@ def test_novel_tokens_near_sensitive_words(docs_of):
     assert found[1] == [] and found[2] == [] and found[3] == []
 
 
+@pytest.mark.parametrize("gap", [1, 32, 33, 40, 48])
+def test_tokens_are_seen_as_far_as_the_reach(gap):
+    key = "q7Zp1VxK93mTb8LdRw2Yc6Hs"
+    text = "password" + " " * gap + key + " end"
+    assert secrets.candidates(text) == [(8 + gap, 8 + gap + len(key))]
+    assert secrets.candidates("password" + " " * 49 + key) == []
+
+
+def test_candidates_against_a_search_from_every_word():
+    rng = random.Random(5)
+    parts = ["password", "token", "api_key", "Secret", " ", "  ", " : ", "x" * 9, "K7" * 8, "a-b_c/d=e.f~" * 2, "é"]
+    for _ in range(300):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(30)))
+        wanted = {}
+        for word in secrets.SENSITIVE.finditer(text):
+            for token in secrets.TOKEN.finditer(text, word.end()):
+                if token.start() > word.end() + secrets.REACH:
+                    break
+                wanted[token.start()] = token.end()
+        assert secrets.candidates(text) == sorted(wanted.items()), text
+
+
+def test_a_novel_token_at_a_gap_of_40(docs_of):
+    key = "q7Zp1VxK93mTb8LdRw2Yc6HsNf40JgUe"
+    docs = docs_of([f"the password of the machine in room number seven is {key} end"])
+    assert docs.first().text.index(key) - len("the password") == 40
+    spans_found = secrets.scan(docs, secrets.identifier_dictionary(docs)).first().spans
+    assert [(s.kind, s.end - s.start) for s in spans_found] == [("novel", len(key))]
+
+
 def test_identifiers_are_counted_over_all_rows(docs_of, monkeypatch):
     monkeypatch.setattr(secrets, "HELD", 3)
     docs = docs_of(["alpha beta alpha", "beta x1 gamma_q", None] * 20)
