@@ -613,6 +613,8 @@ def gap_share(spark, d):
 
 # --- model -----------------------------------------------------------------------
 
+# the SQL of backtest, backtest_folds and day_ahead names these months, and has no trees: those queries
+# check what does not depend on the trees; the forecasts themselves are those of the whole job further down
 SMALL_TREES = TreeSettings(trees=5, step=0.3, depth=4)
 TEST_SPAN = (date(2000, 11, 1), date(2000, 12, 31))
 TRAIN_START = date(2000, 1, 1)
@@ -670,22 +672,89 @@ def small_model(spark, d):
     )
 
 
-@query
-def feature_importance(spark, d):
-    return model.feature_importance(small_model(spark, d))
-
-
-@query
-def day_ahead(spark, d):
+def forecast_coming_days(spark, d, fitted):
     view = t.stored_weather(spark, d)
     days = cal.day_spine(spark, *coming_days(spark, d))
     _, daily = forecast.forecast_days(
-        small_model(spark, d),
+        fitted,
         t.stored_counts(spark, d),
         t.stored_calendar(spark, d),
         weather.typical_weather(view, days),
         t.sensors(spark, d).withColumnRenamed("location_id", "sensor_id"),
         *coming_days(spark, d),
     )
+    return daily
+
+
+@query
+def day_ahead(spark, d):
+    daily = forecast_coming_days(spark, d, small_model(spark, d))
     fine = F.col("forecast").isNotNull() & (F.col("forecast") >= 0)
     return rounded(daily.withColumn("has_forecast", fine).drop("forecast", "change"))
+
+
+def twelve_months(spark, d):
+    """The last twelve months of the counts, as far as a month of training precedes them."""
+    first, last = span(spark, d)
+    month = last.year * 12 + last.month - 12
+    begun = first.year * 12 + first.month
+    month = max(month, begun)
+    return date(month // 12, month % 12 + 1, 1), last
+
+
+def whole_backtest_rows(spark, d):
+    return forecast.backtest(
+        t.stored_counts(spark, d),
+        t.stored_calendar(spark, d),
+        t.stored_weather(spark, d),
+        *twelve_months(spark, d),
+        span(spark, d)[0],
+        t.SHIP,
+        settings=TreeSettings(),
+    )
+
+
+def whole_model(spark, d):
+    """The model of all counts."""
+    return forecast.train_model(
+        t.stored_counts(spark, d),
+        t.stored_calendar(spark, d),
+        t.stored_weather(spark, d),
+        *span(spark, d),
+        t.SHIP,
+        settings=TreeSettings(),
+    )
+
+
+@query
+def backtest_forecasts(spark, d):
+    """The model's forecast beside the count, for every hour of twelve months."""
+    results = t.stored(spark, d, whole_backtest_rows)
+    return rounded(
+        results.select("sensor_id", "date", "hour", F.col("count").cast("double"), "baseline", "model", "train_rows")
+    )
+
+
+@query
+def backtest_forecast_folds(spark, d):
+    results = t.stored(spark, d, whole_backtest_rows)
+    return rounded(
+        results.groupBy(F.date_format("date", "yyyy-MM").alias("month")).agg(
+            F.count("*").alias("rows"),
+            F.max("train_rows").alias("train_rows"),
+            F.sum("count").alias("people"),
+            F.sum("baseline").alias("baseline"),
+            F.sum("model").alias("model"),
+        )
+    )
+
+
+@query
+def feature_importance(spark, d):
+    return model.feature_importance(whole_model(spark, d))
+
+
+@query
+def day_ahead_forecasts(spark, d):
+    """Forecast and change against the typical day, for the two weeks behind the newest count."""
+    return rounded(forecast_coming_days(spark, d, whole_model(spark, d)))
