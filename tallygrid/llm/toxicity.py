@@ -289,6 +289,18 @@ def features(texts: DataFrame, pair: Dictionaries) -> DataFrame:
     return map_batches(texts, make, f"{schema}, features array<double>")
 
 
+def prose_pieces(sample: DataFrame) -> DataFrame:
+    """Beginnings of 64 texts that are not toxic; no more of them than is used leaves the tasks."""
+    text = F.lower(F.regexp_replace("text", r"\s+", " "))
+    return (
+        sample.where("toxic = 0")
+        .select(F.xxhash64(text).alias("h"), F.substring(text, 1, PROSE_BYTES).alias("text"))
+        .orderBy("h")
+        .limit(64)
+        .select("text")
+    )
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -306,13 +318,7 @@ def fit(
         level = (np.zeros(FEATURES), np.ones(FEATURES), np.r_[odds, np.zeros(FEATURES)])
         return ToxicityModel((Calibrated(Dictionaries(b" " * 8, b" " * 8), *level),))
     counts = written(segment_counts(sample), "toxicity-segments")
-    pieces = (
-        sample.where("toxic = 0")
-        .select(F.lower(F.regexp_replace("text", r"\s+", " ")).alias("text"))
-        .orderBy(F.xxhash64("text"))
-        .limit(64)
-        .collect()
-    )
+    pieces = prose_pieces(sample).collect()
     each = PROSE_BYTES // max(len(pieces), 1)
     prose = b" ".join(p.text.encode()[:each] for p in pieces)
     parts = []

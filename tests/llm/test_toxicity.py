@@ -86,3 +86,12 @@ def test_labels_of_the_held_out_fold_are_never_read(spark, tables):
     own = toxicity.score(docs, toxicity.fit(docs, learned)).collect()
     found = QUERIES["op9_toxicity"](spark, tables).collect()
     assert {r.id: r.score for r in own} == {r.doc_id: r.score for r in found}
+
+
+def test_only_beginnings_of_prose_reach_the_driver(spark):
+    texts = [f"Text {n}  " + "word " * (20_000 if n % 2 else 3) for n in range(70)]
+    sample = spark.createDataFrame([(t, 0) for t in texts], "text string, toxic int")
+    found = [r.text for r in toxicity.prose_pieces(sample).collect()]
+    assert len(found) == 64 and max(map(len, found)) == toxicity.PROSE_BYTES
+    whole = {" ".join(t.lower().split()) + " " for t in texts}
+    assert all(any(w.startswith(f) for w in whole) for f in found)
