@@ -21,6 +21,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import ipaddress
 import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
@@ -48,7 +49,12 @@ HIDDEN_DOMAIN = re.compile(
 )
 # a number can only begin where its run of digits begins
 IPV4 = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-IPV6 = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
+IPV6 = re.compile(
+    r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"
+    # with a run of zeros left out, and at least one group written
+    r"|(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){1,7}:(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?(?![\w:])"
+    r"|(?<![\w:])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){1,6})?::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}(?![\w:])"
+)
 DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NATIONAL = re.compile(r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
@@ -72,6 +78,14 @@ CALLING_CODES = frozenset(
 )
 
 
+def is_ipv6(own: str) -> bool:
+    try:
+        ipaddress.IPv6Address(own)
+    except ValueError:
+        return False
+    return True
+
+
 def luhn(digits: str) -> bool:
     odd, even = digits[-1::-2], digits[-2::-2]
     return (sum(map(int, odd)) + sum(sum(divmod(2 * int(d), 10)) for d in even)) % 10 == 0
@@ -156,7 +170,7 @@ def votes(text: str, kind: str, start: int, end: int, base: bool) -> tuple[int,
         listed, unlisted = ending in ENDINGS, not 2 <= len(ending) <= 12
     elif kind == "ip":
         parts = own.split(".")
-        valid = ":" in own or not any(len(p) > 1 and p[0] == "0" for p in parts)
+        valid = is_ipv6(own) if ":" in own else not any(len(p) > 1 and p[0] == "0" for p in parts)
         grouped = ":" in own or any(len(p) > 1 for p in parts)
         listed, unlisted = False, own.startswith(("0.", "127.", "255."))
     elif kind == "card":

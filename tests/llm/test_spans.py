@@ -194,3 +194,18 @@ def test_identifiers_are_counted_over_all_rows(docs_of, monkeypatch):
 def test_outside():
     assert spans.outside([(0, 2), (2, 4), (5, 9)], [(3, 6), (4, 5)]) == [(0, 2)]
     assert spans.outside([(1, 2)], []) == [(1, 2)]
+
+
+@pytest.mark.parametrize(
+    "address", ["2001:db8::1", "fe80::1", "::1", "2001:db8::", "1:2:3:4:5:6:7::", "2001:db8:0:0:1:0:0:1"]
+)
+def test_written_out_and_compressed_addresses_are_candidates(address):
+    text = f"the server at {address}, port 80"
+    assert ("ip", 14, 14 + len(address), False) in pii.all_candidates(text)
+    assert pii.is_ipv6(address)
+    assert not pii.base_spans(text)
+
+
+def test_what_is_no_compressed_address():
+    assert pii.loose_spans("std::vector or a :: b and 12:30:45 end::") == []
+    assert not pii.is_ipv6("1:2:3:4:5:6:7::8:9")
