@@ -7,7 +7,22 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, fingerprint, html, jaccard, lm, pii, secrets, spans, substring, toxicity
+from . import (
+    audit,
+    bpe,
+    decontaminate,
+    fingerprint,
+    html,
+    jaccard,
+    lm,
+    middle,
+    pii,
+    secrets,
+    sharding,
+    spans,
+    substring,
+    toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -124,3 +139,39 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = secrets.scan(docs, secrets.identifier_dictionary(docs))
     return spans.digest(found, secrets.KINDS)
+
+
+@query
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document among 16 shards, and its shard among 17."""
+    placed = sharding.place(table(spark, sf_dir, "documents"), 16)
+    return placed.select(
+        F.col("id").alias("doc_id"),
+        "size",
+        F.col("crc").alias("text_crc32"),
+        F.lit("key").alias("law"),
+        "shard",
+        "slot",
+        "grown_shard",
+    )
+
+
+@query
+def op12_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document transformed for fill-in-the-middle training, and restored."""
+    rows = middle.round_trip(table(spark, sf_dir, "documents"))
+    return rows.select(
+        F.col("id").alias("doc_id"),
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from every source in every order."""
+    return audit.interactions(*(table(spark, sf_dir, name) for name in ("documents", "labels")))
