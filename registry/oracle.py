@@ -609,31 +609,32 @@ oracle(
         FROM coming_feature_t f LEFT JOIN calendar_t c ON c.date = f.date
         GROUP BY f.sensor_id, f.date""",
 )
+# twelve months up to the newest count, each with all rows before it
+_FOLDS = """WITH last AS (SELECT date_trunc('month', max(date))::DATE AS begun FROM ship_t),
+     test AS (SELECT r.*, date_trunc('month', r.date)::DATE AS fold FROM feature_t r, last
+              WHERE r.date >= last.begun - INTERVAL 11 MONTH),
+     learned AS (SELECT m.fold, count(*) AS train_rows
+                 FROM (SELECT DISTINCT fold FROM test) m JOIN feature_t e ON e.date < m.fold GROUP BY m.fold)"""
 oracle(
     "backtest",
-    f"""WITH rows_2000 AS (SELECT * FROM feature_t WHERE date BETWEEN DATE '2000-01-01' AND DATE '2000-12-31')
-        SELECT sensor_id, date, hour, CAST(count AS DOUBLE) AS count, {r6('baseline')},
-               (SELECT count(*) FROM rows_2000 e WHERE e.date < date_trunc('month', r.date)) AS train_rows,
-               true AS has_forecast
-        FROM rows_2000 r WHERE month(date) >= 11""",
+    f"""{_FOLDS}
+        SELECT sensor_id, date, hour, CAST(count AS DOUBLE) AS count, {r6('baseline')}, train_rows
+        FROM test JOIN learned USING (fold)""",
 )
 oracle(
     "day_ahead",
     f"""SELECT f.sensor_id, f.date, {r6('sum(f.baseline)', 'typical')},
                {r6('max(f.temperature)', 'max_temp')}, {r6('sum(f.precipitation_mm)', 'rain_mm')},
-               any_value(c.holiday_name) AS holiday_name, true AS has_forecast
+               any_value(c.holiday_name) AS holiday_name
         FROM coming_feature_t f LEFT JOIN calendar_t c ON c.date = f.date
         GROUP BY f.sensor_id, f.date""",
 )
 oracle(
     "backtest_folds",
-    f"""WITH rows_2000 AS (SELECT * FROM feature_t WHERE date BETWEEN DATE '2000-01-01' AND DATE '2000-12-31')
-        SELECT strftime(date, '%Y-%m') AS month, count(*) AS rows,
-               (SELECT count(*) FROM rows_2000 e WHERE e.date < date_trunc('month', any_value(r.date)))
-                   AS train_rows,
-               CAST(sum(count) AS BIGINT) AS people, {r6('sum(baseline)', 'baseline')},
-               CAST(0 AS BIGINT) AS bad_predictions
-        FROM rows_2000 r WHERE month(date) >= 11 GROUP BY 1""",
+    f"""{_FOLDS}
+        SELECT strftime(date, '%Y-%m') AS month, count(*) AS rows, any_value(train_rows) AS train_rows,
+               CAST(sum(count) AS BIGINT) AS people, {r6('sum(baseline)', 'baseline')}
+        FROM test JOIN learned USING (fold) GROUP BY 1""",
 )
 _SLICE = f"""
     {r6('sum(abs(baseline - count)) / sum(count)', 'baseline_wape')},

@@ -613,93 +613,68 @@ def gap_share(spark, d):
 
 # --- model -----------------------------------------------------------------------
 
-# the SQL of backtest, backtest_folds and day_ahead names these months, and has no trees: those queries
-# check what does not depend on the trees; the forecasts themselves are those of the whole job further down
-SMALL_TREES = TreeSettings(trees=5, step=0.3, depth=4)
-TEST_SPAN = (date(2000, 11, 1), date(2000, 12, 31))
-TRAIN_START = date(2000, 1, 1)
+# backtest, backtest_folds and day_ahead are what does not depend on the trees, over the whole
+# job; the forecasts themselves follow further down
 
 
-def backtest_rows(spark, d):
-    return forecast.backtest(
-        t.stored_counts(spark, d),
-        t.stored_calendar(spark, d),
-        t.stored_weather(spark, d),
-        *TEST_SPAN,
-        TRAIN_START,
-        t.SHIP,
-        settings=SMALL_TREES,
+def twelve_months(spark, d):
+    """The last twelve months of the counts, as far as a month of training precedes them."""
+    first, last = span(spark, d)
+    month = last.year * 12 + last.month - 12
+    begun = first.year * 12 + first.month
+    month = max(month, begun)
+    return date(month // 12, month % 12 + 1, 1), last
+
+
+def backtest_target_rows(spark, d):
+    """The features of all counts, as far as a back-test predicts them."""
+    rows = forecast.features(
+        t.stored_counts(spark, d), t.stored_calendar(spark, d), t.stored_weather(spark, d), *span(spark, d), t.SHIP
     )
+    return model.backtest_targets(written(rows, "features"), *twelve_months(spark, d), span(spark, d)[0])
 
 
 @query
 def backtest(spark, d):
-    """Targets, folds and whether the prediction is one; its value depends on the trees."""
-    results = t.stored(spark, d, backtest_rows)
-    fine = F.col("model").isNotNull() & (F.col("model") >= 0)
+    """The hours of twelve months with their baseline and the rows their fold learns from."""
+    rows = t.stored(spark, d, backtest_target_rows)
     return rounded(
-        results.select(
-            "sensor_id", "date", "hour", F.col("count").cast("double"), "baseline", "train_rows",
-            fine.alias("has_forecast"),
-        )
+        rows.select("sensor_id", "date", "hour", F.col("count").cast("double"), "baseline", "train_rows")
     )
 
 
 @query
 def backtest_folds(spark, d):
-    results = t.stored(spark, d, backtest_rows)
+    rows = t.stored(spark, d, backtest_target_rows)
     return rounded(
-        results.groupBy(F.date_format("date", "yyyy-MM").alias("month")).agg(
+        rows.groupBy(F.date_format("date", "yyyy-MM").alias("month")).agg(
             F.count("*").alias("rows"),
             F.max("train_rows").alias("train_rows"),
             F.sum("count").alias("people"),
             F.sum("baseline").alias("baseline"),
-            F.count_if(F.col("model").isNull() | (F.col("model") < 0)).alias("bad_predictions"),
         )
     )
 
 
-def small_model(spark, d):
-    """A small model trained to the newest count."""
-    return forecast.train_model(
-        t.stored_counts(spark, d),
-        t.stored_calendar(spark, d),
-        t.stored_weather(spark, d),
-        TRAIN_START,
-        span(spark, d)[1],
-        t.SHIP,
-        settings=SMALL_TREES,
-    )
-
-
-def forecast_coming_days(spark, d, fitted):
-    view = t.stored_weather(spark, d)
+def coming_features(spark, d):
+    """The features of the two weeks behind the newest count, under typical weather."""
     days = cal.day_spine(spark, *coming_days(spark, d))
-    _, daily = forecast.forecast_days(
-        fitted,
+    return (
         t.stored_counts(spark, d),
         t.stored_calendar(spark, d),
-        weather.typical_weather(view, days),
+        weather.typical_weather(t.stored_weather(spark, d), days),
         t.sensors(spark, d).withColumnRenamed("location_id", "sensor_id"),
         *coming_days(spark, d),
     )
-    return daily
 
 
 @query
 def day_ahead(spark, d):
-    daily = forecast_coming_days(spark, d, small_model(spark, d))
-    fine = F.col("forecast").isNotNull() & (F.col("forecast") >= 0)
-    return rounded(daily.withColumn("has_forecast", fine).drop("forecast", "change"))
-
-
-def twelve_months(spark, d):
-    """The last twelve months of the counts, as far as a month of training precedes them."""
-    first, last = span(spark, d)
-    month = last.year * 12 + last.month - 12
-    begun = first.year * 12 + first.month
-    month = max(month, begun)
-    return date(month // 12, month % 12 + 1, 1), last
+    """What is known of the coming days without a model."""
+    counts, calendar, typical, sensors, *days = coming_features(spark, d)
+    rows = forecast.features(counts, calendar, typical, *days, t.SHIP, future=sensors)
+    daily = model.day_ahead(rows.withColumn("model", F.lit(None).cast("double")), calendar)
+    return rounded(daily.drop("forecast", "change"))
 
 
 def whole_backtest_rows(spark, d):
@@ -757,4 +732,5 @@ def feature_importance(spark, d):
 @query
 def day_ahead_forecasts(spark, d):
     """Forecast and change against the typical day, for the two weeks behind the newest count."""
-    return rounded(forecast_coming_days(spark, d, whole_model(spark, d)))
+    _, daily = forecast.forecast_days(whole_model(spark, d), *coming_features(spark, d))
+    return rounded(daily)
