@@ -1,14 +1,18 @@
 """Main text of web pages by block rules in two passes.
 
 A page is cut into blocks at block-level tags. Blocks inside menus, headers,
-footers, sidebars, forms and the like by tag or role, and inside comment
-sections, are boilerplate at once. Below other elements whose class or id names
-such a place, only long blocks with few links are looked at, as if they stood
-outside an article. The first pass classifies blocks by length, link density
-and the share of stop words (several languages); inside an article or main
-element long ones need no stop words. Short ones stay undecided. The second
-pass gives each of them the label of its nearest decided neighbour in the same
-section; without one, blocks of an article or main element are text.
+footers, sidebars and the like by tag or role, inside hidden elements and comment
+sections, are boilerplate at once; a form is, unless most of its text stands in
+long blocks with few links (a form around the whole page). Below other elements
+whose class or id names such a place, only long blocks with few links are looked
+at, as if they stood outside an article. An element that its own end tag does not
+close ends with its parent, and what it swallowed is looked at the same way. The
+first pass classifies blocks by length, link density and the share of stop words
+(several languages); inside an article or main element long ones need no stop
+words, and neither do they on a page where no long block has any: there long
+blocks of sentences with few links are text. Short ones stay undecided. The
+second pass gives each of them the label of its nearest decided neighbour in the
+same section; without one, blocks of an article or main element are text.
 
 Cases: null or empty html, or a page without text, gives the empty string; cut
 off tags at the end are dropped and open elements end with the page; character
@@ -22,6 +26,7 @@ from __future__ import annotations
 import html as entities
 import re
 from bisect import bisect_left
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -40,9 +45,11 @@ VOID_TAGS = frozenset(
 )
 ARTICLE_TAGS = frozenset({"article", "main"})
 DROPPED_TAGS = frozenset(
-    "head nav footer aside form button select option label input dialog iframe object menu "
+    "head nav footer aside button select option label input dialog iframe object menu "
     "noscript template".split()
 )
+# block elements whose end tag may be left out
+IMPLIED_TAGS = frozenset("p li dd dt tr td th tbody thead tfoot".split())
 ROLES = frozenset(
     "navigation banner contentinfo complementary search dialog alert alertdialog menu menubar "
     "toolbar form".split()
@@ -87,23 +94,30 @@ MARKUP = re.compile(
     r"|<[!?/][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s/=]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 NAME = re.compile(r"[a-z]+")
 LETTERS = re.compile(r"[^\W\d_]+")
 # white space of HTML and of Unicode alike
 BLANKS = re.compile(r"\s+")
 LEGAL = re.compile(r"©|\(c\)\s|copyright|all rights reserved|alle rechte vorbehalten", re.I)
 
+# marks that end a sentence, of many scripts
+SENTENCE = re.compile(r"[.!?\u2026\u3002\uff01\uff1f\u0964\u06d4\u061f\u1362\u0589\u104b]")
+# from here on a character says about as much as three letters
+DENSE = re.compile(r"[\u2e80-\ud7ff\uf900-\ufaff\U00020000-\U0003ffff]")
+
 SHORT = 70
 LONG = 200
+# characters to a sentence, at most
+SENTENCE_CHARS = 400
 LINKS_HIGH = 0.5
 LINKS_SOME = 0.2
 STOP_HIGH = 0.22
 STOP_LOW = 0.10
 
 GOOD, BAD, UNDECIDED = 1, -1, 0
-KEEP, LISTED, DROP = 0, 1, 2
+KEEP, LISTED, FORM, DROP = 0, 1, 2, 3
 
 
 @dataclass
@@ -114,6 +128,25 @@ class Block:
     label: int = UNDECIDED
 
 
+def letters(text: str) -> int:
+    """Length of a text in characters of an alphabet."""
+    return len(text) + (0 if text.isascii() else 2 * len(DENSE.findall(text)))
+
+
+def is_prose(text: str, links: int) -> bool:
+    """Long and with few links: worth a look wherever it stands."""
+    return letters(text) >= LONG and links <= LINKS_SOME * len(text)
+
+
+@dataclass
+class Frame:
+    """An open element that is boilerplate, or may be."""
+
+    kind: int
+    block: int  # blocks before it
+    sections: int  # open articles around it
+
+
 @dataclass
 class Cutter:
     """Walks over the markup once and collects the blocks outside boilerplate."""
@@ -122,16 +155,17 @@ class Cutter:
     parts: list[str] = field(default_factory=list)
     links: int = 0
     in_link: bool = False
+    link_depth: int = 0  # open elements around the link
     sections: list[int] = field(default_factory=list)
     begun: int = 0
-    dropping: str = ""  # name of the boilerplate element that is open
-    depth: int = 0
-    listed: str = ""  # name of the open element whose class or id is that of boilerplate
-    listed_depth: int = 0
+    # open block elements and frames, and how many of each name
+    stack: list[tuple[str, Frame | None]] = field(default_factory=list)
+    opened: Counter = field(default_factory=Counter)
+    listed: list[Frame] = field(default_factory=list)
     breaks: int = 0
 
     def text(self, raw: str) -> None:
-        if self.dropping or not raw:
+        if not raw:
             return
         text = entities.unescape(raw) if "&" in raw else raw
         if not text.isspace():
@@ -145,20 +179,12 @@ class Cutter:
             text = BLANKS.sub(" ", "".join(self.parts)).strip()
             if text and not self.listed:
                 self.blocks.append(Block(text, self.links, self.sections[-1] if self.sections else 0))
-            elif len(text) >= LONG and self.links <= LINKS_SOME * len(text):
+            elif is_prose(text, self.links):
                 self.blocks.append(Block(text, self.links, 0))
             self.parts, self.links = [], 0
         self.breaks = 0
 
     def open(self, name: str, attributes: str, closed: bool) -> None:
-        if self.dropping:
-            if name == self.dropping:
-                self.depth += not closed
-                return
-            # an article or the body ends boilerplate that was left open
-            if name not in ARTICLE_TAGS and name != "body":
-                return
-            self.dropping = ""
         if name == "br":
             self.breaks += 1
             if self.breaks > 1:
@@ -166,45 +192,91 @@ class Cutter:
             else:
                 self.parts.append(" ")
             return
-        if name in BLOCK_TAGS:
+        is_block = name in BLOCK_TAGS or name == "body"
+        if is_block:
             self.end_block()
-        if name in ARTICLE_TAGS or name == "body":
-            self.end_listed()
+            self.end_implied(name)
+        if name == "body":
+            self.end_all()
         if name == "a":
-            self.in_link = True
+            self.in_link, self.link_depth = True, len(self.stack)
         elif name in ARTICLE_TAGS:
+            self.listed.clear()
             self.begun += 1
             self.sections.append(self.begun)
         if name in VOID_TAGS or closed:
             return
         kind = self.boilerplate(name, attributes)
-        if kind == DROP:
+        frame = None
+        if kind != KEEP:
             self.end_block()
-            self.dropping, self.depth = name, 1
-        elif self.listed:
-            self.listed_depth += name == self.listed
-        elif kind == LISTED:
+            frame = Frame(kind, len(self.blocks), len(self.sections))
+            if kind == LISTED:
+                self.listed.append(frame)
+        # of the other elements only those that could be taken for a frame's end
+        if is_block or frame or self.opened[name]:
+            self.stack.append((name, frame))
+            self.opened[name] += 1
+
+    def end_implied(self, name: str) -> None:
+        """A block ends an open paragraph, an item the item before it."""
+        if self.stack and self.stack[-1][0] == "p":
+            self.pop(own=True)
+        if name in IMPLIED_TAGS and self.stack and self.stack[-1][0] == name:
+            self.pop(own=True)
+
+    def end_all(self) -> None:
+        while self.stack:
+            self.pop(own=False)
+
+    def pop(self, own: bool) -> None:
+        """Leave the innermost open element, by its ``own`` end tag or with its parent."""
+        name, frame = self.stack.pop()
+        self.opened[name] -= 1
+        if name in ARTICLE_TAGS:
             self.end_block()
-            self.listed, self.listed_depth = name, 1
-
-    def end_listed(self) -> None:
+            del self.sections[-1:]
+        if self.in_link and self.link_depth > len(self.stack):
+            self.in_link = False
+        if frame is None:
+            return
+        if frame.kind == LISTED:
+            if self.listed and self.listed[-1] is frame:
+                self.end_block()
+                self.listed.pop()
+            return
         self.end_block()
-        self.listed = ""
+        inside = self.blocks[frame.block :]
+        if frame.kind == FORM:
+            if not holds_page(inside):
+                del self.blocks[frame.block :]
+        elif own:
+            del self.blocks[frame.block :]
+        else:
+            self.blocks[frame.block :] = [
+                b for b in inside if b.section or is_prose(b.text, b.links)
+            ]
+        del self.sections[frame.sections :]
 
     def boilerplate(self, name: str, attributes: str) -> int:
         if name in DROPPED_TAGS or name == "header" and not self.sections:
             return DROP
         if not attributes or name in ("html", "body") or name in ARTICLE_TAGS:
-            return KEEP
-        if HIDDEN.search(attributes):
-            return DROP
-        kind = KEEP
+            return FORM if name == "form" else KEEP
+        kind = FORM if name == "form" else KEEP
         for key, *values in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), "".join(values).lower()
-            if key == "role" and value in ROLES:
+            if key == "role" and value in ROLES and name != "form":
+                return DROP
+            if (
+                key == "hidden" and value != "until-found"
+                or key == "aria-hidden" and value == "true"
+                or key == "style" and UNSEEN.search(value)
+            ):
                 return DROP
             if key in ("class", "id"):
-                kind = max(kind, *(self.named(token) for token in value.split()), KEEP)
+                named = max((self.named(token) for token in value.split()), default=KEEP)
+                kind = max(kind, named)
         return kind
 
     def named(self, token: str) -> int:
@@ -216,22 +288,28 @@ class Cutter:
         return DROP if names & COMMENT_NAMES else LISTED if names & listed else KEEP
 
     def close(self, name: str) -> None:
-        if self.dropping:
-            if name == self.dropping:
-                self.depth -= 1
-                if not self.depth:
-                    self.dropping = ""
-            return
-        if name in BLOCK_TAGS:
+        if name in BLOCK_TAGS or name == "body":
             self.end_block()
-        if name == self.listed:
-            self.listed_depth -= 1
-            if not self.listed_depth:
-                self.end_listed()
         if name == "a":
             self.in_link = False
-        elif name in ARTICLE_TAGS and self.sections:
-            self.sections.pop()
+        if self.opened[name]:
+            block = name in BLOCK_TAGS or name == "body"
+            # the end of an inline element does not reach out of a block
+            for open_name, _ in reversed(self.stack):
+                if open_name == name:
+                    break
+                if not block and open_name in BLOCK_TAGS and open_name not in IMPLIED_TAGS:
+                    return
+            while self.stack[-1][0] != name:
+                self.pop(own=False)
+            self.pop(own=True)
+
+
+def holds_page(blocks: list[Block]) -> bool:
+    """Whether most of the text is prose, or an article: then a form is but a wrapper."""
+    whole = sum(len(b.text) for b in blocks)
+    prose = sum(len(b.text) for b in blocks if b.section or is_prose(b.text, b.links))
+    return prose >= 2 * LONG and 2 * prose >= whole
 
 
 def cut(page: str) -> list[Block]:
@@ -248,31 +326,53 @@ def cut(page: str) -> list[Block]:
                 cutter.open(name.lower(), rest, rest.endswith("/"))
     cutter.text(page[at:])
     cutter.end_block()
+    cutter.end_all()
     return cutter.blocks
 
 
-def first_label(block: Block) -> int:
-    """Good, bad or undecided by length, links and stop words."""
-    size = len(block.text)
-    links = block.links / size
+def stop_share(text: str) -> float:
+    words = LETTERS.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+
+
+def is_sentences(block: Block) -> bool:
+    """Long text with few links in sentences, whatever the language."""
+    size = letters(block.text)
+    marks = len(SENTENCE.findall(block.text))
+    links = block.links / len(block.text)
+    return size >= LONG and links <= LINKS_SOME and marks * SENTENCE_CHARS >= size
+
+
+def first_label(block: Block, stops: float, known: bool) -> int:
+    """Good, bad or undecided by length, links and stop words.
+
+    ``known``: some long block of the page has stop words.
+    """
+    size = letters(block.text)
+    links = block.links / len(block.text)
     if links > LINKS_HIGH:
         return BAD
     if size < SHORT:
         return BAD if links > LINKS_SOME or not block.section and LEGAL.search(block.text) else UNDECIDED
-    words = LETTERS.findall(block.text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
     if block.section:
         # prose of another language has few of these words, but an article says it is prose
         return GOOD if links <= LINKS_SOME or size >= LONG or stops >= STOP_LOW else BAD
     if size < LONG and LEGAL.search(block.text):
         return UNDECIDED
+    if not known and is_sentences(block):
+        return UNDECIDED if LEGAL.search(block.text) else GOOD
     return GOOD if stops >= (STOP_LOW if links <= LINKS_SOME else STOP_HIGH) else BAD
 
 
 def label(blocks: list[Block]) -> None:
     """Both passes over the blocks of a page."""
-    for block in blocks:
-        block.label = first_label(block)
+    shares = [stop_share(b.text) if len(b.text) >= SHORT else 0.0 for b in blocks]
+    known = any(
+        share >= STOP_LOW and is_prose(b.text, b.links)
+        for b, share in zip(blocks, shares, strict=True)
+    )
+    for block, share in zip(blocks, shares, strict=True):
+        block.label = first_label(block, share, known)
     # only labels of the first pass are neighbours
     decided: dict[int, list[int]] = {}
     for n, block in enumerate(blocks):

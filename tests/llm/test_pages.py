@@ -74,6 +74,79 @@ def test_named_places_still_lose_short_and_linked_text():
     assert html.main_text(page) == f"{text}\n\nEnd."
 
 
+SCRIPTS = {
+    "polish": POLISH * 2,
+    "russian": "Река была широкой и полной камней, поэтому жители города переправлялись на другой берег на лодках. " * 4,
+    "greek": "Το ποτάμι ήταν πλατύ και γεμάτο πέτρες, γι' αυτό οι κάτοικοι περνούσαν απέναντι με βάρκα. " * 4,
+    "arabic": "كان النهر واسعا ومليئا بالحجارة، لذلك كان أهل المدينة يعبرون إلى الضفة الأخرى بالقوارب. " * 4,
+    "hindi": "नदी चौड़ी और पत्थरों से भरी थी इसलिए शहर के लोग नाव से दूसरे किनारे जाते थे। " * 4,
+    "chinese": "这条河很宽，里面有很多石头，所以镇上的人们坐船到对岸去，而不是步行。" * 4,
+    "japanese": "川は広くて石が多かったので、町の人々は船で向こう岸へ渡りました。橋はまだありませんでした。" * 4,
+    "english": PROSE * 2,
+}
+LINKS = "".join(f"<a href=/{n}>{n} more</a> " for n in range(20))
+AROUND = {
+    "plain": "<div>{}</div>",
+    "page form": "<form id=aspnetForm method=post><input type=hidden name=v><div>{}</div></form>",
+    "forms in a form": "<form><form action=/s><input></form><table><tr><td>{}</td></tr></table></form>",
+    "search form before": "<form action=/s><label>Find</label><input></form><div>{}</div>",
+    "unclosed nav": "<nav><a href=/>Home</a><div>{}</div>",
+    "unclosed nav in a div": "<div><nav><ul><li><a href=/>Home</a></ul></div><div>{}</div>",
+    "unclosed button": "<div><button>Menu</div><div>{}</div>",
+    "unclosed link": "<div><a href=/>Home</div><div>{}</div>",
+    "hidden in a value": "<div title='the hidden truth' data-x=\"display: none of it\">{}</div>",
+    "hidden as a class": "<div class='flex hidden md:block'>{}</div>",
+    "crossed tags": "<b><div></b>{}</div></b></i></section>",
+    "after a hidden part": "<div hidden><p>" + PROSE * 2 + "</p></div><div aria-hidden=true>" + PROSE * 2 + "</div><div>{}</div>",
+    "after a menu": "<nav>" + LINKS + "<p>" + PROSE * 2 + "</p></nav><div>{}</div>",
+    "after a teaser": "<aside><article><p>" + PROSE * 2 + "</p></article></aside><div>{}</div>",
+    "in main": "<header><h1>Site</h1></header><main>{}</main><footer>" + PROSE * 2 + "</footer>",
+}
+
+
+@pytest.mark.parametrize("around", AROUND)
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_paragraphs_survive_what_stands_around_them(around, script):
+    """Made-up pages: the paragraphs are known, whatever the markup and script."""
+    text = SCRIPTS[script].strip()
+    page = f"<html><body>{AROUND[around].format(f'<p>{text}</p><p>{text}</p>')}<div>{LINKS}</div></body></html>"
+    assert html.main_text(page) == f"{text}\n\n{text}"
+
+
+@pytest.mark.parametrize(
+    "form",
+    [
+        f"<form><p>{PROSE}</p><input></form>",
+        f"<form><div>{LINKS * 3}</div><label>Name</label></form>",
+        "<form><select><option>one<option>two</select><button>Go</button></form>",
+        f"<form role=search><p>{PROSE}</p></form>",
+    ],
+)
+def test_small_forms_go(form):
+    text = (PROSE * 2).strip()
+    assert html.main_text(f"<div><p>{text}</p>{form}<p>{text}</p></div>") == f"{text}\n\n{text}"
+
+
+def test_attributes_hide_only_by_name():
+    text = (PROSE * 2).strip()
+    for attribute in ("hidden", "hidden=''", "aria-hidden='true'", "style='color:red; display : none'", "STYLE=visibility:hidden"):
+        assert html.main_text(f"<article><p {attribute}>{text}</p><p>End.</p></article>") == "End."
+    for attribute in ("data-hidden=1", "aria-hidden=false", "title='so hidden it is'", "hidden=until-found", "class=hidden"):
+        assert html.main_text(f"<article><p {attribute}>{text}</p></article>") == text
+
+
+def test_mixed_up_tags_take_linear_time():
+    html.main_text("<nav>" * 50_000 + "</div>" * 50_000 + "<article>" * 50_000)
+    html.main_text("<button><div>" * 30_000 + "</button>" * 30_000)
+    html.main_text("<a>" * 50_000 + "<p>x" * 50_000 + "</form>" * 50_000)
+
+
+def test_columns_named_like_the_result(spark):
+    rows = [(1, "u", f"<article>{PROSE}</article>", 2.5, "clash")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars double, text string")
+    assert [tuple(r) for r in html.extract(pages).collect()] == [(1, "u", PROSE.strip(), len(PROSE) - 1)]
+
+
 @pytest.mark.parametrize(
     "page", ["", None, "<", "<p", "<p class='", "<article", "</p></div>", "<script>", "<!--", "&"]
 )
