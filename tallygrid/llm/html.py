@@ -307,8 +307,8 @@ class Cutter:
 
 def holds_page(blocks: list[Block]) -> bool:
     """Whether most of the text is prose, or an article: then a form is but a wrapper."""
-    whole = sum(len(b.text) for b in blocks)
-    prose = sum(len(b.text) for b in blocks if b.section or is_prose(b.text, b.links))
+    whole = sum(letters(b.text) for b in blocks)
+    prose = sum(letters(b.text) for b in blocks if b.section or is_prose(b.text, b.links))
     return prose >= 2 * LONG and 2 * prose >= whole
 
 
