@@ -18,6 +18,9 @@ from math import erfc, sqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..fixed import DAY_GROUPS, NORMAL_95, REFERENCE_WEEKDAY, WEEKDAYS
@@ -119,74 +122,87 @@ def sensor_sums(weekly: DataFrame, params: Params) -> DataFrame:
     )
 
 
-def _products(rows: DataFrame, vector: str, value: Column, weight: Column) -> DataFrame:
-    """Per row, weight * v_i * v_j for i <= j, and weight * v_i * value as j = ``WIDTH``.
+# places of a packed sum: the upper triangle, and the right-hand side as column ``WIDTH``
+PACKED = np.triu_indices(WIDTH, 0, WIDTH + 1)
 
-    Only non-zero entries appear: at most four per cell, at most 24 per sensor
-    or week.
+
+def packed_sums(rows: DataFrame) -> DataFrame:
+    """Per fit, the sum over its rows of ``w * v_i * v_j`` and ``w * v_i * value``.
+
+    ``rows`` are (fit, v, value, w). Each Arrow batch gives one array of fixed
+    length per fit, in the order of ``PACKED``; the arrays add up map-side.
     """
-    entries = F.filter(
-        F.transform(vector, lambda v, i: F.struct(i.alias("i"), v.alias("v"))),
-        lambda e: e.v != 0,
-    )
-    scaled = F.col("w") * F.col("v")
-    pairs = F.transform(
-        F.filter("entries", lambda e: e.i >= F.col("i")),
-        lambda e: F.struct(e.i.alias("j"), (scaled * e.v).alias("x")),
-    )
-    right = F.array(F.struct(F.lit(WIDTH).alias("j"), (scaled * F.col("value")).alias("x")))
-    return (
-        rows.select("fit", weight.alias("w"), value.alias("value"), entries.alias("entries"))
-        .select("*", F.inline("entries").alias("i", "v"))
-        .select("fit", "i", F.inline(F.concat(pairs, right)).alias("j", "x"))
+    ship_package(rows.sparkSession)
+    partial = rows.select("fit", "v", "value", "w").mapInArrow(
+        _outer, "fit string, sums array<double>"
     )
+    whole = Summarizer.sum(array_to_vector("sums"))
+    return partial.groupBy("fit").agg(vector_to_array(whole).alias("sums"))
 
 
-def _summed(products: DataFrame) -> DataFrame:
-    """One row per fit and pair; the sums of a task merge before the shuffle."""
-    return products.groupBy("fit", "i", "j").agg(F.sum("x").alias("x"))
+def _outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        codes, names = pd.factorize(batch.column("fit").to_pandas(), use_na_sentinel=False)
+        v = batch.column("v").flatten().to_numpy().reshape(-1, WIDTH)
+        value, weight = (batch.column(name).to_numpy() for name in ("value", "w"))
+        right, left = np.column_stack([v, value]), v * weight[:, None]
+        order = np.argsort(codes, kind="stable")
+        ends = np.searchsorted(codes[order], np.arange(1, len(names)))
+        sums = [(left[own].T @ right[own])[PACKED] for own in np.split(order, ends)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(names, pa.string()), pa.array(sums, pa.list_(pa.float64()))], ["fit", "sums"]
+        )
 
 
-def normal_equations(weekly: DataFrame, sums: DataFrame, params: Params) -> DataFrame:
-    """Long form of the within-sensor Gram matrix and right-hand side per fit.
+def packed_equations(weekly: DataFrame, sums: DataFrame, params: Params) -> DataFrame:
+    """Within-sensor Gram matrix and right-hand side per fit, packed.
 
-    Rows (fit, i, j, x): ``j < 24`` are entries of the upper triangle, ``j = 24``
-    the right-hand side. Sum over cells minus the sensors' own means.
+    Sum over cells minus the sensors' own means. Without sensor and week a fit
+    has at most 168 cells, so only those go to Python.
     """
-    raw = _products(
-        weekly.withColumn("z", design_vector(params)), "z", F.col("sy") / F.col("n"), F.col("n")
+    cells = weekly.groupBy("fit", "month", "dow", "period").agg(
+        F.sum("n").alias("n"), F.sum("sy").alias("sy")
     )
-    means = _products(sums, "sz", F.col("sy"), -1 / F.col("n"))
-    return _summed(raw.unionByName(means))
+    raw = cells.select(
+        "fit", design_vector(params).alias("v"), (F.col("sy") / F.col("n")).alias("value"), F.col("n").alias("w")
+    )
+    means = sums.select(
+        "fit", F.col("sz").alias("v"), F.col("sy").alias("value"), (-1 / F.col("n")).alias("w")
+    )
+    return packed_sums(raw.unionByName(means))
+
+
+def normal_equations(weekly: DataFrame, sums: DataFrame, params: Params) -> DataFrame:
+    """The same as one row per entry (fit, i, j, x): ``j = 24`` is the right-hand side."""
+    places = [F.array(*[F.lit(int(n)) for n in side]) for side in PACKED]
+    listed = packed_equations(weekly, sums, params).select("fit", F.posexplode("sums").alias("n", "x"))
+    i, j = (F.get(side, F.col("n")) for side in places)
+    return listed.select("fit", i.alias("i"), j.alias("j"), "x")
 
 
 def coefficients(equations: DataFrame) -> DataFrame:
-    """Solve each fit: its coefficients and the inverse Gram matrix (flattened)."""
+    """Solve each fit's packed sums: coefficients and the inverse Gram matrix (flattened)."""
     ship_package(equations.sparkSession)
-    packed = equations.groupBy("fit").agg(
-        F.collect_list(F.struct("i", "j", "x")).alias("entries")  # at most 324 entries
-    )
-    return packed.mapInPandas(_solve, "fit string, beta array<double>, inverse array<double>")
+    return equations.mapInPandas(_solve, "fit string, beta array<double>, inverse array<double>")
 
 
 def _solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for fit, entries in zip(batch["fit"], batch["entries"]):
-            gram, right = _matrix(entries)
+        for fit, sums in zip(batch["fit"], batch["sums"]):
+            gram, right = _matrix(sums)
             inverse = np.linalg.pinv(gram, rcond=1e-10, hermitian=True)
             rows.append((fit, (inverse @ right).tolist(), inverse.ravel().tolist()))
         yield pd.DataFrame(rows, columns=["fit", "beta", "inverse"])
 
 
-def _matrix(entries) -> tuple[np.ndarray, np.ndarray]:
-    square, right = np.zeros((WIDTH, WIDTH)), np.zeros(WIDTH)
-    for e in entries:
-        if e["j"] == WIDTH:
-            right[e["i"]] = e["x"]
-        else:
-            square[e["i"], e["j"]] = square[e["j"], e["i"]] = e["x"]
-    return square, right
+def _matrix(sums) -> tuple[np.ndarray, np.ndarray]:
+    whole = np.zeros((WIDTH, WIDTH + 1))
+    whole[PACKED] = sums
+    upper = whole[:, :WIDTH]
+    return upper + np.triu(upper, 1).T, whole[:, WIDTH]
 
 
 def cluster_scores(
@@ -249,20 +265,18 @@ def fit_recovery(obs: DataFrame, params: Params) -> DataFrame:
     """One row per fit: coefficients, clustered covariance, sizes.
 
     The covariance carries the usual finite-sample factor
-    G / (G - 1) * (n - 1) / (n - k) with G clusters and k model columns. Cells
+    G / (G - 1) * (n - 1) / (n - k) with G clusters and k model columns. Cells, sums
     and coefficients are written, as several of the sums start from them.
     """
     weekly = written(weekly_cells(obs), "regression-cells")
-    sums = sensor_sums(weekly, params)
+    sums = written(sensor_sums(weekly, params), "regression-sums")
     betas = written(
-        coefficients(normal_equations(weekly, sums, params)), "regression-coefficients"
+        coefficients(packed_equations(weekly, sums, params)), "regression-coefficients"
     )
     scores = cluster_scores(weekly, sums, betas, params)
-    meat = (
-        _summed(_products(scores, "score", F.lit(0.0), F.lit(1.0)))
-        .groupBy("fit")
-        .agg(F.collect_list(F.struct("i", "j", "x")).alias("entries"))
-    )
+    meat = packed_sums(
+        scores.select("fit", F.col("score").alias("v"), F.lit(0.0).alias("value"), F.lit(1.0).alias("w"))
+    ).withColumnRenamed("sums", "meat")
     return betas.join(meat, "fit").join(fit_sizes(weekly), "fit")
 
 
@@ -279,7 +293,7 @@ def contrasts(fitted: DataFrame, weights: Mapping[str, Mapping[str, float]]) ->
             rows = []
             for fit in batch.itertuples(index=False):
                 inverse = np.asarray(fit.inverse).reshape(WIDTH, WIDTH)
-                meat, _ = _matrix(fit.entries)
+                meat, _ = _matrix(fit.meat)
                 free = fit.rows - fit.columns
                 scale = (
                     fit.weeks / (fit.weeks - 1) * (fit.rows - 1) / free

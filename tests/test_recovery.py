@@ -180,3 +180,26 @@ def test_reports_from_one_table_of_days(spark):
     assert checks["All office sensors"].mon_fri_vs_base == pytest.approx((KEPT["Mon"] * KEPT["Fri"]) ** 0.5, abs=0.03)
     shares = analysis.gap_share(analysis.per_sensor_gap(days, PARAMS)).first()
     assert tuple(shares) == (4, 4)
+
+
+def test_sums_travel_packed(spark):
+    """One array per batch and fit; no row for a pair of columns anywhere in the plan."""
+    d = frame(spark, simulated(3, 0.08))
+    fitted = recovery.fit_recovery(recovery.per_sensor_observations(d, "daily"), PARAMS)
+    plan = recovery.monfri_gap(fitted)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "inline" not in plan and "mapinarrow" in plan.lower()
+
+
+def test_packed_sums_equal_plain_ones(spark):
+    rng = np.random.default_rng(4)
+    fits = rng.choice(["a", "b", "c"], 500)
+    v, value, w = rng.normal(size=(500, recovery.WIDTH)), rng.normal(size=500), rng.random(500)
+    rows = [(str(f), x.tolist(), float(y), float(n)) for f, x, y, n in zip(fits, v, value, w)] + [(None, [1.0] * recovery.WIDTH, 2.0, 3.0)]
+    found = recovery.packed_sums(spark.createDataFrame(rows, "fit string, v array<double>, value double, w double"))
+    found = {r.fit: recovery._matrix(r.sums) for r in found.collect()}
+    assert set(found) == {"a", "b", "c", None}
+    for fit in "abc":
+        own = fits == fit
+        left = v[own].T * w[own]
+        assert np.allclose(found[fit][0], left @ v[own]) and np.allclose(found[fit][1], left @ value[own])
+    assert np.allclose(found[None][1], 6.0)
