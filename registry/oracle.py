@@ -168,6 +168,19 @@ STEPS["calendar_t"] = (
 # --- ingest and cleaning ---------------------------------------------------------
 
 oracle("build_counts", "SELECT * FROM ship_t")
+oracle("stored_update", "SELECT * FROM ship_t")
+oracle(
+    "sensors_file",
+    "SELECT sensor_id AS location_id, name AS sensor_description, latitude, longitude, note FROM place_t",
+)
+_CALENDAR = "SELECT * REPLACE (CAST(CAST(school_term AS INTEGER) AS DOUBLE) AS school_term) FROM calendar_t"
+oracle("reference_files", _CALENDAR)
+oracle("calendar_table", _CALENDAR)
+oracle(
+    "hourly_sql",
+    f"""SELECT c.sensor_id, c.date, c.hour, c.count, {r6_all(*VIEW, prefix='w.')}
+        FROM ship_t c LEFT JOIN order_view_t w ON w.date = c.date AND w.hour = c.hour""",
+)
 oracle(
     "clean_counts",
     """SELECT sensor_id, date, hour, any_value(count) AS count

@@ -22,7 +22,9 @@ from tallygrid.operators import scoring, season, sensor_days as sd, series, weat
 from tallygrid.operators.model import TreeSettings
 from tallygrid.plans import analysis, forecast
 from tallygrid.plans import tables as t
+from tallygrid.plans.update import Landing, create_views, update
 from tallygrid.session import shared_dir, written
+from tallygrid.sources import reference_files as files, store
 from tallygrid.sources.count_files import read_count_files, typed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,6 +127,96 @@ def csv_mixed_order(spark, d):
     return clean.one_per_key(read_count_files(spark, folders))
 
 
+def stored_root(spark, d):
+    """A store that ``update`` built from files: counts of both layouts, sensors, holidays, terms, events.
+
+    The archive files span the whole time, so that live data must hide their later part.
+    """
+    counts = t.ship_counts(spark, d)
+    moment = F.col("date").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("hour").cast("int"))
+    archive = counts.select(
+        "sensor_id",
+        F.date_format(moment, "MMMM dd, yyyy hh:mm:ss a").alias("date_time"),
+        F.col("count").alias("hourly_counts"),
+    )
+    live = counts.where(F.col("source") == fixed.LIVE_SOURCE).select(
+        F.col("sensor_id").alias("location_id"),
+        F.col("date").alias("sensing_date"),
+        F.col("hour").alias("hourday"),
+        F.col("count").alias("pedestriancount"),
+    )
+    landing = Landing(
+        archive=as_files(spark, archive, "archive-files"),
+        live=as_files(spark, live, "live-files"),
+        sensors=as_files(spark, t.sensors(spark, d), "sensor-files"),
+        holidays=as_files(spark, t.holidays(spark, d), "holiday-files"),
+        terms=as_files(spark, t.terms(spark, d), "term-files"),
+        events=as_files(spark, t.events(spark, d), "event-files"),
+    )
+    root = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    update(spark, root, landing, TODAY, t.SHIP)
+    return root
+
+
+_roots: dict[tuple[str, str], str] = {}
+
+
+def one_root(spark, d):
+    """The store of this application, built on first use."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _roots:
+        _roots[key] = stored_root(spark, d)
+    return _roots[key]
+
+
+@query
+def stored_update(spark, d):
+    """Counts as the store shows them after an update from files of both layouts."""
+    return store.read_counts(spark, one_root(spark, d)).drop("month")
+
+
+@query
+def sensors_file(spark, d):
+    """Sensors as read from their file, with types taken from the text."""
+    return store.read_table(spark, one_root(spark, d), "sensors")
+
+
+@query
+def reference_files(spark, d):
+    """The calendar of all days, from files of holidays, terms and events."""
+    paths = {
+        name: as_files(spark, make(spark, d), name)
+        for name, make in (("holidays", t.holidays), ("terms", t.terms), ("events", t.events))
+    }
+    days = cal.days_spanned(plain_counts(spark, d), ahead=fixed.CALENDAR_DAYS_AHEAD)
+    found = cal.build_calendar(
+        days,
+        files.read_holidays(spark, paths["holidays"]),
+        files.read_terms(spark, paths["terms"]),
+        files.read_events(spark, paths["events"]),
+        t.EVENT_NAMES,
+    )
+    return found.withColumn("school_term", F.col("school_term").cast("int").cast("double"))
+
+
+@query
+def calendar_table(spark, d):
+    """The calendar read back from the store, where it replaced the one of the update."""
+    root = one_root(spark, d)
+    store.replace_table(spark, root, "calendar", t.calendar(spark, d))
+    found = store.read_table(spark, root, "calendar")
+    return found.withColumn("school_term", F.col("school_term").cast("int").cast("double"))
+
+
+@query
+def hourly_sql(spark, d):
+    """What an SQL user sees under the names of the views, after weather has been stored."""
+    root = one_root(spark, d)
+    store.replace_table(spark, root, "weather_hourly", t.ship_weather(spark, d))
+    create_views(spark, root)
+    return rounded(spark.sql("SELECT * FROM hourly"))
+
+
 @query
 def conflict_report(spark, d):
     return clean.conflict_report(raw(spark, d))
@@ -689,7 +781,7 @@ def whole_backtest_rows(spark, d):
     )
 
 
-def whole_model(spark, d):
+def whole_model(spark, d, target="count"):
     """The model of all counts."""
     return forecast.train_model(
         t.stored_counts(spark, d),
@@ -697,6 +789,7 @@ def whole_model(spark, d):
         t.stored_weather(spark, d),
         *span(spark, d),
         t.SHIP,
+        target=target,
         settings=TreeSettings(),
     )
 
@@ -734,3 +827,10 @@ def day_ahead_forecasts(spark, d):
     """Forecast and change against the typical day, for the two weeks behind the newest count."""
     _, daily = forecast.forecast_days(whole_model(spark, d), *coming_features(spark, d))
     return rounded(daily)
+
+
+@query
+def day_ahead_ratio_forecasts(spark, d):
+    """The same by a model of the count as a share of its baseline."""
+    _, daily = forecast.forecast_days(whole_model(spark, d, "ratio"), *coming_features(spark, d))
+    return rounded(daily)

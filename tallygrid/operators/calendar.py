@@ -50,10 +50,13 @@ def build_calendar(
     ``school_term`` is NULL for years the term table does not list: unknown,
     not "on holidays". Several holidays of a day are named in order, joined by
     "; ". The flag columns are those of ``event_names`` and then of any other
-    event in the table, which one look at its few names decides.
+    event in the table, which one look at its few names decides. Spellings that
+    give the same column are one event.
     """
     found = [r.event for r in events.select("event").distinct().orderBy("event").collect() if r.event]
-    event_names = tuple(dict.fromkeys([*event_names, *found]))
+    spellings: dict[str, list[str]] = {}
+    for spelling in dict.fromkeys([*event_names, *found]):
+        spellings.setdefault(event_column(spelling), []).append(spelling)
     year = F.array(F.make_date("year", F.lit(1), F.lit(1)), F.make_date("year", F.lit(12), F.lit(31)))
     listed = terms.select("year").distinct().select(
         F.explode(F.sequence(year[0], year[1], F.expr("interval 1 day"))).alias("date")
@@ -73,8 +76,8 @@ def build_calendar(
         F.array_join(F.array_sort(F.collect_set("holiday_name")), "; ").alias("holiday_name"),
         *[F.bool_or(flag).alias(flag) for flag in facts],
         *[
-            F.coalesce(F.bool_or(F.col("event") == name), F.lit(False)).alias(event_column(name))
-            for name in event_names
+            F.coalesce(F.bool_or(F.col("event").isin(names)), F.lit(False)).alias(column)
+            for column, names in spellings.items()
         ],
     )
     name = F.when(F.col("holiday_name") != "", F.col("holiday_name"))
@@ -83,7 +86,7 @@ def build_calendar(
         name.alias("holiday_name"),
         name.isNotNull().alias("is_holiday"),
         F.when(F.col("listed"), F.coalesce("in_term", F.lit(False))).alias("school_term"),
-        *[event_column(name) for name in event_names],
+        *spellings,
     )
 
 

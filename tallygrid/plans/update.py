@@ -81,21 +81,22 @@ def update(
 def load_counts(spark: SparkSession, root: str, rows: DataFrame, source: str) -> int:
     """Gate, clean and store one batch of typed rows; returns the rows kept.
 
-    The batch is parsed once: gate, conflict report and cleaning read the
-    written copy.
+    The batch is parsed once: gate and cleaning read the written copy. It is
+    shuffled once: the conflict report is observed while the rows are stored.
     """
     staged = written(rows, "staged-counts")
     total = clean.check_quality(staged, source)
     if not total:
         log.info("no new %s rows", source)
         return 0
-    conflicts = clean.conflict_report(staged).first()
+    rows_of_keys, report = clean.one_per_key_observed(staged)
+    kept = store.append_counts(spark, root, rows_of_keys, source)
+    conflicts = report.get
     if conflicts["keys"]:
         log.info(
             "dropped %s sensor-hours of %s with conflicting counts (%s to %s)",
-            conflicts["keys"], source, conflicts.first_date, conflicts.last_date,
+            conflicts["keys"], source, conflicts["first_date"], conflicts["last_date"],
         )
-    kept = store.append_counts(spark, root, clean.one_per_key(staged), source)
     log.info("kept %s of %s %s rows", kept, total, source)
     return kept
 

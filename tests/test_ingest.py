@@ -10,19 +10,8 @@ from tallygrid.plans.update import load_counts
 from tallygrid.sources import store
 from tallygrid.sources.count_files import read_as_text, read_count_files, typed_counts
 
-ARCHIVE = """ID,Date_Time,Year,Month,Mdate,Day,Time,Sensor_ID,Sensor_Name,Hourly_Counts
-11,"March 05, 2018 07:00:00 AM",2018,March,5,Monday,7,9,Main St,410
-12,"March 05, 2018 08:00:00 PM",2018,March,5,Monday,20,9,Main St,1200
-13,"March 05, 2018 08:00:00 PM",2018,March,5,Monday,20,9,Main St,1200
-14,"May 02, 2021 10:00:00 AM",2021,May,2,Sunday,10,9,Main St,77
-15,"August 09, 2011 12:00:00 AM",2011,August,9,Tuesday,0,9,Main St,5
-16,"August 09, 2011 12:00:00 AM",2011,August,9,Tuesday,0,9,Main St,641
-"""
-PORTAL = """id,location_id,sensing_date,hourday,direction_1,direction_2,pedestriancount,sensor_name,location
-x,9,2021-05-02,10,40,41,81,Main,"-37.1, 144.2"
-y,9,2021-05-02,11,0,0,0,Main,"-37.1, 144.2"
-z,12,2023-07-20,6,5,6,11,Side,"-37.3, 144.4"
-"""
+ARCHIVE_HEAD = "Record,Sensor ID,Hourly_Counts,Date_Time,Street\n"
+PORTAL_HEAD = "sensing_date,pedestriancount,location_id,hourday,note\n"
 
 
 def put(folder, name, text):
@@ -40,41 +29,59 @@ def rows(df):
     return {(r.sensor_id, r.date, r.hour, r["count"]) for r in df.collect()}
 
 
-def test_archive_layout_is_parsed_and_deduplicated(spark, tmp_path):
-    path = put(tmp_path, "old.csv", ARCHIVE)
-    root = str(tmp_path / "lake")
-    assert load(spark, root, path, "historic") == 3
-    first = store.read_counts(spark, root).orderBy("date", "hour").first()
-    assert (first.sensor_id, first.date, first.hour, first["count"]) == (9, date(2018, 3, 5), 7, 410)
+def archive_file(folder, name, *lines):
+    """Lines are (sensor, time as published, count)."""
+    body = "".join(f'r{n},{s},{c},"{t}",Quay\n' for n, (s, t, c) in enumerate(lines))
+    return put(folder, name, ARCHIVE_HEAD + body)
+
 
+def portal_file(folder, name, *lines):
+    """Lines are (sensor, day, hour, count)."""
+    body = "".join(f'{day},{c},{s},{h},"a, b"\n' for s, day, h, c in lines)
+    return put(folder, name, PORTAL_HEAD + body)
 
-def test_conflicting_keys_vanish_and_are_reported(spark, tmp_path):
-    staged = read_count_files(spark, put(tmp_path, "old.csv", ARCHIVE))
-    kept = clean.one_per_key(staged)
-    assert kept.where(F.col("date") == "2011-08-09").count() == 0
-    report = clean.conflict_report(staged).first()
-    assert tuple(report) == (1, date(2011, 8, 9), date(2011, 8, 9))
 
+def test_repeats_inside_and_across_archive_files_collapse(spark, tmp_path):
+    folder = tmp_path / "archive"
+    noon, night = "2012-02-29T12:00:00", "29/02/2012 11:00:00 PM"
+    archive_file(folder, "one.csv", (3, noon, 18), (4, noon, 18), (3, noon, 18), (5, night, 0))
+    archive_file(folder, "two.csv", (4, "February 29, 2012 12:00:00 PM", 18), (3, night, 250))
+    kept = clean.one_per_key(read_count_files(spark, str(folder)))
+    leap = date(2012, 2, 29)
+    assert rows(kept) == {(3, leap, 12, 18), (4, leap, 12, 18), (5, leap, 23, 0), (3, leap, 23, 250)}
 
-def test_zero_is_an_observation(spark, tmp_path):
-    kept = clean.one_per_key(read_count_files(spark, put(tmp_path, "new.csv", PORTAL)))
-    assert (9, date(2021, 5, 2), 11, 0) in rows(kept)
+
+def test_a_key_with_three_counts_vanishes_for_its_sensor_alone(spark, tmp_path):
+    first, last = "2016-12-31 22:00:00", "2017-01-02 06:00:00"
+    path = archive_file(
+        tmp_path, "a.csv",
+        (8, first, 31), (8, first, 32), (8, first, 33), (7, first, 31),
+        (8, last, 90), (8, last, 91), (7, last, 0), (7, last, 0),
+    )
+    staged = read_count_files(spark, path)
+    assert rows(clean.one_per_key(staged)) == {(7, date(2016, 12, 31), 22, 31), (7, date(2017, 1, 2), 6, 0)}
+    assert tuple(clean.conflict_report(staged).first()) == (2, date(2016, 12, 31), date(2017, 1, 2))
 
 
-def test_live_replaces_overlapping_archive(spark, tmp_path):
+def test_the_store_shows_live_days_and_older_archive_days(spark, tmp_path):
+    """Per whole day and source, whatever the sensor: the archive ends where live data begins."""
     root = str(tmp_path / "lake")
-    load(spark, root, put(tmp_path, "old.csv", ARCHIVE), "historic")
-    load(spark, root, put(tmp_path, "new.csv", PORTAL), "live")
-    seen = store.read_counts(spark, root).where((F.col("date") == "2021-05-02") & (F.col("hour") == 10))
-    assert [(r.source, r["count"]) for r in seen.collect()] == [("live", 81)]
-    both = store.read_counts(spark, root, reconcile=False)
-    assert both.where((F.col("date") == "2021-05-02") & (F.col("hour") == 10)).count() == 2
+    archived = [(s, f"2022-06-{d:02d} 09:00:00", 10 * d + s) for s in (1, 2) for d in range(1, 7)]
+    live = [(1, f"2022-06-{d:02d}", 9, 500 + d) for d in (4, 6, 8)]
+    assert load(spark, root, archive_file(tmp_path, "a.csv", *archived), "historic") == 12
+    assert load(spark, root, portal_file(tmp_path, "l.csv", *live), "live") == 3
+    seen = {(r.source, r.sensor_id, r.date.day, r["count"]) for r in store.read_counts(spark, root).collect()}
+    before = {("historic", s, d, 10 * d + s) for s in (1, 2) for d in (1, 2, 3)}
+    assert seen == before | {("live", 1, d, 500 + d) for d in (4, 6, 8)}
+    assert store.read_counts(spark, root, reconcile=False).count() == 15
 
 
-def test_reload_does_not_duplicate(spark, tmp_path):
-    root, path = str(tmp_path / "lake"), put(tmp_path, "new.csv", PORTAL)
-    assert load(spark, root, path, "live") == load(spark, root, path, "live") == 3
-    assert store.read_counts(spark, root).count() == 3
+def test_loading_a_file_twice_leaves_one_copy_of_it(spark, tmp_path):
+    root = str(tmp_path / "lake")
+    lines = [(s, "2022-06-04", h, s * h) for s in (1, 2) for h in range(24)]
+    path = portal_file(tmp_path, "l.csv", *lines)
+    assert [load(spark, root, path, "live") for _ in range(3)] == [48] * 3
+    assert rows(store.read_counts(spark, root)) == {(s, date(2022, 6, 4), h, c) for s, _, h, c in lines}
 
 
 def test_later_load_replaces_from_its_first_day_only(spark, tmp_path, make_counts):
@@ -216,3 +223,17 @@ def test_refresh_windows(spark, make_counts):
     again = incremental.refresh_windows(counts, empty_weather, date(2026, 3, 10)).first()
     assert not again.fetch_archive and again.live_since == date(2026, 2, 15)
     assert again.calendar_end == date(2026, 6, 8)
+
+
+def test_conflicts_are_observed_while_rows_are_stored(spark, tmp_path, caplog, monkeypatch):
+    """One grouping of the batch, and the report is that of ``conflict_report``."""
+    lines = [(s, f"2022-06-{d:02d}", h, c) for s in (1, 2) for d in (1, 2, 3) for h in (5, 6) for c in ([4, 9] if s == h - 4 and d > 1 else [4, 4])]
+    staged = read_count_files(spark, portal_file(tmp_path, "l.csv", *lines))
+    kept, report = clean.one_per_key_observed(staged)
+    assert rows(kept) == rows(clean.one_per_key(staged)) and len(rows(kept)) == 8
+    assert report.get == clean.conflict_report(staged).first().asDict()
+    assert (report.get["keys"], report.get["first_date"].day, report.get["last_date"].day) == (4, 2, 3)
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+    with caplog.at_level("INFO", logger="tallygrid.plans.update"):
+        assert load(spark, str(tmp_path / "lake"), portal_file(tmp_path, "l.csv", *lines), "live") == 8
+    assert "dropped 4 sensor-hours of live" in caplog.text

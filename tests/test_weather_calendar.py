@@ -1,7 +1,8 @@
 """Weather rows and views, calendar flags."""
 
 import json
-from datetime import date, datetime
+from datetime import UTC, date, datetime, timedelta
+from zoneinfo import ZoneInfo
 
 import pytest
 from pyspark.sql import functions as F
@@ -21,39 +22,53 @@ def payload(spark, tmp_path):
     return make
 
 
-AUTUMN = {
-    "time": ["2023-04-01T15:00", "2023-04-01T16:00", "2023-04-01T17:00"],
+def year_of(zone, year):
+    """Every UTC hour that falls in a local year, with what ``zoneinfo`` makes of it."""
+    begun, over = (datetime(y, 1, 1, tzinfo=ZoneInfo(zone)).astimezone(UTC) for y in (year, year + 1))
+    hours = [begun + timedelta(hours=n) for n in range(int((over - begun) / timedelta(hours=1)))]
+    return hours, [h.astimezone(ZoneInfo(zone)) for h in hours]
+
+
+@pytest.mark.parametrize("zone", ["Australia/Melbourne", "America/Santiago", "Australia/Lord_Howe", "Asia/Kolkata"])
+def test_local_hours_of_a_year_are_those_of_the_time_zone(spark, zone):
+    hours, local = year_of(zone, 2018)
+    stamps = [(h.replace(tzinfo=None),) for h in hours]
+    found = weather.local_hours(spark.createDataFrame(stamps, "ts_utc timestamp_ntz"), zone).collect()
+    assert {r.ts_utc: (r.date, r.hour) for r in found} == {
+        h.replace(tzinfo=None): (w.date(), w.hour) for h, w in zip(hours, local)
+    }
+
+
+def test_the_view_merges_the_hours_of_a_long_day(payload):
+    """Brute force over a day of 25 hours: means of levels, sums of amounts, one row per local hour."""
+    hours, local = year_of("Australia/Melbourne", 2019)
+    long_day = max({w.date() for w in local}, key=lambda d: sum(w.date() == d for w in local))
+    own = [(h, w.hour) for h, w in zip(hours, local) if w.date() == long_day]
+    warm = [20.5 - 0.75 * n + (n % 4) for n in range(len(own))]
+    wet = [(n * 7 % 5) / 10 for n in range(len(own))]
+    found = weather.weather_view(
+        payload({"time": [f"{h:%Y-%m-%dT%H:%M}" for h, _ in own], "temperature_2m": warm, "precipitation": wet})
+    ).where(F.col("date") == F.lit(long_day))
+    by_hour = {r.hour: r for r in found.collect()}
+    assert len(own) == 25 and set(by_hour) == set(range(24))
+    for hour, row in by_hour.items():
+        at = [n for n, (_, h) in enumerate(own) if h == hour]
+        assert row.temperature == pytest.approx(sum(warm[n] for n in at) / len(at))
+        assert row.precipitation_mm == pytest.approx(sum(wet[n] for n in at))
+        assert row.rain_mm is None and row.wind_speed is None  # not in the response
+
+
+BATCH = {
+    "time": ["2031-07-04T21:00", "2031-07-04T22:00", "2031-07-04T23:00"],
     "temperature_2m": [15.0, 13.0, 12.5],
     "precipitation": [0.4, 0.1, 0.0],
 }
 
 
-def test_utc_hours_become_local_across_the_clock_change(payload):
-    rows = payload(AUTUMN).orderBy("ts_utc").collect()
-    assert [r.hour for r in rows] == [2, 2, 3]
-    assert {r.date for r in rows} == {date(2023, 4, 2)}
-    assert rows[0].ts_utc == datetime(2023, 4, 1, 15)
-    assert rows[0].wind_speed_10m is None  # not in the response
-
-
-def test_spring_gap_has_no_local_two_o_clock(payload):
-    rows = payload(
-        {"time": ["2023-09-30T15:00", "2023-09-30T16:00"], "temperature_2m": [9.0, 8.0]}
-    ).orderBy("ts_utc").collect()
-    assert [r.hour for r in rows] == [1, 3]
-
-
-def test_repeated_hour_is_averaged_and_rain_summed(payload):
-    row = weather.weather_view(payload(AUTUMN)).where("hour = 2").first()
-    assert row.temperature == pytest.approx(14.0)
-    assert row.precipitation_mm == pytest.approx(0.5)
-    assert row.rain_mm is None
-
-
 def test_upsert_replaces_from_first_hour(spark, payload):
-    base = payload(AUTUMN)
+    base = payload(BATCH)
     base = incremental.weather_columns(base)
-    batch = payload({"time": ["2023-04-01T16:00"], "temperature_2m": [20.0]})
+    batch = payload({"time": ["2031-07-04T22:00"], "temperature_2m": [20.0]})
     merged = incremental.upsert_weather(base, batch).orderBy("ts_utc").collect()
     assert [r.temperature_2m for r in merged] == [15.0, 20.0]
     assert merged[1].precipitation is None
@@ -118,6 +133,20 @@ def small_calendar(spark, tmp_path):
     return build
 
 
+def test_spellings_of_one_column_are_one_event(spark, small_calendar):
+    rows = small_calendar(date(2031, 4, 8), date(2031, 4, 14), ("River Fair", "river-fair", "harvest", "Harvest!"))
+    flags = [c for c in rows.columns if c.startswith("event_")]
+    assert flags == ["event_river_fair", "event_harvest", "event_late_show"]
+    assert {r.date.day for r in rows.where("event_river_fair").collect()} == {9, 10, 11, 12, 13}
+    assert rows.where("event_harvest").count() == 0
+    days = [(n, date(2031, 5, d), date(2031, 5, d)) for d, n in enumerate(["Grand Prix", "grand_prix", None], 1)]
+    events = spark.createDataFrame(days, schemas.EVENTS)
+    none = spark.createDataFrame([], schemas.TERMS), spark.createDataFrame([], schemas.HOLIDAYS)
+    spine = cal.day_spine(spark, date(2031, 5, 1), date(2031, 5, 4))
+    built = cal.build_calendar(spine, none[1], none[0], events, ("grand_prix",))
+    assert {r.date.day for r in built.where("event_grand_prix").collect()} == {1, 2}
+
+
 def test_every_event_of_the_table_gets_a_flag(small_calendar):
     rows = small_calendar(date(2031, 4, 8), date(2031, 4, 22))
     assert [c for c in rows.columns if c.startswith("event_")] == ["event_harvest", "event_late_show", "event_river_fair"]
