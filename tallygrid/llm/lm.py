@@ -8,16 +8,22 @@ times its share of the group's training count, so every word has a probability,
 unseen ones too.
 
 ``fit`` counts all training words (tasks count their own, a shuffle sums), then
-trains on all training texts in ``ROUNDS`` parts: every task begins with the
-common weights, learns from its texts by truncated backpropagation, and the
-weights are averaged by the number of symbols behind them. ``score`` carries the
-state through each whole text.
+trains on all training texts in ``ROUNDS`` parts. A part's texts are dealt by
+their hash into groups that each hold enough for ``LEAST_UPDATES`` updates; the
+number of groups follows from the number of tokens. Every group begins with the
+common weights, learns from its texts by truncated backpropagation in the order
+of their hashes, and the weights are averaged by the number of symbols behind
+them. So weights and scores depend on the rows alone, not on how they are
+partitioned. ``score`` carries the state through each whole text.
 
 Counts of the most frequent words (at most ``KNOWN``) are broadcast; tokens of
 rarer ones leave the task as rows and meet their counts in a join.
 
-Cases: a null or empty text is its end alone. Nothing to learn from gives
-uniform symbols. Repeated rows and null ids keep their rows.
+Cases: a null or empty text is its end alone. Nothing to learn from, or an empty
+table, gives uniform symbols. Repeated rows and null ids keep their rows; copies
+of a text go to groups by their ids. A text of any length is scored and learned
+from as a whole, in windows; a task holds one such text, or some megabytes of
+shorter ones.
 """
 
 from __future__ import annotations
@@ -40,8 +46,14 @@ ENDING = 3
 # words whose counts every task may hold
 KNOWN = 1 << 20
 ROUNDS = 3
-# a task with few texts repeats them until it made so many updates in a round
+# a group with few texts repeats them until it made so many updates in a round
 LEAST_UPDATES = 150
+# tokens of a group in a round: full windows for the least updates
+GROUP_TOKENS = LEAST_UPDATES * Trainer.LANES * Trainer.STEPS
+# groups in a round at most; beyond it they grow instead
+MOST_GROUPS = 4096
+# weights that travel as one row
+BLOCK = 4096
 # words a task remembers before it begins anew
 REMEMBERED = 250_000
 # words held as objects at once
@@ -238,44 +250,99 @@ def begins_of(lengths: np.ndarray) -> np.ndarray:
     return np.r_[0, np.cumsum(lengths)[:-1]] if len(lengths) else np.empty(0, np.int64)
 
 
+def group_count(tokens: int, rounds: int) -> int:
+    """Groups that learn side by side in a round."""
+    return min(max(tokens // (rounds * GROUP_TOKENS), 1), MOST_GROUPS)
+
+
+class Learner:
+    """One group's network: learns from texts as they come, in batches of fixed size."""
+
+    def __init__(self, words: WordModel, reader: Reader, flat: np.ndarray):
+        self.trainer, self.reader = Trainer(Network(words.shape, flat)), reader
+        self.texts: list[str] = []
+        self.size = 0
+        self.first = None
+
+    def add(self, text: str) -> None:
+        self.texts.append(text)
+        self.size += len(text)
+        if self.size >= BATCH_BYTES:
+            self.learn()
+
+    def learn(self) -> None:
+        if not self.texts:
+            return
+        rows, lengths = self.reader.read(self.texts)
+        held = (self.reader.place[rows].astype(np.int32), begins_of(lengths), lengths)
+        self.trainer.learn(*held)
+        self.first = self.first or held
+        self.texts, self.size = [], 0
+
+    def blocks(self, group: int) -> pa.RecordBatch:
+        """The group's weights and the symbols behind them."""
+        self.learn()
+        symbols = self.trainer.symbols
+        while self.trainer.updates < LEAST_UPDATES:
+            self.trainer.learn(*self.first)
+        flat = self.trainer.network.flat
+        parts = [flat[at : at + BLOCK] for at in range(0, len(flat), BLOCK)]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.arange(len(parts), dtype=np.int32)),
+                pa.array(np.full(len(parts), group, np.int32)),
+                pa.array(np.full(len(parts), float(symbols))),
+                pa.array(parts, pa.list_(pa.float32())),
+            ],
+            ["block", "grp", "n", "v"],
+        )
+
+
+def mean_block(rows: pa.Table) -> pa.Table:
+    """Mean of one block over all groups, weighted by their symbols; at most ``MOST_GROUPS`` rows."""
+    rows = rows.sort_by("grp")
+    n = rows.column("n").to_numpy()
+    values = np.stack(rows.column("v").to_numpy()).astype(np.float64)
+    mean = (n @ values / n.sum()).astype(np.float32)
+    return pa.table(
+        {"block": rows.column("block").slice(0, 1), "v": pa.array([mean], pa.list_(pa.float32()))}
+    )
+
+
 def train(docs: DataFrame, words: WordModel, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights of the network after one pass over all texts, in ``rounds`` parts."""
+    """Weights of the network after one pass over all texts (``id, text``), in ``rounds`` parts."""
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(words)
     flat = initial(words.shape, words.frequency)
-    part = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(rounds))
+    groups = group_count(words.total, rounds)
+    part = F.pmod(F.xxhash64("text", "id", F.lit(11)), F.lit(rounds))
+    dealt = docs.select("text", part.alias("part"), F.xxhash64("text", "id", F.lit(12)).alias("place"))
+    dealt = dealt.withColumn("grp", F.pmod("place", F.lit(groups)).cast("int"))
     for n in range(rounds):
         begun = context.broadcast(flat)
 
         def learn(batches: Iterator[pa.RecordBatch], begun=begun) -> Iterator[pa.RecordBatch]:
-            trainer = Trainer(Network(shared.value.shape, begun.value))
-            reader, first = Reader(shared.value), None
+            reader, group, learner = Reader(shared.value), None, None
             for batch in batches:
                 for piece in slices(batch, BATCH_BYTES):
-                    rows, lengths = reader.read(piece.column(0).to_pylist())
-                    held = (reader.place[rows].astype(np.int32), begins_of(lengths), lengths)
-                    trainer.learn(*held)
-                    first = first or held
-            symbols = trainer.symbols
-            while first and trainer.updates < LEAST_UPDATES:
-                trainer.learn(*first)
-            weights = trainer.network.flat.astype(np.float64)
-            if symbols:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.arange(len(weights), dtype=np.int32)),
-                        pa.array(weights * symbols),
-                        pa.array(np.full(len(weights), float(symbols))),
-                    ],
-                    ["i", "v", "n"],
-                )
-
-        rows = docs.where(part == n).select("text").mapInArrow(learn, "i int, v double, n double")
-        # as many rows as the network has weights
-        mean = rows.groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).toArrow()
+                    own = zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True)
+                    for of, text in own:
+                        if of != group:
+                            if learner:
+                                yield learner.blocks(group)
+                            group, learner = of, Learner(shared.value, reader, begun.value)
+                        learner.add(text)
+            if learner:
+                yield learner.blocks(group)
+
+        rows = dealt.where(F.col("part") == n).repartitionById(groups, "grp")
+        rows = rows.sortWithinPartitions("grp", "place", "text").select("grp", "text")
+        found = rows.mapInArrow(learn, "block int, grp int, n double, v array<float>")
+        # one row for each block of the network
+        mean = found.groupBy("block").applyInArrow(mean_block, "block int, v array<float>").toArrow()
         if mean.num_rows:
-            flat = np.empty(words.shape.size, np.float32)
-            flat[mean.column("i").to_numpy()] = mean.column("v").to_numpy()
+            mean = mean.sort_by("block")
+            flat = np.concatenate(mean.column("v").to_numpy())
     return flat
 
 

@@ -24,8 +24,13 @@ def packed(texts):
 
 def plain_score(net, symbols):
     """Symbol by symbol, with the whole distribution written out."""
-    w, n = net.w, SMALL.state
-    h, before, total = np.zeros(n), SMALL.symbols, 0.0
+    return plain_steps(net, symbols)
+
+
+def plain_steps(net, symbols):
+    shape = net.shape
+    w, n = {k: v.astype(np.float64) for k, v in net.w.items()}, shape.state
+    h, before, total = np.zeros(n), shape.symbols, 0.0
     for s in symbols:
         x, u = w["inputs"][before], h @ w["recurrent"]
         z, r = (1 / (1 + np.exp(-(x[k] + u[k]))) for k in (slice(0, n), slice(n, 2 * n)))
@@ -33,7 +38,7 @@ def plain_score(net, symbols):
         h = z * h + (1 - z) * c
         outer = h @ w["class_out"] + w["class_bias"]
         outer = np.exp(outer) / np.exp(outer).sum()
-        inner = np.exp([h @ w["member_out"][k] + w["member_bias"][k] for k in range(SMALL.classes)])
+        inner = np.exp([h @ w["member_out"][k] + w["member_bias"][k] for k in range(shape.classes)])
         inner /= inner.sum(1, keepdims=True)
         together = outer[:, None] * inner
         assert abs(together.sum() - 1) < 1e-5
@@ -118,6 +123,59 @@ def test_training_carries_the_state_through_a_whole_text(monkeypatch):
     assert seen == [(1, n > 0) for n in range(-(-1300 // gru.Trainer.STEPS))]
 
 
+@pytest.fixture
+def small_groups(monkeypatch):
+    """Several groups a round, and several batches in each, from few texts."""
+    monkeypatch.setattr(lm, "SHAPE", gru.Shape(classes=4, members=4, state=6))
+    monkeypatch.setattr(lm, "GROUP_TOKENS", 700)
+    monkeypatch.setattr(lm, "LEAST_UPDATES", 12)
+    monkeypatch.setattr(lm, "BATCH_BYTES", 1500)
+
+
+def test_scores_do_not_depend_on_partitions(docs_of, small_groups):
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(30)}" for _ in range(rng.randrange(60))) for _ in range(200)]
+    docs = docs_of([*texts, *["one copy of many"] * 60, None, ""], [*range(260), None, None])
+    scores = []
+    for parts in (1, 4, 7):
+        dealt = docs.repartition(parts)
+        model = lm.fit(dealt)
+        found = lm.score(dealt, model).collect()
+        scores.append(sorted((r.id is None, r.id or 0, r.n_tokens, r.score) for r in found))
+    assert lm.group_count(model.words.total, lm.ROUNDS) > 2
+    for other in scores[1:]:
+        assert [x[:3] for x in other] == [x[:3] for x in scores[0]]
+        assert np.allclose([x[3] for x in other], [x[3] for x in scores[0]], rtol=1e-6, atol=1e-6)
+
+
+def test_whole_scores_against_a_plain_step(docs_of, small_groups):
+    """Scores of a small table from the trained weights, symbol by symbol in float64."""
+    texts = ["a b c d e f", "a a a", "", "z unseen words here", "b a " * 40]
+    docs = docs_of(texts)
+    model = lm.fit(docs)
+    reader, m = lm.Reader(model.words), model.words
+    found = {r.id: r.score for r in lm.score(docs, model).collect()}
+    for n, text in enumerate(texts):
+        rows, _ = reader.read([text])
+        logs = plain_steps(gru.Network(m.shape, model.weights), reader.place[rows]) / np.log(10)
+        own = np.log10(np.maximum(reader.count[rows], 0) + 0.5)
+        inside = np.where(reader.in_head[rows], 0.0, own - m.group_total[reader.group[rows]])
+        assert math.isclose(found[n], logs + inside.sum(), rel_tol=1e-5)
+
+
+def test_groups_follow_the_tokens_and_stay_bounded():
+    assert [lm.group_count(n, 3) for n in (0, lm.GROUP_TOKENS * 3, lm.GROUP_TOKENS * 31)] == [1, 1, 10]
+    assert lm.group_count(10**15, 3) == lm.MOST_GROUPS
+
+
+def test_weights_travel_in_blocks_and_weigh_by_symbols(docs_of, small_groups):
+    import pyarrow as pa
+
+    rows = pa.table({"block": pa.array([2, 2], pa.int32()), "grp": pa.array([1, 0], pa.int32()), "n": [3.0, 1.0],
+                     "v": pa.array([[1.0, 2.0], [5.0, 6.0]], pa.list_(pa.float32()))})
+    assert lm.mean_block(rows).to_pylist() == [{"block": 2, "v": [2.0, 3.0]}]
+
+
 def base_of(rows, learned):
     counts = Counter()
     for i, text in rows:
