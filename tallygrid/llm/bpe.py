@@ -8,7 +8,9 @@ search over the sorted pair keys and merges it wherever the piece has it.
 
 Cases: a null or empty text, or one of white space only, has no ids and decodes
 to the empty string. Special tokens written in a text become their id. Repeated
-rows and null ids keep their rows; an empty table gives an empty result.
+rows and null ids keep their rows; an empty table gives an empty result. A text
+of any length is encoded whole; a run of tens of thousands of letters without a
+break is one piece, and its rounds take longer than its length tells.
 """
 
 from __future__ import annotations

@@ -18,6 +18,8 @@ Cases: an item or document of fewer than five words is one shingle, so it only
 matches a text of the same words; one without words matches nothing. Repeated
 items and documents each get their rows of the result; rows with equal ids and
 different texts count as different documents. Null texts count as empty.
+A text of any length is one row, searched whole. Without items, or without
+documents, the result is empty. Other columns are not read.
 """
 
 from __future__ import annotations

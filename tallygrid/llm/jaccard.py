@@ -1,35 +1,34 @@
-"""Exact Jaccard join of word-shingle sets as a metric-space join.
+"""Exact Jaccard join of word-shingle sets: a prefix filter, and metric regions in large groups.
 
 The distance 1 - J of two sets is a metric. Documents link when their distance
 is at most ``RADIUS`` (J of 0.75 or more), and the join returns the classes
 that the links form.
 
-1. *Outer regions.* The outermost pivots are single shingles. A document lies
-   at the same, least distance from each of its shingles and at distance 1 from
-   all others; ties go by a global order, rare shingles first. Two documents
-   within the radius differ in at most a quarter of either set, so of a first
-   quarter and ``l`` shingles more, ``l`` at least are common. A document is
-   replicated to the regions of that many, with ``l`` about ``SPARE`` per cent
-   of its set: a linked pair meets in at least as many. Most shingles stand in
-   one document only, and their regions close at once. The others are divided
-   by bands of set sizes, two for each document, as sizes of linked documents
-   differ by a third at most. Documents left in fewer regions than any partner
-   would need leave the others too, again and again. Regions with the same
-   members are one region.
-2. *Cells.* Outer regions that share documents are one cell, so that a group of
-   copies is compared once and not in each of its regions; where such a chain
-   holds more than ``CHAIN`` documents, every region stays a cell of its own. A
-   cell of more than ``BLOCK`` documents is dealt into blocks, and every two
-   blocks meet in one group of rows: no group is larger than two blocks.
-3. *Voronoi regions.* Inside a group, pivots are chosen far from each other and
-   the distances of all documents to them are computed. Each document belongs
-   to the region of its nearest pivot. By the triangle inequality a document y
-   can only link to one of another pivot's region if its distance to that pivot
-   is at most its own least distance plus twice the radius, and at most the
-   region's largest distance plus the radius: inside these windows it is
+1. *Prefix filter.* Candidates meet by common shingles in a global order, rare
+   ones first; no document is a pivot here. Two documents within the radius
+   differ in at most a quarter of either set, so of a first quarter and ``l``
+   shingles more, ``l`` at least are common. A document is replicated to the
+   groups of that many, with ``l`` about ``SPARE`` per cent of its set: a linked
+   pair meets in at least as many. Most shingles stand in one document only, and
+   their groups close at once. The others are divided by bands of set sizes, two
+   for each document, as sizes of linked documents differ by a third at most.
+   Documents left in fewer groups than any partner would need leave the others
+   too, again and again. Groups with the same members are one.
+2. *Cells.* Groups that share documents are one cell, so that copies are compared
+   once and not in each of their groups; where such a chain holds more than
+   ``CHAIN`` documents, every group stays a cell of its own. A cell of more than
+   ``BLOCK`` documents is dealt into blocks, and every two blocks meet in one
+   group of rows: no group is larger than two blocks.
+3. *Voronoi regions.* Large groups of rows are divided by pivots far from each
+   other, to which the distances of all documents are computed. Each document
+   belongs to the region of its nearest pivot. By the triangle inequality a
+   document y can only link to one of another pivot's region if its distance to
+   that pivot is at most its own least distance plus twice the radius, and at
+   most the region's largest distance plus the radius: inside these windows it is
    replicated. Regions are joined again in the same way, until they are small
    or overlap so much that joining them in turn would save less than half, and
    then compared directly. Documents of one class need no comparison any more.
+   On ordinary tables groups are too small for this step.
 
 Equal texts are collapsed first, and every text is shuffled once, into a table
 bucketed by a hash with which pairs are joined. Counts of shared shingles are
@@ -37,7 +36,9 @@ exact but for collisions of 64-bit hashes.
 
 Cases: documents of fewer than five words have one shingle; those without
 words, null texts included, have none and link with nothing. Repeated rows and
-null ids keep their rows; a class of null ids alone has a null class id.
+null ids keep their rows; a class of null ids alone has a null class id. A text
+of any length is one set; a task holds one such text, or some megabytes of
+shorter ones. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -12,8 +12,10 @@ The identifier dictionary counts identifiers over all texts: tasks count their
 own, a shuffle sums, and the most frequent ones (``DICTIONARY_WORDS``) go to
 the driver and back as a dictionary of bounded size.
 
-Cases: a null or empty text has no spans. Equal texts get equal spans. An empty
-table gives an empty result, with a dictionary of the code words alone.
+Cases: a null or empty text has no spans. Equal texts get equal spans; repeated
+rows and null ids keep their rows. A text of any length is scanned whole, one at
+a time. An empty table gives an empty result, with a dictionary of the code words
+alone. Other columns are not read.
 """
 
 from __future__ import annotations

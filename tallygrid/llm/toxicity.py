@@ -19,7 +19,9 @@ unseen texts under the very dictionaries that it is used with.
 Cases: a null or empty text has no windows and gets the score of zero margins;
 labels that are null are ignored, repeated labels of an id count once (toxic if
 any says so); without both classes to learn from, every score is the share of
-toxic labels, 0 without labels. Repeated rows and null ids keep their rows.
+toxic labels, 0 without labels. Repeated rows and null ids keep their rows. A
+text of any length is read whole, window by window. An empty table gives an empty
+result. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -186,6 +186,20 @@ def test_rows_of_one_id_and_null_ids(docs_of):
     assert found == [(2, 25, 0), (2, 25, 25), (99, 25, 25), (99, 26, 25)]
 
 
+def test_a_very_long_text_and_one_word_throughout(docs_of):
+    """Every window but the first of a text of one word stands earlier."""
+    docs = docs_of(["la " * 30_000, "la " * 25, " ".join(f"w{n}" for n in range(30_000)), "la"])
+    found = {r.id: (r.n_words, r.n_removed) for r in substring.remove_repeats(docs).collect()}
+    assert found == {0: (30_000, 29_999), 1: (25, 25), 2: (30_000, 0), 3: (1, 0)}
+
+
+def test_classes_of_a_very_long_text(docs_of):
+    long = " ".join(f"w{n}" for n in range(40_000))
+    docs = docs_of([long, long + " and a little more", "la " * 40_000, "short"], [7, 3, 5, None])
+    found = {r.id: (r.n_shingles, r.component_id) for r in jaccard.near_classes(docs).collect()}
+    assert found == {7: (39_996, 3), 3: (40_000, 3), 5: (1, 5), None: (1, None)}
+
+
 def test_width_must_divide(docs_of):
     with pytest.raises(ValueError, match="four"):
         substring.remove_repeats(docs_of(["a"]), width=6)

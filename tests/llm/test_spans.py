@@ -191,6 +191,21 @@ def test_identifiers_are_counted_over_all_rows(docs_of, monkeypatch):
     assert counts == {"alpha": 40, "beta": 40, "gamma_q": 20}
 
 
+def test_secrets_of_odd_tables(docs_of):
+    key = "q8Zr2LxV0bTn5YwKc7MdHs3J"
+    texts = [f"api token {key} end", f"api token {key} end", None, "", "word " * 100_000 + f"secret is {key}"]
+    docs = docs_of(texts, [1, 1, None, None, 5])
+    found = secrets.scan(docs, secrets.identifier_dictionary(docs)).collect()
+    assert len(found) == 5
+    by_id = {}
+    for r in found:
+        by_id.setdefault(r.id, []).append([(s.kind, s.start, s.end) for s in r.spans])
+    assert by_id[1][0] == by_id[1][1] and by_id[None] == [[], []]
+    assert any(start == 500_010 for _, start, _ in by_id[5][0])
+    none = docs_of([])
+    assert secrets.scan(none, secrets.identifier_dictionary(none)).count() == 0
+
+
 def test_outside():
     assert spans.outside([(0, 2), (2, 4), (5, 9)], [(3, 6), (4, 5)]) == [(0, 2)]
     assert spans.outside([(1, 2)], []) == [(1, 2)]

@@ -57,6 +57,12 @@ def test_without_labels_or_classes(spark, docs_of):
     assert toxicity.score(docs, toxicity.fit(docs, null)).count() == 2
 
 
+def test_columns_named_like_the_result(trained, spark):
+    docs = spark.createDataFrame([(1, "a b", 9, "s")], "doc_id long, text string, score int, id string")
+    row = toxicity.score(docs, trained[2]).first()
+    assert row.id == 1 and 0 <= row.score <= 1
+
+
 def test_windows_cover_the_text():
     data = b"word " * 100 + b"x" * 500
     windows = toxicity.windows_of(data)
