@@ -781,7 +781,7 @@ def whole_backtest_rows(spark, d):
     )
 
 
-def whole_model(spark, d, target="count"):
+def whole_model(spark, d):
     """The model of all counts."""
     return forecast.train_model(
         t.stored_counts(spark, d),
@@ -789,7 +789,19 @@ def whole_model(spark, d, target="count"):
         t.stored_weather(spark, d),
         *span(spark, d),
         t.SHIP,
-        target=target,
+        settings=TreeSettings(),
+    )
+
+
+def whole_ratio_model(spark, d):
+    """The model of all counts as shares of their baselines."""
+    return forecast.train_model(
+        t.stored_counts(spark, d),
+        t.stored_calendar(spark, d),
+        t.stored_weather(spark, d),
+        *span(spark, d),
+        t.SHIP,
+        target="ratio",
         settings=TreeSettings(),
     )
 
@@ -832,5 +844,5 @@ def day_ahead_forecasts(spark, d):
 @query
 def day_ahead_ratio_forecasts(spark, d):
     """The same by a model of the count as a share of its baseline."""
-    _, daily = forecast.forecast_days(whole_model(spark, d, "ratio"), *coming_features(spark, d))
+    _, daily = forecast.forecast_days(whole_ratio_model(spark, d), *coming_features(spark, d))
     return rounded(daily)
