@@ -223,11 +223,10 @@ oracle(
     "reconcile_sources",
     """SELECT sensor_id, date, hour, count, source FROM ship_t""",
 )
-oracle(
-    "dataset_summary",
-    """SELECT source, count(*) AS rows, count(DISTINCT sensor_id) AS sensors,
-              min(date) AS first_date, max(date) AS last_date FROM ship_t GROUP BY source""",
-)
+_SUMMARY = """SELECT source, count(*) AS rows, count(DISTINCT sensor_id) AS sensors,
+              min(date) AS first_date, max(date) AS last_date FROM ship_t GROUP BY source"""
+oracle("dataset_summary", _SUMMARY)
+oracle("stored_summary", _SUMMARY)
 oracle(
     "weather_span",
     """SELECT count(*) AS hours, min(date) AS first_date, max(date) AS last_date
@@ -341,6 +340,7 @@ STEPS["complete_t"] = """
            count(*) / (day(last_day(any_value(date))) * 4)::DOUBLE AS share
     FROM ship_t GROUP BY 1, 2"""
 oracle("monthly_completeness", f"SELECT sensor_id, month, hours, {r6('share')} FROM complete_t")
+oracle("stored_completeness", f"SELECT sensor_id, month, hours, {r6('share')} FROM complete_t")
 _GRID = [f"{y}-{m:02d}" for y in range(1995, 2002) for m in range(1, 13)][: 6 * 12 + 11]
 oracle(
     "completeness_grid",
@@ -354,6 +354,7 @@ STEPS["fault_t"] = """
     SELECT sensor_id, date FROM ship_t WHERE hour >= 8 AND hour <= 20
     GROUP BY sensor_id, date HAVING sum(count) = 0 AND count(*) > 1"""
 oracle("fault_days", "SELECT * FROM fault_t")
+oracle("stored_fault_days", "SELECT * FROM fault_t")
 oracle(
     "suspicious_days",
     "SELECT sensor_id, count(*) AS suspicious_days FROM fault_t GROUP BY sensor_id",
@@ -722,6 +723,7 @@ STEPS["sensor_day_t"] = (
     GROUP BY sensor_id, date, period HAVING count(*) = 4"""
 )
 oracle("sensor_days", "SELECT * FROM sensor_day_t")
+oracle("stored_sensor_days", "SELECT * FROM sensor_day_t")
 oracle("period_counts", "SELECT period, count(*) AS sensor_days FROM sensor_day_t GROUP BY period")
 STEPS["kind_t"] = """
     SELECT sensor_id, weekday_vs_weekend,

@@ -24,7 +24,7 @@ from tallygrid.plans import analysis, forecast
 from tallygrid.plans import tables as t
 from tallygrid.plans.update import Landing, create_views, update
 from tallygrid.session import shared_dir, written
-from tallygrid.sources import reference_files as files, store
+from tallygrid.sources import day_parts, reference_files as files, store
 from tallygrid.sources.count_files import read_count_files, typed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -175,6 +175,31 @@ def stored_update(spark, d):
     return store.read_counts(spark, one_root(spark, d)).drop("month")
 
 
+@query
+def stored_summary(spark, d):
+    """Rows, distinct sensors and span of each source from the parts of the loads."""
+    return day_parts.summary(spark, one_root(spark, d), t.SHIP)
+
+
+@query
+def stored_fault_days(spark, d):
+    """Fault days as the loads left them, without those that later loads hide."""
+    return day_parts.read_faults(spark, one_root(spark, d), t.SHIP)
+
+
+@query
+def stored_completeness(spark, d):
+    hours = day_parts.read_monthly(spark, one_root(spark, d), t.SHIP)
+    return rounded(coverage.with_share(hours, t.SHIP))
+
+
+@query
+def stored_sensor_days(spark, d):
+    """The sensor-days of the recovery study from stored totals, without a grouping."""
+    totals = day_parts.read_days(spark, one_root(spark, d), t.SHIP)
+    return sd.working_days(totals, t.stored_calendar(spark, d), t.SHIP)
+
+
 @query
 def sensors_file(spark, d):
     """Sensors as read from their file, with types taken from the text."""
@@ -493,6 +518,7 @@ def dataset_rows(spark, d):
         season.season_index(counts, t.SHIP),
         *span(spark, d),
         t.SHIP,
+        faults=t.stored_faults(spark, d),
     )
 
 
@@ -513,6 +539,7 @@ def future_rows(spark, d):
         *coming_days(spark, d),
         t.SHIP,
         future=t.sensors(spark, d).withColumnRenamed("location_id", "sensor_id"),
+        faults=t.stored_faults(spark, d),
     )
 
 

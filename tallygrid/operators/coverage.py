@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed
 from ..functions.dates import days_in_month, in_base, in_recent, month_start, of_sensors
@@ -57,14 +57,16 @@ def select_sensors(coverage: DataFrame, params: Params) -> DataFrame:
 
 def monthly_completeness(counts: DataFrame, params: Params) -> DataFrame:
     """Hours present per sensor and month, as a count and a share."""
-    return (
-        counts.groupBy("sensor_id", month_start("date").alias("month"))
-        .agg(F.count("*").alias("hours"))
-        .withColumn(
-            "share",
-            F.col("hours") / (days_in_month("month") * F.lit(params.slots_per_day)),
-        )
+    hours = counts.groupBy("sensor_id", month_start("date").alias("month")).agg(
+        F.count("*").alias("hours")
     )
+    return with_share(hours, params)
+
+
+def with_share(hours: DataFrame, params: Params) -> DataFrame:
+    """Monthly hours and their share of the month's slots."""
+    slots = days_in_month("month") * F.lit(params.slots_per_day)
+    return hours.withColumn("share", F.col("hours") / slots)
 
 
 def completeness_grid(
@@ -97,19 +99,32 @@ def fault_days(counts: DataFrame, params: Params) -> DataFrame:
     return (
         counts.where(F.col("hour").between(*params.daytime_hours))
         .groupBy("sensor_id", "date")
-        .agg(F.count("*").alias("rows"), F.max("count").alias("highest"))
-        .where((F.col("rows") >= params.fault_min_rows) & (F.col("highest") == 0))
+        .agg(F.count("*").alias("_daytime_rows"), F.max("count").alias("_daytime_max"))
+        .where(is_fault(params))
         .select("sensor_id", "date")
     )
 
 
-def without_faults(counts: DataFrame, params: Params) -> DataFrame:
+def is_fault(params: Params) -> Column:
+    """The rule over a sensor-day's number of daytime rows and their highest count."""
+    return (F.col("_daytime_rows") >= params.fault_min_rows) & (F.col("_daytime_max") == 0)
+
+
+def faulty_days(totals: DataFrame, params: Params) -> DataFrame:
+    """``fault_days`` from totals of sensor-days, which need no grouping."""
+    return totals.where(is_fault(params)).select("sensor_id", "date")
+
+
+def without_faults(
+    counts: DataFrame, params: Params, faults: DataFrame | None = None
+) -> DataFrame:
     """Counts of sensor-days that do not look like faults.
 
-    The list of faults is measured first: while it is small, the counts need no
-    shuffle to lose a few days.
+    Stored ``faults`` join as they are. Without them the list is made and
+    measured first: while it is small, the counts need no shuffle to lose a few days.
     """
-    faults = measured(fault_days(counts, params), "fault-days")
+    if faults is None:
+        faults = measured(fault_days(counts, params), "fault-days")
     return counts.join(faults, ["sensor_id", "date"], "left_anti")
 
 

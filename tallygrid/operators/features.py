@@ -111,18 +111,20 @@ def build_dataset(
     end: date,
     params: Params,
     future: DataFrame | None = None,
+    faults: DataFrame | None = None,
 ) -> DataFrame:
     """One row per sensor and hour with every feature the model may use.
 
     Fault days are left out both as targets and as history. With ``future``
     (one row per sensor) the targets are the hours still to come, with an empty
     count. ``weather`` is the stored view or supplied weather of that shape.
+    With stored ``faults`` (sensor_id, date) planning starts no job.
     """
     lags = params.all_lags
     own = of_sensors(counts, params)
     newest = end if future is None else end - timedelta(min(lags))
     reach = between_days(own, start - timedelta(max(lags)), newest)
-    clean = without_faults(reach, params).select(*COUNT_KEYS, "count")
+    clean = without_faults(reach, params, faults).select(*COUNT_KEYS, "count")
     if future is None:
         rows = clean.select("*", F.col("count").alias("_past"), F.lit(True).alias("_target"))
     else:

@@ -9,6 +9,7 @@ from ..functions.dates import in_base, in_recent, in_scope, iso_week, period, we
 from ..functions.joins import broadcast_up_to, days_between
 from ..functions.numbers import ratio
 from ..params import Params
+from .coverage import is_fault
 
 
 def sensor_days(counts: DataFrame, calendar: DataFrame, params: Params) -> DataFrame:
@@ -17,9 +18,25 @@ def sensor_days(counts: DataFrame, calendar: DataFrame, params: Params) -> DataF
     Fault days fall out of the same grouping that builds the totals, so the
     counts are read and shuffled once. Days without a calendar row drop out.
     """
-    low, high = params.daytime_hours
-    daytime = F.col("hour").between(low, high)
-    is_fault = (F.col("_daytime_rows") >= params.fault_min_rows) & (F.col("_daytime_max") == 0)
+    return working_days(day_totals(in_scope(counts, params), params), calendar, params)
+
+
+def day_totals(counts: DataFrame, params: Params) -> DataFrame:
+    """Per sensor-day its totals by window, its rows and what tells a fault."""
+    daytime = F.col("hour").between(*params.daytime_hours)
+    return counts.groupBy("sensor_id", "date").agg(
+        *[
+            F.sum(F.when(F.col("hour").between(a, b), F.col("count"))).alias(name)
+            for name, (a, b) in params.windows.items()
+        ],
+        F.count("*").alias("_rows"),
+        F.count_if(daytime).alias("_daytime_rows"),
+        F.max(F.when(daytime, F.col("count"))).alias("_daytime_max"),
+    )
+
+
+def working_days(totals: DataFrame, calendar: DataFrame, params: Params) -> DataFrame:
+    """``sensor_days`` from totals of sensor-days, just summed or stored."""
     in_periods = in_base(params) | in_recent(params)
     working = calendar.where(in_periods & ~F.col("is_holiday")).select("date")
     # one row per day of the two periods: their length bounds the broadcast
@@ -27,18 +44,8 @@ def sensor_days(counts: DataFrame, calendar: DataFrame, params: Params) -> DataF
         params.recent_start, params.recent_end
     )
     return (
-        in_scope(counts, params)
-        .groupBy("sensor_id", "date")
-        .agg(
-            *[
-                F.sum(F.when(F.col("hour").between(a, b), F.col("count"))).alias(name)
-                for name, (a, b) in params.windows.items()
-            ],
-            F.count("*").alias("_rows"),
-            F.count_if(daytime).alias("_daytime_rows"),
-            F.max(F.when(daytime, F.col("count"))).alias("_daytime_max"),
-        )
-        .where((F.col("_rows") == params.slots_per_day) & ~F.coalesce(is_fault, F.lit(False)))
+        in_scope(totals, params)
+        .where((F.col("_rows") == params.slots_per_day) & ~F.coalesce(is_fault(params), F.lit(False)))
         .join(broadcast_up_to(working, days), "date")
         .select(
             "sensor_id",

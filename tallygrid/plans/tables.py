@@ -14,7 +14,9 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import fixed
+from ..functions.joins import broadcast_up_to
 from ..operators.calendar import build_calendar, days_spanned
+from ..operators.coverage import fault_days
 from ..operators.weather import MEASURES, local_hours, weather_view
 from ..params import Params
 from ..session import written
@@ -314,6 +316,16 @@ def stored_counts(spark: SparkSession, folder: str) -> DataFrame:
     return stored(spark, folder, ship_counts, by_month=True)
 
 
+def ship_faults(spark: SparkSession, folder: str) -> DataFrame:
+    return fault_days(stored_counts(spark, folder), SHIP)
+
+
+def stored_faults(spark: SparkSession, folder: str) -> DataFrame:
+    """Fault days of the stored counts, as a load keeps them (``sources.day_parts``)."""
+    faults = stored(spark, folder, ship_faults)
+    return broadcast_up_to(faults, faults.count())
+
+
 def stored_weather(spark: SparkSession, folder: str) -> DataFrame:
     """The hourly weather view over stored weather."""
     return weather_view(stored(spark, folder, ship_weather))

@@ -15,7 +15,7 @@ from ..operators.calendar import build_calendar, day_spine
 from ..operators.weather import hourly_view, payload_rows, weather_view
 from ..params import Params
 from ..session import written
-from ..sources import reference_files, store
+from ..sources import day_parts, reference_files, store
 from ..sources.count_files import read_count_files
 from ..sources.schemas import HOLIDAYS
 
@@ -43,8 +43,10 @@ def update(
     The archive is loaded once; live data and weather only for the windows that
     ``refresh_windows`` asks for.
     """
+    day_parts.maintain(spark, root, params)
+    newest = day_parts.summary(spark, root, params).select("source", F.col("last_date").alias("date"))
     plan = incremental.refresh_windows(
-        store.read_counts(spark, root), store.read_weather_hourly(spark, root), today
+        newest, store.read_weather_hourly(spark, root), today
     ).first()
     if landing.archive and plan.fetch_archive:
         load_counts(spark, root, read_count_files(spark, landing.archive), fixed.ARCHIVE_SOURCE)
@@ -59,6 +61,7 @@ def update(
             else landed.where(F.col("date").isNull() | (F.col("date") >= F.lit(plan.live_since))),
             fixed.LIVE_SOURCE,
         )
+    day_parts.maintain(spark, root, params)
     if landing.sensors:
         store.replace_table(
             spark, root, "sensors", reference_files.read_sensors(spark, landing.sensors)
@@ -75,7 +78,7 @@ def update(
         )
     store.replace_table(spark, root, "calendar", _calendar(spark, landing, plan, params))
     create_views(spark, root)
-    return incremental.dataset_summary(store.read_counts(spark, root))
+    return day_parts.summary(spark, root, params)
 
 
 def load_counts(spark: SparkSession, root: str, rows: DataFrame, source: str) -> int:

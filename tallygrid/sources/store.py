@@ -19,14 +19,13 @@ from ..fixed import ARCHIVE_SOURCE, LIVE_SOURCE
 from . import schemas
 
 LOG_SCHEMA = "table string, source string, load int, first_date date, rows bigint"
-COUNTS_ON_DISK = (
-    "sensor_id int, date date, hour tinyint, count int, source string, load int, month date"
-)
+LOAD_ON_DISK = "sensor_id int, date date, hour tinyint, count int, month date"
+COUNTS_ON_DISK = f"{LOAD_ON_DISK}, source string, load int"
 
 
 def read_log(spark: SparkSession, root: str) -> DataFrame:
     """All loads so far, a few rows per run."""
-    return _read_or_empty(spark, f"{root}/loads", LOG_SCHEMA)
+    return read_or_empty(spark, f"{root}/loads", LOG_SCHEMA)
 
 
 def append_counts(spark: SparkSession, root: str, clean: DataFrame, source: str) -> int:
@@ -46,12 +45,10 @@ def append_counts(spark: SparkSession, root: str, clean: DataFrame, source: str)
         .partitionBy("month")
         .parquet(path)
     )
-    stored = _read_or_empty(
-        spark, path, "sensor_id int, date date, hour tinyint, count int, month date"
-    )
+    stored = read_or_empty(spark, path, LOAD_ON_DISK)
     rows, first = stored.agg(F.count("*"), F.min("date")).first()
     if rows:
-        _log(spark, root, "counts", source, load, first, rows)
+        log_load(spark, root, "counts", source, load, first, rows)
     return rows
 
 
@@ -60,7 +57,7 @@ def read_counts(spark: SparkSession, root: str, reconcile: bool = True) -> DataF
 
     Carries the ``month`` partition column, so date ranges skip whole months.
     """
-    stored = _read_or_empty(spark, f"{root}/counts", COUNTS_ON_DISK)
+    stored = read_or_empty(spark, f"{root}/counts", COUNTS_ON_DISK)
     visible = visible_loads(read_log(spark, root), reconcile)
     return (
         stored.join(visible, ["source", "load"])
@@ -105,7 +102,7 @@ def replace_table(spark: SparkSession, root: str, name: str, rows: DataFrame) ->
     path = f"{root}/{name}/version={load}"
     rows.write.mode("overwrite").parquet(path)
     count = spark.read.parquet(path).count()
-    _log(spark, root, name, None, load, None, count)
+    log_load(spark, root, name, None, load, None, count)
     return count
 
 
@@ -134,14 +131,14 @@ def _next_load(spark: SparkSession, root: str, table: str) -> int:
     return (last or 0) + 1
 
 
-def _log(
+def log_load(
     spark: SparkSession, root: str, table: str, source, load: int, first: date | None, rows: int
 ) -> None:
     entry = spark.createDataFrame([(table, source, load, first, rows)], LOG_SCHEMA)
     entry.coalesce(1).write.mode("append").parquet(f"{root}/loads")
 
 
-def _read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
