@@ -17,6 +17,7 @@ from ..params import Params
 from ..session import written
 from ..sources import day_parts, reference_files, store
 from ..sources.count_files import read_count_files
+from ..sources.landing import listed, note, pending
 from ..sources.schemas import HOLIDAYS
 
 log = logging.getLogger(__name__)
@@ -51,16 +52,7 @@ def update(
     if landing.archive and plan.fetch_archive:
         load_counts(spark, root, read_count_files(spark, landing.archive), fixed.ARCHIVE_SOURCE)
     if landing.live:
-        landed = read_count_files(spark, landing.live)
-        load_counts(
-            spark,
-            root,
-            # unreadable dates stay in, for the gate to judge
-            landed
-            if plan.live_since is None
-            else landed.where(F.col("date").isNull() | (F.col("date") >= F.lit(plan.live_since))),
-            fixed.LIVE_SOURCE,
-        )
+        load_live(spark, root, landing.live, plan.live_since)
     day_parts.maintain(spark, root, params)
     if landing.sensors:
         store.replace_table(
@@ -87,7 +79,32 @@ def load_counts(spark: SparkSession, root: str, rows: DataFrame, source: str) ->
     The batch is parsed once: gate and cleaning read the written copy. It is
     shuffled once: the conflict report is observed while the rows are stored.
     """
+    return load_staged(spark, root, written(rows, "staged-counts"), source)
+
+
+def load_live(
+    spark: SparkSession, root: str, paths: str | Sequence[str], since: date | None
+) -> int:
+    """Load the live window from the landed files that have something for it."""
+    load = pending(spark, root, fixed.LIVE_SOURCE, paths, since)
+    if load is None:
+        log.info("no landed live file changed")
+        return 0
+    if not load.files and not listed(spark, paths).isEmpty():
+        note(spark, root, load, None)
+        return 0
+    rows = read_count_files(spark, load.files or paths, with_file=True)
+    # unreadable dates stay in, for the gate to judge
+    if since is not None:
+        rows = rows.where(F.col("date").isNull() | (F.col("date") >= F.lit(since)))
     staged = written(rows, "staged-counts")
+    kept = load_staged(spark, root, staged, fixed.LIVE_SOURCE)
+    note(spark, root, load, staged)
+    return kept
+
+
+def load_staged(spark: SparkSession, root: str, staged: DataFrame, source: str) -> int:
+    """``load_counts`` for a batch that is written already."""
     total = clean.check_quality(staged, source)
     if not total:
         log.info("no new %s rows", source)

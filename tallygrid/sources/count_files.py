@@ -15,17 +15,24 @@ from ..functions.text import archive_timestamp, lenient_int, normal_name
 
 LAYOUTS = (PORTAL_COLUMNS, ARCHIVE_COLUMNS)
 CSV_NAMES = "*.[cC][sS][vV]"
+# no normalised column name starts with an underscore and ends in a space
+FILE = "_file "
 
 
-def read_count_files(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
+def read_count_files(
+    spark: SparkSession, paths: str | Iterable[str], with_file: bool = False
+) -> DataFrame:
     """Typed (sensor_id, date, hour, count) rows of all CSV files under ``paths``.
 
-    Unreadable values become NULL; ``operators.clean`` judges them.
+    Unreadable values become NULL; ``operators.clean`` judges them. ``with_file``
+    adds the URI of each row's file as ``file``.
     """
-    return typed_counts(read_as_text(spark, paths))
+    return typed_counts(read_as_text(spark, paths, with_file))
 
 
-def read_as_text(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
+def read_as_text(
+    spark: SparkSession, paths: str | Iterable[str], with_file: bool = False
+) -> DataFrame:
     """All files as text columns under normalised names, united by name.
 
     A CSV scan binds columns by position, so files are read per header: one
@@ -38,13 +45,15 @@ def read_as_text(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
         names = _unique(normal_name(name) for name in header)
         schema = ", ".join(f"`{name}` string" for name in names)
         rows = spark.read.schema(schema).option("header", True).option("escape", '"').csv(files)
-        parts.append(rows.select(*[name for name in names if name in needed]))
+        file = [F.col("_metadata.file_path").alias(FILE)] if with_file else []
+        parts.append(rows.select(*[name for name in names if name in needed], *file))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def typed_counts(text: DataFrame) -> DataFrame:
     """Pick the layout by its columns and cast; the first layout that fits wins."""
-    columns = {normal_name(name): name for name in text.columns}
+    columns = {normal_name(name): name for name in text.columns if name != FILE}
+    file = [F.col(FILE).alias("file")] if FILE in text.columns else []
     if set(PORTAL_COLUMNS) <= columns.keys():
         sensor, day, hour, count = (F.col(columns[name]) for name in PORTAL_COLUMNS)
         return text.select(
@@ -52,6 +61,7 @@ def typed_counts(text: DataFrame) -> DataFrame:
             _iso_date(day).alias("date"),
             lenient_int(hour, "tinyint").alias("hour"),
             lenient_int(count).alias("count"),
+            *file,
         )
     if set(ARCHIVE_COLUMNS) <= columns.keys():
         sensor, moment, count = (F.col(columns[name]) for name in ARCHIVE_COLUMNS)
@@ -60,12 +70,14 @@ def typed_counts(text: DataFrame) -> DataFrame:
             lenient_int(sensor).alias("sensor_id"),
             archive_timestamp(moment).alias("stamp"),
             lenient_int(count).alias("count"),
+            *file,
         )
         return stamped.select(
             "sensor_id",
             F.to_date("stamp").alias("date"),
             F.hour("stamp").cast("tinyint").alias("hour"),
             "count",
+            *[F.col("file") for _ in file],
         )
     raise _unrecognised(columns, text.inputFiles())
 
@@ -82,7 +94,7 @@ def _files_by_header(spark: SparkSession, paths: list[str]) -> dict[tuple[str, .
         .option("pathGlobFilter", CSV_NAMES)
         .text(paths)
     )
-    files = [_plain(uri) for uri in lines.inputFiles()]
+    files = [plain_path(uri) for uri in lines.inputFiles()]
     if not files:
         raise RuntimeError(f"No CSV files found in {', '.join(paths)}")
     squeezed = F.regexp_replace(F.lower("value"), "[^a-z0-9]+", "_")
@@ -103,7 +115,7 @@ def _files_by_header(spark: SparkSession, paths: list[str]) -> dict[tuple[str, .
     )
     by_header = defaultdict(list)
     for row in headers:
-        by_header[tuple(next(csv.reader([row.header.lstrip("﻿")])))].append(_plain(row.file))
+        by_header[tuple(next(csv.reader([row.header.lstrip("﻿")])))].append(plain_path(row.file))
     known = {file for group in by_header.values() for file in group}
     unknown = sorted(set(files) - known)
     if unknown:
@@ -113,7 +125,7 @@ def _files_by_header(spark: SparkSession, paths: list[str]) -> dict[tuple[str, .
     return {header: sorted(group) for header, group in by_header.items()}
 
 
-def _plain(uri: str) -> str:
+def plain_path(uri: str) -> str:
     """One spelling for a file's URI: 'file:/a%20b' and 'file:///a b' are the same."""
     parts = urlsplit(uri)
     return unquote(f"{parts.scheme}://{parts.netloc}{parts.path}")
