@@ -748,7 +748,8 @@ def twelve_months(spark, d):
 def backtest_target_rows(spark, d):
     """The features of all counts, as far as a back-test predicts them."""
     rows = forecast.features(
-        t.stored_counts(spark, d), t.stored_calendar(spark, d), t.stored_weather(spark, d), *span(spark, d), t.SHIP
+        t.stored_counts(spark, d), t.stored_calendar(spark, d), t.stored_weather(spark, d), *span(spark, d), t.SHIP,
+        faults=t.stored_faults(spark, d),
     )
     return model.backtest_targets(written(rows, "features"), *twelve_months(spark, d), span(spark, d)[0])
 
@@ -791,7 +792,7 @@ def coming_features(spark, d):
 def day_ahead(spark, d):
     """What is known of the coming days without a model."""
     counts, calendar, typical, sensors, *days = coming_features(spark, d)
-    rows = forecast.features(counts, calendar, typical, *days, t.SHIP, future=sensors)
+    rows = forecast.features(counts, calendar, typical, *days, t.SHIP, sensors, t.stored_faults(spark, d))
     daily = model.day_ahead(rows.withColumn("model", F.lit(None).cast("double")), calendar)
     return rounded(daily.drop("forecast", "change"))
 
@@ -805,6 +806,7 @@ def whole_backtest_rows(spark, d):
         span(spark, d)[0],
         t.SHIP,
         settings=TreeSettings(),
+        faults=t.stored_faults(spark, d),
     )
 
 
@@ -817,6 +819,7 @@ def whole_model(spark, d):
         *span(spark, d),
         t.SHIP,
         settings=TreeSettings(),
+        faults=t.stored_faults(spark, d),
     )
 
 
@@ -830,6 +833,7 @@ def whole_ratio_model(spark, d):
         t.SHIP,
         target="ratio",
         settings=TreeSettings(),
+        faults=t.stored_faults(spark, d),
     )
 
 
@@ -864,12 +868,12 @@ def feature_importance(spark, d):
 @query
 def day_ahead_forecasts(spark, d):
     """Forecast and change against the typical day, for the two weeks behind the newest count."""
-    _, daily = forecast.forecast_days(whole_model(spark, d), *coming_features(spark, d))
+    _, daily = forecast.forecast_days(whole_model(spark, d), *coming_features(spark, d), t.stored_faults(spark, d))
     return rounded(daily)
 
 
 @query
 def day_ahead_ratio_forecasts(spark, d):
     """The same by a model of the count as a share of its baseline."""
-    _, daily = forecast.forecast_days(whole_ratio_model(spark, d), *coming_features(spark, d))
+    _, daily = forecast.forecast_days(whole_ratio_model(spark, d), *coming_features(spark, d), t.stored_faults(spark, d))
     return rounded(daily)
