@@ -17,9 +17,9 @@ that the links form.
 2. *Cells.* Groups that share documents are one cell, so that copies are compared
    once and not in each of their groups; where such a chain holds more than
    ``CHAIN`` documents, every group stays a cell of its own. A cell of more than
-   ``BLOCK`` documents is dealt into blocks, and every two blocks meet in one
-   group of rows: no group is larger than two blocks.
-3. *Voronoi regions.* Large groups of rows are divided by pivots far from each
+   two blocks of ``BLOCK`` documents is divided by Voronoi regions in rounds over
+   all cells (``regions.py``), until its parts fit one task.
+3. *Voronoi regions in a task.* Groups above ``DIRECT`` are divided by pivots far from each
    other, to which the distances of all documents are computed. Each document
    belongs to the region of its nearest pivot. By the triangle inequality a
    document y can only link to one of another pivot's region if its distance to
@@ -28,7 +28,6 @@ that the links form.
    replicated. Regions are joined again in the same way, until they are small
    or overlap so much that joining them in turn would save less than half, and
    then compared directly. Documents of one class need no comparison any more.
-   On ordinary tables groups are too small for this step.
 
 Equal texts are collapsed first, and every text is shuffled once, into a table
 bucketed by a hash with which pairs are joined. Counts of shared shingles are
@@ -52,12 +51,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import ship_package, written
 from .components import components
 from .copies import BATCH_ROWS, distinct_texts
+from .regions import RADIUS, SHARED, divide
 from .shared import arrow_rows, broadcast_if_small
 from .text import ShingleSets, slices
 
-# per cent of the union that two sets must share; the radius is what is left
-SHARED = 75
-RADIUS = (100 - SHARED) / 100
 # per cent of a set by which a document is replicated beyond what it may miss
 SPARE = 6
 # the most frequent shingles that tasks know of; they only decide the order
@@ -66,7 +63,7 @@ KNOWN_FREQUENT = 1 << 18
 CHAIN = 1 << 14
 BLOCK = 512
 # documents that are compared directly, and pivots of a larger region
-DIRECT = 48
+DIRECT = 8
 PIVOTS = 6
 
 
@@ -185,8 +182,8 @@ def first_regions(table: DataFrame) -> DataFrame:
     return rows.select(rid, F.xxhash64("h", "band").alias("m"), "h").distinct()
 
 
-def blocks(regions: DataFrame) -> DataFrame:
-    """``cell, a, b, h``: the groups of rows in which documents meet."""
+def cells(regions: DataFrame) -> DataFrame:
+    """``cell, h, size``: the documents that must meet, each in its cells."""
     least = regions.groupBy("rid").agg(F.min("m").alias("lead"))
     ties = regions.join(least, "rid").where("m != lead").select("m", "lead").distinct()
     chains = written(components(ties, "m", "lead"), "chains")
@@ -199,7 +196,11 @@ def blocks(regions: DataFrame) -> DataFrame:
     rest = regions.join(short.select("m"), "m", "left_anti")
     own = rest.groupBy("rid").agg(F.count("*").alias("size"))
     by_region = rest.join(own, "rid").select(F.col("rid").alias("cell"), "h", "size")
-    placed = by_chain.unionByName(by_region)
+    return by_chain.unionByName(by_region)
+
+
+def blocks(placed: DataFrame) -> DataFrame:
+    """``cell, a, b, h``: the groups of rows of cells of at most two blocks."""
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
     placed = placed.withColumn("own", F.pmod(F.xxhash64("h"), parts).cast("int"))
     met = placed.select("cell", "h", "own", F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
@@ -275,7 +276,8 @@ class MetricJoin:
             window = np.minimum(least + 2 * RADIUS, reach + RADIUS) + 1e-9
             # the pivots have met all others
             inside = ((nearest == k) | (to[:, k] <= window)) & ~np.isin(members, pivots)
-            regions.append(members[inside])
+            if inside.any() and not self.one_class(members[inside]):
+                regions.append(members[inside])
         # joining regions in turn must save at least half of all comparisons
         if 2 * sum(len(r) ** 2 for r in regions) <= len(members) ** 2:
             for region in regions:
@@ -293,10 +295,23 @@ class MetricJoin:
 
 def links(table: DataFrame) -> DataFrame:
     """``h, p``: links that span every class."""
-    groups = blocks(written(first_regions(table), "regions"))
+    placed = written(cells(written(first_regions(table), "regions")), "cells")
     texts = texts_of(table).select("h", "text")
+    large = placed.where(F.col("size") > 2 * BLOCK).select("cell", "h")
+    found, divided, _ = divide(large, texts, BLOCK)
+    groups = blocks(placed.where(F.col("size") <= 2 * BLOCK))
+    for more in divided:
+        groups = groups.unionByName(more)
+    pairs = joined_groups(groups, texts)
+    for more in found:
+        pairs = pairs.unionByName(more)
+    return pairs
+
+
+def joined_groups(groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """``h, p``: links among the documents of every group of rows."""
     rows = groups.join(texts, "h").select("cell", "a", "b", "h", "text")
-    partitions = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(partitions, "cell", "a", "b").sortWithinPartitions("cell", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import pytest
 
-from tallygrid.llm import components, copies, jaccard, substring
+from tallygrid.llm import components, copies, jaccard, regions, substring
 from tallygrid.llm.queries import QUERIES
 
 
@@ -95,6 +95,79 @@ def test_recursive_regions_find_every_class(monkeypatch, seed):
     assert ours == sorted((i, c) for i, _, c in brute_classes(list(enumerate(texts))))
 
 
+def matrix_classes(texts):
+    """The least member of every text's class, from the counts of all pairs."""
+    import numpy as np
+
+    sets = [shingles(t) for t in texts]
+    place = {x: n for n, x in enumerate({x for own in sets for x in own})}
+    held = np.zeros((len(sets), len(place)), np.float32)
+    for n, own in enumerate(sets):
+        held[n, [place[x] for x in own]] = 1
+    both, size = held @ held.T, held.sum(1)
+    near = 100 * both >= 75 * (size[:, None] + size - both)
+    label = np.arange(len(sets))
+    while True:
+        least = np.array([label[row].min() for row in near])
+        if (least == label).all():
+            return label.tolist()
+        label = least
+
+
+def families(seed, count, each, common=0, rates=(0.0, 0.01, 0.02, 0.03)):
+    """Near copies around some base texts, which share their first words."""
+    rng = random.Random(seed)
+    first = [f"c{n}" for n in range(common)]
+    out = []
+    for f in range(count):
+        base = " ".join(first + [f"f{f}w{n}" for n in range(60 - common)])
+        out += [edited(rng, base, rng.choice(rates)) for _ in range(each)]
+    rng.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize(
+    ("count", "each", "common", "rates"),
+    [(20, 150, 0, (0.0, 0.01, 0.02, 0.03)), (12, 250, 20, (0.0, 0.02)), (1, 3000, 0, (0.01, 0.03, 0.06, 0.1))],
+)
+def test_rounds_over_three_thousand_near_copies(spark, count, each, common, rates):
+    """One cell of all documents comes apart in rounds, with few copies and no link lost."""
+    texts = families(count, count, each, common, rates)
+    table = spark.createDataFrame(list(enumerate(texts)), "h long, text string")
+    members = table.selectExpr("7L as cell", "h")
+    found, groups, rounds = regions.divide(members, table, 128)
+    pairs, copied = found[0], groups[0]
+    for more in found[1:]:
+        pairs = pairs.unionByName(more)
+    for more in groups[1:]:
+        copied = copied.unionByName(more)
+    largest = copied.groupBy("cell", "a", "b").count().agg({"count": "max"}).first()[0] or 0
+    assert largest <= 3 * 128
+    if count == 20:
+        assert rounds > 1 and copied.count() <= 3 * len(texts)
+    links = pairs.unionByName(jaccard.joined_groups(copied, table))
+    label = {r.node: r.label for r in components.components(links, "h", "p").collect()}
+    assert [label.get(n, n) for n in range(len(texts))] == matrix_classes(texts)
+
+
+def test_large_cells_on_the_way_through_the_query(docs_of, monkeypatch):
+    """The prefix filter leaves cells of many blocks; their rounds lead to the same classes."""
+    monkeypatch.setattr(jaccard, "BLOCK", 32)
+    seen = []
+    own = jaccard.divide
+    monkeypatch.setattr(jaccard, "divide", lambda *a: seen.append(own(*a)) or seen[-1])
+    texts = families(11, 4, 200)
+    found = jaccard.near_classes(docs_of(texts)).collect()
+    assert seen[0][2] > 0
+    assert [r.component_id for r in sorted(found, key=lambda r: r.id)] == matrix_classes(texts)
+
+
+def test_classes_of_masks(spark):
+    rows = spark.createDataFrame([([1, 3, 4, 0, 24],), ([],), ([0],)], "masks array<int>")
+    found = [r.c for r in rows.select(regions.joined_masks(rows["masks"]).alias("c")).collect()]
+    assert [sorted(c) for c in found] == [[3, 4, 24], [], []]
+
+
 def test_repeated_rows_null_ids_and_one_of_each(docs_of):
     base = " ".join(f"w{n}" for n in range(40))
     other = " ".join(f"v{n}" for n in range(40))
