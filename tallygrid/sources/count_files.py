@@ -97,10 +97,18 @@ def _files_by_header(spark: SparkSession, paths: list[str]) -> dict[tuple[str, .
     files = [plain_path(uri) for uri in lines.inputFiles()]
     if not files:
         raise RuntimeError(f"No CSV files found in {', '.join(paths)}")
-    squeezed = F.regexp_replace(F.lower("value"), "[^a-z0-9]+", "_")
+    plain = F.lower("value")
+    squeezed = F.regexp_replace(plain, "[^a-z0-9]+", "_")
+    # the first word of a name is in its header as it stands: rows of counts never reach the pattern
     is_header = reduce(
         lambda a, b: a | b,
-        [reduce(lambda a, b: a & b, [squeezed.contains(c) for c in layout]) for layout in LAYOUTS],
+        [
+            reduce(lambda a, b: a & b, [
+                *[plain.contains(c.split("_")[0]) for c in layout],
+                *[squeezed.contains(c) for c in layout],
+            ])
+            for layout in LAYOUTS
+        ],
     )
     headers = (
         lines.where(is_header)

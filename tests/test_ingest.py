@@ -237,3 +237,24 @@ def test_conflicts_are_observed_while_rows_are_stored(spark, tmp_path, caplog, m
     with caplog.at_level("INFO", logger="tallygrid.plans.update"):
         assert load(spark, str(tmp_path / "lake"), portal_file(tmp_path, "l.csv", *lines), "live") == 8
     assert "dropped 4 sensor-hours of live" in caplog.text
+
+
+def test_rows_of_counts_never_reach_the_header_pattern(spark, tmp_path):
+    """The pattern runs over lines that hold a layout's words, not over every line."""
+    from tallygrid.sources import count_files
+
+    (tmp_path / "a.csv").write_text("﻿Sensor ID,Date-Time,HOURLY  counts\n1,\"March 01, 2020 09:00:00 AM\",5\n")
+    (tmp_path / "b.csv").write_text("Location_ID,Sensing Date,HourDay,PedestrianCount,Note\n2,2020-03-01,9,7,sensor id\n")
+    found = count_files._files_by_header(spark, [str(tmp_path)])
+    assert sorted(len(header) for header in found) == [3, 5]
+    pattern = []
+    original = count_files.F.regexp_replace
+    try:
+        count_files.F.regexp_replace = lambda *a: pattern.append(a) or count_files.F.raise_error(a[0]).cast("string")
+        (tmp_path / "a.csv").unlink()
+        (tmp_path / "b.csv").write_text("1,2\n3,4\n")
+        with pytest.raises(ValueError, match="Unrecognised"):
+            count_files._files_by_header(spark, [str(tmp_path)])
+    finally:
+        count_files.F.regexp_replace = original
+    assert pattern
