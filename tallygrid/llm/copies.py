@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import shared_dir
 from .shared import arrow_rows
-from .text import ShingleSets, id_and_text, map_batches, parted
+from .text import ShingleSets, id_and_text, map_batches, packed_texts, parted
 
 
 # documents of one batch of rows from which a shingle counts as frequent
@@ -25,7 +25,8 @@ def _distinct_in_batch(docs: DataFrame) -> DataFrame:
     ``key`` is the MD5 of the text, ``n_shingles`` the size of its set. Copies
     are dealt out by a hash ``h`` of their own, texts by the hash of the text;
     ``of`` is the hash of the text for both. Texts without words are no copies.
-    One row of a batch carries its frequent shingles and their counts.
+    One row of a batch carries its frequent shingles and their counts. Texts are
+    compressed, so that the shuffles of whole texts are smaller.
     """
 
     def make():
@@ -72,7 +73,7 @@ def _distinct_in_batch(docs: DataFrame) -> DataFrame:
                     pa.array(np.array(of, np.uint64).view(np.int64)),
                     ids,
                     batch.column(2),
-                    pa.array(kept, pa.string()),
+                    packed_texts(kept),
                     pa.array(n, pa.int64()),
                     *lists,
                 ],
@@ -82,7 +83,7 @@ def _distinct_in_batch(docs: DataFrame) -> DataFrame:
         return each
 
     schema = (
-        "h long, of long, id long, key string, text string, n_shingles long, "
+        "h long, of long, id long, key string, text binary, n_shingles long, "
         "often array<long>, often_n array<long>"
     )
     return map_batches(docs, make, schema, limit=12 << 20)

@@ -57,6 +57,10 @@ from .text import ShingleSets, slices
 
 # per cent of a set by which a document is replicated beyond what it may miss
 SPARE = 6
+# bits of a shingle's hash that name its groups, and of the band of set sizes below them;
+# shingles that agree in the first are one group, so more documents meet and none is lost
+PIVOT_BITS = 40
+BAND_BITS = 7
 # the most frequent shingles that tasks know of; they only decide the order
 KNOWN_FREQUENT = 1 << 18
 # documents of a chain of regions that may form one cell, and of one block of it
@@ -100,7 +104,7 @@ def outer_regions(table: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 pivots, sizes = [], []
-                for own in sets.of(part.column(1).to_pylist()):
+                for own in sets.of_column(part.column(1)):
                     n = len(own)
                     if len(known) and n:
                         at = np.minimum(np.searchsorted(known, own), len(known) - 1)
@@ -110,11 +114,11 @@ def outer_regions(table: DataFrame) -> DataFrame:
                     pivots.append(own[: n - -(-SHARED * n // 100) + -(-SPARE * n // 100)])
                     sizes.append(n)
                 each = np.fromiter(map(len, pivots), np.int64, len(pivots))
-                flat = np.concatenate([np.empty(0, np.uint64), *pivots]).view(np.int64)
+                flat = np.concatenate([np.empty(0, np.uint64), *pivots]) >> np.uint64(64 - PIVOT_BITS)
                 h = part.column(0).to_numpy()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(flat),
+                        pa.array(flat.view(np.int64)),
                         pa.array(np.repeat(h, each)),
                         pa.array(np.repeat(np.array(sizes, np.int32), each)),
                     ],
@@ -137,25 +141,36 @@ def not_alone(rows: DataFrame, *region: str) -> DataFrame:
 
 
 def banded(rows: DataFrame) -> DataFrame:
-    """Each row in its band of set sizes and as a guest in the next larger one.
+    """``region, h, mark``: each row in its band of set sizes and as a guest in the next larger one.
 
     Documents that can link are of one band or of neighbouring ones. Guests meet
-    each other in their own band, so a region of guests alone is dropped.
+    each other in their own band, so a region of guests alone is dropped. A region
+    is a shingle and a band; ``mark`` is twice the set size, and one more for a guest.
     """
     # a little wider than the ratio of sizes that a link allows
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(101 / SHARED))).cast("int")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(101 / SHARED)))
+    region = F.shiftleft("pivot", BAND_BITS) + band
+    mark = 2 * F.col("n").cast("long")
     places = F.array(
-        F.struct(band.alias("band"), F.lit(False).alias("guest")),
-        F.struct((band + 1).alias("band"), F.lit(True).alias("guest")),
+        F.struct(region.alias("region"), mark.alias("mark")),
+        F.struct((region + 1).alias("region"), (mark + 1).alias("mark")),
     )
-    return rows.withColumn("place", F.explode(places)).select(*rows.columns, "place.*")
+    return rows.select("h", F.explode(places).alias("place")).select("place.region", "h", "place.mark")
 
 
 def with_hosts(rows: DataFrame) -> DataFrame:
     """The rows of the banded regions in which two documents meet that are not both guests."""
-    region = Window.partitionBy("pivot", "band")
-    met = rows.withColumn("hosted", F.min("guest").over(region))
-    return not_alone(met.where(~F.col("hosted")).drop("hosted"), "pivot", "band")
+    guests = F.min(F.col("mark") % 2).over(Window.partitionBy("region"))
+    met = rows.withColumn("guests", guests).where(F.col("guests") == 0).drop("guests")
+    return not_alone(met, "region")
+
+
+def met_enough(rows: DataFrame) -> DataFrame:
+    """The rows of the documents that are in as many regions of a band as any partner needs."""
+    # one document has one mark in a band
+    regions = F.count("*").over(Window.partitionBy("h", "mark"))
+    size = F.shiftright("mark", 1)
+    return rows.withColumn("k", regions).where(F.col("k") >= common_at_least(size)).drop("k")
 
 
 def first_regions(table: DataFrame) -> DataFrame:
@@ -168,18 +183,16 @@ def first_regions(table: DataFrame) -> DataFrame:
     rows = written(with_hosts(banded(rows)), "banded-regions")
     before = rows.count()
     while before:
-        enough = rows.groupBy("h", "band", "n").agg(F.count("*").alias("k"))
-        enough = enough.where(F.col("k") >= common_at_least(F.col("n"))).select("h", "band")
-        kept = rows.join(enough, ["h", "band"], "left_semi").select(*rows.columns)
-        rows = written(with_hosts(kept), "banded-regions")
+        rows = written(with_hosts(met_enough(rows)), "banded-regions")
         after = rows.count()
         if after > 0.9 * before:
             break
         before = after
-    same = Window.partitionBy("pivot", "band")
+    same, band = Window.partitionBy("region"), F.col("region").bitwiseAND((1 << BAND_BITS) - 1)
     size, members = F.count("*").over(same), F.sum(F.shiftright(F.xxhash64("h"), 16)).over(same)
-    rid = F.xxhash64(size, members, F.col("band")).alias("rid")
-    return rows.select(rid, F.xxhash64("h", "band").alias("m"), "h").distinct()
+    rid = F.xxhash64(size, members, band).alias("rid")
+    rows = rows.select(rid, band.cast("int").alias("band"), "h").distinct()
+    return rows.select("rid", F.xxhash64("h", "band").alias("m"), "h")
 
 
 def cells(regions: DataFrame) -> DataFrame:
@@ -329,7 +342,7 @@ def joined_groups(groups: DataFrame, texts: DataFrame) -> DataFrame:
             for part in slices(batch):
                 left, right = [], []
                 cell, a, b, ids = (part.column(n).to_pylist() for n in range(4))
-                found = sets.of(part.column(4).to_pylist())
+                found = sets.of_column(part.column(4))
                 for n, here in enumerate(zip(cell, a, b, strict=True)):
                     if here != key:
                         more = joined(h, own)

@@ -79,7 +79,7 @@ def measured(members: DataFrame, texts: DataFrame, block: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 cell, block, pivot, h = (part.column(n).to_pylist() for n in range(4))
-                found = sets.of(part.column(4).to_pylist())
+                found = sets.of_column(part.column(4))
                 for n, here in enumerate(zip(cell, block, strict=True)):
                     if here != key:
                         if held:

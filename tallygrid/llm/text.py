@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,7 +73,7 @@ def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.Recor
         sum(
             pc.binary_length(c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for c in batch.columns
-            if pa.types.is_string(c.type)
+            if pa.types.is_string(c.type) or pa.types.is_binary(c.type)
         )
         + np.full(batch.num_rows, 64)
     )
@@ -167,7 +167,7 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     return mixed(out * ODD + hashes[width - 1 :]) if width % 2 else out
 
 
-def parted(texts: list[str], limit: int = 1 << 20) -> Iterator[list[str]]:
+def parted(texts: Iterable[str], limit: int = 1 << 20) -> Iterator[list[str]]:
     """The texts in runs of about ``limit`` characters."""
     part, size = [], 0
     for text in texts:
@@ -180,12 +180,30 @@ def parted(texts: list[str], limit: int = 1 << 20) -> Iterator[list[str]]:
         yield part
 
 
+def packed_texts(texts: list[str | None]) -> pa.Array:
+    """The texts compressed one by one, for tables whose texts are shuffled."""
+    import zstandard
+
+    compressor = zstandard.ZstdCompressor()
+    return pa.array([t if t is None else compressor.compress(t.encode()) for t in texts], pa.binary())
+
+
 class ShingleSets:
     """Sorted distinct shingle hashes of texts; fewer words make one shingle, none make none."""
 
     def __init__(self) -> None:
         self.hashes = WordHashes()
 
+    def of_column(self, column: pa.Array) -> list[np.ndarray]:
+        """The sets of a column of texts, plain or compressed by ``packed_texts``."""
+        texts = column.to_pylist()
+        if pa.types.is_binary(column.type):
+            import zstandard
+
+            decompressor = zstandard.ZstdDecompressor()
+            texts = (decompressor.decompress(t).decode() for t in texts)
+        return [own for part in parted(texts) for own in self.of(part)]
+
     def of(self, texts: list[str]) -> list[np.ndarray]:
         words: list[bytes] = []
         ends = []

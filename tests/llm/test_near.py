@@ -1,9 +1,10 @@
 import random
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 
-from tallygrid.llm import components, copies, jaccard, regions, substring
+from tallygrid.llm import components, copies, jaccard, regions, substring, text
 from tallygrid.llm.queries import QUERIES
 
 
@@ -286,3 +287,30 @@ def test_chosen_positions_are_a_minimum_of_every_run():
     for n in range(len(values) - 15):
         run = values[n : n + 16]
         assert any(n + k in at for k in np.flatnonzero(run == run.min()))
+
+
+def test_shuffled_texts_are_compressed_and_read_again(spark, docs_of):
+    texts = ["a b c d e f g", "", "ä " * 4000, "one two", "x" * 3_000_000]
+    plain, packed = pa.array(texts), text.packed_texts(texts)
+    got, want = (text.ShingleSets().of_column(c) for c in (packed, plain))
+    assert [x.tolist() for x in got] == [x.tolist() for x in want] == [x.tolist() for x in text.ShingleSets().of(texts)]
+    assert packed[2].as_buffer().size < 200
+    rows = copies.distinct_texts(docs_of(texts[:1] * 2), "doc_id", "text")
+    assert dict(rows.dtypes)["text"] == "binary" and rows.where("text is not null").count() == 1
+
+
+def test_shingles_that_share_a_group_lose_no_link(spark, docs_of, monkeypatch):
+    """Few bits make most shingles meet; classes stay those of all pairs."""
+    rng = random.Random(3)
+    texts = families(3, 6, 8, 10, (0.0, 0.02, 0.05)) + [" ".join(rng.choices("abcdefgh", k=40)) for _ in range(20)]
+    monkeypatch.setattr(jaccard, "PIVOT_BITS", 3)
+    found = {r.id: r.component_id for r in jaccard.near_classes(docs_of(texts)).collect()}
+    assert [found[n] for n in range(len(texts))] == matrix_classes(texts)
+
+
+def test_a_round_of_the_prefix_filter_shuffles_rows_twice(spark):
+    """Once by document and once by region: no grouping and no join beside them."""
+    rows = spark.createDataFrame([(5, 1, 40), (5, 2, 41), (6, 1, 40)], "region long, h long, mark long")
+    plan = jaccard.with_hosts(jaccard.met_enough(rows))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 2
+    assert jaccard.banded(rows.selectExpr("3L as pivot", "h", "40 as n")).columns == ["region", "h", "mark"]
