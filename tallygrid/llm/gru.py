@@ -67,8 +67,11 @@ def initial(shape: Shape, frequency: np.ndarray, seed: int = 7) -> np.ndarray:
 
 # largest logarithm before normalisation: its exponential still fits a float
 MOST = np.float32(60)
-# rows of the output layer that are computed at once
+# rows of the output layer that are computed at once, and those whose logarithms stay in a core's cache
 ROWS = 1 << 16
+CACHED_ROWS = 1 << 11
+# weights that one step of the optimizer takes through the cache together
+CACHED_WEIGHTS = 1 << 13
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -106,6 +109,7 @@ class Network:
     def __init__(self, shape: Shape, flat: np.ndarray):
         self.shape, self.flat = shape, flat.astype(np.float32)
         self.w = shape.split(self.flat)
+        self.grad: np.ndarray | None = None
 
     def steps(self, symbols, active, before, state, keep):
         """States in front of each symbol of a window, and the state after it.
@@ -116,7 +120,7 @@ class Network:
         n, inputs, recurrent = self.shape.state, self.w["inputs"], self.w["recurrent"]
         seen, gates = [], []
         for t, k in enumerate(active):
-            x = inputs[before[:k]]
+            x = inputs.take(before[:k], axis=0)
             h = state[:k]
             u = h @ recurrent
             zr = sigmoid(x[:, : 2 * n] + u[:, : 2 * n])
@@ -137,41 +141,67 @@ class Network:
         shape, w = self.shape, self.w
         classes, members = symbols // shape.members, symbols % shape.members
         rows = np.arange(len(symbols))
-        logits = states @ w["class_out"]
-        logits += w["class_bias"]
-        np.minimum(logits, MOST, out=logits)
-        own = logits[rows, classes]
-        np.exp(logits, out=logits)
-        total = logits @ np.ones(shape.classes, np.float32)
-        out = own - np.log(total)
+        out = np.empty(len(symbols), np.float32)
+        whole = np.empty((len(symbols) if grad is not None else CACHED_ROWS, shape.classes), np.float32)
+        for at in range(0, len(symbols), CACHED_ROWS):
+            upto = min(at + CACHED_ROWS, len(symbols))
+            logits = whole[at:upto] if grad is not None else whole[: upto - at]
+            np.matmul(states[at:upto], w["class_out"], out=logits)
+            logits += w["class_bias"]
+            np.minimum(logits, MOST, out=logits)
+            chosen = rows[: upto - at], classes[at:upto]
+            own = logits[chosen]
+            np.exp(logits, out=logits)
+            total = logits @ np.ones(shape.classes, np.float32)
+            np.subtract(own, np.log(total), out=out[at:upto])
+            if grad is not None:
+                logits /= -total[:, None]
+                logits[chosen] += 1
         if grad is not None:
+            logits = whole
             g = shape.split(grad)
-            logits /= -total[:, None]
-            logits[rows, classes] += 1
             g["class_out"] += states.T @ logits
             g["class_bias"] += logits.sum(0)
             back = logits @ w["class_out"].T
-        order = np.argsort(classes, kind="stable")
+        # rows by class: a class's rows lie together, and its weights are met once
+        order = np.argsort(classes.astype(np.uint16) if shape.classes < 1 << 16 else classes, kind="stable")
         ends = np.cumsum(np.bincount(classes, minlength=shape.classes))
-        for c in range(shape.classes):
-            mine = order[ends[c - 1] if c else 0 : ends[c]]
-            if not len(mine):
-                continue
-            h, m = states[mine], members[mine]
-            inner = h @ w["member_out"][c]
-            inner += w["member_bias"][c]
+        h, m = states.take(order, axis=0), members.take(order)
+        chosen = np.empty(len(symbols), np.float32)
+        width = len(symbols) if grad is not None else CACHED_ROWS
+        whole = np.empty((width, shape.members), np.float32)
+        for at in range(0, len(symbols), CACHED_ROWS):
+            upto = min(at + CACHED_ROWS, len(symbols))
+            inner = whole[at:upto] if grad is not None else whole[: upto - at]
+            begin, c = at, int(np.searchsorted(ends, at, side="right"))
+            while begin < upto:
+                end = min(int(ends[c]), upto)
+                if end > begin:
+                    own = inner[begin - at : end - at]
+                    np.matmul(h[begin:end], w["member_out"][c], out=own)
+                    own += w["member_bias"][c]
+                begin, c = end, c + 1
             np.minimum(inner, MOST, out=inner)
-            at = np.arange(len(mine))
-            chosen = inner[at, m]
+            here = rows[: upto - at], m[at:upto]
+            own = inner[here]
             np.exp(inner, out=inner)
             total = inner @ np.ones(shape.members, np.float32)
-            out[mine] += chosen - np.log(total)
+            np.subtract(own, np.log(total), out=chosen[at:upto])
             if grad is not None:
                 inner /= -total[:, None]
-                inner[at, m] += 1
-                g["member_out"][c] += h.T @ inner
-                g["member_bias"][c] += inner.sum(0)
-                back[mine] += inner @ w["member_out"][c].T
+                inner[here] += 1
+        out[order] += chosen
+        if grad is not None:
+            further = np.empty_like(h)
+            begin = 0
+            for c, end in enumerate(ends.tolist()):
+                if end > begin:
+                    inner = whole[begin:end]
+                    g["member_out"][c] += h[begin:end].T @ inner
+                    g["member_bias"][c] += inner.sum(0)
+                    np.matmul(inner, w["member_out"][c].T, out=further[begin:end])
+                begin = end
+            back[order] += further
         return (out, back) if grad is not None else out
 
     def score(self, flat: np.ndarray, begins: np.ndarray, lengths: np.ndarray, most=2048, cells=65536):
@@ -203,10 +233,16 @@ class Network:
         return out
 
     def gradient(self, symbols, active, before, state):
-        """Gradient of a window's log-probability, and the carried symbols and state."""
+        """Gradient of a window's log-probability, and the carried symbols and state.
+
+        The next call writes over the gradient.
+        """
         shape, n, w = self.shape, self.shape.state, self.w
         seen, gates, before, state = self.steps(symbols, active, before, state, True)
-        grad = np.zeros_like(self.flat)
+        if self.grad is None:
+            self.grad = np.empty_like(self.flat)
+        grad = self.grad
+        grad.fill(0)
         g = shape.split(grad)
         flat_symbols = np.concatenate([symbols[t, :k] for t, k in enumerate(active)])
         states = np.concatenate(seen)
@@ -231,10 +267,12 @@ class Network:
             at_inputs.append(previous)
             g["recurrent"] += h.T @ du
             later = d * z + du @ w["recurrent"].T
-        rows, order = np.unique(np.concatenate(at_inputs), return_inverse=True)
-        by = np.argsort(order, kind="stable")
-        begin = np.searchsorted(order[by], np.arange(len(rows)))
-        g["inputs"][rows] += np.add.reduceat(np.concatenate(d_inputs)[by], begin)
+        at = np.concatenate(at_inputs)
+        # numbers of two bytes are sorted by radix
+        by = np.argsort(at.astype(np.uint16) if shape.symbols < 1 << 16 else at, kind="stable")
+        at = at[by]
+        begin = np.flatnonzero(np.diff(at, prepend=-1))
+        g["inputs"][at[begin]] += np.add.reduceat(np.concatenate(d_inputs).take(by, axis=0), begin)
         return grad, values, before, state
 
 
@@ -263,7 +301,19 @@ class Trainer:
                 grad /= max(len(values), enough)
                 self.symbols += len(values)
                 self.updates += 1
-                self.first += 0.1 * (grad - self.first)
-                self.second += 0.01 * (grad * grad - self.second)
                 scale = self.rate * np.sqrt(1 - 0.99**self.updates) / (1 - 0.9**self.updates)
-                net.flat += scale * self.first / (np.sqrt(self.second) + 1e-6)
+                for at in range(0, len(grad), CACHED_WEIGHTS):
+                    part = slice(at, at + CACHED_WEIGHTS)
+                    g, first, second = grad[part], self.first[part], self.second[part]
+                    step = g - first
+                    step *= 0.1
+                    first += step
+                    np.multiply(g, g, out=step)
+                    step -= second
+                    step *= 0.01
+                    second += step
+                    np.sqrt(second, out=step)
+                    step += 1e-6
+                    change = scale * first
+                    change /= step
+                    net.flat[part] += change

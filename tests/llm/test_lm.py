@@ -226,3 +226,19 @@ def test_nulls_empty_and_long_texts_and_nothing_to_learn_from(docs_of):
     assert lm.score(docs.limit(0), nothing).count() == 0
     trained = lm.fit(docs)
     assert all(np.isfinite(r.score) for r in lm.score(docs, trained).collect())
+
+
+def test_rows_in_a_core_s_cache_change_nothing(monkeypatch):
+    """Output layer and optimizer in small steps give what they give in one."""
+    rng = np.random.default_rng(4)
+    held = packed([rng.integers(0, SMALL.symbols, n) for n in (40, 7, 1, 23, 15)])
+    found = []
+    for rows, weights in ((1 << 20, 1 << 20), (4, 16)):
+        monkeypatch.setattr(gru, "CACHED_ROWS", rows)
+        monkeypatch.setattr(gru, "CACHED_WEIGHTS", weights)
+        trainer = gru.Trainer(network())
+        for _ in range(3):
+            trainer.learn(*held)
+        found.append((trainer.network.flat.copy(), trainer.network.score(*held)))
+    assert found[0][0] == pytest.approx(found[1][0], abs=1e-5)
+    assert found[0][1] == pytest.approx(found[1][1], rel=1e-5)
