@@ -168,27 +168,31 @@ class Network:
         ends = np.cumsum(np.bincount(classes, minlength=shape.classes))
         h, m = states.take(order, axis=0), members.take(order)
         chosen = np.empty(len(symbols), np.float32)
-        width = len(symbols) if grad is not None else CACHED_ROWS
-        whole = np.empty((width, shape.members), np.float32)
-        for at in range(0, len(symbols), CACHED_ROWS):
-            upto = min(at + CACHED_ROWS, len(symbols))
+        # classes that are computed together: their first and last row, the first class and the one behind
+        parts, at, first = [], 0, 0
+        for c, end in enumerate(ends.tolist(), 1):
+            if end - at >= CACHED_ROWS or (c == shape.classes and end > at):
+                parts.append((at, end, first, c))
+                at, first = end, c
+        width = max((upto - at for at, upto, _, _ in parts), default=0) if grad is None else len(symbols)
+        whole, total = (np.empty((width, *more), np.float32) for more in ((shape.members,), ()))
+        one = np.ones(shape.members, np.float32)
+        for at, upto, first, last in parts:
             inner = whole[at:upto] if grad is not None else whole[: upto - at]
-            begin, c = at, int(np.searchsorted(ends, at, side="right"))
-            while begin < upto:
-                end = min(int(ends[c]), upto)
-                if end > begin:
-                    own = inner[begin - at : end - at]
-                    np.matmul(h[begin:end], w["member_out"][c], out=own)
-                    own += w["member_bias"][c]
-                begin, c = end, c + 1
+            runs = np.r_[0, ends[first:last] - at].tolist()
+            runs = [(c, *run) for c, run in enumerate(zip(runs, runs[1:]), first) if run[1] > run[0]]
+            for c, begin, end in runs:
+                np.matmul(h[at + begin : at + end], w["member_out"][c], out=inner[begin:end])
+                inner[begin:end] += w["member_bias"][c]
             np.minimum(inner, MOST, out=inner)
             here = rows[: upto - at], m[at:upto]
             own = inner[here]
             np.exp(inner, out=inner)
-            total = inner @ np.ones(shape.members, np.float32)
-            np.subtract(own, np.log(total), out=chosen[at:upto])
+            for _, begin, end in runs:
+                np.matmul(inner[begin:end], one, out=total[begin:end])
+            np.subtract(own, np.log(total[: upto - at]), out=chosen[at:upto])
             if grad is not None:
-                inner /= -total[:, None]
+                inner /= -total[: upto - at, None]
                 inner[here] += 1
         out[order] += chosen
         if grad is not None:
