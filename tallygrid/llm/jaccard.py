@@ -13,7 +13,7 @@ that the links form.
    their groups close at once. The others are divided by bands of set sizes, two
    for each document, as sizes of linked documents differ by a third at most.
    Documents left in fewer groups than any partner would need leave the others
-   too, again and again. Groups with the same members are one.
+   too, again where that removes much. Groups with the same members are one.
 2. *Cells.* Groups that share documents are one cell, so that copies are compared
    once and not in each of their groups; where such a chain holds more than
    ``CHAIN`` documents, every group stays a cell of its own. A cell of more than
@@ -61,6 +61,9 @@ SPARE = 6
 # shingles that agree in the first are one group, so more documents meet and none is lost
 PIVOT_BITS = 40
 BAND_BITS = 7
+# a round of the prefix filter shuffles all rows twice: another follows only where one left
+# no more than this share of them; what stays is compared, so results are the same
+WORTH = 0.75
 # the most frequent shingles that tasks know of; they only decide the order
 KNOWN_FREQUENT = 1 << 18
 # documents of a chain of regions that may form one cell, and of one block of it
@@ -140,8 +143,8 @@ def not_alone(rows: DataFrame, *region: str) -> DataFrame:
     return rows.withColumn("size", size).where(F.col("size") > 1).drop("size")
 
 
-def banded(rows: DataFrame) -> DataFrame:
-    """``region, h, mark``: each row in its band of set sizes and as a guest in the next larger one.
+def in_bands(rows: DataFrame) -> DataFrame:
+    """``pivot, region, h, mark``: each row in its band of set sizes and as a guest in the next larger one.
 
     Documents that can link are of one band or of neighbouring ones. Guests meet
     each other in their own band, so a region of guests alone is dropped. A region
@@ -155,14 +158,30 @@ def banded(rows: DataFrame) -> DataFrame:
         F.struct(region.alias("region"), mark.alias("mark")),
         F.struct((region + 1).alias("region"), (mark + 1).alias("mark")),
     )
-    return rows.select("h", F.explode(places).alias("place")).select("place.region", "h", "place.mark")
+    placed = rows.select("pivot", "h", F.explode(places).alias("place"))
+    return placed.select("pivot", "place.region", "h", "place.mark")
+
+
+def banded(rows: DataFrame) -> DataFrame:
+    """The same without the shingle."""
+    return in_bands(rows).drop("pivot")
+
 
+def with_hosts(rows: DataFrame, *outer: str) -> DataFrame:
+    """The rows of the banded regions in which two documents meet that are not both guests.
 
-def with_hosts(rows: DataFrame) -> DataFrame:
-    """The rows of the banded regions in which two documents meet that are not both guests."""
-    guests = F.min(F.col("mark") % 2).over(Window.partitionBy("region"))
-    met = rows.withColumn("guests", guests).where(F.col("guests") == 0).drop("guests")
-    return not_alone(met, "region")
+    ``rid`` is equal for regions of one band with the same documents. ``outer`` are columns that
+    the region decides: rows that are together by these already need no shuffle.
+    """
+    same, band = Window.partitionBy(*outer, "region"), F.col("region").bitwiseAND((1 << BAND_BITS) - 1)
+    met = rows.withColumns(
+        {
+            "guests": F.min(F.col("mark") % 2).over(same),
+            "size": F.count("*").over(same),
+            "members": F.sum(F.shiftright(F.xxhash64("h"), 16)).over(same),
+        }
+    ).where("guests = 0 AND size > 1")
+    return met.select("region", "h", "mark", F.xxhash64("size", "members", band).alias("rid"))
 
 
 def met_enough(rows: DataFrame) -> DataFrame:
@@ -178,20 +197,19 @@ def first_regions(table: DataFrame) -> DataFrame:
 
     ``m`` is a document in one of its bands.
     """
+    # the bands of a shingle are where its rows are: one shuffle for both
+    shared = not_alone(outer_regions(table), "pivot")
     with arrow_rows(table.sparkSession, BATCH_ROWS):
-        rows = written(not_alone(outer_regions(table), "pivot"), "outer-regions")
-    rows = written(with_hosts(banded(rows)), "banded-regions")
+        rows = written(with_hosts(in_bands(shared), "pivot"), "banded-regions")
     before = rows.count()
     while before:
-        rows = written(with_hosts(met_enough(rows)), "banded-regions")
+        rows = written(with_hosts(met_enough(rows.drop("rid"))), "banded-regions")
         after = rows.count()
-        if after > 0.9 * before:
+        if after > WORTH * before:
             break
         before = after
-    same, band = Window.partitionBy("region"), F.col("region").bitwiseAND((1 << BAND_BITS) - 1)
-    size, members = F.count("*").over(same), F.sum(F.shiftright(F.xxhash64("h"), 16)).over(same)
-    rid = F.xxhash64(size, members, band).alias("rid")
-    rows = rows.select(rid, band.cast("int").alias("band"), "h").distinct()
+    band = F.col("region").bitwiseAND((1 << BAND_BITS) - 1)
+    rows = rows.select("rid", band.cast("int").alias("band"), "h").distinct()
     return rows.select("rid", F.xxhash64("h", "band").alias("m"), "h")
 
 

@@ -314,3 +314,15 @@ def test_a_round_of_the_prefix_filter_shuffles_rows_twice(spark):
     plan = jaccard.with_hosts(jaccard.met_enough(rows))._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 2
     assert jaccard.banded(rows.selectExpr("3L as pivot", "h", "40 as n")).columns == ["region", "h", "mark"]
+
+
+def test_bands_are_where_the_rows_of_their_shingle_are(spark):
+    """The prefix filter's rows are shuffled by shingle once, and not again for its bands."""
+    rows = spark.createDataFrame([(3, 1, 40), (3, 2, 40), (3, 3, 400), (4, 1, 40)], "pivot long, h long, n int")
+    bands = jaccard.in_bands(jaccard.not_alone(rows, "pivot"))
+    found = jaccard.with_hosts(bands, "pivot")
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    plain = jaccard.with_hosts(jaccard.banded(jaccard.not_alone(rows, "pivot")))
+    assert sorted(found.collect()) == sorted(plain.collect())
+    # a guest's region and its own, each with both documents
+    assert sorted(r.h for r in found.collect()) == [1, 2] and len({r.rid for r in found.collect()}) == 1
