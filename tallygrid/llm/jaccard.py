@@ -53,7 +53,7 @@ from .components import components
 from .copies import BATCH_ROWS, distinct_texts
 from .regions import RADIUS, SHARED, divide
 from .shared import arrow_rows, broadcast_if_small
-from .text import ShingleSets, slices
+from .text import ShingleSets, released, slices
 
 # per cent of a set by which a document is replicated beyond what it may miss
 SPARE = 6
@@ -128,7 +128,7 @@ def outer_regions(table: DataFrame) -> DataFrame:
                     ["pivot", "h", "n"],
                 )
 
-    return texts_of(table).select("h", "text").mapInArrow(run, "pivot long, h long, n int")
+    return texts_of(table).select("h", "text").mapInArrow(released(run), "pivot long, h long, n int")
 
 
 def common_at_least(n: Column) -> Column:
@@ -376,7 +376,7 @@ def joined_groups(groups: DataFrame, texts: DataFrame) -> DataFrame:
             [pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["h", "p"]
         )
 
-    return rows.mapInArrow(run, "h long, p long")
+    return rows.mapInArrow(released(run), "h long, p long")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

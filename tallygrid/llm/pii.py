@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import ship_package
 from .spans import ARROW_SPANS, SPANS, outside
-from .text import id_and_text, map_batches
+from .text import id_and_text, map_batches, released
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("pattern", "validity", "gazetteer", "context", "border", "grouping")
@@ -294,7 +294,7 @@ def pattern_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     own = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
     return (
-        own.mapInArrow(count, "kind string, code int, shape int, n long")
+        own.mapInArrow(released(count), "kind string, code int, shape int, n long")
         .groupBy("kind", "code", "shape")
         .agg(F.sum("n").alias("n"))
     )
@@ -368,4 +368,4 @@ def redact(docs: DataFrame, model: PiiModel, text_col: str = "text") -> DataFram
             yield batch.set_column(at, batch.schema.field(at).with_type(pa.string()), texts)
 
     kept = docs.withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
-    return kept.mapInArrow(run, kept.schema)
+    return kept.mapInArrow(released(run), kept.schema)

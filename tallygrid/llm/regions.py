@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import ship_package, written
 from .shared import broadcast_if_small
-from .text import ShingleSets, slices
+from .text import ShingleSets, released, slices
 
 # per cent of the union that two sets must share; the radius is what is left
 SHARED = 75
@@ -93,7 +93,7 @@ def measured(members: DataFrame, texts: DataFrame, block: int) -> DataFrame:
         "cell long, h long, pivot boolean, mask int, nearest int, least double, "
         "d array<double>, linked array<long>"
     )
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(released(run), schema)
 
 
 def distances(key: tuple[int, int], held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:

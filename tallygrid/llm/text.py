@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -85,6 +86,31 @@ def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.Recor
         at = upto
 
 
+def release_memory() -> None:
+    """Give memory that freed objects left with the allocators back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # glibc alone has it
+        trim(0)
+
+
+def released(
+    run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, with its memory given back at the end of a task.
+
+    Python workers wait for further tasks, and what they keep is missing in the stages that follow.
+    """
+
+    def run_and_release(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return run_and_release
+
+
 def map_batches(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],
@@ -103,7 +129,7 @@ def map_batches(
         for batch in batches:
             yield from map(each, slices(batch, limit))
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
 
 
 class WordHashes(dict):

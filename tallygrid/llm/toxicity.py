@@ -36,7 +36,7 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import ship_package, written
-from .text import id_and_text, map_batches, slices
+from .text import id_and_text, map_batches, released, slices
 
 # labelled texts of each class that the dictionaries and the curve learn from
 PER_CLASS = 4000
@@ -228,7 +228,7 @@ def segment_counts(sample: DataFrame) -> DataFrame:
             ["segment", "part", "n"],
         )
 
-    own = sample.mapInArrow(count, "segment binary, part string, n long")
+    own = sample.mapInArrow(released(count), "segment binary, part string, n long")
     return own.groupBy("segment").agg(
         *[
             F.sum(F.when(F.col("part") == p, F.col("n")).otherwise(0)).alias(p)
@@ -365,4 +365,4 @@ def without_toxic(
                 yield part.filter(pa.array(keep))
 
     kept = docs.withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
-    return kept.mapInArrow(run, kept.schema)
+    return kept.mapInArrow(released(run), kept.schema)

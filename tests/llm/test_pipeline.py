@@ -51,3 +51,37 @@ def test_odd_rows(spark, tables, docs_of):
     for _, stage in pipeline.STAGES:
         empty = written(stage(spark, empty, tables), "stage")
     assert empty.count() == 0
+
+
+def test_a_task_gives_its_memory_back_when_it_ends(monkeypatch):
+    """Idle Python workers would keep it from the stages that follow."""
+    import pyarrow as pa
+    from tallygrid.llm import text
+
+    seen = []
+    monkeypatch.setattr(text, "release_memory", lambda: seen.append("released"))
+
+    def run(batches):
+        yield from batches
+        seen.append("done")
+
+    batch = pa.RecordBatch.from_pydict({"id": [1]})
+    assert [b.num_rows for b in text.released(run)(iter([batch]))] == [1]
+    assert seen == ["done", "released"]
+
+    def broken(batches):
+        raise ValueError
+
+    try:
+        list(text.released(broken)(iter([batch])))
+    except ValueError:
+        seen.append("raised")
+    assert seen[2:] == ["released", "raised"]
+
+
+def test_released_memory_leaves_what_is_in_use():
+    from tallygrid.llm.text import release_memory
+
+    held = [str(n) for n in range(1000)]
+    release_memory()
+    assert held[-1] == "999"
